@@ -7,6 +7,8 @@ as one row per map task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,10 @@ def _drop_taken(rows: DataFrame, taken: DataFrame, key: str, hot_size: int) -> D
     return rows.join(F.broadcast(hot), key, "left_anti").join(cold, key, "left_anti")
 
 
-def first_wins_pairs(keys: DataFrame, order: str = "page_id", url: str = "url", content: str = "hash") -> DataFrame:
+def first_wins_pairs(
+    keys: DataFrame, order: str = "page_id", url: str = "url", content: str = "hash",
+    save: Callable[[DataFrame, str], DataFrame] = write_scratch,
+) -> DataFrame:
     """The rows that a one-by-one ingest in ``order`` would store, as ``order, url, hash``.
 
     A row is stored when neither its url nor its content was stored before it; a row skipped
@@ -53,17 +58,17 @@ def first_wins_pairs(keys: DataFrame, order: str = "page_id", url: str = "url",
     needs more rounds, each smaller than the one before.
     """
     rest = keys.groupBy(url, content).agg(F.min(order).alias(order))
-    rest = write_scratch(rest.select(F.col(order).alias("o"), F.col(url).alias("u"), F.col(content).alias("h")), "rest")
+    rest = save(rest.select(F.col(order).alias("o"), F.col(url).alias("u"), F.col(content).alias("h")), "rest")
     left = rest.count()
     kept = []
     while left:
         by_url = rest.groupBy("u").agg(F.min("o").alias("o"), F.count("*").alias("n_u"))
         by_content = rest.groupBy("h").agg(F.min("o").alias("o"), F.count("*").alias("n_h"))
-        taken = write_scratch(by_url.join(by_content, "o"), "taken")
+        taken = save(by_url.join(by_content, "o"), "taken")
         kept.append(taken.select("o", "u", "h"))
         hot_size = left // HOT_KEYS
         rest = _drop_taken(_drop_taken(rest, taken, "u", hot_size), taken, "h", hot_size)
-        rest = write_scratch(rest.select("o", "u", "h"), "rest")
+        rest = save(rest.select("o", "u", "h"), "rest")
         left = rest.count()
     result = kept[0] if kept else rest
     for part in kept[1:]:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[Column], Column]
 
@@ -37,7 +38,7 @@ def bucket_sums(codes: pa.Array, dims: int) -> np.ndarray:
 
 
 def hashed_embedder(dims: int = 384) -> Embedder:
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
     def embed(codes: pa.Array) -> pa.Array:
         rows = bucket_sums(codes, dims).astype(np.float32)
         offsets = np.arange(0, (len(codes) + 1) * dims, dims, dtype=np.int32)

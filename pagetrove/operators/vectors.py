@@ -213,7 +213,7 @@ class LshIndex:
         lines /= np.linalg.norm(lines, axis=0)
         edge = math.ceil(1 / length)
 
-        @F.arrow_udf("array<bigint>")
+        @F.arrow_udf(T.ArrayType(T.LongType()))
         def hash_rows(rows: pa.Array) -> pa.Array:
             if len(rows) == 0:
                 return pa.array([], pa.list_(pa.int64()))

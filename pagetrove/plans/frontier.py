@@ -37,4 +37,8 @@ def crawl_counts(pages: DataFrame, case_sensitive: bool = False, same_host: bool
     links = page_links(pages, same_host)
     if not case_sensitive:
         links = links.filter(~is_denied(F.col("link")))
-    return pages.agg(F.count("*").alias("visited")).join(links.agg(F.count("*").alias("enqueued")))
+    zero = F.lit(0).cast("long")
+    parts = pages.agg(F.count("*").alias("visited")).withColumn("enqueued", zero).unionByName(
+        links.agg(F.count("*").alias("enqueued")).withColumn("visited", zero)
+    )
+    return parts.agg(F.sum("visited").alias("visited"), F.sum("enqueued").alias("enqueued"))

@@ -14,7 +14,7 @@ from pagetrove.operators.chunking import chunk_text, content_hash, number_chunks
 from pagetrove.operators.dedup import drop_known, first_wins_pairs
 from pagetrove.operators.embed import Embedder, hashed_embedder
 from pagetrove.operators.store import Store
-from pagetrove.session import write_scratch
+from pagetrove.session import Scratch, write_scratch
 
 
 def extract_articles(pages: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
@@ -41,7 +41,7 @@ def parse_pages(pages: DataFrame, config: IngestConfig = IngestConfig()) -> Data
     return parsed.filter(F.size("chunks") > 0).withColumn("hash", content_hash(F.col("chunks")))
 
 
-def new_pages(parsed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def new_pages(parsed: DataFrame, stored: DataFrame | None = None, save=write_scratch) -> DataFrame:
     """The parsed pages to store: not stored by url or content, first wins within the batch.
 
     Works on ``page_id, url, hash`` rows; the wide rows are only filtered by the result.
@@ -49,7 +49,7 @@ def new_pages(parsed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     keys = parsed.select("page_id", "url", "hash")
     if stored is not None:
         keys = drop_known(drop_known(keys, stored, "url"), stored, "hash")
-    kept = first_wins_pairs(keys).select("page_id")
+    kept = first_wins_pairs(keys, save=save).select("page_id")
     return parsed.join(kept, "page_id", "left_semi")
 
 
@@ -70,10 +70,11 @@ def ingest(
     The same batch may run again after a failure: what it wrote before does not count as
     stored, and is replaced. Webpages go last, so readers never see a page without chunks.
     """
-    parsed = write_scratch(parse_pages(pages, config), "parsed")
     stored = store.read("webpages", with_batch=True).filter(F.col("batch_id") != batch_id).select("url", "hash")
-    fresh = write_scratch(new_pages(parsed, stored), "fresh")
-    chunks = number_chunks(fresh)
-    store.append("chunks", chunks, batch_id)
-    store.append("vectors", vector_rows(chunks, embed or hashed_embedder(config.dims)), batch_id)
-    store.append("webpages", webpage_rows(fresh), batch_id)
+    with Scratch(pages.sparkSession) as scratch:
+        parsed = scratch.write(parse_pages(pages, config), "parsed")
+        fresh = scratch.write(new_pages(parsed, stored, scratch.write), "fresh")
+        chunks = number_chunks(fresh)
+        store.append("chunks", chunks, batch_id)
+        store.append("vectors", vector_rows(chunks, embed or hashed_embedder(config.dims)), batch_id)
+        store.append("webpages", webpage_rows(fresh), batch_id)

@@ -51,3 +51,25 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one eager job, deleted when the job is over."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, scratch_path(spark, "job")
+        self.count = 0
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        path.getFileSystem(conf).delete(path, True)
