@@ -11,6 +11,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagetrove.functions.bind import bind
+
 # All whitespace a browser's trim removes.
 BLANK = r"[\x09-\x0D \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -47,15 +49,15 @@ def utf16_length(text: Column) -> Column:
 def decode_entities(text: Column) -> Column:
     """Decode named and numeric character references once, left to right."""
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    pieces = F.split(text, "&")
 
     def code_point(digits: Column, base: int) -> Column:
-        code = F.conv(digits, base, 10).cast("bigint")
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        def to_char(code: Column) -> Column:
+            valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+            return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-    def decode_piece(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#?[A-Za-z0-9]{1,31});", 1)
+        return bind(F.conv(digits, base, 10).cast("bigint"), to_char)
+
+    def decode_named(piece: Column, name: Column) -> Column:
         char = (
             F.when(name == "", None)
             .when(name.rlike(r"^#[xX][0-9A-Fa-f]{1,6}$"), code_point(F.substring(name, 3, 31), 16))
@@ -65,11 +67,14 @@ def decode_entities(text: Column) -> Column:
         rest = F.substring(piece, F.length(name) + 2, 1 << 30)
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
 
-    decoded = F.concat(
-        F.element_at(pieces, 1),
-        F.array_join(F.transform(F.slice(pieces, 2, 1 << 30), decode_piece), ""),
-    )
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def decode_piece(piece: Column) -> Column:
+        return bind(F.regexp_extract(piece, r"^(#?[A-Za-z0-9]{1,31});", 1), lambda name: decode_named(piece, name))
+
+    def decode(pieces: Column) -> Column:
+        decoded = F.array_join(F.transform(F.slice(pieces, 2, 1 << 30), decode_piece), "")
+        return F.when(F.size(pieces) > 1, F.concat(F.element_at(pieces, 1), decoded)).otherwise(F.element_at(pieces, 1))
+
+    return bind(F.split(text, "&"), decode)
 
 
 def drop_scripts(html: Column) -> Column:
@@ -83,9 +88,10 @@ def page_title(clean_html: Column) -> Column:
 
 
 def article_html(clean_html: Column) -> Column:
-    body = F.regexp_replace(clean_html, HEAD_AND_DRAWINGS, "")
-    picks = [F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in CONTAINERS]
-    return F.regexp_replace(F.coalesce(*picks, body), SIDE_BLOCKS, "")
+    def pick(body: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in CONTAINERS], body)
+
+    return F.regexp_replace(bind(F.regexp_replace(clean_html, HEAD_AND_DRAWINGS, ""), pick), SIDE_BLOCKS, "")
 
 
 def strip_tags(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagetrove.functions.bind import bind
+
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
 HOST_PATTERN = _AUTHORITY + r"(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)"
 ORIGIN_PATTERN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)"
@@ -21,19 +23,19 @@ def hostname(url: Column) -> Column:
 
 def percent_encode(text: Column) -> Column:
     """Encode what an address may not hold (non-ASCII, spaces, controls); leave the rest."""
-    encoded = F.array_join(
-        F.transform(
-            F.split(text, ""),
+
+    def encode(t: Column) -> Column:
+        chars = F.transform(
+            F.split(t, ""),
             lambda c: F.when(c == " ", "%20").when(c.rlike(UNSAFE_CHAR), F.url_encode(c)).otherwise(c),
-        ),
-        "",
-    )
-    return F.when(text.rlike(UNSAFE_CHAR), encoded).otherwise(text)
+        )
+        return F.when(t.rlike(UNSAFE_CHAR), F.array_join(chars, "")).otherwise(t)
+
+    return bind(text, encode)
 
 
 def url_path(url: Column) -> Column:
-    path = F.regexp_extract(url, PATH_PATTERN, 1)
-    return F.when(path == "", "/").otherwise(percent_encode(path))
+    return F.coalesce(F.nullif(percent_encode(F.regexp_extract(url, PATH_PATTERN, 1)), F.lit("")), F.lit("/"))
 
 
 def has_query_or_fragment(url: Column) -> Column:
@@ -80,37 +82,46 @@ def _squeeze_dots(path: Column) -> Column:
         shorter = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
         return F.when(part == ".", acc).when(part == "..", shorter).otherwise(F.concat(acc, F.array(part)))
 
-    parts = F.split(F.substring(path, 2, 1 << 30), "/")
-    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    tail = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
-    squeezed = F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.regexp_replace(squeezed, "^//", "/")).otherwise(path)
+    def squeeze(p: Column) -> Column:
+        parts = F.split(F.substring(p, 2, 1 << 30), "/")
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        tail = F.when(p.rlike(r"/\.\.?$"), "/").otherwise("")
+        squeezed = F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), tail), "^//", "/")
+        return F.when(p.rlike(r"/\.\.?(/|$)"), squeezed).otherwise(p)
+
+    return bind(path, squeeze)
 
 
 def resolve_link(base: Column, href: Column) -> Column:
     """Absolute form of a link found on page ``base``; NULL for anything but http(s)."""
-    href = F.trim(href)
-    origin = F.regexp_extract(base, ORIGIN_PATTERN, 1)
-    base_path = url_path(base)
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    absolute = (
-        F.when(href.rlike(r"(?i)^https?://"), href)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when((href == "") | href.startswith("#"), F.regexp_replace(base, "#.*$", ""))
-        .when(href.startswith("?"), F.concat(origin, base_path, href))
-        .otherwise(F.concat(origin, folder, href))
-    )
-    return normalize_url(absolute)
+
+    def absolute(h: Column) -> Column:
+        origin = F.regexp_extract(base, ORIGIN_PATTERN, 1)
+        folder = F.regexp_replace(url_path(base), "[^/]*$", "")
+        return (
+            F.when(h.rlike(r"(?i)^https?://"), h)
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+            .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), h))
+            .when(h.startswith("/"), F.concat(origin, h))
+            .when((h == "") | h.startswith("#"), F.regexp_replace(base, "#.*$", ""))
+            .when(h.startswith("?"), F.concat(origin, url_path(base), h))
+            .otherwise(F.concat(origin, folder, h))
+        )
+
+    return normalize_url(bind(F.trim(href), absolute))
 
 
 def normalize_url(url: Column) -> Column:
     """Key under which a link counts as visited: lower-case scheme and host, resolved path,
     sorted query, no fragment."""
-    origin = F.lower(F.regexp_extract(url, ORIGIN_PATTERN, 1))
-    path = _squeeze_dots(url_path(url))
-    query = percent_encode(F.regexp_extract(url, QUERY_PATTERN, 1))
-    ordered = F.array_join(F.array_sort(F.split(query, "&")), "&")
-    suffix = F.when(query == "", "").otherwise(F.concat(F.lit("?"), ordered))
-    return F.when(origin != "", F.concat(origin, path, suffix))
+
+    def sorted_query(query: Column) -> Column:
+        ordered = F.array_join(F.array_sort(F.split(query, "&")), "&")
+        return F.when(query == "", "").otherwise(F.concat(F.lit("?"), ordered))
+
+    def normalize(u: Column) -> Column:
+        origin = F.nullif(F.lower(F.regexp_extract(u, ORIGIN_PATTERN, 1)), F.lit(""))
+        query = bind(percent_encode(F.regexp_extract(u, QUERY_PATTERN, 1)), sorted_query)
+        return F.concat(origin, _squeeze_dots(url_path(u)), query)
+
+    return bind(url, normalize)

@@ -64,8 +64,8 @@ def pack_chunks(paras: Column, chunk_size: int = 1000, min_tail: int = 5, drop_e
         F.array().cast(_TEXTS).alias("done"), F.lit("").alias("open"), F.lit(0).alias("size"),
     )
 
-    def step(acc: Column, p: Column) -> Column:
-        size = utf16_length(p)
+    def step(acc: Column, para: Column) -> Column:
+        p, size = para["text"], para["size"]
         full = acc["size"] + size > chunk_size
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
@@ -76,7 +76,8 @@ def pack_chunks(paras: Column, chunk_size: int = 1000, min_tail: int = 5, drop_e
     def finish(acc: Column) -> Column:
         return F.when(acc["size"] > min_tail, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
 
-    chunks = F.aggregate(paras, start, step, finish)
+    measured = F.transform(paras, lambda p: F.struct(p.alias("text"), utf16_length(p).alias("size")))
+    chunks = F.aggregate(measured, start, step, finish)
     return F.filter(chunks, lambda c: c != "") if drop_empty else chunks
 
 

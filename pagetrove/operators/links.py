@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrove.config import LINK_DENY_LIST
+from pagetrove.functions.bind import bind
 from pagetrove.functions.text import decode_entities, drop_scripts
 from pagetrove.functions.urls import hostname, resolve_link
 
@@ -17,11 +18,13 @@ HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 def page_links(pages: DataFrame, same_host: bool = True, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep..., url, href, link``: every link of each page, resolved against the page."""
-    quoted = F.regexp_extract_all(drop_scripts(F.col("html")), F.lit(HREF), 1)
-    found = pages.select(*keep, "url", F.explode(quoted).alias("href"))
-    href = decode_entities(F.regexp_replace("href", r"""^["']|["']$""", ""))
-    links = found.withColumn("href", href).withColumn("link", resolve_link(F.col("url"), F.col("href")))
-    links = links.filter(F.col("link").isNotNull())
+    def resolved(quoted: Column) -> Column:
+        href = decode_entities(F.regexp_replace(quoted, r"""^["']|["']$""", ""))
+        return bind(href, lambda h: F.struct(h.alias("href"), resolve_link(F.col("url"), h).alias("link")))
+
+    found = F.regexp_extract_all(drop_scripts(F.col("html")), F.lit(HREF), 1)
+    rows = pages.select(*keep, "url", F.explode(F.transform(found, resolved)).alias("found"))
+    links = rows.select(*keep, "url", "found.href", "found.link").filter(F.col("link").isNotNull())
     return links.filter(hostname(F.col("link")) == hostname(F.col("url"))) if same_host else links
 
 
@@ -31,9 +34,9 @@ def is_denied(url: Column, case_sensitive: bool = False, deny: tuple[str, ...] =
     With ``case_sensitive=False`` the address is lower-cased first; the entries never are.
     Entries that contain another entry cannot change the answer and are not tested.
     """
-    text = url if case_sensitive else F.lower(url)
     needed = [d for d in dict.fromkeys(deny) if not any(o != d and o in d for o in deny)]
-    return reduce(or_, [F.contains(text, F.lit(d)) for d in needed])
+    text = url if case_sensitive else F.lower(url)
+    return bind(text, lambda u: reduce(or_, [F.contains(u, F.lit(d)) for d in needed]))
 
 
 def cap_frontier(links: DataFrame, max_pages: int, per: str | None = None) -> DataFrame:

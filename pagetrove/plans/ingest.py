@@ -31,21 +31,25 @@ def extract_articles(pages: DataFrame, config: IngestConfig = IngestConfig()) ->
 
 
 def parse_pages(pages: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """Pages with their chunk list and content hash; pages without chunks are left out."""
+    """Pages with their chunk list and content hash; no shuffle."""
     articles = extract_articles(pages, config)
     sitename = F.col("sitename") if config.sitename == "article" else F.col("host")
     parsed = articles.select(
         "page_id", "url", "title", "summary", sitename.alias("sitename"),
         chunk_text(F.col("text"), config).alias("chunks"),
     )
-    return parsed.filter(F.size("chunks") > 0).withColumn("hash", content_hash(F.col("chunks")))
+    return parsed.withColumn("hash", content_hash(F.col("chunks")))
 
 
 def new_pages(parsed: DataFrame, stored: DataFrame | None = None, save=write_scratch) -> DataFrame:
-    """The parsed pages to store: not stored by url or content, first wins within the batch.
+    """The parsed pages to store: with chunks, not stored by url or content, first wins
+    within the batch.
 
     Works on ``page_id, url, hash`` rows; the wide rows are only filtered by the result.
+    ``parsed`` should be a written table: it is read twice, and a filter on the chunk list
+    of an unwritten one would make Spark extract every page twice.
     """
+    parsed = parsed.filter(F.size("chunks") > 0)
     keys = parsed.select("page_id", "url", "hash")
     if stored is not None:
         keys = drop_known(drop_known(keys, stored, "url"), stored, "hash")
