@@ -29,7 +29,8 @@ def extract(expr: str, pattern: str) -> str:
 
 
 def trim_blank(expr: str) -> str:
-    return f"regexp_replace(regexp_replace({expr}, {lit('^' + t.BLANK + '+')}, ''), {lit(t.BLANK + '+' + chr(92) + 'z')}, '')"
+    codes = " || ".join(f"chr({ord(c)})" for c in t.BLANK_CHARS)
+    return f"trim({expr}, {codes})"
 
 
 def decode(expr: str) -> str:
@@ -74,7 +75,7 @@ def breadcrumb(expr: str) -> str:
 
 
 def clean_paras(expr: str, separator: str) -> str:
-    one = trim_blank(f"regexp_replace(regexp_replace({trim_blank('p')}, chr(9), ' '), '  ', ' ')")
+    one = f"regexp_replace(regexp_replace({trim_blank('p')}, chr(9), ' '), '  ', ' ')"
     return f"list_filter(list_transform(string_split({expr}, {separator}), lambda p: {one}), lambda p: p <> '')"
 
 
@@ -126,7 +127,7 @@ def article_ctes() -> dict[str, str]:
     stripped = sub_all(broken, t.ANY_TAG)
     first_p = sub_all(extract("article", t.FIRST_PARAGRAPH), t.ANY_TAG)
     summaries = ", ".join(
-        f"nullif({trim_blank(decode(e))}, '')"
+        f"nullif({trim_blank(e)}, '')"
         for e in (extract("clean", t.META_DESCRIPTION), extract("clean", t.META_DESCRIPTION_REVERSED), first_p)
     )
     return {
@@ -135,9 +136,9 @@ def article_ctes() -> dict[str, str]:
         "bodies": f"SELECT *, {sub_all('clean', t.HEAD_AND_DRAWINGS)} AS body FROM cleaned",
         "blocks": f"SELECT *, {sub_all(f'coalesce({containers}, body)', t.SIDE_BLOCKS)} AS article FROM bodies",
         "raw": f"""SELECT *, array_to_string(regexp_extract_all(clean, {lit(t.TITLE)}, 1), '') AS raw_title,
-                   {stripped} AS raw_text FROM blocks""",
+                   {stripped} AS raw_text, coalesce({summaries}) AS raw_summary FROM blocks""",
         "articles": f"""SELECT page_id, url, {host('url')} AS host, {decode('raw_title')} AS title,
-                        coalesce({summaries}) AS summary,
+                        nullif({trim_blank(decode('raw_summary'))}, '') AS summary,
                         nullif({extract('clean', t.META_SITE_NAME)}, '') AS sitename,
                         {decode('raw_text')} AS text FROM raw, entities""",
     }
@@ -282,7 +283,7 @@ def statements() -> dict[str, str]:
     known = "SELECT url, hash FROM stored WHERE starts_with(url, 'http://')"
     out: dict[str, str] = {}
     out["page_titles_hosts"] = with_ctes(article_ctes(), f"""SELECT page_id, title, host, {has_tail('url')} AS has_tail FROM articles""")
-    out["article_text"] = with_ctes(article_ctes(), "SELECT page_id, summary, sitename, text FROM articles")
+    out["article_text"] = with_ctes(article_ctes(), "SELECT page_id, coalesce(summary, '') AS summary, coalesce(sitename, '') AS sitename, text FROM articles")
     out["clean_paragraphs"] = with_ctes({"paras": doc_chunks["paras"]}, """SELECT doc_id, generate_subscripts(paragraphs, 1) AS pos,
         unnest(paragraphs) AS paragraph FROM paras""")
     out["merge_paragraphs"] = with_ctes({k: doc_chunks[k] for k in ("paras", "merging", "merged")}, """SELECT doc_id,
@@ -349,8 +350,8 @@ def statements() -> dict[str, str]:
         count(*) OVER (PARTITION BY qid) AS total FROM one""")
     marked = f"""list_reduce({distinct_in_order(variants('q'))}, lambda acc, v: replace(acc, v, '<b>' || v || '</b>'), summary)"""
     out["highlight"] = with_ctes(rank_ctes(), f"SELECT qid, position, url, {marked} AS summary FROM placed")
-    out["store_stats"] = with_ctes(search_ctes(), f"""SELECT 'webpages' AS name, count(*) AS n_rows, NULL::INT AS dims FROM stored
-        UNION ALL SELECT 'chunks', count(*), NULL FROM chunk_rows UNION ALL SELECT 'vectors', count(*), {DIMS} FROM chunk_rows""")
+    out["store_stats"] = with_ctes(search_ctes(), f"""SELECT 'webpages' AS name, count(*) AS n_rows, 0 AS dims FROM stored
+        UNION ALL SELECT 'chunks', count(*), 0 FROM chunk_rows UNION ALL SELECT 'vectors', count(*), {DIMS} FROM chunk_rows""")
     out["reset_check"] = with_ctes(store_ctes(), """SELECT ((SELECT count(*) FROM stored) + 2 * (SELECT count(*) FROM chunk_rows))::BIGINT AS n_before,
         0::BIGINT AS n_left, true AS is_empty""")
     out["stream_ingest"] = with_ctes(store_ctes(), "SELECT hash FROM stored")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import SparkSession
 
+from pagetrove.functions.fuzzy import partial_ratio_udf
+
 SQL_FUNCTIONS = {
     "host_of": r"(url STRING) RETURNS STRING RETURN lower(nullif(regexp_extract(url, r'^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)', 1), ''))",
     "site_of": r"(host STRING) RETURNS STRING RETURN substring_index(regexp_replace(host, r'^www\.', ''), '.', -2)",
@@ -22,8 +24,6 @@ SQL_FUNCTIONS = {
 def register_functions(spark: SparkSession) -> None:
     """Create ``host_of``, ``site_of``, ``strip_citations`` and ``breadcrumb_of``, and the
     fuzzy matcher as ``partial_ratio``."""
-    from pagetrove.functions.fuzzy import _partial_ratio
-
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    spark.udf.register("partial_ratio", _partial_ratio)
+    spark.udf.register("partial_ratio", partial_ratio_udf())

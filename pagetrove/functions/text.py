@@ -13,24 +13,24 @@ from pyspark.sql import functions as F
 
 from pagetrove.functions.bind import bind
 
-# All whitespace a browser's trim removes.
+# All whitespace a browser's trim removes, as a set of characters and as a pattern.
+BLANK_CHARS = "\t\n\v\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 BLANK = r"[\x09-\x0D \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 
-SCRIPTS = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>"
-    r"|<template\b.*?</template\s*>"
-)
+def _blocks(*tags: str) -> str:
+    return "|".join(rf"{tag}\b.*?</{tag}\s*>" for tag in tags)
+
+
+# Alternatives share their first character, so most positions are ruled out by one comparison.
+SCRIPTS = rf"(?is)<(?:!--.*?-->|{_blocks('script', 'style', 'noscript', 'template')})"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-HEAD_AND_DRAWINGS = r"(?is)<head\b.*?</head\s*>|<svg\b.*?</svg\s*>"
+HEAD_AND_DRAWINGS = rf"(?is)<(?:{_blocks('head', 'svg')})"
 CONTAINERS = tuple(rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>" for tag in ("article", "main", "body"))
-SIDE_BLOCKS = "|".join(
-    ([r"(?is)<nav\b.*?</nav\s*>"])
-    + [rf"<{tag}\b.*?</{tag}\s*>" for tag in ("footer", "aside", "form", "header")]
-)
+SIDE_BLOCKS = rf"(?is)<(?:{_blocks('nav', 'footer', 'aside', 'form', 'header')})"
 FIRST_PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?:</?p\b|\z)"
-BLOCK_ENDS = r"(?is)</(?:p|h[1-6]|li|div)\s*>|<p\b[^>]*>|<br\s*/?>\s*<br\s*/?>"
+BLOCK_ENDS = r"(?is)<(?:/(?:p|h[1-6]|li|div)\s*>|p\b[^>]*>|br\s*/?>\s*<br\s*/?>)"
 ANY_TAG = r"(?s)<[^>]+>"
 META_DESCRIPTION = r"""(?is)<meta\b[^>]*\bname\s*=\s*["']description["'][^>]*\bcontent\s*=\s*"([^"]*)\""""
 META_DESCRIPTION_REVERSED = r"""(?is)<meta\b[^>]*\bcontent\s*=\s*"([^"]*)"[^>]*\bname\s*=\s*["']description["']"""
@@ -38,7 +38,7 @@ META_SITE_NAME = r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']og:site_name["'][^>]*
 
 
 def trim_blank(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{BLANK}+", ""), f"{BLANK}+\\z", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def utf16_length(text: Column) -> Column:
@@ -48,7 +48,7 @@ def utf16_length(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode named and numeric character references once, left to right."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    names = F.str_to_map(F.lit(" ".join(f"{k}={v}" for k, v in ENTITIES.items())), F.lit(" "), F.lit("="))
 
     def code_point(digits: Column, base: int) -> Column:
         def to_char(code: Column) -> Column:
@@ -104,13 +104,11 @@ def article_text(article: Column, block_breaks: bool = True) -> Column:
 
 
 def article_summary(clean_html: Column, article: Column) -> Column:
-    """Meta description, else the text of the first paragraph; NULL when both are empty."""
-    def meta(pattern: str) -> Column:
-        return F.regexp_extract(clean_html, pattern, 1)
-
-    picks = [meta(META_DESCRIPTION), meta(META_DESCRIPTION_REVERSED),
+    """Meta description, else the text of the first paragraph; NULL when there is neither."""
+    picks = [F.regexp_extract(clean_html, META_DESCRIPTION, 1), F.regexp_extract(clean_html, META_DESCRIPTION_REVERSED, 1),
              strip_tags(F.regexp_extract(article, FIRST_PARAGRAPH, 1))]
-    return F.coalesce(*[F.nullif(trim_blank(decode_entities(p)), F.lit("")) for p in picks])
+    found = F.coalesce(*[F.nullif(trim_blank(p), F.lit("")) for p in picks])
+    return F.nullif(trim_blank(decode_entities(found)), F.lit(""))
 
 
 def article_sitename(clean_html: Column) -> Column:

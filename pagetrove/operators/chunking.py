@@ -8,21 +8,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetrove.functions.bind import bind
 from pagetrove.functions.text import sentence_count, trim_blank, utf16_length
 
 _TEXTS = "array<string>"
 
 
 def clean_paragraph(paragraph: Column, normalize: str = "first") -> Column:
-    """Trim; turn the first tab and then the first double space into one space; trim.
+    """Trim, then turn the first tab and the first double space into one space.
 
+    Both lie inside the trimmed text, so nothing is left to trim afterwards.
     ``normalize="all"`` squeezes every run of blanks instead.
     """
-    p = trim_blank(paragraph)
     if normalize == "all":
-        return F.regexp_replace(p, r"[\t ]+", " ")
-    p = F.regexp_replace(p, r"(?s)^(.*?)\t", "$1 ")
-    return trim_blank(F.regexp_replace(p, r"(?s)^(.*?)  ", "$1 "))
+        return F.regexp_replace(trim_blank(paragraph), r"[\t ]+", " ")
+
+    def first_to_space(text: Column, mark: str) -> Column:
+        replace = lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, f"(?s)^(.*?){mark}", "$1 ")).otherwise(t)
+        return bind(text, replace)
+
+    return first_to_space(first_to_space(trim_blank(paragraph), "\t"), "  ")
 
 
 def paragraphs(text: Column, separator: str = "\n\n", normalize: str = "first") -> Column:

@@ -7,8 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pagetrove.schemas import PAGES
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out a scan that has fewer partitions than there are task slots.
+
+    For heavy per-row work on a small or badly split input; a large table has far more
+    partitions than slots and is passed through without a shuffle. ``scan`` must be a plain
+    scan, whose partitions are known without running anything.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return spark.read.schema(PAGES).format(format).load(path)
+    return spread(spark.read.schema(PAGES).format(format).load(path))
 
 
 def stream_pages(

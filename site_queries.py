@@ -22,7 +22,7 @@ from pagetrove.plans.reset import left_over, reset
 from pagetrove.plans.search import search
 from pagetrove.plans.serve import filter_domain, number_pages, serve_page, with_site_links
 from pagetrove.session import scratch_path, write_scratch
-from pagetrove.sources.pages import stream_pages
+from pagetrove.sources.pages import read_pages, spread, stream_pages
 from pagetrove.streaming import stream_frontier, stream_ingest
 
 CONFIG = IngestConfig()
@@ -33,21 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
+
+
+def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # -- text ----------------------------------------------------------------------------------
 
 def page_titles_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_articles(table(spark, sf, "pages")).select(
+    return extract_articles(pages_of(spark, sf)).select(
         "page_id", "title", "host", has_query_or_fragment(F.col("url")).alias("has_tail")
     )
 
 
 def article_text(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_articles(table(spark, sf, "pages")).select("page_id", "summary", "sitename", "text")
+    rows = extract_articles(pages_of(spark, sf)).select("page_id", "summary", "sitename", "text")
+    return rows.fillna("", ["summary", "sitename"])
 
 
 def _document_paragraphs(spark: SparkSession, sf: str):
     """Documents mark paragraphs with single line breaks."""
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", paragraphs(F.col("text"), "\n").alias("paras"))
+    return documents_of(spark, sf).select("doc_id", "source", "lang", paragraphs(F.col("text"), "\n").alias("paras"))
 
 
 def _rows(df: DataFrame, key: str, items, name: str) -> DataFrame:
@@ -80,7 +89,7 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", hashed_embedder(CONFIG.dims)(F.col("text")).alias("v"))
+    docs = documents_of(spark, sf).select("doc_id", hashed_embedder(CONFIG.dims)(F.col("text")).alias("v"))
     cells = docs.select("doc_id", F.posexplode("v").alias("dim", "w")).filter("w <> 0")
     return cells.select("doc_id", "dim", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
@@ -90,7 +99,7 @@ def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
 def dedup_url(spark: SparkSession, sf: str) -> DataFrame:
     """Addresses are unique in the table, so they are compared by site and path."""
     url = F.col("url")
-    keys = table(spark, sf, "pages").select("page_id", F.concat(site_key(hostname(url)), url_path(url)).alias("address"))
+    keys = pages_of(spark, sf).select("page_id", F.concat(site_key(hostname(url)), url_path(url)).alias("address"))
     return first_per_key(keys, "address", "page_id")
 
 
@@ -109,7 +118,7 @@ def dedup_sequential(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return write_scratch(parse_pages(table(spark, sf, "pages"), CONFIG), "parsed")
+    return write_scratch(parse_pages(pages_of(spark, sf), CONFIG), "parsed")
 
 
 def _fresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +133,7 @@ def new_pages_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_exists(spark: SparkSession, sf: str) -> DataFrame:
-    return exists_in(table(spark, sf, "pages").select("page_id", "url"), _fresh(spark, sf), "url")
+    return exists_in(pages_of(spark, sf).select("page_id", "url"), _fresh(spark, sf), "url")
 
 
 def stored_urls(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,34 +143,34 @@ def stored_urls(spark: SparkSession, sf: str) -> DataFrame:
 # -- links and addresses -------------------------------------------------------------------
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
-    return page_links(table(spark, sf, "pages")).select("page_id", "href", "link")
+    return page_links(pages_of(spark, sf)).select("page_id", "href", "link")
 
 
 def link_deny(spark: SparkSession, sf: str) -> DataFrame:
     link = F.col("link")
-    return page_links(table(spark, sf, "pages")).select(
+    return page_links(pages_of(spark, sf)).select(
         "page_id", "link", is_denied(link).alias("denied"), is_denied(link, case_sensitive=True).alias("denied_case_sensitive")
     )
 
 
 def _frontier(max_pages: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        pages = table(spark, sf, "pages")
+        pages = pages_of(spark, sf)
         return frontier(pages, pages.select("url"), max_pages)
     return run
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl_counts(table(spark, sf, "pages"))
+    return crawl_counts(pages_of(spark, sf))
 
 
 def site_keys(spark: SparkSession, sf: str) -> DataFrame:
     host = hostname(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", host.alias("host"), site_key(host).alias("site"))
+    return pages_of(spark, sf).select("page_id", host.alias("host"), site_key(host).alias("site"))
 
 
 def breadcrumbs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", breadcrumb(F.col("url")).alias("path"))
+    return pages_of(spark, sf).select("page_id", breadcrumb(F.col("url")).alias("path"))
 
 
 # -- vectors -------------------------------------------------------------------------------
@@ -211,7 +220,7 @@ def delete_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf: str) -> Store:
     store = Store(spark, scratch_path(spark, "store")).create()
-    ingest(store, table(spark, sf, "pages"), batch_id=0, config=CONFIG)
+    ingest(store, pages_of(spark, sf), batch_id=0, config=CONFIG)
     return store
 
 
@@ -225,7 +234,7 @@ def ingest_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def store_stats(spark: SparkSession, sf: str) -> DataFrame:
     store = _ingested(spark, sf)
-    return table_stats({name: store.read(name) for name in ("webpages", "chunks", "vectors")})
+    return table_stats({name: store.read(name) for name in ("webpages", "chunks", "vectors")}).fillna(0, ["dims"])
 
 
 def reset_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +265,7 @@ def streamed_frontier(spark: SparkSession, sf: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     """Every page title is a query against all chunks."""
-    pages = table(spark, sf, "pages")
+    pages = pages_of(spark, sf)
     embed = hashed_embedder(CONFIG.dims)
     fresh = _fresh(spark, sf)
     chunks = number_chunks(fresh)
