@@ -6,7 +6,7 @@ sets), so a SQL check can use the same text.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pagetrove.functions.bind import bind
 BLANK_CHARS = "\t\n\v\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 BLANK = r"[\x09-\x0D \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
-ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+ENTITIES = {name: html5[f"{name};"] for name in (*name2codepoint, "apos")}
 
 def _blocks(*tags: str) -> str:
     return "|".join(rf"{tag}\b.*?</{tag}\s*>" for tag in tags)

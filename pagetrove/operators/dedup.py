@@ -45,20 +45,21 @@ def _drop_taken(rows: DataFrame, taken: DataFrame, key: str, hot_size: int) -> D
 
 
 def first_wins_pairs(
-    keys: DataFrame, order: str = "page_id", url: str = "url", content: str = "hash",
+    keys: DataFrame, order: str | tuple[str, ...] = "page_id", url: str = "url", content: str = "hash",
     save: Callable[[DataFrame, str], DataFrame] = write_scratch,
 ) -> DataFrame:
     """The rows that a one-by-one ingest in ``order`` would store, as ``order, url, hash``.
 
     A row is stored when neither its url nor its content was stored before it; a row skipped
-    for its content does not reserve its url. ``order`` must be unique.
+    for its content does not reserve its url. ``order``, one column or several, must be unique.
 
     Each round stores all rows that come first both in their url group and in their content
     group, and removes what they block. A chain of rows that block one another one at a time
     needs more rounds, each smaller than the one before.
     """
-    rest = keys.groupBy(url, content).agg(F.min(order).alias(order))
-    rest = save(rest.select(F.col(order).alias("o"), F.col(url).alias("u"), F.col(content).alias("h")), "rest")
+    place = F.col(order) if isinstance(order, str) else F.struct(*order)
+    rest = keys.groupBy(F.col(url).alias("u"), F.col(content).alias("h")).agg(F.min(place).alias("o"))
+    rest = save(rest.select("o", "u", "h"), "rest")
     left = rest.count()
     kept = []
     while left:
@@ -73,4 +74,5 @@ def first_wins_pairs(
     result = kept[0] if kept else rest
     for part in kept[1:]:
         result = result.unionByName(part)
-    return result.select(F.col("o").alias(order), F.col("u").alias(url), F.col("h").alias(content))
+    places = [F.col("o").alias(order)] if isinstance(order, str) else [F.col("o")[c].alias(c) for c in order]
+    return result.select(*places, F.col("u").alias(url), F.col("h").alias(content))

@@ -32,7 +32,8 @@ def bucket_sums(codes: pa.Array, dims: int) -> np.ndarray:
     values = codes.flatten().to_numpy(zero_copy_only=False)
     cells = np.repeat(np.arange(len(codes)), lengths) * dims + (values // 16) % dims
     signs = np.where(values % 16 < 8, 1.0, -1.0)
-    rows = np.bincount(cells, weights=signs, minlength=len(codes) * dims).reshape(len(codes), dims)
+    rows = np.bincount(cells, weights=signs, minlength=len(codes) * dims)
+    rows = rows.astype(np.float64).reshape(len(codes), dims)
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 

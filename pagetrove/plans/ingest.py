@@ -31,30 +31,32 @@ def extract_articles(pages: DataFrame, config: IngestConfig = IngestConfig()) ->
 
 
 def parse_pages(pages: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """Pages with their chunk list and content hash; no shuffle."""
+    """Pages with their chunk list, content hash and a row number that tells apart copies of
+    one page in a batch; no shuffle."""
     articles = extract_articles(pages, config)
     sitename = F.col("sitename") if config.sitename == "article" else F.col("host")
     parsed = articles.select(
         "page_id", "url", "title", "summary", sitename.alias("sitename"),
         chunk_text(F.col("text"), config).alias("chunks"),
     )
-    return parsed.withColumn("hash", content_hash(F.col("chunks")))
+    return parsed.withColumns({
+        "hash": content_hash(F.col("chunks")), "row_id": F.monotonically_increasing_id(),
+    })
 
 
 def new_pages(parsed: DataFrame, stored: DataFrame | None = None, save=write_scratch) -> DataFrame:
     """The parsed pages to store: with chunks, not stored by url or content, first wins
     within the batch.
 
-    Works on ``page_id, url, hash`` rows; the wide rows are only filtered by the result.
-    ``parsed`` should be a written table: it is read twice, and a filter on the chunk list
-    of an unwritten one would make Spark extract every page twice.
+    Works on narrow key rows; the wide rows are only filtered by the result. ``parsed`` must
+    be a written table, so that its row numbers stand and no page is extracted twice.
     """
     parsed = parsed.filter(F.size("chunks") > 0)
-    keys = parsed.select("page_id", "url", "hash")
+    keys = parsed.select("page_id", "row_id", "url", "hash")
     if stored is not None:
         keys = drop_known(drop_known(keys, stored, "url"), stored, "hash")
-    kept = first_wins_pairs(keys, save=save).select("page_id")
-    return parsed.join(kept, "page_id", "left_semi")
+    kept = first_wins_pairs(keys, ("page_id", "row_id"), save=save).select("row_id")
+    return parsed.join(kept, "row_id", "left_semi")
 
 
 def webpage_rows(pages: DataFrame) -> DataFrame:
