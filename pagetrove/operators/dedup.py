@@ -16,37 +16,51 @@ from pagetrove.session import write_scratch
 
 HOT_KEYS = 1_000
 
+Save = Callable[[DataFrame, str], DataFrame]
+
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """``key, order`` of the first row of each key."""
     return df.groupBy(key).agg(F.min(order).alias(order))
 
 
-def exists_in(df: DataFrame, stored: DataFrame, key: str, flag: str = "known") -> DataFrame:
-    """Annotate each row with whether its key is in ``stored``."""
-    keys = stored.select(key).distinct().withColumn("__hit", F.lit(True))
-    return df.join(keys, key, "left").withColumn(flag, F.coalesce("__hit", F.lit(False))).drop("__hit")
-
+def _flag_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """Add the ``taken`` flag of each row's key from ``groups(key, n, taken)``, which has one
+    row per key and counts its rows.
 
-def drop_known(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows of ``keys`` whose ``key`` is not in ``stored``."""
-    return keys.join(stored.select(key), key, "left_anti")
+    A key with over 1/HOT_KEYS of all rows is hot; there are fewer than HOT_KEYS of those, so
+    they are looked up by broadcast and their rows never meet in one task. The other rows
+    are joined by shuffle.
+    """
+    hot_size = total // HOT_KEYS
+    hot = groups.filter(F.col("n") > hot_size).select(key, F.col("taken").alias("hot_taken"))
+    cold = groups.filter((F.col("n") <= hot_size) & F.col("taken")).select(key, "taken")
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    settled = tagged.filter(F.col("hot_taken").isNotNull()).withColumnRenamed("hot_taken", "taken")
+    others = tagged.filter(F.col("hot_taken").isNull()).drop("hot_taken").join(cold, key, "left")
+    return settled.unionByName(others.withColumn("taken", F.coalesce("taken", F.lit(False))))
 
 
-def _drop_taken(rows: DataFrame, taken: DataFrame, key: str, hot_size: int) -> DataFrame:
-    """Anti join in two steps: keys with large groups by broadcast, the rest by shuffle.
+def exists_in(df: DataFrame, stored: DataFrame, key: str, flag: str = "known", save: Save = write_scratch) -> DataFrame:
+    """Annotate each row with whether its key is in ``stored``.
 
-    A large group has over 1/HOT_KEYS of all rows, so there are fewer than HOT_KEYS of them.
+    The keys are counted first, so each meets the store once however many rows share it.
     """
-    size = f"n_{key}"
-    hot = taken.filter(F.col(size) > hot_size).select(key)
-    cold = taken.filter(F.col(size) <= hot_size).select(key)
-    return rows.join(F.broadcast(hot), key, "left_anti").join(cold, key, "left_anti")
+    keys = stored.select(key).distinct().withColumn("taken", F.lit(True))
+    counted = df.groupBy(key).agg(F.count("*").alias("n")).join(keys, key, "left")
+    groups = save(counted.withColumn("taken", F.coalesce("taken", F.lit(False))), "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    return _flag_groups(df, groups, key, total).withColumnRenamed("taken", flag)
+
+
+def drop_known(keys: DataFrame, stored: DataFrame, key: str, save: Save = write_scratch) -> DataFrame:
+    """Rows of ``keys`` whose ``key`` is not in ``stored``."""
+    return exists_in(keys, stored, key, "known", save).filter(~F.col("known")).drop("known")
 
 
 def first_wins_pairs(
     keys: DataFrame, order: str | tuple[str, ...] = "page_id", url: str = "url", content: str = "hash",
-    save: Callable[[DataFrame, str], DataFrame] = write_scratch,
+    save: Save = write_scratch,
 ) -> DataFrame:
     """The rows that a one-by-one ingest in ``order`` would store, as ``order, url, hash``.
 
@@ -65,10 +79,12 @@ def first_wins_pairs(
     while left:
         by_url = rest.groupBy("u").agg(F.min("o").alias("o"), F.count("*").alias("n_u"))
         by_content = rest.groupBy("h").agg(F.min("o").alias("o"), F.count("*").alias("n_h"))
-        taken = save(by_url.join(by_content, "o"), "taken")
-        kept.append(taken.select("o", "u", "h"))
-        hot_size = left // HOT_KEYS
-        rest = _drop_taken(_drop_taken(rest, taken, "u", hot_size), taken, "h", hot_size)
+        firsts = save(by_url.join(by_content, "o", "full_outer"), "firsts")
+        taken = F.col("u").isNotNull() & F.col("h").isNotNull()
+        kept.append(firsts.filter(taken).select("o", "u", "h"))
+        for key in ("u", "h"):
+            groups = firsts.filter(F.col(key).isNotNull()).select(key, F.col(f"n_{key}").alias("n"), taken.alias("taken"))
+            rest = _flag_groups(rest, groups, key, left).filter(~F.col("taken")).drop("taken")
         rest = save(rest.select("o", "u", "h"), "rest")
         left = rest.count()
     result = kept[0] if kept else rest

@@ -54,7 +54,7 @@ def new_pages(parsed: DataFrame, stored: DataFrame | None = None, save=write_scr
     parsed = parsed.filter(F.size("chunks") > 0)
     keys = parsed.select("page_id", "row_id", "url", "hash")
     if stored is not None:
-        keys = drop_known(drop_known(keys, stored, "url"), stored, "hash")
+        keys = drop_known(drop_known(keys, stored, "url", save), stored, "hash", save)
     kept = first_wins_pairs(keys, ("page_id", "row_id"), save=save).select("row_id")
     return parsed.join(kept, "row_id", "left_semi")
 

@@ -174,3 +174,15 @@ def test_cap(spark):
     assert [r.url for r in cap_frontier(links, 2).collect()] == ["b", "c"]
     assert cap_frontier(links, -1).count() == 3
     assert {r.url for r in cap_frontier(links, 1, per="site").collect()} == {"b", "c"}
+
+
+@pytest.mark.parametrize("hot_keys", [1000, 3])
+def test_known_keys_with_hot_keys(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(dedup, "HOT_KEYS", hot_keys)
+    rows = [(i, "hot" if i % 3 == 0 else "hot2" if i % 3 == 1 else f"u{i}") for i in range(90)]
+    stored = spark.createDataFrame([("hot",), ("hot",), ("u2",), ("u5",), ("other",)], "url string")
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    known = {r[0] for r in stored.collect()}
+    flagged = {r.page_id: r.known for r in dedup.exists_in(df, stored, "url").collect()}
+    assert flagged == {i: u in known for i, u in rows}
+    assert sorted(r.page_id for r in dedup.drop_known(df, stored, "url").collect()) == [i for i, u in rows if u not in known]
