@@ -19,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagetrove.session import write_scratch
+
 MAX_BROADCAST_BYTES = 64 << 20
 VECTORS_PER_SLOT = 50_000
 QUERIES_PER_SLOT = 2_048
@@ -139,6 +141,14 @@ def _scan_topk(vectors: DataFrame, queries: DataFrame, query_rows: pa.Table, k:
     return vectors.select("id", "values").mapInArrow(scan, _result_schema(vectors, queries))
 
 
+def _slot(key: str, slots: str) -> Column:
+    return F.pmod(F.xxhash64(key), slots).cast("int")
+
+
+def _all_slots(slots: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(slots) - 1))
+
+
 def _slot_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """Top-k inside each (bucket, vector slot, query slot).
 
@@ -148,13 +158,11 @@ def _slot_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> D
     keys = ["bucket", "v_slot", "q_slot"]
     v = vectors.select(
         "id", "values", "bucket",
-        F.pmod(F.xxhash64("id"), "v_slots").cast("int").alias("v_slot"),
-        F.explode(F.sequence(F.lit(0), F.col("q_slots") - 1)).alias("q_slot"),
+        _slot("id", "v_slots").alias("v_slot"), _all_slots("q_slots").alias("q_slot"),
     )
     q = queries.select(
         "qid", "qvec", "bucket",
-        F.pmod(F.xxhash64("qid"), "q_slots").cast("int").alias("q_slot"),
-        F.explode(F.sequence(F.lit(0), F.col("v_slots") - 1)).alias("v_slot"),
+        _slot("qid", "q_slots").alias("q_slot"), _all_slots("v_slots").alias("v_slot"),
     )
 
     def pair(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
@@ -235,19 +243,25 @@ class LshIndex:
         q = self.index(queries.select("qid", "qvec"), "qvec").withColumn("bucket", F.explode("buckets"))
         v = indexed.select("id", "values", F.explode("buckets").alias("bucket"))
 
-        # Slot counts of the large buckets only: at most rows / slot size of them per side.
-        v_large = v.groupBy("bucket").count().filter(F.col("count") > vectors_per_slot)
-        q_large = q.groupBy("bucket").count().filter(F.col("count") > queries_per_slot)
-        slots = v_large.select("bucket", F.ceil(F.col("count") / vectors_per_slot).cast("int").alias("v_slots")).join(
-            q_large.select("bucket", F.ceil(F.col("count") / queries_per_slot).cast("int").alias("q_slots")),
-            "bucket", "full_outer",
+        # Slot counts of the large buckets, at most rows / slot size of them per side. They are
+        # written so that the optimizer knows their size when it decides on a broadcast.
+        def large(df: DataFrame, per_slot: int, name: str) -> DataFrame:
+            counts = df.groupBy("bucket").count().filter(F.col("count") > per_slot)
+            return counts.select("bucket", F.ceil(F.col("count") / per_slot).cast("int").alias(name))
+
+        slots = write_scratch(
+            large(v, vectors_per_slot, "v_slots").join(large(q, queries_per_slot, "q_slots"), "bucket", "full_outer"),
+            "slots",
         )
 
         def with_slots(df: DataFrame) -> DataFrame:
-            return df.join(F.broadcast(slots), "bucket", "left").withColumns({
+            return df.join(slots, "bucket", "left").withColumns({
                 "v_slots": F.coalesce("v_slots", F.lit(1)), "q_slots": F.coalesce("q_slots", F.lit(1)),
             })
 
-        hit = v.join(q.select("bucket").distinct(), "bucket", "left_semi")
-        found = _slot_topk(with_slots(hit), with_slots(q), k, metric)
+        q = with_slots(q)
+        v = with_slots(v).withColumn("v_slot", _slot("id", "v_slots"))
+        reached = q.select("bucket", "v_slots").distinct().select("bucket", _all_slots("v_slots").alias("v_slot"))
+        hit = v.join(reached, ["bucket", "v_slot"], "left_semi").drop("v_slot")
+        found = _slot_topk(hit, q, k, metric)
         return _rank(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k, metric)
