@@ -359,5 +359,5 @@ def statements() -> dict[str, str]:
     out["upsert_vectors"] = """SELECT vec_id::VARCHAR AS id, dim, round(CASE WHEN label < 5 THEN 2 * x ELSE x END::DOUBLE, 6) AS value
         FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)"""
     out["delete_vectors"] = "SELECT vec_id::VARCHAR AS id FROM embeddings WHERE label >= 5"
-    out["orphan_chunks"] = "SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS url WHERE false"
+    out["orphan_chunks"] = with_ctes(store_ctes(), "SELECT id, url FROM chunk_rows WHERE url NOT IN (SELECT url FROM stored)")
     return out

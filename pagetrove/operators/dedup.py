@@ -82,6 +82,9 @@ def first_wins_pairs(
         firsts = save(by_url.join(by_content, "o", "full_outer"), "firsts")
         taken = F.col("u").isNotNull() & F.col("h").isNotNull()
         kept.append(firsts.filter(taken).select("o", "u", "h"))
+        n_taken, n_urls, n_contents = firsts.agg(F.count_if(taken), F.count("u"), F.count("h")).first()
+        if n_taken in (n_urls, n_contents):  # every url or every content is taken: all other rows are blocked
+            break
         for key in ("u", "h"):
             groups = firsts.filter(F.col(key).isNotNull()).select(key, F.col(f"n_{key}").alias("n"), taken.alias("taken"))
             rest = _flag_groups(rest, groups, key, left).filter(~F.col("taken")).drop("taken")

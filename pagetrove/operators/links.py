@@ -12,6 +12,9 @@ from pagetrove.config import LINK_DENY_LIST
 from pagetrove.functions.bind import bind
 from pagetrove.functions.text import decode_entities, drop_scripts
 from pagetrove.functions.urls import hostname, resolve_link
+from pagetrove.session import write_scratch
+
+MAX_SORTED_LIMIT = 100_000
 
 HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
@@ -44,7 +47,26 @@ def cap_frontier(links: DataFrame, max_pages: int, per: str | None = None) -> Da
     -1 keeps all."""
     if max_pages < 0:
         return links
-    if per is None:
-        return links.orderBy("depth", "url").limit(max_pages)
-    order = Window.partitionBy(per).orderBy("depth", "url")
-    return links.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= max_pages).drop("__n")
+    if per is not None:
+        order = Window.partitionBy(per).orderBy("depth", "url")
+        return links.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= max_pages).drop("__n")
+    if max_pages > MAX_SORTED_LIMIT:
+        return _first_by_range(links, max_pages)
+    return links.orderBy("depth", "url").limit(max_pages)
+
+
+def _first_by_range(links: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` links without gathering them in one task: whole ranges of the sort
+    order while they fit, and the head of the range the cut falls into."""
+    ranged = links.repartitionByRange("depth", "url").withColumn("__part", F.spark_partition_id())
+    ranged = write_scratch(ranged, "ranges")
+    last, room = None, n
+    for part, size in ranged.groupBy("__part").count().orderBy("__part").toLocalIterator():
+        last = part
+        if size > room:
+            break
+        room -= size
+    else:
+        return ranged.drop("__part")
+    head = ranged.filter(F.col("__part") == last).orderBy("depth", "url").limit(room)
+    return ranged.filter(F.col("__part") < last).unionByName(head).drop("__part")

@@ -186,3 +186,14 @@ def test_known_keys_with_hot_keys(spark, monkeypatch, hot_keys):
     flagged = {r.page_id: r.known for r in dedup.exists_in(df, stored, "url").collect()}
     assert flagged == {i: u in known for i, u in rows}
     assert sorted(r.page_id for r in dedup.drop_known(df, stored, "url").collect()) == [i for i, u in rows if u not in known]
+
+
+@pytest.mark.parametrize("n", [1, 137, 499, 500, 600])
+def test_large_cap_by_range(spark, monkeypatch, n):
+    from pagetrove.operators import links as module
+
+    monkeypatch.setattr(module, "MAX_SORTED_LIMIT", 0)
+    rows = [(f"u{i * 7919 % 1000:04d}", i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "url string, depth int").repartition(4)
+    got = sorted((r.depth, r.url) for r in module.cap_frontier(df, n).collect())
+    assert got == sorted((d, u) for u, d in rows)[:n]
