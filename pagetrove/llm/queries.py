@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, secrets, sentencepiece_fst, toxicity
+from pagetrove.session import write_scratch
+
+from . import lm_scoring, mixing, ngram_join, quality_rules, secrets, sentencepiece_fst, toxicity
 from .common import documents, fold, labels
 
 
@@ -32,11 +34,23 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = sentencepiece_fst.compile_model(sentencepiece_fst.default_model())
     return sentencepiece_fst.digest(documents(spark, sf_dir), machine)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = write_scratch(quality_rules.statistics(documents(spark, sf_dir)), "quality-statistics")
+    config = quality_rules.LearnConfig()
+    rules = quality_rules.learn(quality_rules.labelled_sample(stats, labels(spark, sf_dir), config), config)
+    return quality_rules.judge(stats, rules).select(
+        "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.tag(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -48,4 +62,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_mix_sources, op3_secret_scan, op4_ngram_jaccard_join, op6_sentencepiece, op9_toxicity)}
+        op2_mix_sources, op3_secret_scan, op4_ngram_jaccard_join, op5_lm_score, op6_sentencepiece,
+        op7_quality_rules, op9_toxicity)}
