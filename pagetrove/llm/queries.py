@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.session import write_scratch
 
-from . import lm_scoring, mixing, ngram_join, quality_rules, secrets, sentencepiece_fst, toxicity
+from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, secrets, sentencepiece_fst, toxicity
 from .common import documents, fold, labels
 
 
@@ -51,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.tag(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -63,4 +67,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_mix_sources, op3_secret_scan, op4_ngram_jaccard_join, op5_lm_score, op6_sentencepiece,
-        op7_quality_rules, op9_toxicity)}
+        op7_quality_rules, op8_fingerprints, op9_toxicity)}
