@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per Spark context.
+
+    The driver serves the archive to the executors, so it may lie in the driver's own folder.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_pagetrove_shipped", False):
+        here = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='pagetrove-')}/pagetrove", "zip", here.parent, here.name)
+        sc.addPyFile(archive)
+        sc._pagetrove_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share for intermediate tables.
 
