@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.session import write_scratch
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, secrets, sentencepiece_fst, toxicity
+from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, repeats, secrets, sentencepiece_fst, toxicity
 from .common import documents, fold, labels
 
 
@@ -64,7 +64,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(documents(spark, sf_dir))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_mix_sources, op3_secret_scan, op4_ngram_jaccard_join, op5_lm_score, op6_sentencepiece,
-        op7_quality_rules, op8_fingerprints, op9_toxicity)}
+        op7_quality_rules, op8_fingerprints, op9_toxicity, op10_suffix_dedup)}

@@ -4,7 +4,8 @@
 
 Labels are per document, so token labels are derived first: a character n-gram of a word that
 occurs in far more toxic than clean documents (likelihood ratio test) marks the words that
-contain it, in toxic documents only. The field then has two labels, features from each word's
+contain it, in toxic documents only, and a toxic document without such a word has its surest
+words marked. The field then has two labels, features from each word's
 n-grams, and transition weights, and is fitted on windows of tokens by the exact gradient of
 forward and backward sums. A document's score is a logistic function of two sums over its
 tokens' marginals, fitted on whole sampled documents.
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetrove.session import ship_package
+
 from .common import fold, map_batches, slices
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -38,10 +43,11 @@ GRAMS = (3, 4, 5)
 
 @dataclass(frozen=True)
 class FitConfig:
-    toxic_docs: int = 2000     # bound of the sample, taken by a hash of the id
-    clean_docs: int = 4000
-    max_chars: int = 20_000    # longer documents are not in the sample
+    toxic_docs: int = 1000     # bound of the sample, taken by a hash of the id
+    clean_docs: int = 2000
+    max_chars: int = 6_000     # longer documents are not in the sample
     min_ratio: float = 30.0    # likelihood ratio for an n-gram to mark a word
+    weak_ratio: float = 6.0    # the same for the surest words of a document without such
     window: int = 8            # tokens on either side of a marked word
     rounds: int = 60
     step: float = 0.5
@@ -170,7 +176,8 @@ def sample(docs: DataFrame, labels: DataFrame, config: FitConfig) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, config: FitConfig = FitConfig()) -> Field:
     rows = sample(docs, labels, config).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    return fit_rows([tokens_of(t) for t in rows.text], rows.toxic.to_numpy(), config)
+    texts = [list(map(sys.intern, tokens_of(t))) for t in rows.text]
+    return fit_rows(texts, rows.toxic.to_numpy(), config)
 
 
 def fit_rows(texts: list[list[str]], toxic: np.ndarray, config: FitConfig) -> Field:
@@ -180,46 +187,50 @@ def fit_rows(texts: list[list[str]], toxic: np.ndarray, config: FitConfig) -> Fi
     model.score[0] = math.log((n1 + 0.5) / (n0 + 0.5))
     if not n1 or not n0:
         return model
-    marked = marking_grams(texts, toxic, n1, n0, config.min_ratio)
-    words, gold, starts = windows(texts, toxic, marked, config)
+    ratios = gram_ratios(texts, toxic, n1, n0)
+    words, gold, starts = windows(texts, toxic, ratios, config)
     if gold.any():
         train(model, words, gold, starts, config)
     calibrate(model, texts, toxic)
     return model
 
 
-def marking_grams(texts, toxic, n1, n0, min_ratio) -> set[str]:
+def gram_ratios(texts, toxic, n1, n0) -> dict[str, float]:
+    """Likelihood ratios of the n-grams that are far more common in toxic documents."""
     seen = (Counter(), Counter())
-    cache: dict[str, set[str]] = {}
     for words, t in zip(texts, toxic):
-        found: set[str] = set()
-        for w in set(words):
-            found |= cache.get(w) or cache.setdefault(w, grams_of(w))
-        seen[int(t)].update(found)
-    out = set()
+        if t:
+            seen[1].update(set().union(*map(grams_of, set(words))))
+    for words, t in zip(texts, toxic):
+        if not t:  # n-grams of clean documents alone don't matter
+            seen[0].update(set().union(*map(grams_of, set(words))) & seen[1].keys())
+    out = {}
     for g, a in seen[1].items():
         b = seen[0][g]
-        if a / n1 > 5 * b / n0:
+        if a > 1 and a / n1 > 5 * b / n0:
             rate = (a + b) / (n1 + n0)
-            ratio = 2 * (a * math.log(a / n1 / rate) + (b * math.log(b / n0 / rate) if b else 0)
-                         + sum((n - k) * math.log((n - k) / n / (1 - rate)) if n > k else 0 for k, n in ((a, n1), (b, n0))))
-            if ratio > min_ratio:
-                out.add(g)
+            out[g] = 2 * (a * math.log(a / n1 / rate) + (b * math.log(b / n0 / rate) if b else 0)
+                          + sum((n - k) * math.log((n - k) / n / (1 - rate)) if n > k else 0 for k, n in ((a, n1), (b, n0))))
     return out
 
 
-def windows(texts, toxic, marked, config):
+def marked_words(words: list[str], ratios: dict[str, float], config: FitConfig) -> set[str]:
+    """The words that make a toxic document toxic: those with a sure n-gram, or else its surest."""
+    best = {w: max([ratios.get(g, 0.0) for g in grams_of(w)]) for w in set(words)}
+    top = max(best.values())
+    limit = config.min_ratio if top >= config.min_ratio else max(top, config.weak_ratio)
+    return {w for w, r in best.items() if r >= limit}
+
+
+def windows(texts, toxic, ratios, config):
     """Token windows with labels: around marked words of toxic texts, and one of each clean text."""
     words, gold, starts = [], [], []
     for i, (ws, t) in enumerate(zip(texts, toxic)):
         if not ws:
             continue
         if t:
-            cache: dict[str, bool] = {}
-            for w in ws:
-                if w not in cache:
-                    cache[w] = not marked.isdisjoint(grams_of(w))
-            hits = [k for k, w in enumerate(ws) if cache[w]]
+            marks = marked_words(ws, ratios, config)
+            hits = [k for k, w in enumerate(ws) if w in marks]
             spans: list[list[int]] = []
             for k in hits:
                 lo, hi = max(0, k - config.window), min(len(ws), k + config.window + 1)
@@ -229,10 +240,10 @@ def windows(texts, toxic, marked, config):
                     spans.append([lo, hi])
         else:
             at = (i * 7919) % len(ws)
-            spans, cache = [[at, min(len(ws), at + 4 * config.window)]], {}
+            spans, marks = [[at, min(len(ws), at + 4 * config.window)]], set()
         for lo, hi in spans:
             words += ws[lo:hi]
-            gold += [cache.get(w, False) for w in ws[lo:hi]]
+            gold += [w in marks for w in ws[lo:hi]]
             starts += [True] + [False] * (hi - lo - 1)
     return words, np.array(gold, bool), np.array(starts, bool)
 
@@ -240,12 +251,12 @@ def windows(texts, toxic, marked, config):
 def train(model: Field, words, gold, starts, config) -> None:
     """Full gradient steps with AdaGrad; the gradient is observed minus expected counts."""
     column: dict[str, int] = {}
-    rows, cols = [], []
+    rows, cols = array("i"), array("i")
     for i, w in enumerate(words):
         for g in sorted(grams_of(w)):
             rows.append(i)
             cols.append(column.setdefault(g, len(column)))
-    rows, cols = np.array(rows), np.array(cols)
+    rows, cols = np.frombuffer(rows, np.int32), np.frombuffer(cols, np.int32)
     n, k = len(words), len(column)
     theta, past = np.zeros(k + 1), np.full(k + 1, 1e-6)
     steps_past, first_past = np.full((2, 2), 1e-6), np.full(2, 1e-6)
@@ -272,7 +283,7 @@ def train(model: Field, words, gold, starts, config) -> None:
 
 
 def calibrate(model: Field, texts, toxic) -> None:
-    emission, sizes = [], []
+    emission, sizes = array("d"), []
     cache: dict[str, float] = {}
     for ws in texts:
         sizes.append(len(ws))
@@ -362,6 +373,7 @@ def tag(docs: DataFrame, model: Field, spans: bool = True) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Field, limit: float = 0.5) -> DataFrame:
     """The documents with a score below ``limit``, with all their columns."""
+    ship_package(docs.sparkSession)
     tagger = Tagger(model, False)
 
     def run(batches):
