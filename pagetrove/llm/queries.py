@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from pagetrove.session import write_scratch
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, repeats, secrets, sentencepiece_fst, toxicity
+from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, repeats, secrets, sentencepiece_fst, surrogates, toxicity
 from .common import documents, fold, labels
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = surrogates.replace(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def n(kind):
+        return F.size(F.filter("surrogates", lambda s: s["kind"] == kind)).cast("long")
+
+    return changed.select("doc_id", *[n(k).alias(f"n_{k}") for k in surrogates.KINDS], "surrogates", "text")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -70,5 +79,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_mix_sources, op3_secret_scan, op4_ngram_jaccard_join, op5_lm_score, op6_sentencepiece,
+        op1_pii_surrogates, op2_mix_sources, op3_secret_scan, op4_ngram_jaccard_join, op5_lm_score, op6_sentencepiece,
         op7_quality_rules, op8_fingerprints, op9_toxicity, op10_suffix_dedup)}
