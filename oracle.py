@@ -183,11 +183,11 @@ def search_ctes() -> dict[str, str]:
     } | embed_ctes("chunk_rows", "pid", "chunk", "c") | embed_ctes("queries", "qid", "q", "q") | {
         "c_norm": norms("c", "pid"), "q_norm": norms("q", "qid"),
         "dots": "SELECT qid, pid, sum(q_w.w * c_w.w) AS dot FROM q_w JOIN c_w USING (dim) GROUP BY 1, 2",
-        "scores": """SELECT qid, pid, round(coalesce(dot / (norm_q * norm_c), 0), 6) + 0 AS score
+        "scores": """SELECT qid, pid, round(coalesce(dot / (norm_q * norm_c), 0), 12) + 0 AS score
                      FROM (SELECT queries.qid, chunk_rows.pid, q_norm.norm AS norm_q, c_norm.norm AS norm_c
                            FROM queries CROSS JOIN chunk_rows LEFT JOIN q_norm USING (qid) LEFT JOIN c_norm USING (pid))
                      LEFT JOIN dots USING (qid, pid)""",
-        "matches": f"SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) <= {K}",
+        "matches": f"SELECT * REPLACE (round(score, 6) + 0 AS score) FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) <= {K}",
         "results": """SELECT qid, q, pid, url, title, chunk, summary, score FROM matches JOIN chunk_rows USING (pid)
                       JOIN stored USING (url) JOIN queries USING (qid)""".replace("stored USING", "(SELECT url, title, summary FROM stored) s USING"),
         "best": """SELECT * FROM results
@@ -326,9 +326,9 @@ def statements() -> dict[str, str]:
     norms = "sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))"
     dist = "sqrt(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
     for name, expr, order in (("vector_topk", f"{dot} / ({norms})", "DESC"), ("vector_topk_dot", dot, "DESC"), ("vector_topk_euclidean", dist, "ASC")):
-        out[name] = f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({expr}, 6) + 0 AS score
+        out[name] = f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({expr}, 12) + 0 AS score
             FROM embeddings q CROSS JOIN embeddings v)
-            SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {order}, id) AS rank FROM s) WHERE rank <= 10"""
+            SELECT qid, id, round(score, 6) + 0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {order}, id) AS rank FROM s) WHERE rank <= 10"""
     out["hashed_embedding"] = with_ctes(embed_ctes("documents", "doc_id", "text", "d"), "SELECT doc_id, dim, round(w, 6) AS weight FROM d_w")
     out["ingest_webpages"] = with_ctes(store_ctes(), "SELECT hash, title, url, summary, host AS sitename FROM stored")
     out["ingest_chunks"] = with_ctes(store_ctes(), "SELECT id, pid, url, chunk FROM chunk_rows")
@@ -359,5 +359,24 @@ def statements() -> dict[str, str]:
     out["upsert_vectors"] = """SELECT vec_id::VARCHAR AS id, dim, round(CASE WHEN label < 5 THEN 2 * x ELSE x END::DOUBLE, 6) AS value
         FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)"""
     out["delete_vectors"] = "SELECT vec_id::VARCHAR AS id FROM embeddings WHERE label >= 5"
-    out["orphan_chunks"] = with_ctes(store_ctes(), "SELECT id, url FROM chunk_rows WHERE url NOT IN (SELECT url FROM stored)")
+    out["orphan_chunks"] = with_ctes(store_ctes(), """SELECT id, url FROM chunk_rows
+        WHERE url NOT IN (SELECT url FROM stored WHERE starts_with(url, 'https://'))""")
+    out["seed_urls"] = "SELECT 'text' AS source, url FROM pages UNION ALL SELECT 'sitemap', url FROM pages"
+    out["crawl_step"] = with_ctes(links_ctes() | {
+        "first": "SELECT url FROM pages ORDER BY page_id LIMIT 1",
+        "visited": f"SELECT {normalized('url')} AS url FROM (SELECT url FROM pages WHERE starts_with(url, 'http://') UNION ALL SELECT url FROM first)",
+        "targets": f"SELECT DISTINCT link AS url FROM links WHERE starts_with(url, 'http://') AND NOT {denied('lower(link)')}",
+    }, """SELECT 'many' AS seeds, url, 0 AS depth FROM pages WHERE NOT starts_with(url, 'http://')
+        UNION ALL SELECT 'one', url, 0 FROM first WHERE NOT starts_with(url, 'http://')
+        UNION ALL SELECT 'one', url, 1 FROM targets WHERE url NOT IN (SELECT url FROM visited)""")
+    out["ingest_rejects"] = with_ctes(pages_parsed, """SELECT 'no address' AS reason, count(*) + count(*) FILTER (page_id % 2 = 0) AS n FROM pages
+        UNION ALL SELECT 'no html', count(*) FROM pages
+        UNION ALL SELECT 'no text', count(*) FILTER (page_id % 3 = 0) + count(*) - (SELECT count(*) FROM parsed) FROM pages""")
+    out["served_page_contains"] = with_ctes(rank_ctes() | {
+        "members": "SELECT qid, url, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM sited WHERE in_first",
+        "further": "SELECT qid, string_agg(url, ' ' ORDER BY n) AS urls FROM members WHERE n BETWEEN 2 AND 4 GROUP BY qid",
+        "sized": "SELECT *, count(*) OVER (PARTITION BY qid) AS total FROM placed",
+    }, f"""SELECT qid, position, 1 AS page, CAST(ceil(total / 30) AS INT) AS total_pages, first_result, url, title, {marked} AS summary,
+        path, CASE WHEN first_result THEN coalesce(urls, '') ELSE '' END AS site_links
+        FROM sized LEFT JOIN further USING (qid) WHERE position <= 30""")
     return out

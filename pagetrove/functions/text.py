@@ -6,7 +6,7 @@ sets), so a SQL check can use the same text.
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,9 @@ from pagetrove.functions.bind import bind
 BLANK_CHARS = "\t\n\v\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 BLANK = r"[\x09-\x0D \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
-ENTITIES = {name: html5[f"{name};"] for name in (*name2codepoint, "apos")}
+ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+# What browsers show for the references 128 to 159; five of them have no character there.
+LOW_REFERENCES = bytes(range(128, 160)).decode("cp1252", "replace")
 
 def _blocks(*tags: str) -> str:
     return "|".join(rf"{tag}\b.*?</{tag}\s*>" for tag in tags)
@@ -48,27 +50,29 @@ def utf16_length(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode named and numeric character references once, left to right."""
-    names = F.str_to_map(F.lit(" ".join(f"{k}={v}" for k, v in ENTITIES.items())), F.lit(" "), F.lit("="))
+    pairs = "\x01".join(f"{k}\x02{v}" for k, v in ENTITIES.items())
+    names = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
 
     def code_point(digits: Column, base: int) -> Column:
         def to_char(code: Column) -> Column:
             valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-            return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+            low = F.substring(F.lit(LOW_REFERENCES), (code - 127).cast("int"), F.lit(1))
+            return F.when(code.between(128, 159) & (low != "\ufffd"), low).when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
         return bind(F.conv(digits, base, 10).cast("bigint"), to_char)
 
     def decode_named(piece: Column, name: Column) -> Column:
         char = (
             F.when(name == "", None)
-            .when(name.rlike(r"^#[xX][0-9A-Fa-f]{1,6}$"), code_point(F.substring(name, 3, 31), 16))
-            .when(name.rlike(r"^#[0-9]{1,7}$"), code_point(F.substring(name, 2, 31), 10))
+            .when(name.rlike(r"^#[xX]0*[0-9A-Fa-f]{1,6}$"), code_point(F.substring(name, 3, 1 << 30), 16))
+            .when(name.rlike(r"^#0*[0-9]{1,7}$"), code_point(F.substring(name, 2, 1 << 30), 10))
             .otherwise(F.element_at(names, name))
         )
         rest = F.substring(piece, F.length(name) + 2, 1 << 30)
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
 
     def decode_piece(piece: Column) -> Column:
-        return bind(F.regexp_extract(piece, r"^(#?[A-Za-z0-9]{1,31});", 1), lambda name: decode_named(piece, name))
+        return bind(F.regexp_extract(piece, r"^(#?[A-Za-z0-9]+);", 1), lambda name: decode_named(piece, name))
 
     def decode(pieces: Column) -> Column:
         decoded = F.array_join(F.transform(F.slice(pieces, 2, 1 << 30), decode_piece), "")

@@ -32,7 +32,7 @@ def _flag_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Da
     they are looked up by broadcast and their rows never meet in one task. The other rows
     are joined by shuffle.
     """
-    hot_size = total // HOT_KEYS
+    hot_size = max(total // HOT_KEYS, 1)
     hot = groups.filter(F.col("n") > hot_size).select(key, F.col("taken").alias("hot_taken"))
     cold = groups.filter((F.col("n") <= hot_size) & F.col("taken")).select(key, "taken")
     tagged = rows.join(F.broadcast(hot), key, "left")
@@ -44,11 +44,13 @@ def _flag_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Da
 def exists_in(df: DataFrame, stored: DataFrame, key: str, flag: str = "known", save: Save = write_scratch) -> DataFrame:
     """Annotate each row with whether its key is in ``stored``.
 
-    The keys are counted first, so each meets the store once however many rows share it.
+    The keys are counted first, so each meets the store once however many rows share it, and
+    the store is reduced to those keys before anything else: while their file is small, Spark
+    sends them to the scan of the store, which is then neither shuffled nor sorted.
     """
-    keys = stored.select(key).distinct().withColumn("taken", F.lit(True))
-    counted = df.groupBy(key).agg(F.count("*").alias("n")).join(keys, key, "left")
-    groups = save(counted.withColumn("taken", F.coalesce("taken", F.lit(False))), "groups")
+    counted = save(df.groupBy(key).agg(F.count("*").alias("n")), "keys")
+    hits = stored.select(key).join(counted.select(key), key, "left_semi").distinct().withColumn("taken", F.lit(True))
+    groups = save(counted.join(hits, key, "left").withColumn("taken", F.coalesce("taken", F.lit(False))), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     return _flag_groups(df, groups, key, total).withColumnRenamed("taken", flag)
 
@@ -66,12 +68,14 @@ def first_wins_pairs(
 
     A row is stored when neither its url nor its content was stored before it; a row skipped
     for its content does not reserve its url. ``order``, one column or several, must be unique.
+    Rows without a url or content are never stored and block nothing.
 
     Each round stores all rows that come first both in their url group and in their content
     group, and removes what they block. A chain of rows that block one another one at a time
     needs more rounds, each smaller than the one before.
     """
     place = F.col(order) if isinstance(order, str) else F.struct(*order)
+    keys = keys.filter(F.col(url).isNotNull() & F.col(content).isNotNull())
     rest = keys.groupBy(F.col(url).alias("u"), F.col(content).alias("h")).agg(F.min(place).alias("o"))
     rest = save(rest.select("o", "u", "h"), "rest")
     left = rest.count()
@@ -89,7 +93,9 @@ def first_wins_pairs(
             groups = firsts.filter(F.col(key).isNotNull()).select(key, F.col(f"n_{key}").alias("n"), taken.alias("taken"))
             rest = _flag_groups(rest, groups, key, left).filter(~F.col("taken")).drop("taken")
         rest = save(rest.select("o", "u", "h"), "rest")
-        left = rest.count()
+        before, left = left, rest.count()
+        if left >= before:
+            raise RuntimeError("a round of deduplication removed no row; is the order unique?")
     result = kept[0] if kept else rest
     for part in kept[1:]:
         result = result.unionByName(part)

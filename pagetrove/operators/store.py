@@ -1,22 +1,31 @@
 """The stored tables: webpages, chunks, vectors and links as versioned Parquet folders.
 
-Layout: ``<root>/<table>/v=<n>/batch_id=<id>/*.parquet``. Appends add a batch folder to the
-current version; running a batch again replaces its own folder, so a replay changes nothing.
-Rewrites (upsert, delete, truncate) write version n+1 and become visible when Spark has
-put the success marker there; the version being read is never written to.
+Layout: ``<root>/<table>/v=<n>/writer=<name>/batch_id=<id>/*.parquet``. A batch belongs to its
+writer: batch numbers of different streams and batch jobs don't meet. Appends add a batch
+folder to the current version; running a batch again replaces its own folder, so a replay
+changes nothing. Everything is written aside first and put in place by a rename, so a reader
+never sees half a batch. Rewrites (upsert, delete, truncate) make version n+1 of what version n
+holds; one that finds batches added to n meanwhile starts again, and an append that finds a new
+version moves its batch there.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetrove.schemas import STORE_TABLES
 
 
+BATCH_FIELDS = [T.StructField("writer", T.StringType()), T.StructField("batch_id", T.LongType())]
+WRITER = re.compile(r"[A-Za-z0-9_-]+")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -40,6 +49,21 @@ class Store:
     def _folder(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/v={version}"
 
+    def _staging(self) -> str:
+        return f"{self.root}/_staging/{uuid.uuid4().hex}"
+
+    def _move(self, source: str, target: str) -> bool:
+        """Rename a folder unless the target is there already."""
+        fs, Path = self._fs()
+        fs.mkdirs(Path(target).getParent())
+        return not fs.exists(Path(target)) and fs.rename(Path(source), Path(target))
+
+    def _batches(self, table: str, version: int) -> set[tuple[str, int]]:
+        """The batch folders of a version, with their time of change."""
+        fs, Path = self._fs()
+        found = fs.globStatus(Path(f"{self._folder(table, version)}/writer=*/batch_id=*"))
+        return {(status.getPath().toString(), status.getModificationTime()) for status in found or []}
+
     def _current(self, table: str) -> int:
         versions = self._versions(table)
         if not versions:
@@ -57,38 +81,67 @@ class Store:
 
     def read(self, table: str, with_batch: bool = False) -> DataFrame:
         schema = STORE_TABLES[table]
-        stored = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
+        stored = T.StructType(schema.fields + BATCH_FIELDS)
         rows = self.spark.read.schema(stored).parquet(self._folder(table, self._current(table)))
-        return rows if with_batch else rows.drop("batch_id")
-
-    def append(self, table: str, rows: DataFrame, batch_id: int) -> None:
-        """Write one batch; the same ``batch_id`` again replaces what it wrote before."""
-        columns = STORE_TABLES[table].fieldNames()
-        rows.select(*columns).write.mode("overwrite").parquet(
-            f"{self._folder(table, self._current(table))}/batch_id={batch_id}"
-        )
-
-    def _rewrite(self, table: str, rows: DataFrame) -> None:
-        """Write the next version of a table from rows that carry ``batch_id``."""
-        versions = self._versions(table)
-        target = self._folder(table, versions[-1] + 1 if versions else 1)
-        rows.write.mode("overwrite").partitionBy("batch_id").parquet(target)
-
-    def upsert_vectors(self, updates: DataFrame, batch_id: int, order: str | None = None) -> None:
+        return rows if with_batch else rows.drop("writer", "batch_id")
+
+    def read_others(self, table: str, batch_id: int, writer: str) -> DataFrame:
+        """All rows but those of one batch of one writer."""
+        own = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
+        return self.read(table, with_batch=True).filter(~own).drop("writer", "batch_id")
+
+    def append(self, table: str, rows: DataFrame, batch_id: int, writer: str = "batch") -> None:
+        """Write one batch; the same writer and ``batch_id`` again replace what they wrote before."""
+        if not WRITER.fullmatch(writer):
+            raise ValueError(f"a writer's name has letters, digits, '-' and '_' only: {writer!r}")
+        staged = self._staging()
+        rows.select(*STORE_TABLES[table].fieldNames()).write.parquet(staged)
+        fs, Path = self._fs()
+        while True:
+            version = self._current(table)
+            target = f"{self._folder(table, version)}/writer={writer}/batch_id={batch_id}"
+            fs.delete(Path(target), True)
+            if not self._move(staged, target):
+                raise RuntimeError(f"{target} was written by another job")
+            later = self._current(table)
+            moved = f"{self._folder(table, later)}/writer={writer}/batch_id={batch_id}"
+            if later == version or fs.exists(Path(moved)):
+                return
+            staged = target  # the table was rewritten without this batch meanwhile
+
+    def _rewrite(self, table: str, change) -> None:
+        """Publish ``change(rows)`` of the current version, rows with writer and batch, as the next one."""
+        while True:
+            version = self._current(table)
+            before = self._batches(table, version)
+            staged = self._staging()
+            change(self.read(table, with_batch=True)).write.partitionBy("writer", "batch_id").parquet(staged)
+            if self._current(table) == version and self._batches(table, version) == before:
+                if self._move(staged, self._folder(table, version + 1)):
+                    return
+            fs, Path = self._fs()
+            fs.delete(Path(staged), True)
+
+    def upsert_vectors(
+        self, updates: DataFrame, batch_id: int, order: str | None = None, writer: str = "batch",
+    ) -> None:
         """Insert vectors, replacing those with the same id; among updates with one id the
-        one with the largest ``order`` wins."""
+        one with the largest ``order`` wins, without an order the one with the largest values."""
         latest = last_per_id(updates, order)
-        old = self.read("vectors", with_batch=True).join(latest.select("id"), "id", "left_anti")
-        new = latest.select("id", "values", F.lit(batch_id).cast("long").alias("batch_id"))
-        self._rewrite("vectors", old.unionByName(new))
+        new = latest.select("id", "values", F.lit(writer).alias("writer"), F.lit(batch_id).cast("long").alias("batch_id"))
+        self._rewrite("vectors", lambda old: old.join(latest.select("id"), "id", "left_anti").unionByName(new))
 
     def delete_vectors(self, ids: DataFrame) -> None:
-        self._rewrite("vectors", self.read("vectors", with_batch=True).join(ids.select("id"), "id", "left_anti"))
+        self._rewrite("vectors", lambda old: old.join(ids.select("id"), "id", "left_anti"))
 
     def truncate(self, table: str) -> None:
-        versions = self._versions(table)
-        empty = self.spark.createDataFrame([], STORE_TABLES[table])
-        empty.write.mode("overwrite").parquet(self._folder(table, versions[-1] + 1 if versions else 1))
+        """Publish an empty version, whatever is added to the current one meanwhile."""
+        staged = self._staging()
+        self.spark.createDataFrame([], STORE_TABLES[table]).write.parquet(staged)
+        while True:
+            versions = self._versions(table)
+            if self._move(staged, self._folder(table, versions[-1] + 1 if versions else 1)):
+                return
 
     def drop_old_versions(self) -> None:
         """Delete all but the current version of each table."""
@@ -111,12 +164,9 @@ class Store:
 
 
 def last_per_id(updates: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per id, the last by ``order``. Without an order the ids must be unique."""
-    if order is None:
-        return updates.select("id", "values")
-    last = Window.partitionBy("id").orderBy(F.desc(order))
-    ranked = updates.withColumn("__n", F.row_number().over(last)).filter(F.col("__n") == 1)
-    return ranked.select("id", "values")
+    """One row per id, the last by ``order``, or else the one with the largest values."""
+    last = F.struct(*([order] if order else []), "values")
+    return updates.groupBy("id").agg(F.max(last)["values"].alias("values"))
 
 
 def table_stats(tables: dict[str, DataFrame], vector_column: str = "values") -> DataFrame:

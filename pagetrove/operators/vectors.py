@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetrove.session import write_scratch
+from pagetrove.session import ship_package, write_scratch
 
 MAX_BROADCAST_BYTES = 64 << 20
 VECTORS_PER_SLOT = 50_000
@@ -35,6 +36,9 @@ _SCAN_ROWS = 20_000
 def _matrix(column: pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = np.unique(pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False))
+    if len(sizes) > 1 or (len(sizes) and sizes[0] < 1):
+        raise ValueError(f"vectors of different or no lengths: {sizes.tolist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
     if metric == "cosine":
@@ -44,12 +48,12 @@ def _matrix(column: pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
 
 
 def _closeness(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is closer; rounded so that equal inputs tie whatever the order of additions."""
+    """Larger is closer; rounded to 12 digits so that equal inputs tie whatever the order of additions."""
     products = queries @ vectors.T
     if metric == "euclidean":
         squares = (queries * queries).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1)[None, :]
         products = -np.sqrt(np.maximum(squares - 2 * products, 0))
-    return np.round(products, 6) + 0.0
+    return np.round(products, 12) + 0.0
 
 
 def _best(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +86,8 @@ class _Shortlist:
     def add(self, block: pa.Table) -> None:
         block = block.sort_by("id")
         vectors = _matrix(block["values"], self.metric)
+        if vectors.shape[1] != self.queries.shape[1]:
+            raise ValueError(f"vectors of different or no lengths: {vectors.shape[1]} and {self.queries.shape[1]}")
         found = [self.rows]
         for start in range(0, len(self.queries), _QUERY_STEP):
             part = slice(start, start + _QUERY_STEP)
@@ -115,10 +121,12 @@ def _result_schema(vectors: DataFrame, queries: DataFrame) -> T.StructType:
 def _rank(matches: DataFrame, k: int, metric: str) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     ranked = matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.withColumn("score", -F.col("score")) if metric == "euclidean" else ranked
+    score = -F.col("score") if metric == "euclidean" else F.col("score")
+    return ranked.withColumn("score", F.round(score, 6) + 0.0)
 
 
 def _scan_topk(vectors: DataFrame, queries: DataFrame, query_rows: pa.Table, k: int, metric: str) -> DataFrame:
+    ship_package(vectors.sparkSession)
     shared = vectors.sparkSession.sparkContext.broadcast(
         (query_rows["qid"].combine_chunks(), _matrix(query_rows["qvec"], metric))
     )
@@ -155,6 +163,7 @@ def _slot_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> D
     Both inputs carry ``bucket``, ``v_slots`` and ``q_slots``; slots hash the unique ids, so
     they are even however alike the vectors are.
     """
+    ship_package(vectors.sparkSession)
     keys = ["bucket", "v_slot", "q_slot"]
     v = vectors.select(
         "id", "values", "bucket",
@@ -201,36 +210,43 @@ def vector_topk(
 
 @dataclass(frozen=True)
 class LshIndex:
-    """Random-projection hash tables over unit vectors.
+    """Hash tables of sign planes: a bucket is the side of each of ``planes`` random planes a vector is on.
 
-    A bucket is shared when all ``projections`` of a table agree; more projections mean
-    fewer candidates, more tables better recall. ``index`` adds the bucket list once; store
-    its result and pass it to ``topk``.
+    Two unrelated vectors share a bucket of one table with probability 2^-planes, whatever the
+    dimension. A query also looks into the buckets across its ``probes`` nearest planes, one at
+    a time. More planes mean fewer candidates, more tables and probes better recall. ``index``
+    adds the bucket list once; store its result and pass it to ``topk``.
     """
 
     dims: int
     tables: int = 12
-    projections: int = 2
-    bucket_length: float = 0.5
+    planes: int = 1
+    probes: int = 2
     seed: int = 42
 
-    def index(self, df: DataFrame, values: str = "values") -> DataFrame:
-        """Add ``buckets``: one number per hash table."""
-        dims, tables, width, length = self.dims, self.tables, self.projections, self.bucket_length
-        lines = np.random.default_rng(self.seed).standard_normal((dims, tables * width))
-        lines /= np.linalg.norm(lines, axis=0)
-        edge = math.ceil(1 / length)
+    @classmethod
+    def sized(cls, dims: int, rows: int, candidates: int = 1_000, tables: int = 12, probes: int = 2) -> "LshIndex":
+        """As many planes as leave about ``candidates`` unrelated vectors per query. A table of no
+        more rows than that gets one plane, and nearly all of it is looked at."""
+        share = tables * (probes + 1) * rows / candidates
+        return cls(dims, tables, max(1, math.ceil(math.log2(share))) if rows > candidates else 1, probes)
+
+    def index(self, df: DataFrame, values: str = "values", probe: bool = False) -> DataFrame:
+        """Add ``buckets``: one number per hash table, with ``probe`` those across the nearest planes too."""
+        dims, tables, planes = self.dims, self.tables, self.planes
+        probes = min(self.probes, planes) if probe else 0
+        normals = np.random.default_rng(self.seed).standard_normal((dims, tables * planes))
 
         @F.arrow_udf(T.ArrayType(T.LongType()))
         def hash_rows(rows: pa.Array) -> pa.Array:
             if len(rows) == 0:
                 return pa.array([], pa.list_(pa.int64()))
-            unit = _matrix(rows, "cosine")
-            steps = np.clip(np.floor(unit @ lines / length), -edge, edge).astype(np.int64) + edge
-            digits = (2 * edge + 1) ** np.arange(width)
-            codes = (steps.reshape(len(rows), tables, width) * digits).sum(axis=2)
-            codes += np.arange(tables) * (2 * edge + 1) ** width
-            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables)
+            sides = (_matrix(rows, "cosine") @ normals).reshape(len(rows), tables, planes)
+            bits = np.int64(1) << np.arange(planes, dtype=np.int64)
+            codes = ((sides > 0) * bits).sum(axis=2) + (np.arange(tables, dtype=np.int64) << planes)
+            near = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]
+            codes = np.concatenate([codes[:, :, None], codes[:, :, None] ^ bits[near]], axis=2).reshape(len(rows), -1)
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * codes.shape[1])
             return pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))
 
         return df.withColumn("buckets", hash_rows(F.col(values)))
@@ -240,7 +256,7 @@ class LshIndex:
         vectors_per_slot: int = VECTORS_PER_SLOT, queries_per_slot: int = QUERIES_PER_SLOT,
     ) -> DataFrame:
         """Top-k among the vectors that share at least one bucket with the query."""
-        q = self.index(queries.select("qid", "qvec"), "qvec").withColumn("bucket", F.explode("buckets"))
+        q = self.index(queries.select("qid", "qvec"), "qvec", probe=True).withColumn("bucket", F.explode("buckets"))
         v = indexed.select("id", "values", F.explode("buckets").alias("bucket"))
 
         # Slot counts of the large buckets, at most rows / slot size of them per side. They are

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.functions.urls import normalize_url
 from pagetrove.operators.links import cap_frontier, is_denied, page_links
+from pagetrove.session import write_scratch
 
 
 def new_links(
@@ -21,8 +22,11 @@ def new_links(
     links = page_links(pages.withColumn("__depth", level), same_host, keep=("__depth",))
     allowed = links.filter(~is_denied(F.col("link"), case_sensitive))
     targets = allowed.groupBy(F.col("link").alias("url")).agg((F.min("__depth") + 1).alias("depth"))
+    targets = write_scratch(targets, "targets")
     visited = known.select("url").unionByName(pages.select("url")).select(normalize_url(F.col("url")).alias("url"))
-    return targets.join(visited, "url", "left_anti")
+    # The known addresses meet the few targets first, by broadcast while their file is small.
+    hits = visited.join(targets.select("url"), "url", "left_semi").distinct()
+    return targets.join(hits, "url", "left_anti")
 
 
 def frontier(

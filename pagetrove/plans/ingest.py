@@ -30,12 +30,27 @@ def extract_articles(pages: DataFrame, config: IngestConfig = IngestConfig()) ->
     )
 
 
+def reject_reason(pages: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
+    """``page_id, reason``: why ingest leaves a page out, null if it doesn't. The reasons are
+    "no address" (null, or none that can be parsed), "no html" and "no text"."""
+    chunks = extract_articles(pages, config).select(
+        "page_id", "url", "host", chunk_text(F.col("text"), config).alias("chunks"))
+    reason = F.when(F.col("url").isNull() | F.col("host").isNull(), "no address").when(
+        F.col("chunks").isNull(), "no html").when(F.size("chunks") == 0, "no text")
+    return chunks.select("page_id", reason.alias("reason"))
+
+
+def reject_counts(pages: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
+    """``reason, n``: how many pages ingest leaves out, by reason."""
+    return reject_reason(pages, config).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def parse_pages(pages: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
     """Pages with their chunk list, content hash and a row number that tells apart copies of
     one page in a batch; no shuffle."""
     articles = extract_articles(pages, config)
     sitename = F.col("sitename") if config.sitename == "article" else F.col("host")
-    parsed = articles.select(
+    parsed = articles.filter(F.col("url").isNotNull() & F.col("host").isNotNull()).select(
         "page_id", "url", "title", "summary", sitename.alias("sitename"),
         chunk_text(F.col("text"), config).alias("chunks"),
     )
@@ -69,18 +84,20 @@ def vector_rows(chunks: DataFrame, embed: Embedder) -> DataFrame:
 
 def ingest(
     store: Store, pages: DataFrame, batch_id: int,
-    config: IngestConfig = IngestConfig(), embed: Embedder | None = None,
+    config: IngestConfig = IngestConfig(), embed: Embedder | None = None, writer: str = "batch",
 ) -> None:
-    """Add a batch of ``pages(page_id, url, html)`` to the store.
+    """Add a batch of ``pages(page_id, url, html)`` to the store, under the name of a writer.
+
+    Pages that ``reject_reason`` has a reason for are left out.
 
     The same batch may run again after a failure: what it wrote before does not count as
     stored, and is replaced. Webpages go last, so readers never see a page without chunks.
     """
-    stored = store.read("webpages", with_batch=True).filter(F.col("batch_id") != batch_id).select("url", "hash")
+    stored = store.read_others("webpages", batch_id, writer).select("url", "hash")
     with Scratch(pages.sparkSession) as scratch:
         parsed = scratch.write(parse_pages(pages, config), "parsed")
         fresh = scratch.write(new_pages(parsed, stored, scratch.write), "fresh")
         chunks = number_chunks(fresh)
-        store.append("chunks", chunks, batch_id)
-        store.append("vectors", vector_rows(chunks, embed or hashed_embedder(config.dims)), batch_id)
-        store.append("webpages", webpage_rows(fresh), batch_id)
+        store.append("chunks", chunks, batch_id, writer)
+        store.append("vectors", vector_rows(chunks, embed or hashed_embedder(config.dims)), batch_id, writer)
+        store.append("webpages", webpage_rows(fresh), batch_id, writer)

@@ -1,11 +1,15 @@
 """Incremental ingest and link discovery over a stream of pages.
 
 The state of both jobs is the stored table itself, so a stream may stop for a week and go
-on, and a batch that is replayed after a failure replaces its own rows.
+on, and a batch that is replayed after a failure replaces its own rows. Batches are stored
+under the id that Spark keeps in the stream's checkpoint: a stream that starts afresh, or
+another stream, numbers its batches from 0 again without touching what is stored.
 """
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,8 +22,18 @@ from pagetrove.plans.ingest import ingest
 
 
 def _start(pages: DataFrame, step, checkpoint: str, trigger: dict | None) -> StreamingQuery:
-    writer = pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    """Run ``step(batch, batch_id, writer)`` for each micro-batch."""
+    known, writer = Event(), []
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        known.wait()
+        step(batch, batch_id, writer[0])
+
+    started = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    query = started.trigger(**(trigger or {"availableNow": True})).start()
+    writer.append(f"stream-{query.id}")
+    known.set()
+    return query
 
 
 def stream_ingest(
@@ -27,7 +41,7 @@ def stream_ingest(
     embed: Embedder | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Ingest each micro-batch of ``pages``; pages already stored change nothing."""
-    return _start(pages, lambda batch, i: ingest(store, batch, i, config, embed), checkpoint, trigger)
+    return _start(pages, lambda batch, i, writer: ingest(store, batch, i, config, embed, writer), checkpoint, trigger)
 
 
 def stream_frontier(
@@ -35,10 +49,10 @@ def stream_frontier(
 ) -> StreamingQuery:
     """Append the links each micro-batch discovers to the store's link table."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        earlier = store.read("links", with_batch=True).filter(F.col("batch_id") != batch_id)
+    def step(batch: DataFrame, batch_id: int, writer: str) -> None:
+        earlier = store.read_others("links", batch_id, writer)
         known = earlier.select("url").unionByName(store.all_urls())
         links = new_links(batch, known, case_sensitive=case_sensitive)
-        store.append("links", links.withColumn("depth", F.col("depth").cast("int")), batch_id)
+        store.append("links", links.withColumn("depth", F.col("depth").cast("int")), batch_id, writer)
 
     return _start(pages, step, checkpoint, trigger)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrove.config import IngestConfig, SearchConfig
-from pagetrove.functions.urls import breadcrumb, has_query_or_fragment, hostname, site_key, url_path
+from pagetrove.functions.urls import breadcrumb, has_query_or_fragment, hostname, normalize_url, site_key, url_path
 from pagetrove.operators.chunking import content_hash, merge_single_sentences, number_chunks, pack_chunks, paragraphs
 from pagetrove.operators.dedup import exists_in, first_per_key, first_wins_pairs
 from pagetrove.operators.embed import hashed_embedder
@@ -17,12 +17,15 @@ from pagetrove.operators.rank import dedup_results, group_first_site, score_resu
 from pagetrove.operators.store import Store, table_stats
 from pagetrove.operators.vectors import LshIndex, vector_topk
 from pagetrove.plans.frontier import crawl_counts, frontier
-from pagetrove.plans.ingest import extract_articles, ingest, new_pages, parse_pages, vector_rows, webpage_rows
+from pagetrove.plans.ingest import (
+    extract_articles, ingest, new_pages, parse_pages, reject_counts, vector_rows, webpage_rows,
+)
 from pagetrove.plans.reset import left_over, reset
 from pagetrove.plans.search import search
 from pagetrove.plans.serve import filter_domain, number_pages, serve_page, with_site_links
 from pagetrove.session import scratch_path, write_scratch
 from pagetrove.sources.pages import read_pages, spread, stream_pages
+from pagetrove.sources.seeds import crawl_mode, next_addresses, read_seeds
 from pagetrove.streaming import stream_frontier, stream_ingest
 
 CONFIG = IngestConfig()
@@ -160,6 +163,39 @@ def _frontier(max_pages: int):
     return run
 
 
+def seed_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """The addresses written as a text list and as a sitemap with all entries of a file on one line, and read back."""
+    urls = pages_of(spark, sf).select("url")
+    text, sitemap = scratch_path(spark, "seeds") + ".txt", scratch_path(spark, "sitemap") + ".xml"
+    urls.write.text(text)
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    urls.select(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>")).alias("value")).write.option("lineSep", " ").text(sitemap)
+    both = [read_seeds(spark, p).withColumn("source", F.lit(s)) for p, s in ((text, "text"), (sitemap, "sitemap"))]
+    return both[0].unionByName(both[1]).select("source", "url")
+
+
+def crawl_step(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages under http:// were visited; the others are seeds, which are visited alone, and the
+    first page is a single seed whose links are followed."""
+    pages = pages_of(spark, sf)
+    seen = pages.filter(F.col("url").startswith("http://"))
+    many = pages.select("url")
+    one = pages.orderBy("page_id").limit(1).select("url")
+    steps = [next_addresses(seeds, seen, crawl_mode(seeds, -1)).withColumn("seeds", F.lit(name)) for seeds, name in ((many, "many"), (one, "one"))]
+    return steps[0].unionByName(steps[1]).select("seeds", "url", F.col("depth").cast("int").alias("depth"))
+
+
+def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page, and copies of it that lack an address, the html, or any text."""
+    pages = pages_of(spark, sf)
+    none = F.lit(None).cast("string")
+    broken = [pages.withColumn("url", none), pages.withColumn("url", F.lit("nowhere")).filter("page_id % 2 = 0"),
+              pages.withColumn("html", none), pages.withColumn("html", F.lit("<title>t</title><p> </p>")).filter("page_id % 3 = 0")]
+    for more in broken:
+        pages = pages.unionByName(more)
+    return reject_counts(pages, CONFIG)
+
+
 def counts(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_counts(pages_of(spark, sf))
 
@@ -190,7 +226,7 @@ def _topk(metric: str):
 
 def vector_topk_lsh(spark: SparkSession, sf: str) -> DataFrame:
     vectors, queries = _vectors(spark, sf)
-    index = LshIndex(dims=64)
+    index = LshIndex.sized(64, vectors.count())
     return index.topk(index.index(vectors), queries, k=10)
 
 
@@ -244,21 +280,40 @@ def reset_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def orphan_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).orphans().select("id", "url")
+    """The chunks of all pages are stored, but only the webpages under https://."""
+    full = _ingested(spark, sf)
+    store = Store(spark, scratch_path(spark, "store")).create()
+    store.append("chunks", full.read("chunks"), 0)
+    store.append("webpages", full.read("webpages").filter(F.col("url").startswith("https://")), 0)
+    return store.orphans().select("id", "url")
+
+
+def _page_files(spark: SparkSession, sf: str) -> str:
+    """The pages dealt into four files, for streams of several micro-batches."""
+    path = scratch_path(spark, "page-files")
+    pages_of(spark, sf).repartition(4, "page_id").write.parquet(path)
+    return path
 
 
 def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """A store that a batch job filled with the pages under http:// takes all pages as a stream of
+    four micro-batches, and then again from a second checkpoint."""
     store = Store(spark, scratch_path(spark, "store")).create()
-    pages = stream_pages(spark, sf, name_filter="pages.parquet")
-    stream_ingest(store, pages, scratch_path(spark, "stream")).awaitTermination()
+    ingest(store, pages_of(spark, sf).filter(F.col("url").startswith("http://")), batch_id=0, config=CONFIG)
+    files = _page_files(spark, sf)
+    for _ in range(2):
+        stream_ingest(store, stream_pages(spark, files, max_files=1), scratch_path(spark, "stream")).awaitTermination()
     return store.read("webpages").select("hash")
 
 
 def streamed_frontier(spark: SparkSession, sf: str) -> DataFrame:
     store = Store(spark, scratch_path(spark, "store")).create()
-    pages = stream_pages(spark, sf, name_filter="pages.parquet")
+    ingest(store, pages_of(spark, sf), batch_id=0, config=CONFIG)
+    pages = stream_pages(spark, _page_files(spark, sf), max_files=1)
     stream_frontier(store, pages, scratch_path(spark, "stream")).awaitTermination()
-    return store.read("links").select("url")
+    # A link counts as new when it is found; pages that the store skipped as copies came later.
+    visited = pages_of(spark, sf).select(normalize_url(F.col("url")).alias("url"))
+    return store.read("links").select("url").join(visited, "url", "left_anti")
 
 
 # -- search --------------------------------------------------------------------------------
@@ -326,6 +381,14 @@ def served_page(spark: SparkSession, sf: str) -> DataFrame:
     return served.select("qid", "position", "page", "total_pages", "first_result", "url", "title", "summary", "path")
 
 
+def served_page_contains(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page with all that is served, by the matcher that SQL has too."""
+    served = serve_page(_grouped(spark, sf), page=1)
+    found = F.transform(F.coalesce("search_results", F.array().cast(served.schema["search_results"].dataType)), lambda r: r["url"])
+    return served.select("qid", "position", "page", "total_pages", "first_result", "url", "title", "summary", "path",
+                         F.array_join(found, " ").alias("site_links"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "page_titles_hosts": page_titles_hosts,
@@ -346,6 +409,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "frontier": _frontier(100),
         "frontier_all": _frontier(-1),
         "crawl_counts": counts,
+        "seed_urls": seed_urls,
+        "crawl_step": crawl_step,
+        "ingest_rejects": ingest_rejects,
         "site_key": site_keys,
         "breadcrumb": breadcrumbs,
         "vector_topk": _topk("cosine"),
@@ -373,4 +439,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "domain_results": domain_results,
         "highlight": highlighted,
         "served_page": served_page,
+        "served_page_contains": served_page_contains,
     }

@@ -159,3 +159,43 @@ def test_sql_functions(spark):
         " breadcrumb_of('https://h.com/a/b/c') b, partial_ratio('spark sql guide', 'spark sql') p"
     ).first()
     assert tuple(row) == ("www.h.com", "h.com", "a ", "h.com › a › b", 100)
+
+
+@pytest.mark.parametrize("size", [190, 210, 2_000])
+def test_partial_score_of_long_texts(size):
+    from pagetrove.functions.fuzzy import partial_score
+
+    text = ("lorem ipsum dolor sit amet " * 100)[:size - 20] + " spark sql tuning ok"
+    assert partial_score(text, "spark sql tuning") == 100
+
+
+def test_merging_takes_linear_time(spark):
+    import time
+
+    from pagetrove.operators.chunking import merge_single_sentences
+
+    took = []
+    for n in (40_000, 40_000, 80_000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Line "), i.cast("string"))).alias("p"))
+        started = time.time()
+        assert df.select(F.size(merge_single_sentences(F.col("p"))).alias("n")).first().n == n // 2
+        took.append(time.time() - started)
+    assert took[2] < 4 * took[1] + 2
+
+
+def test_more_entities(spark):
+    from pagetrove.functions.text import decode_entities
+
+    cases = {"&#000000039;": "'", "&#150;": "\u2013", "&#x96;": "\u2013", "&equals;&hellip;&NotEqualTilde;": "=\u2026\u2242\u0338", "&nosuch; &#xFFFFFFF;": "&nosuch; &#xFFFFFFF;"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.d for r in df.select("t", decode_entities(F.col("t")).alias("d")).collect()} == cases
+
+
+def test_sql_breadcrumb_equals_column(spark):
+    from pagetrove.functions.register import register_functions
+    from pagetrove.functions.urls import breadcrumb
+
+    register_functions(spark)
+    urls = ["https://h.com/für/x", "https://h.com/a b/c.html", "https://h.com", "https://h.com/" + "ü" * 20 + "/b", "nowhere"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert all(r.a == r.b for r in df.select(breadcrumb(F.col("url")).alias("a"), F.expr("breadcrumb_of(url)").alias("b")).collect())

@@ -8,13 +8,14 @@ from pagetrove.operators.embed import hashed_embedder
 from pagetrove.operators.rank import dedup_results, score_results
 from pagetrove.operators.store import Store
 from pagetrove.operators.vectors import LshIndex
+from pagetrove.plans.ingest import reject_counts
 from pagetrove.plans.ingest import ingest
 from pagetrove.plans.reset import reset
 from pagetrove.plans.search import rank, search
 from pagetrove.plans.serve import filter_domain, number_pages, serve_page
 from pagetrove.session import scratch_path
 from pagetrove.sources.pages import read_pages, stream_pages
-from pagetrove.sources.seeds import crawl_mode, read_seeds
+from pagetrove.sources.seeds import CrawlMode, crawl_mode, read_seeds
 from pagetrove.streaming import stream_frontier, stream_ingest
 
 RESULT = "qid long, q string, pid string, url string, title string, chunk string, summary string, score double"
@@ -126,6 +127,47 @@ def test_stream_equals_batch(spark, tmp_path, store):
     assert streamed.read("webpages").count() == len(hashes(streamed)) and streamed.orphans().count() == 0
 
 
+def test_streams_keep_what_others_stored(spark, tmp_path):
+    page = lambda i: (i, f"https://h.com/{i}", f"<article><p>One {i}. Two {i}. Three {i}.</p></article>")
+    schema = "page_id long, url string, html string"
+    store = Store(spark, str(tmp_path / "store")).create()
+    ingest(store, spark.createDataFrame([page(i) for i in range(5)], schema), 0)
+    for k, ids in enumerate((range(3, 9), range(9, 12), range(9, 14))):
+        folder = str(tmp_path / f"in{k}")
+        spark.createDataFrame([page(i) for i in ids], schema).repartition(2).write.parquet(folder)
+        stream_ingest(store, stream_pages(spark, folder, max_files=1), str(tmp_path / f"cp{k}")).awaitTermination()
+    assert sorted(r.url for r in store.all_urls().collect()) == sorted(f"https://h.com/{i}" for i in range(14))
+    ingest(store, spark.createDataFrame([page(i) for i in range(5)], schema), 0)  # a replay
+    assert store.read("webpages").count() == 14 and store.orphans().count() == 0
+
+
+def test_append_during_a_rewrite_is_kept(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s")).create()
+    vectors = lambda *ids: spark.createDataFrame([(i, [1.0]) for i in ids], "id string, values array<float>")
+    store.append("vectors", vectors("a", "b"), 0)
+    added = []
+
+    def change(rows):
+        if not added:
+            added.append(store.append("vectors", vectors("c"), 1, "other"))
+        return rows.filter("id <> 'a'")
+
+    store._rewrite("vectors", change)
+    assert sorted(r.id for r in store.read("vectors").collect()) == ["b", "c"]
+    with pytest.raises(ValueError):
+        store.append("vectors", vectors("d"), 2, "../x")
+
+
+def test_pages_without_address_or_text_are_rejected(spark, tmp_path):
+    rows = [(1, None, "<article><p>Same text. Here.</p></article>"), (2, "https://h.com/2", "<article><p>Same text. Here.</p></article>"),
+            (3, "https://h.com/3", None), (4, "nowhere", "<p>x</p>"), (5, "https://h.com/5", "<p> </p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    store = Store(spark, str(tmp_path / "s")).create()
+    ingest(store, pages, 0)
+    assert [r.url for r in store.all_urls().collect()] == ["https://h.com/2"]
+    assert {r.reason: r.n for r in reject_counts(pages).collect()} == {"no address": 2, "no html": 1, "no text": 1}
+
+
 def test_stream_frontier_adds_each_link_once(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     folder = str(tmp_path / "in")
@@ -156,8 +198,10 @@ def test_seeds(spark, tmp_path):
     assert urls(str(tmp_path / "a.txt")) == ["https://a.com", "https://b.com"]
     assert urls(str(tmp_path / "b.xml")) == ["https://c.com/x"]
     assert urls("https://d.com") == ["https://d.com"]
-    assert crawl_mode(read_seeds(spark, "https://d.com"), 5) == {"follow_links": True, "max_pages": 5}
-    assert crawl_mode(read_seeds(spark, str(tmp_path / "a.txt")), 5) == {"follow_links": False, "max_pages": -1}
+    assert crawl_mode(read_seeds(spark, "https://d.com"), 5) == CrawlMode(True, 5)
+    assert crawl_mode(read_seeds(spark, str(tmp_path / "a.txt")), 5) == CrawlMode(False, -1)
+    (tmp_path / "c.xml").write_text("<urlset><url><loc>https://c.com/?a=1&amp;b=2</loc></url><url><loc>\n https://e.com </loc></url><loc></loc></urlset>")
+    assert urls(str(tmp_path / "c.xml")) == ["https://c.com/?a=1&b=2", "https://e.com"]
 
 
 def test_parity_switches(spark, tmp_path):
