@@ -297,12 +297,12 @@ def _page_files(spark: SparkSession, sf: str) -> str:
 
 def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """A store that a batch job filled with the pages under http:// takes all pages as a stream of
-    four micro-batches, and then again from a second checkpoint."""
+    four micro-batches, and all of them again from a second checkpoint."""
     store = Store(spark, scratch_path(spark, "store")).create()
     ingest(store, pages_of(spark, sf).filter(F.col("url").startswith("http://")), batch_id=0, config=CONFIG)
     files = _page_files(spark, sf)
-    for _ in range(2):
-        stream_ingest(store, stream_pages(spark, files, max_files=1), scratch_path(spark, "stream")).awaitTermination()
+    for per_batch in (1, 4):
+        stream_ingest(store, stream_pages(spark, files, max_files=per_batch), scratch_path(spark, "stream")).awaitTermination()
     return store.read("webpages").select("hash")
 
 
