@@ -28,12 +28,15 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def text_of(df: DataFrame, name: str = "text") -> Column:
-    return F.coalesce(df[name], F.lit(""))
+def bounded_sample(rows: DataFrame, bound: int, seed: str) -> DataFrame:
+    """At most ``bound`` of the rows, the first by a hash of the row.
 
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    A first cut by the hash leaves about four times the bound, so few rows are put in order
+    however many there are.
+    """
+    place = F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 40))
+    share = min(1.0, 4 * bound / max(rows.count(), 1))
+    return rows.filter(place < int(share * (1 << 40))).orderBy(place, *rows.columns).limit(bound)
 
 
 def map_batches(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:

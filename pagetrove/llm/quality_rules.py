@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches
+from .common import bounded_sample, fold, map_batches
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -142,8 +142,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, config: LearnConfig) ->
     """Statistics and quality of labelled rows outside the fold kept for testing."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality sample")), "doc_id").limit(config.sample_rows)
-    return stats.join(F.broadcast(known), "doc_id")
+    return stats.join(F.broadcast(bounded_sample(known, config.sample_rows, "quality")), "doc_id")
 
 
 def learn(sample: DataFrame, config: LearnConfig = LearnConfig()) -> DecisionList:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from pagetrove.functions.bind import bind
 
+from .common import bounded_sample
+
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_MIN = 12
@@ -37,7 +39,8 @@ SIZE = len(ALPHABET) + 1  # 0 stands for the start
 @dataclass(frozen=True)
 class ScanConfig:
     sample_docs: int = 2000      # bound of the sample that ordinary strings are drawn from
-    smoothing: float = 0.5
+    smoothing: float = 0.5       # added to the count of each single character
+    prior: float = 5.0           # weight of single characters against pairs
     min_ratio: float = 8.0       # log-likelihood ratio a run must reach
     min_per_char: float = 0.4    # and its mean per character
     marker: str = "[SECRET]"
@@ -55,8 +58,9 @@ def codes(text: Column) -> Column:
 def samples(docs: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Labelled strings (text, random): long words of a bounded sample of documents, and digests in
     the shapes that keys have (hexadecimal, base 64, capitals and digits)."""
-    picked = docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id"), F.lit("secret sample")), "doc_id", "text")
-    picked = picked.limit(config.sample_docs)
+    ids = bounded_sample(docs.select("doc_id"), config.sample_docs, "secret sample").distinct()
+    ids = F.broadcast(ids.withColumnRenamed("doc_id", "sampled"))
+    picked = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("sampled")), "left_semi")
     word = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z_-]{8,}"), F.lit(0)))
     ordinary = picked.select(word.alias("text"), F.lit(False).alias("random"))
     key = F.concat(F.lit("sample|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -77,10 +81,14 @@ def fit(labelled: DataFrame, config: ScanConfig = ScanConfig()) -> list[float]:
         "random", F.concat(F.array(F.lit(0)), codes(F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]", ""))).alias("c"))
     pairs = F.transform(F.slice("c", 1, F.size("c") - 1), lambda a, i: a * SIZE + F.get("c", i + 1))
     counts = clean.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
-    n = {r: [[config.smoothing] * SIZE for _ in range(SIZE)] for r in (False, True)}
+    n = {r: [[0.0] * SIZE for _ in range(SIZE)] for r in (False, True)}
     for row in counts:
         n[row["random"]][row["pair"] // SIZE][row["pair"] % SIZE] += row["count"]
-    logs = {r: [math.log(x / sum(line)) for line in n[r] for x in line] for r in n}
+    logs = {}
+    for r, lines in n.items():  # pairs are smoothed by single characters, which are smoothed evenly
+        single = [sum(column) + config.smoothing for column in zip(*lines)]
+        share = [x / sum(single) for x in single]
+        logs[r] = [math.log((x + config.prior * p) / (sum(line) + config.prior)) for line in lines for x, p in zip(line, share)]
     return [a - b for a, b in zip(logs[True], logs[False])]
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.session import ship_package
 
-from .common import fold, map_batches, slices
+from .common import bounded_sample, fold, map_batches, slices
 
 TOKEN = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
@@ -167,9 +167,8 @@ def sample(docs: DataFrame, labels: DataFrame, config: FitConfig) -> DataFrame:
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), F.col("doc_id")
-    picked = known.filter("toxic = 1").orderBy(*order).limit(config.toxic_docs).unionByName(
-        known.filter("toxic = 0").orderBy(*order).limit(config.clean_docs))
+    picked = bounded_sample(known.filter("toxic = 1"), config.toxic_docs, "toxicity").unionByName(
+        bounded_sample(known.filter("toxic = 0"), config.clean_docs, "toxicity"))
     texts = docs.select("doc_id", "text").filter(F.char_length("text") <= config.max_chars)
     return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
 
