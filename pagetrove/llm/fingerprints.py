@@ -8,9 +8,8 @@ value is the same number in two texts if and only if the same word and t gave it
 themselves are the signature: two texts agree in a sample with a probability equal to their
 generalised Jaccard similarity, sum of lesser over sum of greater weights.
 
-All of it is column arithmetic. Word counts are made inside the row (sorted hashes, run lengths),
-the counted words are rows only within the task that made them, and the minima of one text are
-combined there before they are shuffled: D numbers per text.
+All of it is column arithmetic. Documents are dealt once, into buckets of ids; words are counted and
+least values found where their text lies, and D numbers per text leave it.
 
 Defined results: null and empty texts have no words; they agree with one another in all samples
 and with other texts in none. Repeated rows are fingerprinted one by one. Only doc_id and text
@@ -19,53 +18,67 @@ are read.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagetrove.functions.bind import bind
 from pagetrove.session import write_scratch
 
 from .common import SPACE
 
 SAMPLES = 32
+STEPS = 1 << 12
 
 
-def weighted_words(text: Column) -> Column:
-    """array<struct<word: long, weight: int>> of the text's words, by hash."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    hashes = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+def gamma_quantiles(u: np.ndarray) -> np.ndarray:
+    """Quantiles of the gamma distribution of shape 2, whose share below x is 1 - (1 + x) exp(-x)."""
+    low, high = np.zeros_like(u), np.full_like(u, 60.0)
+    for _ in range(200):
+        mid = (low + high) / 2
+        below = -np.expm1(-mid) - mid * np.exp(-mid) < u
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
 
-    def runs(h):
-        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
-        return bind(starts, lambda s: F.transform(s, lambda at, i: F.struct(
-            F.get(h, at).alias("word"), (F.coalesce(F.get(s, i + 1), F.size(h)) - at).alias("weight"))))
 
-    return bind(hashes, lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(
-        F.array().cast("array<struct<word: bigint, weight: int>>")))
+def tables() -> tuple[Column, Column, Column]:
+    """Gamma variates by 12 random bits, their logarithms, and the logarithms of those whose 12
+    bits are 0 by 12 more bits. Looking them up spares three slow functions per word and sample."""
+    u = (np.arange(STEPS) + 0.5) / STEPS
+    values = gamma_quantiles(u), np.log(gamma_quantiles(u)), np.log(gamma_quantiles(u / STEPS))
+    return tuple(F.split(F.lit(",".join(map(repr, v.tolist()))), ",").cast("array<double>") for v in values)
 
 
-def sample_value(word: Column, log_weight: Column, number: int) -> Column:
-    """The value of a word in one sample. Two hashes give five uniform numbers."""
-    one, two = F.xxhash64(word, F.lit(2 * number)), F.xxhash64(word, F.lit(2 * number + 1))
-
-    def uniform(bits: Column, shift: int, width: int) -> Column:
-        part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
-        return (part.cast("double") + 0.5) * (1.0 / (1 << width))
-
-    r = -F.log(uniform(one, 0, 32) * uniform(one, 32, 32))
-    c = -F.log(uniform(two, 0, 21) * uniform(two, 21, 21))
-    b = uniform(two, 42, 22)
-    t = F.floor(log_weight / r + b)
-    return c * F.exp(-r * (t - b + 1.0))
+def sample_value(word: Column, log_weight: Column, number: Column, lookup: tuple[Column, Column, Column]) -> Column:
+    """The logarithm of a word's value in one sample. The bits of one hash give r, c and b."""
+    gamma, log_gamma, log_least = lookup
+    bits = F.xxhash64(word, number)
+    part = lambda shift, width: F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    r = F.get(gamma, part(0, 12))
+    log_c = F.when(part(12, 12) == 0, F.get(log_least, part(24, 12))).otherwise(F.get(log_gamma, part(12, 12)))
+    b = (part(36, 28).cast("double") + 0.5) * (1.0 / (1 << 28))
+    return log_c - r * (F.floor(log_weight / r + b) - b + 1.0)
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """The keys, which must tell rows apart, and ``signature``: array<double>, null without words."""
-    words = texts.select(*keys, F.explode(weighted_words(F.col("text"))).alias("w"))
-    words = words.select(*keys, F.col("w.word").alias("word"), F.log(F.col("w.weight").cast("double")).alias("log_weight"))
-    least = [F.min(sample_value(F.col("word"), F.col("log_weight"), i)).alias(f"s{i}") for i in range(samples)]
-    return words.groupBy(*keys).agg(*least).select(*keys, F.array(*[f"s{i}" for i in range(samples)]).alias("signature"))
+    """The keys, which must tell rows apart, and ``signature``: array<double>, null without words.
+
+    Words are counted, and their least values found, by aggregates over the keys. Where the rows
+    are dealt by some of the keys already, none of this is shuffled.
+    """
+    word = F.explode(F.split("text", SPACE)).alias("word")
+    words = texts.select(*keys, word).select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("word"))
+    words = words.groupBy(*keys, "word").agg(F.count("*").alias("weight"))
+    words = words.select(*keys, "word", F.log(F.col("weight").cast("double")).alias("log_weight"))
+    # Two samples at a time: an aggregate of all samples is too long a method to be compiled.
+    spread = words.withColumn("pair", F.explode(F.array(*[F.lit(i) for i in range(samples // 2)])))
+    lookup = tables()
+    least = [F.min(F.when(F.col("word").isNotNull(), sample_value(F.col("word"), F.col("log_weight"), F.col("pair") * 2 + i, lookup)))
+             .alias(f"s{i}") for i in (0, 1)]
+    pairs = spread.groupBy(*keys, "pair").agg(*least)
+    signature = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pair", "s0", "s1"))), lambda p: F.array(p["s0"], p["s1"])))
+    found = pairs.groupBy(*keys).agg(signature.alias("signature"), F.max("s0").alias("any"))
+    return found.select(*keys, F.when(F.col("any").isNotNull(), F.col("signature")).alias("signature"))
 
 
 def fingerprint(signature: Column) -> Column:
@@ -84,7 +97,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, fingerprint) of every document."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = write_scratch(rows, "fingerprint-rows")
-    found = signatures(rows, ["row"], samples)
+    found = signatures(rows.repartition("row"), ["row"], samples)
     return rows.select("row", "doc_id").join(found, "row", "left").select("doc_id", fingerprint(F.col("signature")).alias("fingerprint"))
 
 
@@ -130,25 +143,15 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.col("text")), F.lit(1), half))
-    both = placed.select(
-        "bucket", "place", "copy", "doc_id", n.cast("long").alias("n_chars"),
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")),
-                          F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("t"))
-    both = both.filter(~F.col("copy") | (F.col("t.which") == 0)).select(
-        "bucket", "place", "copy", "doc_id", "n_chars", "t.which", "t.text")
-    words = both.select(
-        "bucket", "place", "copy", "doc_id", "n_chars", "which",
-        F.when(F.col("which") == 1, F.sha2("text", 256)).alias("sha"), F.explode_outer(weighted_words(F.col("text"))).alias("w"))
-    value = [F.min(sample_value(F.col("w.word"), F.log(F.col("w.weight").cast("double")), i)).alias(f"s{i}") for i in range(samples)]
-    found = words.groupBy("bucket", "place", "which").agg(
-        F.first("copy").alias("copy"), F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"),
-        F.first("sha").alias("sha"), *value)
-    signature = F.when(F.col("s0").isNotNull(), F.array(*[f"s{i}" for i in range(samples)]))
-    prints = found.select("bucket", "place", "which", "copy", "doc_id", "n_chars", "sha", fingerprint(signature).alias("print"))
-    pair = prints.groupBy("bucket", "place").agg(
-        F.first("copy").alias("copy"), F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"),
-        F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("print"))).alias("fingerprint"),
+    texts = placed.select("bucket", "place", "copy", F.explode(F.array(
+        F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("t"))
+    texts = texts.filter(~F.col("copy") | (F.col("t.which") == 0)).select("bucket", "place", "t.which", "t.text")
+    prints = signatures(texts, ["bucket", "place", "which"], samples).withColumn("print", fingerprint(F.col("signature")))
+    prints = prints.groupBy("bucket", "place").agg(
+        F.max(F.when(F.col("which") == 0, F.col("print"))).alias("fingerprint"),
         F.max(F.when(F.col("which") == 1, F.col("print"))).alias("edited_fingerprint"))
+    known = placed.select("bucket", "place", "copy", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
+    pair = known.join(prints, ["bucket", "place"])
     following = F.lead("fingerprint").over(W.partitionBy("bucket").orderBy("place"))
     out = pair.withColumn("next", following).filter(~F.col("copy"))
     return out.select(
