@@ -10,6 +10,7 @@ from pagetrove.functions import text as t
 from pagetrove.functions import urls as u
 from pagetrove.operators.embed import WORD_BREAK
 from pagetrove.operators.links import HREF
+from pagetrove.operators.vectors import LshIndex
 
 W = RankWeights()
 K = 100
@@ -276,6 +277,26 @@ def distinct_in_order(expr: str) -> str:
     return f"""list_reduce({expr}, lambda a, x: CASE WHEN list_contains(a, x) THEN a ELSE list_append(a, x) END, []::VARCHAR[])"""
 
 
+PLANES_INDEX = LshIndex(dims=64, tables=8, planes=4)  # as the query vector_topk_planes has it
+
+
+def planes_topk(index, cosine: str) -> str:
+    """The same planes as literals: vectors on one side of all planes of a table meet, and a query
+    looks across its nearest planes too."""
+    rows = ", ".join(f"({i // index.planes}, {i % index.planes}, [{', '.join(map(repr, column.tolist()))}])"
+                     for i, column in enumerate(index.normals().T))
+    return f"""WITH planes(t, p, normal) AS (VALUES {rows}),
+        sides AS (SELECT vec_id, t, p, list_dot_product(embedding::DOUBLE[], normal) AS s FROM embeddings CROSS JOIN planes),
+        codes AS (SELECT vec_id, t, sum(CASE WHEN s > 0 THEN 1 << p ELSE 0 END)::BIGINT AS code FROM sides GROUP BY 1, 2),
+        near AS (SELECT vec_id, t, p FROM sides QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(s), p) <= {index.probes}),
+        looked AS (SELECT * FROM codes UNION ALL SELECT vec_id, t, xor(code, 1 << p) FROM codes JOIN near USING (vec_id, t)),
+        pairs AS (SELECT DISTINCT l.vec_id AS qid, c.vec_id AS id FROM looked l JOIN codes c USING (t, code)),
+        s AS (SELECT qid, id, round({cosine}, 12) + 0 AS score
+              FROM pairs JOIN embeddings q ON q.vec_id = qid JOIN embeddings v ON v.vec_id = id)
+        SELECT qid, id, round(score, 6) + 0 AS score, rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+
+
 def statements() -> dict[str, str]:
     doc_chunks = chunks_of("documents", "chr(10)", "doc_id")
     pages_parsed = parsed_ctes()
@@ -329,6 +350,7 @@ def statements() -> dict[str, str]:
         out[name] = f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS id, round({expr}, 12) + 0 AS score
             FROM embeddings q CROSS JOIN embeddings v)
             SELECT qid, id, round(score, 6) + 0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {order}, id) AS rank FROM s) WHERE rank <= 10"""
+    out["vector_topk_planes"] = planes_topk(PLANES_INDEX, f"{dot} / ({norms})")
     out["hashed_embedding"] = with_ctes(embed_ctes("documents", "doc_id", "text", "d"), "SELECT doc_id, dim, round(w, 6) AS weight FROM d_w")
     out["ingest_webpages"] = with_ctes(store_ctes(), "SELECT hash, title, url, summary, host AS sitename FROM stored")
     out["ingest_chunks"] = with_ctes(store_ctes(), "SELECT id, pid, url, chunk FROM chunk_rows")

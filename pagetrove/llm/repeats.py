@@ -40,7 +40,7 @@ from .common import map_batches, slices
 WIDTH = 50
 INNER = 24
 LONGEST_RUN = 64
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 _ODD = [np.uint64(x) for x in np.random.default_rng(11).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
 _LOW = -(1 << 63)
 
@@ -264,18 +264,34 @@ def compared(found: DataFrame, width: int) -> DataFrame:
         rows = table.to_pydict()
         doc, key = (np.frombuffer(b"".join(rows[k]), np.int64) for k in ("docs", "keys"))
         start, count = (np.frombuffer(b"".join(rows[k]), np.int32) for k in ("starts", "counts"))
-        data = np.frombuffer(b"".join(map(zlib.decompress, rows["data"])), np.uint8)
-        sizes = count + width - 1
-        base = np.cumsum(sizes) - sizes
-        seg = np.repeat(np.arange(len(doc)), count)
-        own = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-        at = base[seg] + own
-        one, two = names(data, width)[at], names(data, width, 1)[at]
-        order = np.lexsort((doc[seg], two, one))
-        a, b, d = one[order], two[order], doc[seg][order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        # Names are made of about 1 MB at a time, and sorted a quarter of them at a time.
+        one, two = [], []
+        for packed, k in zip(rows["data"], rows["counts"]):
+            data = np.frombuffer(zlib.decompress(packed), np.uint8)
+            sizes = np.frombuffer(k, np.int32) + width - 1
+            ends = np.cumsum(sizes)
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(1 << 20, ends[-1], 1 << 20)), len(sizes)])
+            for x, y in zip(cuts, cuts[1:]):
+                part = data[ends[x] - sizes[x]:ends[y - 1]]
+                inside = np.ones(len(part) - width + 1, bool)
+                for gap in range(1, width):
+                    crossing = ends[x:y - 1] - (ends[x] - sizes[x]) - gap
+                    inside[crossing[crossing >= 0]] = False
+                one.append(names(part, width)[inside])
+                two.append(names(part, width, 1)[inside])
+        rows.clear()
+        one, two = np.concatenate(one), np.concatenate(two)
+        seg = np.repeat(np.arange(len(doc), dtype=np.int32), count)
+        own = (np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
         late = np.zeros(len(seg), bool)
-        late[order] = d > d[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        for quarter in range(4):
+            at = np.flatnonzero(one >> np.uint64(62) == quarter)
+            if not len(at):
+                continue
+            order = at[np.lexsort((doc[seg[at]], two[at], one[at]))]
+            a, b, d = one[order], two[order], doc[seg[order]]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            late[order] = d > d[np.flatnonzero(new)[np.cumsum(new) - 1]]
         hit = np.flatnonzero(late)
         if not len(hit):
             return schema.empty_table()

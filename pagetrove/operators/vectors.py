@@ -231,11 +231,15 @@ class LshIndex:
         share = tables * (probes + 1) * rows / candidates
         return cls(dims, tables, max(1, math.ceil(math.log2(share))) if rows > candidates else 1, probes)
 
+    def normals(self) -> np.ndarray:
+        """One column per plane, the planes of a table side by side."""
+        return np.random.default_rng(self.seed).standard_normal((self.dims, self.tables * self.planes))
+
     def index(self, df: DataFrame, values: str = "values", probe: bool = False) -> DataFrame:
         """Add ``buckets``: one number per hash table, with ``probe`` those across the nearest planes too."""
-        dims, tables, planes = self.dims, self.tables, self.planes
+        tables, planes = self.tables, self.planes
         probes = min(self.probes, planes) if probe else 0
-        normals = np.random.default_rng(self.seed).standard_normal((dims, tables * planes))
+        normals = self.normals()
 
         @F.arrow_udf(T.ArrayType(T.LongType()))
         def hash_rows(rows: pa.Array) -> pa.Array:

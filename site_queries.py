@@ -230,6 +230,15 @@ def vector_topk_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return index.topk(index.index(vectors), queries, k=10)
 
 
+PLANES = LshIndex(dims=64, tables=8, planes=4)
+
+
+def vector_topk_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """The index with a fixed number of planes, whatever the table's size, so that SQL can follow it."""
+    vectors, queries = _vectors(spark, sf)
+    return PLANES.topk(PLANES.index(vectors), queries, k=10)
+
+
 def _vector_store(spark: SparkSession, sf: str) -> tuple[Store, DataFrame]:
     store = Store(spark, scratch_path(spark, "store")).create()
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), "label")
@@ -418,6 +427,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_topk_dot": _topk("dot"),
         "vector_topk_euclidean": _topk("euclidean"),
         "vector_topk_lsh": vector_topk_lsh,
+        "vector_topk_planes": vector_topk_planes,
         "upsert_vectors": upsert_vectors,
         "delete_vectors": delete_vectors,
         "ingest_webpages": ingest_webpages,
