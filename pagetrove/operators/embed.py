@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagetrove.session import ship_to_active
+
 Embedder = Callable[[Column], Column]
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -39,6 +41,8 @@ def bucket_sums(codes: pa.Array, dims: int) -> np.ndarray:
 
 
 def hashed_embedder(dims: int = 384) -> Embedder:
+    ship_to_active()
+
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def embed(codes: pa.Array) -> pa.Array:
         rows = bucket_sums(codes, dims).astype(np.float32)

@@ -37,6 +37,13 @@ def ship_package(spark: SparkSession) -> None:
         sc._pagetrove_shipped = True
 
 
+def ship_to_active() -> None:
+    """The same for the session at work, where a function is made from columns alone."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share for intermediate tables.
 
