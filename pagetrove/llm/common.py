@@ -39,11 +39,13 @@ def bounded_sample(rows: DataFrame, bound: int, seed: str) -> DataFrame:
     return rows.filter(place < int(share * (1 << 40))).orderBy(place, *rows.columns).limit(bound)
 
 
-def map_batches(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
+def map_batches(
+    df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], dict[str, list]], max_bytes: int = 16 << 20,
+) -> DataFrame:
     """``mapInArrow`` with a function from one batch to columns of the schema.
 
-    Batches are as large as ``spark.sql.execution.arrow.maxRecordsPerBatch`` says; the function
-    must not depend on where one batch ends.
+    Batches are as large as ``spark.sql.execution.arrow.maxRecordsPerBatch`` says and cut to about
+    ``max_bytes``; the function must not depend on where one batch ends.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -53,7 +55,7 @@ def map_batches(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes):
                 columns = each(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], type=f.type) for f in kind], schema=kind)

@@ -39,6 +39,7 @@ from .common import bounded_sample, fold, map_batches, slices
 
 TOKEN = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
+SLICE = 2 << 20  # bytes of text that a task works on at a time; sums take about 30 times as many
 
 
 @dataclass(frozen=True)
@@ -120,8 +121,8 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return c / c.sum((1, 2), keepdims=True)
 
 
-def marginals(emission: np.ndarray, starts: np.ndarray, model: Field) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) of each token and P(label, next label), for texts laid end to end.
+def marginals(emission: np.ndarray, starts: np.ndarray, model: Field, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """P(toxic) of each token and, with ``pairs``, P(label, next label), for texts laid end to end.
 
     ``starts`` marks first tokens. There the matrix has two equal rows, which forgets the text
     before it.
@@ -141,6 +142,8 @@ def marginals(emission: np.ndarray, starts: np.ndarray, model: Field) -> tuple[n
         back[:-1] = chain(after.transpose(0, 2, 1)[::-1])[::-1]
     both = ahead * back
     p = both[:, 1] / both.sum(1)
+    if not pairs:
+        return p, None
     pair = ahead[:-1, :, None] * mats[1:] * back[1:, None, :]
     pair = pair / pair.sum((1, 2), keepdims=True)
     return p, pair
@@ -307,7 +310,7 @@ def calibrate(model: Field, texts, toxic) -> None:
 # Scoring -----------------------------------------------------------------------------------
 
 _EMISSIONS: dict[str, dict[str, float]] = {}  # of this worker, by model
-_MOST_CACHED = 400_000
+_MOST_CACHED = 300_000
 
 
 class Tagger:
@@ -334,7 +337,7 @@ class Tagger:
         starts = np.zeros(len(emission), bool)
         at = np.r_[0, np.cumsum(sizes)].astype(int)
         starts[[a for a, n in zip(at, sizes) if n]] = True
-        p = marginals(emission, starts, self.model)[0]
+        p = marginals(emission, starts, self.model, pairs=False)[0]
         x = totals(p, sizes)
         score = 1 / (1 + np.exp(-np.clip(self.model.score[0] + x @ self.model.score[1:], -30, 30)))
         none = np.asarray(sizes) == 0
@@ -367,7 +370,7 @@ def tag(docs: DataFrame, model: Field, spans: bool = True) -> DataFrame:
     """(doc_id, score, spans): score from 0 to 1; spans are (start, end) in code points."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, score double" + ", spans array<struct<start: int, end: int>>" * spans
-    return map_batches(narrow, schema, Tagger(model, spans))
+    return map_batches(narrow, schema, Tagger(model, spans), SLICE)
 
 
 def keep_clean(docs: DataFrame, model: Field, limit: float = 0.5) -> DataFrame:
@@ -377,7 +380,7 @@ def keep_clean(docs: DataFrame, model: Field, limit: float = 0.5) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 text = part.column(part.schema.get_field_index("text")).cast(pa.string())
                 score = tagger(pa.RecordBatch.from_arrays([text], ["text"]))["score"]
                 yield part.filter(pa.array(score < limit))
