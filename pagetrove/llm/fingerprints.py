@@ -114,7 +114,7 @@ def next_to(docs: DataFrame) -> DataFrame:
     low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
     count = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // count))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / width)).cast("long")
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / float(width))).cast("long")
     firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("bucket", bucket).groupBy("bucket").agg(
         F.min("doc_id").alias("first")).orderBy("bucket").collect()
     # One row per bucket: where its first document is also put.
