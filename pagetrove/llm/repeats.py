@@ -30,12 +30,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrove.session import ship_package, write_scratch
 
-from .common import map_batches, slices
+from .common import slices
 
 WIDTH = 50
 INNER = 24
@@ -179,11 +180,11 @@ def shared_values(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(each, "slice int, bucket int, shared binary").filter(F.length("shared") > 0)
 
 
-SEGMENTS = ("bucket int, doc_id long, key long, start int, count int, docs binary, keys binary, starts binary, counts binary, data binary")
+SEGMENTS = "bucket int, docs binary, keys binary, starts binary, counts binary, data binary"
 
 
 def segments(texts: DataFrame, shared: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Segments to be compared (a row per bucket and slice), and ranges that go already (a row each)."""
+    """Segments to be compared, a row per bucket and slice, and ranges that go already, a row per slice without data."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -225,12 +226,17 @@ def segments(texts: DataFrame, shared: DataFrame, buckets: int, width: int) -> D
         late = doc > doc[first]
         own = ~late  # repeats inside the smallest document are judged one by one
         out = {f.name: [] for f in schema}
-        gone = rows[late]
-        n = len(gone)
-        for name, column in (("bucket", [None] * n), ("doc_id", doc[late]), ("key", keys[gone[:, 1]]), ("start", gone[:, 2]), ("count", gone[:, 3])):
-            out[name] += list(column)
-        for name in ("docs", "keys", "starts", "counts", "data"):
-            out[name] += [None] * n
+
+        def add(bucket, part, docs, data):
+            out["bucket"].append(int(bucket))
+            out["docs"].append(docs.tobytes())
+            out["keys"].append(keys[part[:, 1]].tobytes())
+            out["starts"].append(part[:, 2].astype(np.int32).tobytes())
+            out["counts"].append(part[:, 3].astype(np.int32).tobytes())
+            out["data"].append(data)
+
+        if late.any():
+            add(left.column("slice")[0].as_py(), rows[late], doc[late], None)
         rows, doc = rows[own], doc[own]
         order = np.argsort(rows[:, 0], kind="stable")
         rows, doc = rows[order], doc[order]
@@ -238,14 +244,7 @@ def segments(texts: DataFrame, shared: DataFrame, buckets: int, width: int) -> D
         for x, y in zip(cut, np.r_[cut[1:], len(rows)] if len(rows) else []):
             part = rows[x:y]
             data = b"".join([raw[t][s:s + c + width - 1] for _, t, s, c in part.tolist()])
-            out["bucket"].append(int(part[0, 0]))
-            for name in ("doc_id", "key", "start", "count"):
-                out[name].append(None)
-            out["docs"].append(doc[x:y].tobytes())
-            out["keys"].append(keys[part[:, 1]].tobytes())
-            out["starts"].append(part[:, 2].astype(np.int32).tobytes())
-            out["counts"].append(part[:, 3].astype(np.int32).tobytes())
-            out["data"].append(zlib.compress(data, 1))
+            add(part[0, 0], part, doc[x:y], zlib.compress(data, 1))
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in schema}, schema=schema)
 
     pair = texts.groupBy("slice").cogroup(shared.groupBy("slice"))
@@ -257,13 +256,22 @@ def _key(high: np.ndarray, bucket) -> np.ndarray:
 
 
 def compared(found: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, start, count): runs of suffixes whose first bytes a smaller document has."""
+    """(doc_id, key, start, count): runs of suffixes whose first bytes a smaller document has, those
+    that were found within a slice among them."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
 
     def each(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        doc, key = (np.frombuffer(b"".join(rows[k]), np.int64) for k in ("docs", "keys"))
-        start, count = (np.frombuffer(b"".join(rows[k]), np.int32) for k in ("starts", "counts"))
+        given = table.filter(pc.is_null(table["data"])).to_pydict()
+        rows = table.filter(pc.is_valid(table["data"])).to_pydict()
+
+        def column(of, name, kind):
+            return np.frombuffer(b"".join(of[name]), kind)
+
+        gone = [column(given, "docs", np.int64), column(given, "keys", np.int64), column(given, "starts", np.int32), column(given, "counts", np.int32)]
+        doc, key = column(rows, "docs", np.int64), column(rows, "keys", np.int64)
+        start, count = column(rows, "starts", np.int32), column(rows, "counts", np.int32)
+        if not len(doc):
+            return pa.table(dict(zip(schema.names, gone)), schema=schema)
         # Names are made of about 1 MB at a time, and sorted a quarter of them at a time.
         one, two = [], []
         for packed, k in zip(rows["data"], rows["counts"]):
@@ -294,19 +302,20 @@ def compared(found: DataFrame, width: int) -> DataFrame:
             late[order] = d > d[np.flatnonzero(new)[np.cumsum(new) - 1]]
         hit = np.flatnonzero(late)
         if not len(hit):
-            return schema.empty_table()
+            return pa.table(dict(zip(schema.names, gone)), schema=schema)
         head = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (seg[hit[1:]] != seg[hit[:-1]])])
         first = hit[head]
         length = np.diff(np.r_[head, len(hit)])
-        return pa.table({"doc_id": doc[seg[first]], "key": key[seg[first]], "start": (start[seg[first]] + own[first]).astype(np.int32),
-                         "count": length.astype(np.int32)}, schema=schema)
+        here = [doc[seg[first]], key[seg[first]], (start[seg[first]] + own[first]).astype(np.int32), length.astype(np.int32)]
+        return pa.table({n: np.concatenate([a, b]) for n, a, b in zip(schema.names, gone, here)}, schema=schema)
 
-    rows = found.filter("bucket is not null").select("bucket", "docs", "keys", "starts", "counts", "data")
-    return rows.groupBy("bucket").applyInArrow(each, "doc_id long, key long, start int, count int")
+    return found.groupBy("bucket").applyInArrow(each, "doc_id long, key long, start int, count int")
 
 
 def spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): texts has (doc_id, key, slice, text); runs the late suffixes by (doc_id, key)."""
+    """(texts, runs): texts has (doc_id, key, text, slice); runs the late suffixes by (doc_id, key, slice).
+
+    Both come from texts dealt by slice. Used in one query, Spark deals the texts once."""
     ship_package(docs.sparkSession)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -314,47 +323,42 @@ def spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     texts = texts.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int"))
     shared = write_scratch(shared_values(bucket_values(texts, buckets, width)), "repeat-values")
-    long_enough = texts.filter(F.octet_length("text") >= width)
-    found = write_scratch(segments(long_enough.select("slice", "doc_id", "key", "text"), shared, buckets, width), "repeat-segments")
-    late = found.filter("bucket is null").select("doc_id", "key", "start", "count").unionByName(compared(found, width))
-    return texts, write_scratch(late, "repeat-runs")
+    late = compared(segments(texts, shared, buckets, width), width)
+    return texts, late.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int"))
 
 
 def removed(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; the remaining bytes if asked for."""
     texts, late = spans(docs, width)
-    late = late.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    both = texts.select("doc_id", "key", "text").join(late, ["doc_id", "key"], "left").select("doc_id", "text", "runs")
-
-    def each(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        if with_text:
-            out["kept"] = []
-        for doc, text, found in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "runs"))):
+    names_out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text]
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        runs_of: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for doc, key, start, count in zip(*(right.column(c).to_pylist() for c in ("doc_id", "key", "start", "count"))):
+            runs_of.setdefault((doc, key), []).append((start, count))
+        rows = []
+        for doc, key, text in zip(*(left.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
             data = text.encode()
-            kept, n, end, gone = [], 0, 0, 0
-            for s, e in merged(found or [], width):
+            kept, end, gone = [], 0, 0
+            found = merged(runs_of.get((doc, key), []), width)
+            for s, e in found:
                 kept.append(data[end:s])
-                n, gone, end = n + 1, gone + e - s, e
+                gone, end = gone + e - s, e
             kept = b"".join([*kept, data[end:]])
-            out["doc_id"].append(None if doc == _LOW else doc)
-            out["n_bytes"].append(len(data))
-            out["n_removed"].append(gone)
-            out["n_spans"].append(n)
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            if with_text:
-                out["kept"].append(kept)
-        return out
+            rows.append((None if doc == _LOW else doc, len(data), gone, len(found), hashlib.sha256(kept).hexdigest(), kept)[:len(kinds)])
+        columns = list(zip(*rows)) or [[]] * len(kinds)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names_out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return map_batches(both, schema, each)
+    return texts.groupBy("slice").cogroup(late.groupBy("slice")).applyInArrow(each, schema)
 
 
-def merged(found: list[dict], width: int) -> list[list[int]]:
-    """Maximal byte ranges covered by the runs; ranges that touch are one."""
+def merged(found: list[tuple[int, int]], width: int) -> list[list[int]]:
+    """Maximal byte ranges covered by the runs (start, count); ranges that touch are one."""
     out: list[list[int]] = []
-    for r in sorted(found, key=lambda r: r["start"]):
-        start, end = r["start"], r["start"] + r["count"] + width - 1
+    for first, count in sorted(found):
+        start, end = first, first + count + width - 1
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
