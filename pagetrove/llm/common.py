@@ -39,6 +39,18 @@ def bounded_sample(rows: DataFrame, bound: int, seed: str) -> DataFrame:
     return rows.filter(place < int(share * (1 << 40))).orderBy(place, *rows.columns).limit(bound)
 
 
+_KEPT: dict = {}
+
+
+def worker_cache(name: str, make: Callable = dict):
+    """What a Python worker keeps between tasks. A worker serves one operator after another; the
+    cache of the one before is dropped, so that their sizes don't add up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def map_batches(
     df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], dict[str, list]], max_bytes: int = 16 << 20,
 ) -> DataFrame:

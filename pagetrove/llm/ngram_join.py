@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.session import write_scratch
 
-from .common import map_batches, slices
+from .common import map_batches, slices, worker_cache
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -39,7 +39,6 @@ RECALL = 0.999
 MAX_HASHES = 128
 BLOCK = 256  # members that are verified against as many others at a time
 _MOST_CACHED = 400_000
-_WORDS: dict[bytes, int] = {}
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -62,7 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, width: int = SHINGLE) -> tuple[np.ndarray, bytes]:
     """Hashes of the text's shingles in order, with repeats, and the hash of its word sequence."""
     words = (text or "").encode().split()
-    known = _WORDS
+    known = worker_cache("shingles")
     try:
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:

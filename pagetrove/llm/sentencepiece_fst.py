@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, worker_cache
 
 META = "▁"
 # Fixed values of the model format: kinds of pieces, kinds of models.
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 UNKNOWN_PENALTY = 10.0
-_MOST_CACHED = 1_200_000
+_MOST_CACHED = 800_000
 
 
 @dataclass(frozen=True)
@@ -217,14 +217,8 @@ class Transducer:
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
-_WORKERS: dict[str, Transducer] = {}
-
-
 def transducer(machine: Machine) -> Transducer:
-    if machine.name not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[machine.name] = Transducer(machine)
-    return _WORKERS[machine.name]
+    return worker_cache(f"pieces {machine.name}", lambda: Transducer(machine))
 
 
 def encode(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.session import ship_package
 
-from .common import bounded_sample, fold, map_batches, slices
+from .common import bounded_sample, fold, map_batches, slices, worker_cache
 
 TOKEN = re.compile(r"[^\W_]+")
 GRAMS = (3, 4, 5)
@@ -309,17 +309,16 @@ def calibrate(model: Field, texts, toxic) -> None:
 
 # Scoring -----------------------------------------------------------------------------------
 
-_EMISSIONS: dict[str, dict[str, float]] = {}  # of this worker, by model
 _MOST_CACHED = 300_000
 
 
 class Tagger:
     def __init__(self, model: Field, spans: bool):
         self.model, self.spans = model, spans
-        self.key = f"{model.bias!r} {model.score!r} {len(model.grams)}"
+        self.key = f"toxicity {model.bias!r} {model.score!r} {len(model.grams)}"
 
     def __call__(self, batch: pa.RecordBatch) -> dict[str, list]:
-        cache = _EMISSIONS.setdefault(self.key, {})
+        cache = worker_cache(self.key)
         texts = [t or "" for t in batch.column("text").to_pylist()]
         parts, sizes = [], []
         for text in texts:
