@@ -125,8 +125,8 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def bucket_values(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(bucket, slice, once, more): packed values of one task that one document or several have."""
-    schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
+    """A row per task and bucket: the packed values in it, by slice, and whether several documents have them."""
+    schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("slices", "counts", "many", "value")]])
 
     def run(batches):
         for batch in batches:
@@ -138,7 +138,7 @@ def bucket_values(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                     if len(text):
                         yield _values(at[a:b][text], text, value, buckets, schema)
 
-    return texts.select("slice", "text").mapInArrow(run, "bucket int, slice int, once binary, more binary")
+    return texts.select("slice", "text").mapInArrow(run, "bucket int, slices binary, counts binary, many binary, value binary")
 
 
 def _values(at, text, value, buckets, schema):
@@ -150,14 +150,17 @@ def _values(at, text, value, buckets, schema):
     many = text[first] != text[last]
     at, value = at[first], value[first]
     bucket = _bucket(value, buckets)
-    order = np.lexsort((bucket, at))
+    order = np.lexsort((at, bucket))
     at, value, many, bucket = at[order], value[order], many[order], bucket[order]
-    cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (bucket[1:] != bucket[:-1])])
-    rows = list(zip(cut, np.r_[cut[1:], len(at)]))
-    return pa.RecordBatch.from_arrays([
-        pa.array(bucket[cut].astype(np.int32)), pa.array(at[cut].astype(np.int32)),
-        pa.array([_pack(value[a:b][~many[a:b]]) for a, b in rows], pa.binary()),
-        pa.array([_pack(value[a:b][many[a:b]]) for a, b in rows], pa.binary())], schema=schema)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    out: list[list] = [[], [], [], []]
+    for a, b in zip(cut, np.r_[cut[1:], len(at)]):
+        found, counts = np.unique(at[a:b], return_counts=True)
+        for column, x in zip(out, (found.astype(np.int32), counts.astype(np.int32), np.packbits(many[a:b]))):
+            column.append(x.tobytes())
+        out[3].append(_pack(value[a:b]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut].astype(np.int32)), *[pa.array(c, pa.binary()) for c in out]], schema=schema)
 
 
 def shared_values(sent: DataFrame) -> DataFrame:
@@ -165,17 +168,20 @@ def shared_values(sent: DataFrame) -> DataFrame:
 
     def each(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
-        once, more = [_unpack(x) for x in rows["once"]], [_unpack(x) for x in rows["more"]]
-        value, seen = np.unique(np.concatenate(once + more), return_counts=True)
-        hits = np.union1d(value[seen > 1], np.concatenate(more))
-        out = []
-        for a, b in zip(once, more):
-            own = np.concatenate([a, b])
-            at = np.minimum(np.searchsorted(hits, own), max(len(hits) - 1, 0))
-            own = own[hits[at] == own] if len(hits) else own[:0]
-            out.append(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-        return pa.table({"slice": pa.array(rows["slice"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()),
-                         "shared": pa.array(out, pa.binary())})
+        value = [_unpack(x) for x in rows["value"]]
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[:len(v)] for m, v in zip(rows["many"], value)]).astype(bool)
+        at = np.concatenate([np.repeat(np.frombuffer(x, np.int32), np.frombuffer(k, np.int32)) for x, k in zip(rows["slices"], rows["counts"])])
+        value = np.concatenate(value)
+        distinct, seen = np.unique(value, return_counts=True)
+        hits = np.union1d(distinct[seen > 1], value[many])
+        shared = np.isin(value, hits)
+        order = np.lexsort((value[shared], at[shared]))
+        at, value = at[shared][order], value[shared][order]
+        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
+        packed = [np.unique(value[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                  for a, b in zip(cut, np.r_[cut[1:], len(at)])]
+        return pa.table({"slice": pa.array(at[cut].astype(np.int32)), "bucket": pa.array([rows["bucket"][0]] * len(cut), pa.int32()),
+                         "shared": pa.array(packed, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(each, "slice int, bucket int, shared binary").filter(F.length("shared") > 0)
 
