@@ -2,16 +2,18 @@
 
 The model is a discounted 3-gram model over the training tokens. Its words make up the root: a
 word's arc weighs log10((c - D) / N), and what the discount D frees, D * V / N, is the weight of
-all unknown words together. N-grams of two and three words whose count is at least a share of the
-training tokens are arcs from the state of their history; where a state has no arc for a token, its
+all unknown words together. N-grams of two and three words seen ``least_count`` times, however many
+there are, are arcs from the state of their history; where a state has no arc for a token, its
 failure arc leads to the shorter history and weighs log10 of the backoff factor, which makes each
 state's weights sum to one. One traversal from left to right carries the state and adds weights.
 
-What is held where: by counting alone, at most 1/share n-grams of one length reach the share, so
-the automaton (and the words with root arcs of their own) has a proven bound and is sent to all
-tasks. All other words, which grow with the corpus, are never gathered: the traversal fails to the
-root there and emits (document, word, times), and one join with the table of counts adds their
-weights. A word is rare there by definition, so no key of that join is hot.
+What is held where: n-grams, their arcs and backoff factors are counted and weighed in tables. By
+counting alone, at most 1/share n-grams of one length reach a share of the tokens: these common ones
+(and common words, which have root arcs of their own) make up the automaton that is sent to all tasks,
+with the factors of the whole model. For all others the traversal emits (document, n-gram, times),
+and one join adds what the table says the n-gram's arc weighs more than the path by the failure arc
+(``gain``). An n-gram is rare there by definition, so no key of that join is hot. Bitmaps of fixed
+size tell tasks of most n-grams without an arc; a false hit meets no row of the table and adds nothing.
 
 Defined results: null and empty texts are one end token. The words of texts are lowered in A-Z
 only. A null id is in the fold of the empty id. Repeated rows count and are scored one by one.
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,8 @@ END = b""  # no word is empty
 @dataclass(frozen=True)
 class LmConfig:
     root_share: float = 1e-6   # words at least this frequent have root arcs in the automaton
-    arc_share: float = 1e-5    # n-grams of two or three words at least this frequent become arcs
-    least_count: int = 3
+    arc_share: float = 1e-5    # n-grams of two or three words at least this frequent have their arcs in it, too
+    least_count: int = 3       # n-grams of two or three words seen so often have arcs, in it or in the table
     discount: float = 0.75     # of n-grams of two and three words
 
 
@@ -55,6 +58,7 @@ class Automaton:
     fail: list[int]
     backoff: list[float]
     start: int
+    common: set[bytes] = field(default_factory=set)  # n-grams of two and three words that have arcs
 
 
 def split(text: str | None) -> list[bytes]:
@@ -78,90 +82,190 @@ def count_words(train: DataFrame) -> DataFrame:
     return map_batches(train, "word binary, c long", each).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_ngrams(train: DataFrame, words: dict[bytes, int], before: np.ndarray | None, least: float) -> list[tuple[int, int]]:
-    """(number, count) of the frequent n-grams, at most training tokens / least of them.
+MAX_BITS = 28  # of a bitmap's places
 
-    Without ``before`` these are pairs, numbered first * words + second. With the sorted numbers of
-    the frequent pairs these are triples of two of them, numbered place of the first pair * words +
-    third. An n-gram can't be more frequent than its parts, so other tokens needn't be counted.
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+
+
+def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hashes of n-grams from those of their histories and last words."""
+    return history * np.uint64(0x9E3779B97F4A7C15) + word
+
+
+@dataclass
+class Bitmap:
+    """Where n-grams of a table are, by the first bits of their hash."""
+
+    bits: int
+    marks: np.ndarray
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.bits)
+        return (self.marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap(grams: DataFrame, column: str) -> Bitmap:
+    """About 16 places an n-gram, up to 32 MB of them; then false hits become more frequent."""
+    bits = min(MAX_BITS, max(10, (16 * grams.count()).bit_length()))
+
+    def each(batch: pa.RecordBatch) -> dict:
+        parts = [g.split(b" ") for g in batch.column(0).cast(pa.binary()).to_pylist()]
+        h = np.zeros(0, np.uint64)
+        for n in {len(x) for x in parts}:
+            own = [x for x in parts if len(x) == n]
+            all_ = hashes([w for x in own for w in x]).reshape(-1, n)
+            value = all_[:, 0]
+            for k in range(1, n):
+                value = longer(value, all_[:, k])
+            h = np.concatenate([h, value])
+        at = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
+        return {"slot": at >> 6, "mark": np.left_shift(np.int64(1), at & 63)}
+
+    set_ = map_batches(grams.select(column), "slot long, mark long", each).groupBy("slot").agg(F.bit_or("mark").alias("mark")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[set_["slot"].to_numpy()] = set_["mark"].to_numpy().view(np.uint64)
+    return Bitmap(bits, marks)
+
+
+class Texts:
+    """The tokens of a batch between end tokens: ``a`` are places in ``words``, -1 parts the texts."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        number: dict[bytes, int] = {END: 0}
+        a: list[int] = []
+        for ws in texts:
+            a.append(0)
+            a += [number.setdefault(w, len(number)) for w in ws]
+            a += [0, -1]
+        self.a, self.words = np.array(a, np.int64), list(number)
+        self.first = np.cumsum([0] + [len(ws) + 3 for ws in texts])
+        self.hash = hashes(self.words)
+
+    def pairs(self, held: Bitmap) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a pair that may be held starts at a place, and its hash."""
+        a, h = self.a, self.hash[self.a]
+        value = longer(h[:-1], h[1:])
+        return (a[:-1] >= 0) & (a[1:] >= 0) & held.may_hold(value), value
+
+    def gram(self, at: np.ndarray, n: int) -> list[bytes]:
+        w = self.words
+        return [b" ".join([w[i] for i in x]) for x in np.stack([self.a[at + k] for k in range(n)], 1).tolist()]
+
+
+def count_ngrams(train: DataFrame, words: Bitmap, pairs: Bitmap | None, least: int) -> DataFrame:
+    """(gram, c) of the pairs, or with ``pairs`` of the triples, seen at least so often; words are blank-joined.
+
+    An n-gram can't be more frequent than its parts, so those of rarer parts needn't be counted.
     """
-    size = len(words)
+    spark = train.sparkSession
+    sent = spark.sparkContext.broadcast((words, pairs))
 
     def each(batch: pa.RecordBatch) -> dict:
-        ids: list[int] = []
-        end = words.get(END, -1)
-        for text in batch.column("text").to_pylist():
-            ids.append(end)
-            ids += [words.get(w, -1) for w in split(text)]
-            ids += [end, -1]
-        a = np.array(ids, np.int64)
-        pair = np.where((a[:-1] >= 0) & (a[1:] >= 0), a[:-1] * size + a[1:], -1)
-        if before is not None and len(before):
-            at = np.minimum(np.searchsorted(before, pair), len(before) - 1)
-            at = np.where(before[at] == pair, at, -1)
-            pair = np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] * size + a[2:], -1)
-        found, seen = np.unique(pair[pair >= 0], return_counts=True)
-        return {"gram": found, "c": seen}
-
-    if before is not None and not len(before):
-        return []
-    counts = map_batches(train, "gram long, c long", each).groupBy("gram").agg(F.sum("c").alias("c"))
-    return [(r.gram, r.c) for r in counts.filter(F.col("c") >= least).collect()]
-
-
-def build(train: DataFrame, counts: DataFrame, n: int, v: int, rest: float, config: LmConfig) -> Automaton:
-    roots = counts.filter(F.col("c") >= max(config.least_count, config.root_share * n)).collect()
-    roots.sort(key=lambda r: (-r.c, r.word))
-    words = {bytes(r.word): i for i, r in enumerate(roots)}
-    c = np.array([r.c for r in roots], float)
+        words, pairs = sent.value
+        t = Texts([split(text) for text in batch.column("text").to_pylist()])
+        if pairs is None:
+            held = words.may_hold(t.hash)
+            ok = (t.a[:-1] >= 0) & (t.a[1:] >= 0) & held[t.a[:-1]] & held[t.a[1:]]
+            n, code = 2, t.a[:-1] * len(t.words) + t.a[1:]
+        else:
+            ok, _ = t.pairs(pairs)
+            _, pair = np.unique(t.a[:-1] * len(t.words) + t.a[1:], return_inverse=True)
+            ok = ok[:-1] & ok[1:]
+            n, code = 3, pair[:-1] * len(t.words) + t.a[2:]
+        at = np.flatnonzero(ok)
+        _, first, seen = np.unique(code[at], return_index=True, return_counts=True)
+        return {"gram": [g.decode() for g in t.gram(at[first], n)], "c": seen}
+
+    counts = map_batches(train, "gram string, c long", each).groupBy("gram").agg(F.sum("c").alias("c"))
+    return counts.filter(F.col("c") >= least)
+
+
+@dataclass
+class Tables:
+    """words: (word, c, arc, back); pairs, triples: (gram, c, arc, back, gain). ``arc`` is the weight of
+    the last word after the others, ``back`` the backoff factor of the n-gram as a history (null
+    without arcs), both as log10."""
+
+    words: DataFrame
+    pairs: DataFrame
+    triples: DataFrame
+    maps: tuple[Bitmap, Bitmap]
+
+
+def weigh(train: DataFrame, counts: DataFrame, n: int, rest: float, config: LmConfig) -> Tables:
+    """Arcs and backoff factors of all n-grams; nothing of it is gathered."""
+    least, d = config.least_count, config.discount
+    c, total = F.col("c"), float(max(n, 1))
+    words = counts.select(F.col("word").cast("string").alias("word"), "c", F.log10((c - rest) / total).alias("arc"))
+    known = bitmap(words.filter(c >= least), "word")
+    pairs = write_scratch(count_ngrams(train, known, None, least), "lm-pairs")
+    seen = bitmap(pairs, "gram")
+    triples = write_scratch(count_ngrams(train, known, seen, least), "lm-triples")
+    first, last = (F.substring_index("gram", " ", k) for k in (1, -1))
+
+    def backs(arcs: DataFrame) -> DataFrame:
+        """(history, back): what the arcs leave over that part of the shorter history's mass they don't go on with."""
+        left = F.greatest(1 - F.sum(F.pow(F.lit(10.0), "arc")), F.lit(1e-9))
+        lower = F.greatest(1 - F.sum(F.pow(F.lit(10.0), "lower")), F.lit(1e-9))
+        return arcs.groupBy("history").agg(F.log10(left / lower).alias("back"))
+
+    common = words.filter(c >= least)
+    two = pairs.select("gram", "c", first.alias("history"), last.alias("word"))
+    two = two.join(common.select("word", F.col("arc").alias("lower")), "word")
+    two = two.join(common.select(F.col("word").alias("history"), F.col("c").alias("of")), "history")
+    two = write_scratch(two.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "lm-pair-arcs")
+    back1 = write_scratch(backs(two), "lm-backoffs")
+    three = triples.select("gram", "c", F.substring_index("gram", " ", 2).alias("history"), F.substring_index("gram", " ", -2).alias("suffix"))
+    three = three.join(two.select(F.col("gram").alias("suffix"), F.col("arc").alias("lower")), "suffix")
+    three = three.join(pairs.select(F.col("gram").alias("history"), F.col("c").alias("of")), "history")
+    three = write_scratch(three.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "lm-triple-arcs")
+    back2 = write_scratch(backs(three), "lm-backoffs")
+
+    # What an arc weighs more than the failure arc and the shorter history's, and with it what its own state adds.
+    def gained(arcs: DataFrame, back: DataFrame, own: DataFrame | None) -> DataFrame:
+        out = arcs.join(back.withColumnRenamed("back", "failed"), "history")
+        out = out.withColumn("back", F.lit(None).cast("double")) if own is None else out.join(own.withColumnRenamed("history", "gram"), "gram", "left")
+        gain = F.col("arc") - F.col("lower") - F.col("failed") + F.coalesce("back", F.lit(0.0))
+        return out.select("gram", "c", "arc", "back", gain.alias("gain"))
+
+    return Tables(
+        write_scratch(words.join(back1.withColumnRenamed("history", "word"), "word", "left"), "lm-words"),
+        write_scratch(gained(two, back1, back2), "lm-pair-weights"),
+        write_scratch(gained(three, back2, None), "lm-triple-weights"), (seen, bitmap(triples, "gram")))
+
+
+def build(train: DataFrame, counts: DataFrame, n: int, v: int, rest: float, config: LmConfig, tables: Tables | None = None) -> Automaton:
+    """The automaton of the common words, pairs and triples, with the weights of the whole model."""
+    tables = tables or weigh(train, counts, n, rest, config)
+    roots = tables.words.filter(F.col("c") >= max(config.least_count, config.root_share * n)).collect()
+    roots = sorted(((r.word.encode(), r.c, r.arc, r.back) for r in roots), key=lambda r: (-r[1], r[0]))
+    words = {w: i for i, (w, *_) in enumerate(roots)}
     size = len(words)
-    least = max(config.least_count, config.arc_share * n)
-    common = {w: i for w, i in words.items() if c[i] >= least}
-    # Number words alike in all orders: the common ones come first.
-    size2 = len(common)
-    pairs = sorted(count_ngrams(train, common, None, least))
-    numbers = np.array([g for g, _ in pairs], np.int64)
-    triples = sorted(count_ngrams(train, common, numbers, least))
-    root = np.log10((c - rest) / n) if size else c
-    arcs = {w: (float(root[w]), 0) for w in range(size)}
     fail, backoff, state_of = [0], [0.0], {}
-    # Histories of one word, then of two; a state has arcs for the n-grams that go on from it.
-    after: dict[int, list[tuple[int, int]]] = {}
-    for g, k in pairs:
-        after.setdefault(g // size2, []).append((g % size2, k))
-    for h in after:
-        state_of[h] = len(fail)
-        fail.append(0)
-        backoff.append(0.0)
-    for h in state_of:
-        arcs[h] = (arcs[h][0], state_of[h])
-    long_of: dict[int, int] = {}
-    follow: dict[int, list[tuple[int, int]]] = {}
-    for g, k in triples:
-        follow.setdefault(g // size2, []).append((g % size2, k))
-    for place in follow:
-        long_of[place] = len(fail)
-        fail.append(state_of.get(int(numbers[place]) % size2, 0))
-        backoff.append(0.0)
-    place_of = {int(g): i for i, g in enumerate(numbers)}
-
-    def add(state: int, history_count: float, arcs_out: list[tuple[int, int]], next_of) -> None:
-        weights = [(w, (k - config.discount) / history_count) for w, k in arcs_out]
-        lower = sum(10 ** weight_at(arcs, fail, backoff, size, fail[state], w) for w, _ in weights)
-        left = max(1 - sum(p for _, p in weights), 1e-9)
-        backoff[state] = math.log10(left / max(1 - lower, 1e-9))
-        for w, p in weights:
-            arcs[state * size + w] = (math.log10(p), next_of(w))
-
-    for h, out in after.items():
-        add(state_of[h], c[h], out, lambda w, h=h: long_of.get(place_of[h * size2 + w], state_of.get(w, 0)))
-    pair_count = [k for _, k in pairs]
-    for place, out in follow.items():
-        last = int(numbers[place]) % size2
-        add(long_of[place], pair_count[place], out,
-            lambda w, last=last: long_of.get(place_of.get(last * size2 + w, -1), state_of.get(w, 0)))
-    end = words.get(END, -1)
-    return Automaton(words, c, arcs, fail, backoff, state_of.get(end, 0))
+
+    def state(gram: bytes, back: float, shorter: int) -> None:
+        state_of[gram] = len(fail)
+        fail.append(shorter)
+        backoff.append(back)
+
+    for w, _, _, back in roots:
+        if back is not None:
+            state(w, back, 0)
+    arcs = {i: (arc, state_of.get(w, 0)) for i, (w, _, arc, _) in enumerate(roots)}
+    often = F.col("c") >= max(config.least_count, config.arc_share * n)
+    pairs, triples = (sorted((r.gram.encode(), r.arc, r.back) for r in t.filter(often).select("gram", "arc", "back").collect())
+                      for t in (tables.pairs, tables.triples))
+    for gram, _, back in pairs:
+        if back is not None:
+            state(gram, back, state_of.get(gram.rpartition(b" ")[2], 0))
+    for gram, arc, _ in pairs + triples:
+        history, _, last = gram.rpartition(b" ")
+        end = b" ".join(gram.split(b" ")[-2:])
+        arcs[state_of[history] * size + words[last]] = (arc, state_of.get(end, state_of.get(last, 0)))
+    return Automaton(words, np.array([c for _, c, *_ in roots], float), arcs, fail, backoff, state_of.get(END, 0),
+                     {g for g, *_ in pairs + triples})
 
 
 def weight_at(arcs, fail, backoff, size, state, w) -> float:
@@ -202,49 +306,70 @@ def score(docs: DataFrame, held_out_fold: int = 1, config: LmConfig = LmConfig()
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)),
         F.count(F.when(F.col("c") == 2, 1))).first()
     rest = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
-    model = build(train, counts, n, v, rest, config)
-    sent = spark.sparkContext.broadcast(model)
+    tables = weigh(train, counts, n, rest, config)
+    model = build(train, counts, n, v, rest, config, tables)
+    sent = spark.sparkContext.broadcast((model, tables.maps))
     below = n + 0.5 * (v + 1)
     base = np.log10((model.counts + 0.5) / below)
 
     def each(batch: pa.RecordBatch) -> dict:
-        m = sent.value
+        m, (pairs, triples) = sent.value
         known = m.words
         end = known.get(END, -1)
-        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "weight")}
-        rows, doc_ids, texts = (batch.column(k).to_pylist() for k in ("row", "doc_id", "text"))
-        for row, doc_id, text in zip(rows, doc_ids, texts):
-            ws = split(text)
+        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "gram", "words", "times", "n_tokens", "n_known", "base", "weight")}
+        rows, doc_ids = (batch.column(k).to_pylist() for k in ("row", "doc_id"))
+        texts = [split(text) for text in batch.column("text").to_pylist()]
+        t = Texts(texts)
+        two, value = t.pairs(pairs)
+        three = two[:-1] & two[1:] & triples.may_hold(longer(value[:-1], t.hash[t.a[2:]]))
+        places, grams = [], []
+        for n_words, held in ((2, two), (3, three)):
+            at = np.flatnonzero(held)
+            places.append(np.searchsorted(at, t.first).tolist())
+            grams.append(t.gram(at, n_words))
+        for i, (row, doc_id, ws) in enumerate(zip(rows, doc_ids, texts)):
             ids = [known.get(w, -1) for w in ws]
             ids.append(end)
             a = np.array(ids, np.int64)
             own = a[a >= 0]
-            rare = Counter([w for w, i in zip(ws, ids) if i < 0])
+            rare = Counter([w for w, k in zip(ws, ids) if k < 0])
             if end < 0:
                 rare[END] += 1
-            k = len(rare) + 1
-            out["row"] += [row] * k
-            out["doc_id"] += [doc_id] * k
-            # The document's own row has a key that holds a blank, so it meets no word.
-            out["word"] += [b" %d" % row, *rare]
-            out["times"] += [0, *rare.values()]
-            out["n_tokens"] += [len(ids)] + [0] * (k - 1)
-            out["n_known"] += [len(own)] + [0] * (k - 1)
-            out["base"] += [float(base[own].sum())] + [0.0] * (k - 1)
-            out["weight"] += [traverse(m, ids)] + [0.0] * (k - 1)
+            k = len(rare)
+            more = [Counter(g[at[i]:at[i + 1]]) for at, g in zip(places, grams)]
+            for n_words, seen in zip((2, 3), more):
+                for g in seen.keys() & m.common:
+                    del seen[g]
+                k += len(seen)
+            # The document's own row has a key that holds three blanks, so it meets no n-gram.
+            out["gram"] += [b"   %d" % row, *rare, *more[0], *more[1]]
+            out["words"] += [0] + [1] * len(rare) + [2] * len(more[0]) + [3] * len(more[1])
+            out["times"] += [0, *rare.values(), *more[0].values(), *more[1].values()]
+            out["row"] += [row] * (k + 1)
+            out["doc_id"] += [doc_id] * (k + 1)
+            out["n_tokens"] += [len(ids)] + [0] * k
+            out["n_known"] += [len(own)] + [0] * k
+            out["base"] += [float(base[own].sum())] + [0.0] * k
+            out["weight"] += [traverse(m, ids)] + [0.0] * k
+        out["gram"] = [g.decode() for g in out["gram"]]
         return out
 
-    schema = ("row long, doc_id long, word binary, times int, n_tokens int, n_known int, base double, weight double")
+    schema = ("row long, doc_id long, gram string, words int, times int, n_tokens int, n_known int, base double, weight double")
     parts = map_batches(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), schema, each)
-    found = parts.join(counts.filter(F.col("c") < max(config.least_count, config.root_share * n)), "word", "left")
+    rare = tables.words.filter(F.col("c") < max(config.least_count, config.root_share * n)).select(
+        F.col("word").alias("gram"), "c", (F.col("arc") + F.coalesce("back", F.lit(0.0))).alias("gain"))
+    for t in (tables.pairs, tables.triples):
+        rare = rare.unionByName(t.filter(F.col("c") < max(config.least_count, config.arc_share * n)).select(
+            "gram", F.lit(0).cast("long").alias("c"), "gain"))
+    found = parts.join(rare, "gram", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     unknown = math.log10(rest * v / n) if n else 0.0
-    times = F.col("times")
-    weight = F.when(c > 0, F.log10((c - rest) / float(max(n, 1)))).otherwise(F.lit(unknown))
+    times, word = F.col("times"), F.col("words") == 1
+    weight = F.coalesce(F.col("gain"), F.when(word, F.lit(unknown)).otherwise(0.0))
     sums = found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(c > 0, times).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + times * F.log10((c + 0.5) / float(below))).alias("base_score"),
+        F.sum(F.col("base") + F.when(word, times * F.log10((c + 0.5) / float(below))).otherwise(0.0)).alias("base_score"),
         F.sum(F.col("weight") + times * weight).alias("score"))
     return sums.select(
         "doc_id", (fold(F.col("doc_id")) == held_out_fold).alias("held_out"), "n_tokens", "n_known",
