@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 ``fit`` counts character pairs of labelled samples for both classes; the model is the table of
-log-likelihood ratios of one character after another, of fixed size (the alphabet squared).
+log-likelihood ratios of one character after another, of fixed size (the alphabet squared), moved
+so that the cut that held-out samples of both classes call for is at ``min_per_char``.
 ``scan`` adds the ratios along each long run of identifier characters and reports runs that are
 likelier random. Patterns and models are column expressions over one row: nothing is shuffled
 and no row is too hot.
@@ -21,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrove.functions.bind import bind
-
-from .common import bounded_sample
+from pagetrove.session import write_scratch
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,11 +38,10 @@ SIZE = len(ALPHABET) + 1  # 0 stands for the start
 
 @dataclass(frozen=True)
 class ScanConfig:
-    sample_docs: int = 2000      # bound of the sample that ordinary strings are drawn from
     smoothing: float = 0.5       # added to the count of each single character
     prior: float = 5.0           # weight of single characters against pairs
     min_ratio: float = 8.0       # log-likelihood ratio a run must reach
-    min_per_char: float = 0.4    # and its mean per character
+    min_per_char: float = 0.4    # and its mean per character, where the held-out cut is put
     marker: str = "[SECRET]"
 
 
@@ -55,41 +54,90 @@ def codes(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.get(lookup, F.ascii(c)))
 
 
-def samples(docs: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Labelled strings (text, random): long words of a bounded sample of documents, and digests in
-    the shapes that keys have (hexadecimal, base 64, capitals and digits)."""
-    ids = bounded_sample(docs.select("doc_id"), config.sample_docs, "secret sample").distinct()
-    ids = F.broadcast(ids.withColumnRenamed("doc_id", "sampled"))
-    picked = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("sampled")), "left_semi")
-    word = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z_-]{8,}"), F.lit(0)))
-    ordinary = picked.select(word.alias("text"), F.lit(False).alias("random"))
+def made_ordinary(words: Column, key: Column) -> Column:
+    """Identifiers, paths, dates, numbers and rules, put together from six words."""
+    digest = F.sha2(key, 256)
+
+    def n(i, below):
+        return F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int") % below
+
+    def w(*numbers, style=F.lower):
+        return [style(F.get(words, F.lit(i))) for i in numbers]
+
+    year, month, day = (n(0, 50) + 1990).cast("string"), F.lpad((n(1, 12) + 1).cast("string"), 2, "0"), F.lpad((n(2, 28) + 1).cast("string"), 2, "0")
+    slash, dash, line, equals = map(F.lit, "/-_=")
+    rules = F.array(*map(F.lit, "+/_=-"))
+    return F.array(
+        F.concat_ws("_", *w(0, 1), year, *w(2), month),
+        F.concat(slash, F.concat_ws("/", *w(0)), slash, F.concat_ws("-", *w(1, 2)), slash, *w(3)),
+        F.concat(slash, F.concat_ws("/", year, month, day), slash, F.concat_ws("-", *w(4, 5, 0))),
+        F.concat_ws("/", *w(0, 1, 2, 3)), F.concat_ws("-", year, month, day, *w(0)),
+        F.concat(*w(0), *w(1, 2, 3, style=F.initcap)), F.concat(*w(4, 5, style=F.initcap), n(3, 100).cast("string")),
+        F.concat_ws("_", *w(0, 1, 2, style=F.upper)), F.concat(*w(0), equals, *w(1), line, n(5, 1000).cast("string")),
+        F.concat(*[n(i, 10).cast("string") for i in range(16)]), F.lit("1234567890" * 2),
+        F.repeat(F.get(rules, n(4, 5)), 20))
+
+
+def samples(docs: DataFrame) -> DataFrame:
+    """Labelled strings (text, random, times). Ordinary are the runs of 8 characters or more in all
+    documents, but for what base patterns cover, and from each document a dozen strings made of its
+    first words; random are digests in the shapes that keys have (hexadecimal, base 64, capitals and digits)."""
+    text = F.coalesce("text", F.lit(""))
+    bare = F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    found = docs.select(F.explode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9+/_=-]{8,}"), F.lit(0))).alias("text"), F.lit(False).alias("random"))
     key = F.concat(F.lit("sample|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.regexp_extract_all(F.substring(text, 1, 1000), F.lit(r"[A-Za-z]{3,}"), F.lit(0))
+    made = docs.select(words.alias("words"), key.alias("key")).filter(F.size("words") >= 6).select(
+        F.explode(made_ordinary(F.col("words"), F.col("key"))).alias("text"), F.lit(False).alias("random"))
     digest = F.sha2(key, 256)
     shapes = F.array(
         F.md5(key.cast("binary")), F.base64(F.unhex(digest)),
         F.concat(F.conv(F.substring(digest, 1, 12), 16, 36), F.conv(F.substring(digest, 13, 12), 16, 36)))
-    drawn = picked.select(F.explode(shapes).alias("text"), F.lit(True).alias("random"))
-    return ordinary.unionByName(drawn)
+    drawn = docs.select(F.explode(shapes).alias("text"), F.lit(True).alias("random"))
+    return found.unionByName(made).unionByName(drawn).groupBy("text", "random").agg(F.count("*").alias("times"))
 
 
 def fit(labelled: DataFrame, config: ScanConfig = ScanConfig()) -> list[float]:
-    """The table of log P(next | random) - log P(next | ordinary), row by previous character.
+    """The table of log P(next | random) - log P(next | ordinary), row by previous character, from
+    four fifths of the strings (of the times of a frequent one); the others say where to cut.
 
     At most 2 x 68 x 68 counts reach the driver. Without samples of a class the ratio says nothing (0).
     """
+    times = F.col("times") if "times" in labelled.columns else F.lit(1)
     clean = labelled.filter(F.col("random").isNotNull()).select(
-        "random", F.concat(F.array(F.lit(0)), codes(F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]", ""))).alias("c"))
+        "random", F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]", "").alias("text"), times.cast("long").alias("times"))
+    held_out = F.when(F.col("times") >= 5, F.floor(F.col("times") / 5)).when(F.pmod(F.xxhash64("text"), F.lit(5)) == 0, F.col("times")).otherwise(0)
+    clean = write_scratch(clean.withColumn("held_out", held_out).withColumn("times", F.col("times") - F.col("held_out")), "secret-samples")
+    coded = clean.filter("times > 0").withColumn("c", F.concat(F.array(F.lit(0)), codes(F.col("text"))))
     pairs = F.transform(F.slice("c", 1, F.size("c") - 1), lambda a, i: a * SIZE + F.get("c", i + 1))
-    counts = clean.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
+    counts = coded.select("random", "times", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.sum("times").alias("n")).collect()
     n = {r: [[0.0] * SIZE for _ in range(SIZE)] for r in (False, True)}
     for row in counts:
-        n[row["random"]][row["pair"] // SIZE][row["pair"] % SIZE] += row["count"]
+        n[row["random"]][row["pair"] // SIZE][row["pair"] % SIZE] += row["n"]
     logs = {}
     for r, lines in n.items():  # pairs are smoothed by single characters, which are smoothed evenly
         single = [sum(column) + config.smoothing for column in zip(*lines)]
         share = [x / sum(single) for x in single]
         logs[r] = [math.log((x + config.prior * p) / (sum(line) + config.prior)) for line in lines for x, p in zip(line, share)]
-    return [a - b for a, b in zip(logs[True], logs[False])]
+    table = [a - b for a, b in zip(logs[True], logs[False])]
+    cut = best_cut(clean.filter((F.col("held_out") > 0) & (F.char_length("text") >= 16)), table)
+    return table if cut is None else [x - cut + config.min_per_char for x in table]
+
+
+def best_cut(held_out: DataFrame, table: list[float], steps: int = 50) -> float | None:
+    """The mean ratio a character that parts the two kinds with the least shares of both on the wrong
+    side, the middle one of equals; None without strings of both."""
+    mean = ratio(F.col("text"), table) / F.char_length("text")
+    rows = held_out.groupBy("random", F.floor(mean * steps).alias("step")).count().collect()
+    n = {r: {x["step"]: x["count"] for x in rows if x["random"] == r} for r in (False, True)}
+    if not n[False] or not n[True]:
+        return None
+    wrong = {}
+    for at in range(min(min(x) for x in n.values()), max(max(x) for x in n.values()) + 2):
+        wrong[at] = (sum(k for s, k in n[False].items() if s >= at) / sum(n[False].values())
+                     + sum(k for s, k in n[True].items() if s < at) / sum(n[True].values()))
+    best = [at for at, x in wrong.items() if x <= min(wrong.values()) + 1e-12]
+    return best[len(best) // 2] / steps
 
 
 def ratio(text: Column, model: list[float]) -> Column:

@@ -4,9 +4,11 @@ import collections
 import math
 from zlib import crc32
 
-from pagetrove.llm import lm_scoring
+from pagetrove.llm import lm_scoring, secrets
 from pagetrove.llm.common import documents
 
+from .conftest import frame
+
 
 def test_lm_scores_all_ngrams(spark, sf_small):
     """Plain Python with every pair and triple seen 3 times, whatever its share; large shares leave all to the join."""
@@ -44,3 +46,15 @@ def test_lm_scores_all_ngrams(spark, sf_small):
         got = {r.doc_id: r.score for r in lm_scoring.score(documents(spark, sf_small), config=config).collect()}
         assert got.keys() == want.keys()
         assert all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-6) for i in want), config
+
+
+def test_ordinary_runs_are_no_secrets(spark, sf_small):
+    plain = ["=" * 20, "-" * 20, "/2023/01/15/article-about-things", "some/path/to/file/in/tree", "user_profile_2023_backup_01",
+             "getUserAccountByIdentifier", "MAXIMUM_CONNECTION_POOL_SIZE", "src/main/java/HttpServer2Test"]
+    random = ["ghp_16C7e42F292c6912E7710c838347Ae178B4a", "dGhpcyBpcyBhIHNlY3JldCBrZXkgYnl0ZXM3", "MZ8Q2XK7R4V9T1B6N3P5",
+              "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "7Hq9ZtLp3XvBn5Rk"]
+    docs = frame(spark, [(i, f"see {s} here", "en", "a") for i, s in enumerate(plain + random)])
+    model = secrets.fit(secrets.samples(documents(spark, sf_small)))
+    got = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
+    assert [got[i] for i in range(len(plain))] == [f"see {s} here" for s in plain]
+    assert all(got[len(plain) + i] == "see [SECRET] here" for i in range(len(random)))
