@@ -83,6 +83,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 MAX_BITS = 28  # of a bitmap's places
+BATCH_BYTES = 2 << 20  # of texts whose n-grams a worker holds at a time
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -123,7 +124,7 @@ def bitmap(grams: DataFrame, column: str) -> Bitmap:
         at = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
         return {"slot": at >> 6, "mark": np.left_shift(np.int64(1), at & 63)}
 
-    set_ = map_batches(grams.select(column), "slot long, mark long", each).groupBy("slot").agg(F.bit_or("mark").alias("mark")).toArrow()
+    set_ = map_batches(grams.select(column), "slot long, mark long", each, BATCH_BYTES).groupBy("slot").agg(F.bit_or("mark").alias("mark")).toArrow()
     marks = np.zeros(1 << (bits - 6), np.uint64)
     marks[set_["slot"].to_numpy()] = set_["mark"].to_numpy().view(np.uint64)
     return Bitmap(bits, marks)
@@ -178,7 +179,7 @@ def count_ngrams(train: DataFrame, words: Bitmap, pairs: Bitmap | None, least: i
         _, first, seen = np.unique(code[at], return_index=True, return_counts=True)
         return {"gram": [g.decode() for g in t.gram(at[first], n)], "c": seen}
 
-    counts = map_batches(train, "gram string, c long", each).groupBy("gram").agg(F.sum("c").alias("c"))
+    counts = map_batches(train, "gram string, c long", each, BATCH_BYTES).groupBy("gram").agg(F.sum("c").alias("c"))
     return counts.filter(F.col("c") >= least)
 
 
@@ -355,7 +356,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, config: LmConfig = LmConfig()
         return out
 
     schema = ("row long, doc_id long, gram string, words int, times int, n_tokens int, n_known int, base double, weight double")
-    parts = map_batches(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), schema, each)
+    parts = map_batches(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), schema, each, BATCH_BYTES)
     rare = tables.words.filter(F.col("c") < max(config.least_count, config.root_share * n)).select(
         F.col("word").alias("gram"), "c", (F.col("arc") + F.coalesce("back", F.lit(0.0))).alias("gain"))
     for t in (tables.pairs, tables.triples):
