@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pagetrove.session import write_scratch
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, repeats, secrets, sentencepiece_fst, surrogates, toxicity
-from .common import documents, fold, labels
+from . import (centroids, fingerprints, hard_negatives, lm_scoring, mixing, ngram_join, quality_rules, repeats, secrets,
+               sentencepiece_fst, surrogates, token_counts, toxicity)
+from .common import documents, embeddings, fold, labels
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir), token_counts.compile_merges(token_counts.default_model()))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(embeddings(spark, sf_dir))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(embeddings(spark, sf_dir))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_pii_surrogates, op2_mix_sources, op3_secret_scan, op4_ngram_jaccard_join, op5_lm_score, op6_sentencepiece,
-        op7_quality_rules, op8_fingerprints, op9_toxicity, op10_suffix_dedup)}
+        op7_quality_rules, op8_fingerprints, op9_toxicity, op10_suffix_dedup, op11_token_counts,
+        op12_hard_negatives, op13_centroid_clusters)}
