@@ -3,12 +3,10 @@
 import html
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagetrove.functions import text, urls
-from pagetrove.functions.fuzzy import contains_ratio, partial_levenshtein, partial_score
+from pagetrove.functions.fuzzy import contains_ratio, partial_levenshtein
 from pagetrove.functions.highlight import highlight, word_variants
 from pagetrove.functions.register import register_functions
 from pagetrove.operators.links import is_denied
@@ -113,40 +111,7 @@ def test_highlight(spark):
     assert values(spark, [("Spark and spark", "spark")], marked, "t string, q string") == ["<b>Spark</b> and <b>spark</b>"]
 
 
-def plain_common(a, b):
-    table = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(table[j] + 1 if x == y else max(table[j + 1], row[j]))
-        table = row
-    return table[-1]
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text("ab c.", max_size=12), st.text("ab c.", max_size=20))
-def test_partial_score_properties(a, b):
-    score = partial_score(a, b)
-    assert 0 <= score <= 100
-    assert score == partial_score(b, a) or len(a) == len(b) or len(a.strip()) == len(b.strip()) or "." in a + b
-    floored = partial_score(a, b, 80)
-    assert floored == score if score > 80 else floored <= 80
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text("abcd", min_size=1, max_size=40), st.text("abcd", max_size=40))
-def test_common_length(a, b):
-    from pagetrove.functions.fuzzy import _common_length
-
-    masks = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    assert _common_length(masks, len(a), b) == plain_common(a, b)
-
-
 def test_fuzzy_columns(spark):
-    assert partial_score("https://ex.com/spark-sql", "spark sql") == 100
-    assert partial_score("", "x") == 0 and partial_score("abc", "xyz") == 0
     pairs = [("Spark SQL guide", "spark sql"), ("other", "spark sql"), ("x", "")]
     assert values(spark, pairs, contains_ratio(F.col("t"), F.col("q")), "t string, q string") == [100, 0, 0]
     assert values(spark, pairs, partial_levenshtein(F.col("t"), F.col("q")), "t string, q string")[::2] == [100, 0]
@@ -161,14 +126,6 @@ def test_sql_functions(spark):
     assert tuple(row) == ("www.h.com", "h.com", "a ", "h.com › a › b", 100)
 
 
-@pytest.mark.parametrize("size", [190, 210, 2_000])
-def test_partial_score_of_long_texts(size):
-    from pagetrove.functions.fuzzy import partial_score
-
-    text = ("lorem ipsum dolor sit amet " * 100)[:size - 20] + " spark sql tuning ok"
-    assert partial_score(text, "spark sql tuning") == 100
-
-
 def test_merging_takes_linear_time(spark):
     import time
 
