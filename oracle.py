@@ -117,7 +117,7 @@ def chunks_of(source: str, separator: str, columns: str) -> dict[str, str]:
 
 
 def with_ctes(ctes: dict[str, str], body: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes.items()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n == 'cut_runs' else 'MATERIALIZED '}({q})" for n, q in ctes.items()) + "\n" + body
 
 
 def article_ctes() -> dict[str, str]:
@@ -214,19 +214,106 @@ def levenshtein_ratio(text: str) -> str:
         FROM (SELECT {short} AS s, {long_} AS l) x)"""
 
 
-def rank_ctes(ratio=contains_ratio) -> dict[str, str]:
+def partial_ctes(pairs: str) -> dict[str, str]:
+    """CTE ``partial(a, b, ratio)`` of the distinct pairs of cleaned texts that ``pairs`` selects.
+
+    Ratios of up to the cutoff are left out. Each level of ``cut_runs`` takes the longest run of equal
+    characters of a region as a block and cuts the other runs to the regions on both sides of it; the
+    longest common subsequence of a window is the longest rising sequence of its places.
+    """
+    cut = W.fuzzy_cutoff + 0.5
+    return {
+        "given": f"SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> '' AND b <> ''",
+        "sided": """SELECT row_number() OVER () AS pair, a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s,
+                    CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM given""",
+        "s_counts": "SELECT s, c, count(*) AS n FROM (SELECT DISTINCT s, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS i FROM sided) GROUP BY 1, 2",
+        "l_counts": "SELECT l, c, count(*) AS n FROM (SELECT DISTINCT l, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS j FROM sided) GROUP BY 1, 2",
+        "bound": """SELECT pair, sum(least(a.n, b.n)) AS most FROM sided JOIN s_counts a ON a.s = sided.s
+                    JOIN l_counts b ON b.l = sided.l AND b.c = a.c GROUP BY 1""",
+        "likely": f"SELECT sided.* FROM sided JOIN bound USING (pair) WHERE 200 * most >= {cut} * (length(s) + most)",
+        "s_chars": "SELECT s, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) - 1 AS i FROM (SELECT DISTINCT s FROM likely)",
+        "l_chars": "SELECT l, unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) - 1 AS j FROM (SELECT DISTINCT l FROM likely)",
+        "places": "SELECT pair, i, j FROM likely JOIN s_chars x ON x.s = likely.s JOIN l_chars y ON y.l = likely.l AND y.c = x.c",
+        "runs": """SELECT pair, min(i) AS i, min(j) AS j, count(*) AS n FROM (
+                   SELECT *, i - row_number() OVER (PARTITION BY pair, j - i ORDER BY i) AS g FROM places) GROUP BY pair, j - i, g""",
+        "cut_runs": """SELECT pair, 0 AS level, 0::BIGINT AS alo, 0::BIGINT AS blo, i, j, n FROM runs
+                       UNION ALL
+                       SELECT pair, level + 1, side.alo, side.blo, side.i, side.j, side.n FROM (
+                         SELECT pair, level, unnest([
+                             {'alo': alo, 'blo': blo, 'i': i, 'j': j, 'n': least(n, -best.i - i, -best.j - j)},
+                             {'alo': best.n - best.i, 'blo': best.n - best.j, 'i': i + skip, 'j': j + skip, 'n': n - skip}]) AS side
+                         FROM (SELECT *, greatest(0, best.n - best.i - i, best.n - best.j - j) AS skip
+                               FROM (SELECT *, max({'n': n, 'i': -i, 'j': -j}) OVER (PARTITION BY pair, alo, blo) AS best FROM cut_runs)))
+                       WHERE side.n > 0""",
+        "matched": "SELECT pair, max({'n': n, 'i': -i, 'j': -j}) AS best FROM cut_runs GROUP BY pair, level, alo, blo",
+        "windows": """SELECT DISTINCT pair, s, l, begin_at, least(length(s), length(l) - begin_at) AS w FROM (
+                        SELECT pair, greatest(0, best.i - best.j) AS begin_at FROM matched
+                        UNION SELECT pair, length(l) - length(s) FROM likely) JOIN likely USING (pair)""",
+        "in_window": """SELECT pair, begin_at, c, count(*) AS n FROM windows JOIN l_chars USING (l) WHERE j >= begin_at AND j < begin_at + w GROUP BY 1, 2, 3""",
+        "window_bound": """SELECT pair, begin_at, sum(least(x.n, y.n)) AS most FROM in_window x JOIN likely USING (pair)
+                           JOIN s_counts y ON y.s = likely.s AND y.c = x.c GROUP BY 1, 2""",
+        "close": f"SELECT windows.* FROM windows JOIN window_bound USING (pair, begin_at) WHERE 200 * most >= {cut} * (length(s) + w)",
+        "rising": """SELECT pair, begin_at, any_value(length(s) + w) AS total, len(list_reduce(list(i ORDER BY j, i DESC),
+                     lambda t, x: list_concat(list_filter(t, lambda y: y < x), [x], list_filter(t, lambda y: y >= x)[2:]), []::BIGINT[])) AS common
+                     FROM close JOIN places USING (pair) WHERE j >= begin_at AND j < begin_at + w GROUP BY 1, 2""",
+        "partial": f"""SELECT a, b, max(floor(200 * common / total + 0.5))::INT AS ratio FROM rising JOIN sided USING (pair)
+                       GROUP BY 1, 2 HAVING max(floor(200 * common / total + 0.5)) > {W.fuzzy_cutoff}""",
+    }
+
+
+def partial_ratio(text: str) -> str:
+    return f"coalesce((SELECT p.ratio FROM partial p WHERE p.a = {words(text)} AND p.b = {words('q')}), 0)"
+
+
+def snippet_ctes() -> dict[str, str]:
+    """CTE ``snippets``: of each result, how many lines of its chunk match, the first long one of
+    those, and the first long line that holds a word of the query."""
+    line = sub_all("line", t.ANY_TAG)
+    return {
+        "chunk_lines": """SELECT qid, pid, lower(q) AS q, unnest(string_split(lower(chunk), chr(10))[2:]) AS line,
+                          generate_subscripts(string_split(lower(chunk), chr(10))[2:], 1) AS pos FROM deduped""",
+        "chunk_texts": f"SELECT * FROM (SELECT qid, pid, q, pos, {line} AS line FROM chunk_lines) WHERE length(line) >= {W.min_line_chars}",
+    }
+
+
+def snippet_choice() -> dict[str, str]:
+    return {
+        "judged": f"""SELECT qid, pid, pos, line, {partial_ratio('line')} > {W.fuzzy_cutoff} AS hit, length(line) > {W.snippet_chars} AS long,
+                      len(list_filter(string_split(q, ' '), lambda w: contains(line, w))) > 0 AS word FROM chunk_texts""",
+        "snippets": """SELECT qid, pid, count(*) FILTER (hit) AS line_hits, arg_min(line, pos) FILTER (hit AND long) AS matched_line,
+                       arg_min(line, pos) FILTER (word AND long) AS word_line FROM judged GROUP BY 1, 2""",
+    }
+
+
+def rank_ctes(ratio=contains_ratio, snippets: bool = False) -> dict[str, str]:
     stored = "coalesce(summary, '')"
-    short = f"length({stored}) < {W.short_summary_chars}"
     bonus = lambda c, w: f"CASE WHEN {c} > {W.fuzzy_cutoff} THEN {w} * {c} / 100 ELSE 0 END"
+    word_line, matched_line, hits = (f"coalesce({c}, {d})" for c, d in (("word_line", "''"), ("matched_line", "''"), ("line_hits", "0")))
+    if not snippets:
+        word_line, matched_line, hits = "''", "''", "0"
+    chosen = f"""CASE WHEN length({word_line}) > 10 THEN {word_line} WHEN length({stored}) < {W.short_summary_chars} THEN {matched_line}
+                 ELSE {stored} END"""
     score = f"""score + {bonus('url_ratio', W.url_match)} + {bonus('title_ratio', W.title_match)}
         + CASE WHEN {stored} <> '' AND contains(lower({stored}), lower(q)) THEN {W.summary_match} ELSE 0 END
+        + {W.matching_line} * {hits}
         - CASE WHEN {has_tail('url')} THEN {W.query_or_fragment} ELSE 0 END
         - CASE WHEN length(lower(title)) > 50 THEN {W.long_title}::DOUBLE * length(lower(title)) / 50 ELSE 0 END
-        - {W.repeat_url} - {W.no_matching_line} - CASE WHEN {short} THEN {W.no_summary} ELSE 0 END"""
-    return search_ctes() | {
-        "ratios": f"SELECT *, {ratio('url')} AS url_ratio, {ratio('title')} AS title_ratio FROM deduped",
+        - {W.repeat_url} - CASE WHEN {hits} = 0 THEN {W.no_matching_line} ELSE 0 END - CASE WHEN {chosen} = '' THEN {W.no_summary} ELSE 0 END"""
+    pairs = " UNION ".join(f"SELECT {words(c)} AS a, {words('q')} AS b FROM deduped" for c in ("url", "title"))
+    lines = {}
+    if snippets:
+        lines = snippet_ctes()
+        pairs += f" UNION SELECT {words('line')}, {words('q')} FROM chunk_texts"
+    if ratio is partial_ratio:
+        lines |= partial_ctes(pairs)
+    source = "deduped"
+    if snippets:
+        lines |= snippet_choice()
+        source = "deduped LEFT JOIN snippets USING (qid, pid)"
+    return search_ctes() | lines | {
+        "ratios": f"SELECT *, {ratio('url')} AS url_ratio, {ratio('title')} AS title_ratio FROM {source}",
         "scored": f"""SELECT * REPLACE (round(({score})::DOUBLE, 6) + 0 AS score,
-                      CASE WHEN {short} THEN '' ELSE {sub_all(stored, chr(92) + '[' + chr(92) + 'd+' + chr(92) + ']')} END AS summary),
+                      {sub_all(chosen, chr(92) + '[' + chr(92) + 'd+' + chr(92) + ']')} AS summary),
                       {host('url')} AS domain, {breadcrumb('url')} AS path FROM ratios""",
         "ranked": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, base_rank) AS rank FROM scored",
         "sited": f"""SELECT *, {site('domain')} = first_value({site('domain')}) OVER (PARTITION BY qid ORDER BY rank) AS in_first
@@ -358,6 +445,8 @@ def statements() -> dict[str, str]:
     out["result_dedup"] = with_ctes(search_ctes(), "SELECT qid, pid, url, score, base_rank FROM deduped")
     out["rank_rules"] = with_ctes(rank_ctes(), f"SELECT {ranked_columns} FROM ranked")
     out["rank_fuzzy"] = with_ctes(rank_ctes(levenshtein_ratio), f"SELECT {ranked_columns} FROM ranked")
+    out["rank_partial_ratio"] = with_ctes(rank_ctes(partial_ratio), f"SELECT {ranked_columns} FROM ranked")
+    out["rank_intended_snippets"] = with_ctes(rank_ctes(partial_ratio, True), f"SELECT {ranked_columns} FROM ranked")
     out["first_site_group"] = with_ctes(rank_ctes() | {
         "member_rows": "SELECT p.qid, p.position, true AS first_result, s.rank, s.url, s.score FROM placed p JOIN sited s USING (qid) WHERE p.first_result AND s.in_first",
     }, """SELECT qid, position, first_result, rank, url, score FROM member_rows
@@ -401,4 +490,7 @@ def statements() -> dict[str, str]:
     }, f"""SELECT qid, position, 1 AS page, CAST(ceil(total / 30) AS INT) AS total_pages, first_result, url, title, {marked} AS summary,
         path, CASE WHEN first_result THEN coalesce(urls, '') ELSE '' END AS site_links
         FROM sized LEFT JOIN further USING (qid) WHERE position <= 30""")
+    out["served_page"] = with_ctes(rank_ctes(partial_ratio) | {"sized": "SELECT *, count(*) OVER (PARTITION BY qid) AS total FROM placed"},
+        f"""SELECT qid, position, 1 AS page, CAST(ceil(total / 30) AS INT) AS total_pages, first_result, url, title, {marked} AS summary,
+        path FROM sized WHERE position <= 30""")
     return out
