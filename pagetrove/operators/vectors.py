@@ -3,16 +3,18 @@
 Scores are computed as blocked matrix products inside Arrow batches, and each task keeps
 only the best k per query before anything is shuffled. No query-vector pair is ever a row.
 
-* Few queries (checked size): their matrix is broadcast, the vector table is scanned once
-  without a shuffle.
-* Many queries: both sides are cut into slots by a hash of their id; each task multiplies
-  one slot of vectors with one slot of queries.
-* Approximate: the same slots, but inside the hash buckets that queries fall into. A bucket
-  that holds a large share of all vectors is cut into as many slots as its count asks for.
+* Exact: the queries' matrix is broadcast in blocks of a bounded size, and the vector table is
+  scanned once per block. It is neither shuffled nor copied, however many queries there are.
+* Approximate: both sides are cut into slots by a hash of their id inside the hash buckets that
+  queries fall into. A bucket that holds a large share of all vectors is cut into as many slots as
+  its count asks for.
+
+``operators.vector_lists`` searches vectors that were clustered beforehand.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ _QUERY_STEP = 256
 _SCAN_ROWS = 20_000
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
+def as_matrix(column: pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.unique(pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False))
@@ -47,7 +49,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, metric: str) -> np.ndarray:
     return rows
 
 
-def _closeness(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+def closeness(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     """Larger is closer; rounded to 12 digits so that equal inputs tie whatever the order of additions."""
     products = queries @ vectors.T
     if metric == "euclidean":
@@ -73,69 +75,121 @@ def _best(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.nonzero(keep)
 
 
-class _Shortlist:
-    """Best k (score, id) per query over the vector blocks seen so far."""
+class Shortlist:
+    """Best k (score, id) per query over the vector blocks seen so far.
+
+    With ``floors``, scores below a query's floor are of no use from the start.
+    """
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str, id_type: pa.DataType):
+    def __init__(self, queries: np.ndarray, k: int, metric: str, id_type: pa.DataType, floors: np.ndarray | None = None):
         self.queries, self.k, self.metric = queries, k, metric
-        self.floor = np.full(len(queries), -np.inf)
+        self.floor = np.full(len(queries), -np.inf) if floors is None else floors.copy()
         self.rows = pa.table({
             "q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "id": pa.array([], id_type),
         })
+        self.waiting, self.held = [], 0
 
-    def add(self, block: pa.Table) -> None:
+    def add(self, block: pa.Table, only: np.ndarray | None = None) -> None:
+        """Score a block against all queries, or those numbered in ``only``."""
         block = block.sort_by("id")
-        vectors = _matrix(block["values"], self.metric)
+        vectors = as_matrix(block["values"], self.metric)
         if vectors.shape[1] != self.queries.shape[1]:
             raise ValueError(f"vectors of different or no lengths: {vectors.shape[1]} and {self.queries.shape[1]}")
-        found = [self.rows]
-        for start in range(0, len(self.queries), _QUERY_STEP):
-            part = slice(start, start + _QUERY_STEP)
-            scores = _closeness(self.queries[part], vectors, self.metric)
-            q, col = _best(scores, self.floor[part], self.k)
-            found.append(pa.table({
-                "q": pa.array(q + start), "score": pa.array(scores[q, col]), "id": block["id"].take(pa.array(col)),
-            }))
-        merged = pa.concat_tables(found).sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+        only = np.arange(len(self.queries)) if only is None else only
+        for start in range(0, len(only), _QUERY_STEP):
+            part = only[start:start + _QUERY_STEP]
+            self.push(part, closeness(self.queries[part], vectors, self.metric), block["id"])
+
+    def push(self, part: np.ndarray, scores: np.ndarray, ids: pa.ChunkedArray) -> None:
+        """Scores of some queries (rows) and vectors (columns, in id order)."""
+        q, col = _best(scores, self.floor[part], self.k)
+        self.waiting.append(pa.table({
+            "q": pa.array(part[q]), "score": pa.array(scores[q, col]), "id": ids.take(pa.array(col)),
+        }))
+        self.held += len(q)
+        if self.held > max(len(self.rows), _SCAN_ROWS):
+            self.settle()
+
+    def settle(self) -> None:
+        found = pa.concat_tables([self.rows, *self.waiting])
+        self.waiting, self.held = [], 0
+        merged = found.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
         q = merged["q"].to_numpy()
         starts = np.searchsorted(q, np.arange(len(self.queries)))
         place = np.arange(len(q)) - starts[q]
         self.rows = merged.filter(pa.array(place < self.k))
         full = place == self.k - 1
-        self.floor[q[full]] = merged["score"].to_numpy()[full]
+        self.floor[q[full]] = np.maximum(self.floor[q[full]], merged["score"].to_numpy()[full])
 
     def table(self, qids: pa.Array) -> pa.Table:
+        self.settle()
         return pa.table({
             "qid": qids.take(self.rows["q"].combine_chunks()), "id": self.rows["id"], "score": self.rows["score"],
         })
 
 
-def _result_schema(vectors: DataFrame, queries: DataFrame) -> T.StructType:
+def result_schema(id_type: T.DataType, qid_type: T.DataType) -> T.StructType:
     return T.StructType([
-        T.StructField("qid", queries.schema["qid"].dataType),
-        T.StructField("id", vectors.schema["id"].dataType),
-        T.StructField("score", T.DoubleType()),
+        T.StructField("qid", qid_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType()),
     ])
 
 
-def _rank(matches: DataFrame, k: int, metric: str) -> DataFrame:
+def rank_matches(matches: DataFrame, k: int, metric: str, rounded: bool = True) -> DataFrame:
+    """The first k rows of each query; ``rounded`` turns closeness into the score that users see."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     ranked = matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if not rounded:
+        return ranked
     score = -F.col("score") if metric == "euclidean" else F.col("score")
     return ranked.withColumn("score", F.round(score, 6) + 0.0)
 
 
-def _scan_topk(vectors: DataFrame, queries: DataFrame, query_rows: pa.Table, k: int, metric: str) -> DataFrame:
-    ship_package(vectors.sparkSession)
+def query_blocks(queries: DataFrame, max_bytes: int, extra: int = 0) -> Iterator[pa.Table]:
+    """The queries in blocks of at most about ``max_bytes``, brought to the driver one at a time.
+
+    A query counts with its vector, the text of its id, and ``extra`` bytes.
+    """
+    queries = queries.select("qid", "qvec")
+    n, dims, names = queries.agg(
+        F.count("*"), F.max(F.size("qvec")), F.sum(F.length(F.col("qid").cast("string")))).first()
+    blocks = math.ceil((n * ((dims or 0) * 8 + extra) + (names or 0)) / max(max_bytes, 1))
+    if not n:
+        return
+    if blocks <= 1:
+        yield queries.toArrow()
+        return
+    blocks = min(blocks * 2, n)  # a hash deals them out only about evenly
+    dealt = write_scratch(queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))), "queries")
+    for i in range(blocks):
+        block = dealt.filter(F.col("block") == i).select("qid", "qvec").toArrow()
+        if len(block):
+            yield block
+
+
+def in_turn(spark, blocks: Iterator[DataFrame], schema: T.StructType, k: int, metric: str) -> DataFrame:
+    """Ranked matches of all blocks of queries. Of several blocks, each is worked off and written before the next is begun."""
+    first = next(blocks, None)
+    if first is None:
+        return rank_matches(spark.createDataFrame([], schema), k, metric)
+    done, found = [], rank_matches(first, k, metric)
+    for block in blocks:
+        done.append(write_scratch(found, "matches"))
+        found = rank_matches(block, k, metric)
+    if not done:
+        return found
+    return functools.reduce(DataFrame.unionByName, [*done, write_scratch(found, "matches")])
+
+
+def _scan_topk(vectors: DataFrame, query_rows: pa.Table, k: int, metric: str, schema: T.StructType) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(
-        (query_rows["qid"].combine_chunks(), _matrix(query_rows["qvec"], metric))
+        (query_rows["qid"].combine_chunks(), as_matrix(query_rows["qvec"], metric))
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = shared.value
         shortlist, waiting, rows = None, [], 0
         for batch in batches:
-            shortlist = shortlist or _Shortlist(matrix, k, metric, batch.schema.field("id").type)
+            shortlist = shortlist or Shortlist(matrix, k, metric, batch.schema.field("id").type)
             waiting.append(batch)
             rows += len(batch)
             if rows >= _SCAN_ROWS:
@@ -146,7 +200,7 @@ def _scan_topk(vectors: DataFrame, queries: DataFrame, query_rows: pa.Table, k:
         if shortlist is not None:
             yield from shortlist.table(qids).to_batches(max_chunksize=_SCAN_ROWS)
 
-    return vectors.select("id", "values").mapInArrow(scan, _result_schema(vectors, queries))
+    return vectors.select("id", "values").mapInArrow(scan, schema)
 
 
 def _slot(key: str, slots: str) -> Column:
@@ -175,12 +229,12 @@ def _slot_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> D
     )
 
     def pair(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        shortlist = _Shortlist(_matrix(query_rows["qvec"], metric), k, metric, vector_rows.schema.field("id").type)
+        shortlist = Shortlist(as_matrix(query_rows["qvec"], metric), k, metric, vector_rows.schema.field("id").type)
         if len(query_rows) and len(vector_rows):
             shortlist.add(vector_rows.select(["id", "values"]))
         return shortlist.table(query_rows["qid"].combine_chunks())
 
-    return v.groupBy(keys).cogroup(q.groupBy(keys)).applyInArrow(pair, _result_schema(vectors, queries))
+    return v.groupBy(keys).cogroup(q.groupBy(keys)).applyInArrow(pair, result_schema(vectors.schema["id"].dataType, queries.schema["qid"].dataType))
 
 
 def vector_topk(
@@ -192,20 +246,10 @@ def vector_topk(
     Returns ``qid, id, score, rank``; ties go to the smaller id. For "euclidean" the score
     is the distance and the smallest comes first.
     """
-    queries = queries.select("qid", "qvec")
-    n_queries, dims = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
-    if n_queries * (dims or 0) * 8 <= max_broadcast_bytes:
-        return _rank(_scan_topk(vectors, queries, queries.toArrow(), k, metric), k, metric)
-    n_vectors = vectors.count()
-
-    def one_bucket(df: DataFrame) -> DataFrame:
-        return df.withColumns({
-            "bucket": F.lit(0).cast("long"),
-            "v_slots": F.lit(max(1, math.ceil(n_vectors / VECTORS_PER_SLOT))),
-            "q_slots": F.lit(max(1, math.ceil(n_queries / QUERIES_PER_SLOT))),
-        })
-
-    return _rank(_slot_topk(one_bucket(vectors), one_bucket(queries), k, metric), k, metric)
+    ship_package(vectors.sparkSession)
+    schema = result_schema(vectors.schema["id"].dataType, queries.schema["qid"].dataType)
+    blocks = (_scan_topk(vectors, rows, k, metric, schema) for rows in query_blocks(queries, max_broadcast_bytes))
+    return in_turn(vectors.sparkSession, blocks, schema, k, metric)
 
 
 @dataclass(frozen=True)
@@ -225,11 +269,42 @@ class LshIndex:
     seed: int = 42
 
     @classmethod
-    def sized(cls, dims: int, rows: int, candidates: int = 1_000, tables: int = 12, probes: int = 2) -> "LshIndex":
-        """As many planes as leave about ``candidates`` unrelated vectors per query. A table of no
-        more rows than that gets one plane, and nearly all of it is looked at."""
-        share = tables * (probes + 1) * rows / candidates
-        return cls(dims, tables, max(1, math.ceil(math.log2(share))) if rows > candidates else 1, probes)
+    def tuned(
+        cls, vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", recall: float = 0.95,
+        max_share: float = 0.5, tables: int = 12, sample_queries: int = 200, sample_vectors: int = 5_000,
+    ) -> "LshIndex | None":
+        """The setting that looks at the smallest share of all vectors with at least ``recall`` of the true
+        matches, both measured on bounded samples; None where no setting looks at less than
+        ``max_share``, so that the exact search should be used."""
+        def some(df: DataFrame, key: str, bound: int) -> DataFrame:
+            share = min(1.0, bound / max(df.count(), 1))
+            return df.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40)) < int(share * (1 << 40))).limit(bound)
+
+        asked = write_scratch(some(queries.select("qid", "qvec"), "qid", sample_queries), "query-sample")
+        truth = vector_topk(vectors, asked, k, metric).select("qid", "id")
+        pairs = vectors.select("id", "values").join(F.broadcast(truth), "id").join(F.broadcast(asked), "qid").toArrow()
+        other = some(vectors.select("id", "values"), "id", sample_vectors).select("values").toArrow()
+        if not len(pairs) or not len(other):
+            return None
+        q, v, rows = as_matrix(pairs["qvec"], "cosine"), as_matrix(pairs["values"], "cosine"), as_matrix(other["values"], "cosine")
+        best = None
+        for planes in range(1, math.ceil(math.log2(max(vectors.count(), 2))) + 1):
+            for probes in range(min(planes, 3) + 1):
+                index = cls(q.shape[1], tables, planes, probes)
+                if index._meets(q, v).mean() >= recall:
+                    share = float(np.mean([index._meets(x[None], rows).mean() for x in q[:: max(1, len(q) // 50)]]))
+                    best = min(best or (max_share, None), (share, index), key=lambda s: s[0])
+        return best and best[1]
+
+    def _meets(self, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Whether the index looks at each vector for the query in the same row, or for the only query."""
+        normals = self.normals()
+        sides, other = ((rows @ normals).reshape(len(rows), self.tables, self.planes) for rows in (queries, vectors))
+        differ = (sides > 0) != (other > 0)
+        across = np.zeros(sides.shape, bool)
+        np.put_along_axis(across, np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :min(self.probes, self.planes)], True, axis=2)
+        n = differ.sum(axis=2)
+        return ((n == 0) | ((n == 1) & (differ & across).any(axis=2))).any(axis=1)
 
     def normals(self) -> np.ndarray:
         """One column per plane, the planes of a table side by side."""
@@ -246,7 +321,7 @@ class LshIndex:
         def hash_rows(rows: pa.Array) -> pa.Array:
             if len(rows) == 0:
                 return pa.array([], pa.list_(pa.int64()))
-            sides = (_matrix(rows, "cosine") @ normals).reshape(len(rows), tables, planes)
+            sides = (as_matrix(rows, "cosine") @ normals).reshape(len(rows), tables, planes)
             bits = np.int64(1) << np.arange(planes, dtype=np.int64)
             codes = ((sides > 0) * bits).sum(axis=2) + (np.arange(tables, dtype=np.int64) << planes)
             near = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :probes]
@@ -285,4 +360,4 @@ class LshIndex:
         reached = q.select("bucket", "v_slots").distinct().select("bucket", _all_slots("v_slots").alias("v_slot"))
         hit = v.join(reached, ["bucket", "v_slot"], "left_semi").drop("v_slot")
         found = _slot_topk(hit, q, k, metric)
-        return _rank(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k, metric)
+        return rank_matches(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k, metric)

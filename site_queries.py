@@ -15,6 +15,7 @@ from pagetrove.operators.embed import hashed_embedder
 from pagetrove.operators.links import is_denied, page_links
 from pagetrove.operators.rank import dedup_results, group_first_site, score_results
 from pagetrove.operators.store import Store, table_stats
+from pagetrove.operators.vector_lists import VectorLists
 from pagetrove.operators.vectors import LshIndex, vector_topk
 from pagetrove.plans.frontier import crawl_counts, frontier
 from pagetrove.plans.ingest import (
@@ -225,9 +226,37 @@ def _topk(metric: str):
 
 
 def vector_topk_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    """By sign planes, where a setting with enough recall saves work; else the exact search."""
     vectors, queries = _vectors(spark, sf)
-    index = LshIndex.sized(64, vectors.count())
-    return index.topk(index.index(vectors), queries, k=10)
+    index = LshIndex.tuned(vectors, queries, k=10)
+    return index.topk(index.index(vectors), queries, k=10) if index else vector_topk(vectors, queries, k=10)
+
+
+def vector_topk_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact search that skips lists by their bounds."""
+    vectors, queries = _vectors(spark, sf)
+    return VectorLists.build(vectors).topk_exact(queries, k=10)
+
+
+def vector_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """Inverted lists and codes, where that saves work at the recall asked for; else the exact search."""
+    vectors, queries = _vectors(spark, sf)
+    return VectorLists.build(vectors).topk(queries, k=10)
+
+
+def vector_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What inverted lists and codes find of the true ten of every document's vector, among the
+    vectors of all documents, whether they save work or not."""
+    vectors = write_scratch(documents_of(spark, sf).select(
+        F.col("doc_id").alias("id"), hashed_embedder(64)(F.col("text")).alias("values")), "document-vectors")
+    queries = vectors.select(F.col("id").alias("qid"), F.col("values").alias("qvec"))
+    index = VectorLists.build(vectors)
+    settings = index.tune(queries, k=10, max_share=1.0)
+    found = index.topk(queries, k=10, settings=settings).select("qid", "id", F.lit(True).alias("found"))
+    true = vector_topk(vectors, queries, k=10)
+    return true.join(found, ["qid", "id"], "left").groupBy().agg(
+        F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_true"),
+        (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
 
 
 PLANES = LshIndex(dims=64, tables=8, planes=4)
@@ -428,6 +457,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_topk_euclidean": _topk("euclidean"),
         "vector_topk_lsh": vector_topk_lsh,
         "vector_topk_planes": vector_topk_planes,
+        "vector_topk_lists": vector_topk_lists,
+        "vector_topk_ivf": vector_topk_ivf,
+        "vector_ivf_recall": vector_ivf_recall,
         "upsert_vectors": upsert_vectors,
         "delete_vectors": delete_vectors,
         "ingest_webpages": ingest_webpages,
