@@ -246,7 +246,7 @@ class VectorLists:
         return np.nonzero((per_list > 0) & (self.sizes > 0))[0], int((per_list * self.sizes).sum())
 
     def _query_blocks(self, queries: DataFrame, max_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        for rows in query_blocks(queries, max_bytes, extra=len(self.sizes) // 4):
+        for rows in query_blocks(queries, max_bytes, extra=len(self.sizes) // 4) if len(self.sizes) else ():
             yield rows["qid"].combine_chunks(), as_matrix(rows["qvec"], self.config.metric)
 
     # -- exact -----------------------------------------------------------------------------
@@ -308,7 +308,7 @@ class VectorLists:
     ) -> DataFrame:
         """``qid, id, score, rank`` by the settings, tuned on these queries if there are none. Scores are exact."""
         settings = settings or self.tune(queries, k)
-        if settings.exact or not len(self.sizes):
+        if settings.exact:
             return self.topk_exact(queries, k, max_broadcast_bytes)
         schema = result_schema(self.schema["id"].dataType, queries.schema["qid"].dataType)
         blocks = (self._approximate_block(qids, matrix, k, settings, schema)
