@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,13 +50,24 @@ _KEPT: dict = {}
 
 def worker_cache(name: str, make: Callable = dict):
     """What a Python worker keeps between tasks. A worker serves one operator after another; the
-    cache of the one before is dropped, so that their sizes don't add up."""
+    cache of the one before is dropped and its memory given back, so that their sizes don't add up."""
     if name not in _KEPT:
         _KEPT.clear()
+        give_back()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which allocators otherwise keep for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(
     df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], dict[str, list]], max_bytes: int = 16 << 20,
 ) -> DataFrame:
@@ -67,6 +80,7 @@ def map_batches(
     from pyspark.sql.types import StructType
 
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +89,19 @@ def map_batches(
                 columns = each(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], type=f.type) for f in kind], schema=kind)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send at most 2,000 rows to a Python worker at a time, unless the session names its own number:
+    texts are long, and a batch is held by the executor and by the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, 2000)
+
+
 def slices(batch: pa.RecordBatch, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``max_bytes``, and one row at least."""
     rows = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))

@@ -1,11 +1,11 @@
 """Near-duplicate join: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. One pass over the texts gives narrow rows: a 128-bit hash of the word sequence and the MinHash
-   band hashes. Texts of one word sequence form a class; the least id speaks for it, so copies
-   cost one row each from here on.
+   band hashes. Texts of one word sequence form a class with a number of its own, and a text of its
+   least id speaks for it, so copies cost one row each from here on.
 2. Band and row counts are chosen for a target recall at the threshold. Representatives meet by
    band hash. A bucket is not expanded into pairs: each member is put with the bucket's leader
-   (its least id), which is one row per member, and a member has few distinct leaders.
+   (its least class), which is one row per member, and a member has few distinct leaders.
 3. Members fetch their full shingle sets, and each leader's group is verified exactly, in blocks:
    large groups are cut into blocks and each pair of blocks is one task's work, so a group of any
    size meets no single task, and what leaves the task is a count per member and a spanning
@@ -15,7 +15,8 @@
 Defined results: words are runs of anything but ASCII white space; a text of fewer than five
 words has its word sequence as its only shingle; null and empty texts have the empty sequence and
 are copies of one another. ``n_links`` counts classes of other word sequences at or above the
-threshold, alike for all copies. A null id takes part as an id of its own below all others.
+threshold, alike for all copies. ``class_id`` is the least id of a class. Classes hold texts, so an id
+with several texts may be in several. A null id takes part as an id of its own below all others.
 Rows repeated in full give one row each. Only doc_id and text are read.
 """
 
@@ -38,7 +39,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
 BLOCK = 256  # members that are verified against as many others at a time
-_MOST_CACHED = 400_000
+_MOST_CACHED = 250_000  # words, about 32 MB
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -81,7 +82,7 @@ def shingles(text: str | None, width: int = SHINGLE) -> tuple[np.ndarray, bytes]
 
 
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, class_hash, bands): one narrow row per document."""
+    """(doc_id, mark, class_hash, n, bands): one narrow row per document; ``mark`` tells texts of one id apart."""
     draw = np.random.default_rng(20240511)
     factors = draw.integers(0, 2 ** 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,29 +103,33 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 mins[b, full] = _mix(key)
         keys = pa.array(mins.T.reshape(-1).view(np.int64))
         ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands)
-        return {"doc_id": batch.column("doc_id"), "class_hash": [w for _, w in found],
+        return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "class_hash": [w for _, w in found],
                 "n": sizes, "bands": pa.ListArray.from_arrays(ends, keys)}
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(narrow, "doc_id long, class_hash binary, n int, bands array<long>", each)
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    return map_batches(narrow, "doc_id long, mark long, class_hash binary, n int, bands array<long>", each)
 
 
 def leader_groups(reps: DataFrame) -> DataFrame:
-    """(leader, member): each member with the least id of each of its buckets, buckets of one left out."""
-    keyed = reps.filter("n > 0").select("id", F.posexplode("bands").alias("band", "key"))
-    leaders = keyed.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    return keyed.join(leaders, ["band", "key"]).select("leader", F.col("id").alias("member")).distinct()
+    """(leader, member): each class with the least class of each of its buckets, buckets of one left out."""
+    keyed = reps.filter("n > 0").select("class", F.posexplode("bands").alias("band", "key"))
+    leaders = keyed.groupBy("band", "key").agg(F.min("class").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+    return keyed.join(leaders, ["band", "key"]).select("leader", F.col("class").alias("member")).distinct()
 
 
-def verify(groups: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Edges and counts of the groups: (id, to, links).
+def verify(groups: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Edges and counts of the groups: (id, to, links), numbers of classes.
 
     Rows with ``to`` are edges of a spanning forest; rows with ``links`` are counts to be summed.
     """
     of_member = groups.groupBy("member").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
     sized = groups.groupBy("leader").agg(F.count("*").alias("members"))
-    sets = shingle_sets(texts.join(of_member, texts.id == of_member.member, "left_semi"))
-    rows = groups.join(sized, "leader").join(of_member, "member").join(sets, F.col("member") == F.col("id"))
+    speakers = classes.join(of_member, F.col("class") == F.col("member"), "left_semi").select("class", "id", "class_hash")
+    # An id may have several texts, and a text several rows.
+    sets = shingle_sets(texts.join(speakers, "id", "left_semi")).join(speakers, ["id", "class_hash"])
+    sets = sets.groupBy(F.col("class").alias("member")).agg(F.first("shingles").alias("shingles"))
+    rows = groups.join(sized, "leader").join(of_member, "member").join(sets, "member")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("member"), F.greatest(blocks, F.lit(1))).cast("int")
     rows = rows.select("leader", "member", "leaders", "shingles", blocks.alias("blocks"), own.alias("own"))
@@ -139,12 +144,13 @@ def verify(groups: DataFrame, texts: DataFrame, threshold: float, block: int = B
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch) -> dict:
-        sets = [np.unique(shingles(t)[0]) for t in batch.column("text").to_pylist()]
+        found = [shingles(t) for t in batch.column("text").to_pylist()]
+        sets = [np.unique(s) for s, _ in found]
         ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return {"id": batch.column("id"), "shingles": pa.ListArray.from_arrays(ends, pa.array(flat))}
+        return {"id": batch.column("id"), "class_hash": [w for _, w in found], "shingles": pa.ListArray.from_arrays(ends, pa.array(flat))}
 
-    return map_batches(texts, "id long, shingles array<long>", each)
+    return map_batches(texts, "id long, class_hash binary, shingles array<long>", each)
 
 
 def _verify_sorted(batches, threshold):
@@ -249,34 +255,53 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id (least id of its near-duplicate class), n_links, n_copies.
+LOW = -(1 << 63)  # stands for a null id among ids
 
-    ``n_copies`` is the number of documents of the same word sequence.
+
+def classified(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(id, mark, class_hash, class_id, speaks, n_links, n_copies) of each document.
+
+    The text that speaks for a class of near duplicates has the least id of it, and of that id's
+    texts in the class the one of the least hash.
     """
     bands, rows = bands_for(threshold, recall)
-    low = -(1 << 63)  # stands for a null id among ids
-    known = write_scratch(sketch(docs, bands, rows).withColumn("id", F.coalesce("doc_id", F.lit(low))), "sketch")
+    known = write_scratch(sketch(docs, bands, rows).withColumn("id", F.coalesce("doc_id", F.lit(LOW))), "sketch")
     classes = known.groupBy("class_hash").agg(
         F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = write_scratch(classes, "classes")
+    classes = write_scratch(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     groups = write_scratch(leader_groups(classes), "groups")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.filter(F.col("text").isNotNull())
-    found = write_scratch(verify(groups, texts, threshold), "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("id"), F.col("text").cast("string").alias("text"))
+    found = write_scratch(verify(groups, classes, texts.filter(F.col("text").isNotNull()), threshold), "links")
+    links = found.groupBy("id").agg(F.sum("links").alias("n_links")).withColumnRenamed("id", "class")
     label = components(found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    of_class = classes.select("class_hash", "id", "n_copies").join(links, "id", "left").join(label, "id", "left").select(
-        "class_hash", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = known.select("doc_id", "class_hash").join(of_class, "class_hash")
-    return out.select("doc_id", F.when(F.col("class_id") != low, F.col("class_id")).alias("class_id"), "n_links", "n_copies")
+    linked = classes.select("class", "class_hash", "id").join(label.withColumnRenamed("id", "class"), "class")
+    speakers = linked.groupBy("label").agg(F.min(F.struct("id", "class_hash")).alias("speaker"))
+    speakers = linked.join(speakers, "label").select("class", "speaker")
+    own = F.struct("id", "class_hash")
+    of_class = classes.select("class", "class_hash", "n_copies", own.alias("own")).join(links, "class", "left").join(
+        speakers, "class", "left").select(
+        "class_hash", F.coalesce("speaker", "own").alias("speaker"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    out = known.select("id", "mark", "class_hash").join(of_class, "class_hash")
+    return out.select(
+        "id", "mark", "class_hash", F.col("speaker")["id"].alias("class_id"), (own == F.col("speaker")).alias("speaks"), "n_links", "n_copies")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id (least id of its near-duplicate class), n_links, n_copies.
+
+    ``n_copies`` is the number of documents of the same word sequence.
+    """
+    def shown(column: str):
+        return F.when(F.col(column) != LOW, F.col(column))
+
+    return classified(docs, threshold, recall).select(
+        shown("id").alias("doc_id"), shown("class_id").alias("class_id"), "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The documents that speak for their class: those whose id is the least of it, with all columns."""
-    found = near_duplicates(docs, threshold, recall)
-    low = F.lit(-(1 << 63))
-    gone = found.filter(F.coalesce("doc_id", low) != F.coalesce("class_id", low)).select(
-        F.coalesce("doc_id", low).alias("gone_id")).distinct()
+    """The documents that speak for their class, with all columns. A repeated row stays repeated."""
+    gone = classified(docs, threshold, recall).filter(~F.col("speaks")).select(
+        F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
     gone = write_scratch(gone, "gone")
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), low) == gone.gone_id, "left_anti")
+    own_id, own_mark = F.coalesce(docs["doc_id"].cast("long"), F.lit(LOW)), F.xxhash64(docs["text"].cast("string"))
+    return docs.join(gone, (own_id == gone.gone_id) & (own_mark == gone.gone_mark), "left_anti")

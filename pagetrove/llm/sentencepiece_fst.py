@@ -37,7 +37,7 @@ META = "▁"
 # Fixed values of the model format: kinds of pieces, kinds of models.
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 UNKNOWN_PENALTY = 10.0
-_MOST_CACHED = 800_000
+CACHE_BYTES = 48 << 20   # of a worker's caches; an entry takes about 150 bytes beside its text
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,7 @@ class Transducer:
         self.cut = re.compile(machine.parts).findall
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         self.is_byte = np.zeros(len(machine.bytes_of), bool)
         self.is_byte[list(machine.byte_ids)] = True
         self.whole = {p for p in machine.pieces if len(p) == 1 or self.merged(p) == [p]} if machine.bpe else set()
@@ -122,10 +123,13 @@ class Transducer:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) > _MOST_CACHED:
+            if self.held + 110 * len(self.pairs) > CACHE_BYTES:
                 known.clear()
+                self.pairs.clear()
+                self.held = 0
             for part in set(parts).difference(known):
-                known[part] = np.array(self.ids(self.path(part)), np.int32).tobytes()
+                coded = known[part] = np.array(self.ids(self.path(part)), np.int32).tobytes()
+                self.held += 150 + len(part) + len(coded)
             return b"".join(map(known.__getitem__, parts))
 
     def ids(self, path: list[str]) -> list[int]:

@@ -97,14 +97,66 @@ def test_near_duplicates_in_blocks(spark):
     docs = frame(spark, rows)
     got = ngram_join.near_duplicates(docs).collect()
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {59}
-    groups = ngram_join.leader_groups(_classes(docs))
+    classes = _classes(docs)
+    groups = ngram_join.leader_groups(classes)
     texts = docs.selectExpr("doc_id id", "text")
-    whole, cut = (ngram_join.verify(groups, texts, 0.8, b).groupBy("id").sum("links").collect() for b in (256, 7))
+    whole, cut = (ngram_join.verify(groups, classes, texts, 0.8, b).groupBy("id").sum("links").collect() for b in (256, 7))
     assert {r[0]: r[1] for r in whole} == {r[0]: r[1] for r in cut} == dict.fromkeys(range(60), 59)
 
 
 def _classes(docs):
-    return ngram_join.sketch(docs, *ngram_join.bands_for(0.8, 0.999)).withColumnRenamed("doc_id", "id")
+    return ngram_join.sketch(docs, *ngram_join.bands_for(0.8, 0.999)).selectExpr("*", "doc_id id", "doc_id class")
+
+
+def test_ids_with_several_texts(spark):
+    def text(n, changed=()):
+        return " ".join(f"c{i}" if i in changed else f"w{n}x{i}" for i in range(60))
+
+    rows = [(1, text(0)), (5, text(0)), (5, text(1)), (7, text(2)), (7, text(2)), (7, text(3)), (9, text(3, [2])),
+            (9, text(1, [59])), (2, "  " + text(2).replace(" ", "\n")), (None, text(3, [3])), (None, text(4))]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    kept = collections.Counter((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect())
+    # of texts 0 to 4 the least id stays, a null id before all others, and of one id the same text's rows
+    assert kept == collections.Counter([(1, text(0)), (5, text(1)), (2, rows[8][1]), (None, text(3, [3])), (None, text(4))])
+    got = collections.Counter(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    assert got == collections.Counter([
+        (1, 1, 0, 2), (5, 1, 0, 2), (5, 5, 1, 1), (9, 5, 1, 1), (7, 2, 0, 3), (7, 2, 0, 3), (2, 2, 0, 3),
+        (7, None, 2, 1), (9, None, 2, 1), (None, None, 2, 1), (None, None, 0, 1)])
+
+
+def brute_classes(rows):
+    """Indices of the rows by class of near duplicates."""
+    words = [tuple((t or "").encode().split()) for _, t in rows]
+    sets = [frozenset(w[i:i + 5] for i in range(len(w) - 4)) if len(w) > 4 else frozenset([w] if w else []) for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if words[a] == words[b] or common and common >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    return groups.values()
+
+
+def test_keep_one_by_brute_force(spark, texts):
+    # every id stands for three texts or so
+    rows = [(i % 60, t) for i, t in sorted(texts.items())]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    kept = collections.Counter((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect())
+    left = 0
+    for group in brute_classes(rows):
+        mine = {rows[i] for i in group} & set(kept)
+        assert {i for i, _ in mine} == {min(rows[i][0] for i in group)}
+        left += len(mine)
+    assert left == len(kept)
 
 
 def test_lm_base_and_normalisation(spark, sf_small, texts):

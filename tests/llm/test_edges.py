@@ -2,6 +2,7 @@
 
 import collections
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,14 @@ def test_surrogates_are_one_to_one(spark):
                                  F.lit(None).cast("string").alias("sex"))
     found = surrogates.assign(few, "k").collect()
     assert len({r.surrogate for r in found}) == 60 and not {r.surrogate for r in found} & {r.entity for r in found}
+
+
+def test_spans_where_letters_change_in_number():
+    model = toxicity.Field()
+    text = "İİ Straße İdiot, xx yyİ"
+    tokens = toxicity.tokens_of(text)
+    p = np.array([float(t in ("idiot", "i̇diot", "diot", "xx")) for t in tokens])
+    found = toxicity.Tagger(model, True).found(text, p)
+    assert "xx" in "".join(text[s["start"]:s["end"]] for s in found)
+    assert all(0 <= s["start"] < s["end"] <= len(text) for s in found)
+    assert toxicity.Tagger(model, True).found("İ xx", np.array([0.0, 1.0] if len(toxicity.tokens_of("İ xx")) == 2 else [0.0, 0.0, 1.0])) == [{"start": 2, "end": 4}]
