@@ -80,16 +80,44 @@ def test_first_wins_cases(spark, rows):
     assert sorted(r.page_id for r in dedup.first_wins_pairs(keys).collect()) == sequential(rows)
 
 
-@pytest.mark.parametrize("hot_keys", [1000, 3])
-def test_first_wins_random_with_hot_keys(spark, monkeypatch, hot_keys):
+@pytest.mark.parametrize("hot_keys, replay_rows, sweeps", [(1000, 200_000, 3), (3, 0, 3), (3, 20, 0), (1000, 40, 1)])
+def test_first_wins_random_with_hot_keys(spark, monkeypatch, hot_keys, replay_rows, sweeps):
     monkeypatch.setattr(dedup, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(dedup, "REPLAY_ROWS", replay_rows)
+    monkeypatch.setattr(dedup, "SWEEPS", sweeps)
     rng = random.Random(7)
     pick = lambda n: 0 if rng.random() < 0.4 else rng.randrange(n)
     rows = [(i, f"u{pick(60)}", f"h{pick(60)}") for i in range(300)]
+    rows += [(i, f"x{i // 2}", f"y{(i + 1) // 2}") for i in range(1000, 1010)]                                 # a chain
+    rows += [(i, f"{i // 10}{rng.randrange(3)}", f"{i // 10}{rng.randrange(3)}") for i in range(2000, 2200)]  # small components
     keys = spark.createDataFrame(rows, "page_id long, url string, hash string")
     assert sorted(r.page_id for r in dedup.first_wins_pairs(keys).collect()) == sequential(rows)
 
 
+def test_components(spark):
+    rows = [(0, "a", "x"), (1, "a", "y"), (2, "b", "y"), (3, "c", "z"), (4, "d", "w"), (5, "d", "v")]
+    rows += [(i, f"u{i // 2}", f"h{(i + 1) // 2}") for i in range(100, 400)]
+    rest = spark.createDataFrame(rows, "o long, u string, h string").repartition(3)
+    from pagetrove.session import write_scratch
+
+    small, large = dedup._by_component(rest, len(rows), write_scratch)
+    groups = {}
+    for r in small.collect():
+        groups.setdefault(r.component, set()).add(r.o)
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3], [4, 5], list(range(100, 400))] and large.count() == 0
+
+
+@pytest.mark.parametrize("order", ["page_id", ("batch", "page_id")])
+def test_chain_of_pages_in_few_jobs(spark, order):
+    rows = [(0, i, f"u{i // 2}", f"h{(i + 1) // 2}") for i in range(10_000)]
+    keys = spark.createDataFrame(rows, "batch int, page_id long, url string, hash string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    kept = sorted(r.page_id for r in dedup.first_wins_pairs(keys, order).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert kept == sequential([r[1:] for r in rows]) and jobs < (10 if order == "page_id" else 20)
+
+
 def brute(v, q, k, metric):
     out = {}
     for qi, qv in q.items():
