@@ -117,19 +117,21 @@ def chunks_of(source: str, separator: str, columns: str) -> dict[str, str]:
 
 
 def with_ctes(ctes: dict[str, str], body: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n == 'cut_runs' else 'MATERIALIZED '}({q})" for n, q in ctes.items()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('cut_runs', 'reached') else 'MATERIALIZED '}({q})" for n, q in ctes.items()) + "\n" + body
 
 
 def article_ctes() -> dict[str, str]:
     names = ", ".join(lit(n) for n in t.ENTITIES)
     chars = ", ".join(lit(c) for c in t.ENTITIES.values())
     containers = ", ".join(f"nullif({extract('body', c)}, '')" for c in t.CONTAINERS)
+    meta = lambda p: sub_all(extract("clean", p), t.QUOTES)
+    site_names = ", ".join(f"nullif({meta(p)}, '')" for p in t.META_SITE_NAME)
     broken = f"regexp_replace(article, {lit(t.BLOCK_ENDS)}, chr(10) || chr(10), 'g')"
     stripped = sub_all(broken, t.ANY_TAG)
     first_p = sub_all(extract("article", t.FIRST_PARAGRAPH), t.ANY_TAG)
     summaries = ", ".join(
         f"nullif({trim_blank(e)}, '')"
-        for e in (extract("clean", t.META_DESCRIPTION), extract("clean", t.META_DESCRIPTION_REVERSED), first_p)
+        for e in (*map(meta, t.META_DESCRIPTION), first_p)
     )
     return {
         "entities": f"SELECT MAP([{names}], [{chars}]) AS m",
@@ -140,7 +142,7 @@ def article_ctes() -> dict[str, str]:
                    {stripped} AS raw_text, coalesce({summaries}) AS raw_summary FROM blocks""",
         "articles": f"""SELECT page_id, url, {host('url')} AS host, {decode('raw_title')} AS title,
                         nullif({trim_blank(decode('raw_summary'))}, '') AS summary,
-                        nullif({extract('clean', t.META_SITE_NAME)}, '') AS sitename,
+                        coalesce({site_names}) AS sitename,
                         {decode('raw_text')} AS text FROM raw, entities""",
     }
 
@@ -343,6 +345,22 @@ def links_ctes() -> dict[str, str]:
     }
 
 
+def reach_ctes() -> dict[str, str]:
+    """CTE ``reached(url, depth)`` of the site whose pages also lead to two others of their host each."""
+    ctes = links_ctes()
+    linked = {
+        "seats": f"SELECT *, {host('url')} AS host, row_number() OVER (PARTITION BY {host('url')} ORDER BY page_id) AS n FROM pages",
+        "tree": """SELECT s.page_id, s.url, s.html || coalesce(string_agg('<a href="' || replace(t.url, '&', '&amp;') || '">more</a>', '' ORDER BY t.n), '') AS html
+                   FROM seats s LEFT JOIN seats t ON t.host = s.host AND t.n IN (2 * s.n, 2 * s.n + 1) GROUP BY s.page_id, s.url, s.html""",
+    }
+    ctes["cleaned"] = ctes["cleaned"].replace("FROM pages", "FROM tree")
+    return linked | ctes | {
+        "edges": f"SELECT DISTINCT {normalized('url')} AS source, link FROM links WHERE NOT {denied('lower(link)')}",
+        "reached": f"""SELECT {normalized('url')} AS url, 0 AS depth FROM seats WHERE n = 1
+                       UNION SELECT link, depth + 1 FROM reached JOIN edges ON source = reached.url WHERE depth < 4""",
+    }
+
+
 def normalized(expr: str) -> str:
     """Paths of the test pages hold no dot parts, which only the Spark side resolves."""
     query = encode_unsafe(extract(expr, u.QUERY_PATTERN))
@@ -483,6 +501,8 @@ def statements() -> dict[str, str]:
     }, """SELECT 'many' AS seeds, url, 0 AS depth FROM pages WHERE NOT starts_with(url, 'http://')
         UNION ALL SELECT 'one', url, 0 FROM first WHERE NOT starts_with(url, 'http://')
         UNION ALL SELECT 'one', url, 1 FROM targets WHERE url NOT IN (SELECT url FROM visited)""")
+    out["crawl_reach"] = with_ctes(reach_ctes(), "SELECT url, min(depth) AS depth FROM reached GROUP BY url")
+    out["crawl_reach_capped"] = out["crawl_reach"] + " ORDER BY depth, url LIMIT 100"
     out["ingest_rejects"] = with_ctes(pages_parsed, """SELECT 'no address' AS reason, count(*) + count(*) FILTER (page_id % 2 = 0) AS n FROM pages
         UNION ALL SELECT 'no html', count(*) FROM pages
         UNION ALL SELECT 'no text', count(*) FILTER (page_id % 3 = 0) + count(*) - (SELECT count(*) FROM parsed) FROM pages""")

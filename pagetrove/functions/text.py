@@ -34,9 +34,18 @@ SIDE_BLOCKS = rf"(?is)<(?:{_blocks('nav', 'footer', 'aside', 'form', 'header')})
 FIRST_PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?:</?p\b|\z)"
 BLOCK_ENDS = r"(?is)<(?:/(?:p|h[1-6]|li|div)\s*>|p\b[^>]*>|br\s*/?>\s*<br\s*/?>)"
 ANY_TAG = r"(?s)<[^>]+>"
-META_DESCRIPTION = r"""(?is)<meta\b[^>]*\bname\s*=\s*["']description["'][^>]*\bcontent\s*=\s*"([^"]*)\""""
-META_DESCRIPTION_REVERSED = r"""(?is)<meta\b[^>]*\bcontent\s*=\s*"([^"]*)"[^>]*\bname\s*=\s*["']description["']"""
-META_SITE_NAME = r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']og:site_name["'][^>]*\bcontent\s*=\s*"([^"]*)\""""
+
+
+def _meta(key: str, value: str) -> tuple[str, str]:
+    """Patterns of a meta tag's quoted content, for the key before the content and after it."""
+    name, content = rf"""\b{key}\s*=\s*["']?{value}["'\s/>]""", r"""\bcontent\s*=\s*("[^"]*"|'[^']*')"""
+    return rf"(?is)<meta\b[^>]*{name}[^>]*{content}", rf"(?is)<meta\b[^>]*{content}[^>]*{name}"
+
+
+META_DESCRIPTION = _meta("name", "description")
+META_SITE_NAME = _meta("property", "og:site_name")
+BASE_HREF = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+QUOTES = r"""^["']|["']$"""
 
 
 def trim_blank(text: Column) -> Column:
@@ -109,14 +118,28 @@ def article_text(article: Column, block_breaks: bool = True) -> Column:
 
 def article_summary(clean_html: Column, article: Column) -> Column:
     """Meta description, else the text of the first paragraph; NULL when there is neither."""
-    picks = [F.regexp_extract(clean_html, META_DESCRIPTION, 1), F.regexp_extract(clean_html, META_DESCRIPTION_REVERSED, 1),
-             strip_tags(F.regexp_extract(article, FIRST_PARAGRAPH, 1))]
+    picks = [*meta_contents(clean_html, META_DESCRIPTION), strip_tags(F.regexp_extract(article, FIRST_PARAGRAPH, 1))]
     found = F.coalesce(*[F.nullif(trim_blank(p), F.lit("")) for p in picks])
     return F.nullif(trim_blank(decode_entities(found)), F.lit(""))
 
 
 def article_sitename(clean_html: Column) -> Column:
-    return F.nullif(decode_entities(F.regexp_extract(clean_html, META_SITE_NAME, 1)), F.lit(""))
+    found = F.coalesce(*[F.nullif(c, F.lit("")) for c in meta_contents(clean_html, META_SITE_NAME)])
+    return F.nullif(decode_entities(found), F.lit(""))
+
+
+def meta_contents(clean_html: Column, patterns: tuple[str, str]) -> list[Column]:
+    return [unquoted(F.regexp_extract(clean_html, p, 1)) for p in patterns]
+
+
+def unquoted(value: Column) -> Column:
+    """An attribute's value without its quotes."""
+    return F.regexp_replace(value, QUOTES, "")
+
+
+def base_href(clean_html: Column) -> Column:
+    """The address that a page's links are relative to, as written; an empty string when there is none."""
+    return decode_entities(unquoted(F.regexp_extract(clean_html, BASE_HREF, 1)))
 
 
 def sentence_count(paragraph: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetrove.config import LINK_DENY_LIST
 from pagetrove.functions.bind import bind
-from pagetrove.functions.text import decode_entities, drop_scripts
+from pagetrove.functions.text import base_href, decode_entities, drop_scripts, unquoted
 from pagetrove.functions.urls import hostname, resolve_link
 from pagetrove.session import write_scratch
 
@@ -18,13 +18,17 @@ HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def page_links(pages: DataFrame, same_host: bool = True, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keep..., url, href, link``: every link of each page, resolved against the page."""
-    def resolved(quoted: Column) -> Column:
-        href = decode_entities(F.regexp_replace(quoted, r"""^["']|["']$""", ""))
-        return bind(href, lambda h: F.struct(h.alias("href"), resolve_link(F.col("url"), h).alias("link")))
+    """``keep..., url, href, link``: every link of each page, resolved against the page's base
+    element, or else against its address."""
+    def resolved(quoted: Column, base: Column) -> Column:
+        return bind(decode_entities(unquoted(quoted)), lambda h: F.struct(h.alias("href"), resolve_link(base, h).alias("link")))
 
-    found = F.regexp_extract_all(drop_scripts(F.col("html")), F.lit(HREF), 1)
-    rows = pages.select(*keep, "url", F.explode(F.transform(found, resolved)).alias("found"))
+    def all_links(html: Column) -> Column:
+        base = F.when(html.rlike(r"(?i)<base\s"), resolve_link(F.col("url"), F.nullif(base_href(html), F.lit(""))))
+        found = F.regexp_extract_all(html, F.lit(HREF), 1)
+        return bind(F.coalesce(base, F.col("url")), lambda b: F.transform(found, lambda quoted: resolved(quoted, b)))
+
+    rows = pages.select(*keep, "url", F.explode(bind(drop_scripts(F.col("html")), all_links)).alias("found"))
     links = rows.select(*keep, "url", "found.href", "found.link").filter(F.col("link").isNotNull())
     return links.filter(hostname(F.col("link")) == hostname(F.col("url"))) if same_host else links
 

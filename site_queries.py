@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetrove.config import IngestConfig, SearchConfig
@@ -17,7 +17,7 @@ from pagetrove.operators.rank import dedup_results, group_first_site, score_resu
 from pagetrove.operators.store import Store, table_stats
 from pagetrove.operators.vector_lists import VectorLists
 from pagetrove.operators.vectors import LshIndex, vector_topk
-from pagetrove.plans.frontier import crawl_counts, frontier
+from pagetrove.plans.frontier import crawl_counts, frontier, link_table, reach
 from pagetrove.plans.ingest import (
     extract_articles, ingest, new_pages, parse_pages, reject_counts, vector_rows, webpage_rows,
 )
@@ -186,6 +186,24 @@ def crawl_step(spark: SparkSession, sf: str) -> DataFrame:
     return steps[0].unionByName(steps[1]).select("seeds", "url", F.col("depth").cast("int").alias("depth"))
 
 
+def _tree_of_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The pages, each leading to two others of its host too, and the first page of every host."""
+    by_host = Window.partitionBy(hostname(F.col("url"))).orderBy("page_id")
+    seats = write_scratch(pages_of(spark, sf).withColumn("n", F.row_number().over(by_host)).withColumn("host", hostname(F.col("url"))), "seats")
+    anchor = F.concat(F.lit('<a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">more</a>'))
+    more = seats.filter("n > 1").groupBy("host", F.floor(F.col("n") / 2).cast("int").alias("n")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("n", anchor.alias("a")))).getField("a"), "").alias("more"))
+    linked = seats.join(more, ["host", "n"], "left").withColumn("html", F.concat("html", F.coalesce("more", F.lit(""))))
+    return linked.select("page_id", "url", "html"), seats.filter("n = 1").select("url")
+
+
+def _reach(max_pages: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        pages, seeds = _tree_of_pages(spark, sf)
+        return reach(write_scratch(link_table(pages), "links"), seeds, max_pages, max_depth=4)
+    return run
+
+
 def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Every page, and copies of it that lack an address, the html, or any text."""
     pages = pages_of(spark, sf)
@@ -449,6 +467,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "crawl_counts": counts,
         "seed_urls": seed_urls,
         "crawl_step": crawl_step,
+        "crawl_reach": _reach(-1),
+        "crawl_reach_capped": _reach(100),
         "ingest_rejects": ingest_rejects,
         "site_key": site_keys,
         "breadcrumb": breadcrumbs,

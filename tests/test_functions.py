@@ -156,3 +156,23 @@ def test_sql_breadcrumb_equals_column(spark):
     urls = ["https://h.com/für/x", "https://h.com/a b/c.html", "https://h.com", "https://h.com/" + "ü" * 20 + "/b", "nowhere"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert all(r.a == r.b for r in df.select(breadcrumb(F.col("url")).alias("a"), F.expr("breadcrumb_of(url)").alias("b")).collect())
+
+
+@pytest.mark.parametrize("tag, found", [
+    ("<meta name='description' content='It&#39;s'>", "It's"),
+    ("<meta content='single' name=\"description\">", "single"),
+    ("<meta name=description content=\"bare name\">", "bare name"),
+    ("<meta property=\"x\" content=\"other\"><meta content=\"a 'b'\" name='description' />", "a 'b'"),
+    ("<meta name=\"description\" content=''>", None),
+])
+def test_meta_description(spark, tag, found):
+    got = values(spark, [tag], text.article_summary(F.col("x"), F.lit("")))
+    assert got == [found]
+
+
+@pytest.mark.parametrize("tag", [
+    "<meta property='og:site_name' content='A & B'>", "<meta content=\"A &amp; B\" property=\"og:site_name\">",
+    "<META CONTENT='A & B' id=x PROPERTY=og:site_name>",
+])
+def test_meta_site_name(spark, tag):
+    assert values(spark, [tag, "<meta property='og:site' content='no'>"], text.article_sitename(F.col("x"))) == ["A & B", None]

@@ -17,7 +17,7 @@ from pagetrove.operators.embed import hashed_embedder
 from pagetrove.operators.links import cap_frontier, page_links
 from pagetrove.operators.vector_lists import ListConfig, Settings, VectorLists
 from pagetrove.operators.vectors import LshIndex, vector_topk
-from pagetrove.plans.frontier import frontier
+from pagetrove.plans.frontier import frontier, reach
 
 
 def one(spark, value, schema, column):
@@ -318,6 +318,33 @@ def test_links_and_frontier(spark):
     assert [tuple(r) for r in frontier(pages, known).collect()] == [("https://h.com/d", 1)]
 
 
+@pytest.mark.parametrize("base, want", [
+    ('<base href="https://h.com/docs/v2/">', "https://h.com/docs/v2/a"),
+    ("<base target=x href='/docs/'>", "https://h.com/docs/a"),
+    ("<base href=sub/page>", "https://h.com/x/sub/a"),
+    ("<base href='https://other.org/'>", None),
+    ("<base target='_blank'><basefont href='/no/'>", "https://h.com/x/a"),
+    ("<!-- <base href='/no/'> --><base href=''>", "https://h.com/x/a"),
+])
+def test_links_are_relative_to_the_base(spark, base, want):
+    pages = spark.createDataFrame([(1, "https://h.com/x/y?q=1", f"<head>{base}</head><a href='a'>a</a>")], "page_id long, url string, html string")
+    assert [r.link for r in page_links(pages).collect()] == ([want] if want else [])
+
+
+def test_reach(spark):
+    edges = [("h/1", "h/2"), ("h/1", "h/3"), ("h/2", "h/1"), ("h/2", "h/4"), ("h/3", "h/4"), ("h/4", "h/5"), ("h/9", "h/8")]
+    links = spark.createDataFrame([(f"https://{a}", f"https://{b}") for a, b in edges], "source string, link string")
+    seeds = spark.createDataFrame([("https://h/1#top",), ("https://H/1",), (None,)], "url string")
+
+    def found(**limits):
+        return sorted((r.depth, r.url[-1]) for r in reach(links, seeds, **limits).collect())
+
+    every = [(0, "1"), (1, "2"), (1, "3"), (2, "4"), (3, "5")]
+    assert found() == every and found(max_depth=2) == every[:4] and found(max_depth=0) == every[:1]
+    assert [found(max_pages=n) for n in (1, 2, 4, 9)] == [every[:1], every[:2], every[:4], every]
+    assert reach(links, seeds.filter("url is null")).count() == 0
+
+
 def test_cap(spark):
     links = spark.createDataFrame([("b", 1, "s"), ("a", 2, "s"), ("c", 1, "t")], "url string, depth int, site string")
     assert [r.url for r in cap_frontier(links, 2).collect()] == ["b", "c"]
