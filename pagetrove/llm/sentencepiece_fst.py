@@ -37,7 +37,7 @@ META = "▁"
 # Fixed values of the model format: kinds of pieces, kinds of models.
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 UNKNOWN_PENALTY = 10.0
-CACHE_BYTES = 48 << 20   # of a worker's caches; an entry takes about 150 bytes beside its text
+CACHE_BYTES = 128 << 20  # of a worker's caches; an entry takes about 150 bytes beside its text
 
 
 @dataclass(frozen=True)
