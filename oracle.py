@@ -147,6 +147,29 @@ def article_ctes() -> dict[str, str]:
     }
 
 
+def dense_ctes() -> dict[str, str]:
+    """CTE ``decoded(page_id, text)``: the run of blocks of the most worth, by sums up to each block."""
+    links = f"array_to_string(list_transform(regexp_extract_all(b, {lit(t.ANCHOR)}, 1), lambda a: {sub_all('a', t.ANY_TAG)}), '')"
+    body = f"regexp_replace({sub_all(sub_all('html', t.SCRIPTS), t.HEAD_AND_DRAWINGS)}, {lit(t.BLOCK_TAG)}, chr(1), 'g')"
+    return {
+        "entities": article_ctes()["entities"],
+        "numbered": """SELECT page_id * 2 AS page_id, html FROM pages UNION ALL
+                       SELECT page_id * 2 + 1, regexp_replace(html, '(?i)</?(article|main)[^>]*>', '', 'g') FROM pages""",
+        "pieces": f"""SELECT page_id, generate_subscripts(bs, 1) AS pos, unnest(bs) AS b FROM (SELECT page_id, string_split({body}, chr(1)) AS bs FROM numbered)""",
+        "measured": f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n, txt,
+                        length(txt) - {t.LINK_COST} * length({links}) - {t.BLOCK_COST} AS worth
+                        FROM (SELECT *, {trim_blank(sub_all('b', t.ANY_TAG))} AS txt FROM pieces) WHERE txt <> ''""",
+        "summed": "SELECT *, sum(worth) OVER (PARTITION BY page_id ORDER BY n) AS upto FROM measured",
+        "least": "SELECT *, min(upto - worth) OVER (PARTITION BY page_id ORDER BY n) AS low FROM summed",
+        "ends": "SELECT page_id, n AS last, low FROM least WHERE upto > low QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY upto - low DESC, n) = 1",
+        "runs_of_blocks": """SELECT e.page_id, e.last, min(s.n) AS first FROM ends e JOIN summed s ON s.page_id = e.page_id AND s.n <= e.last AND s.upto - s.worth = e.low
+                             GROUP BY ALL""",
+        "joined": """SELECT page_id, string_agg(txt, chr(10) || chr(10) ORDER BY n) AS raw FROM measured JOIN runs_of_blocks USING (page_id)
+                     WHERE n BETWEEN first AND last GROUP BY 1""",
+        "decoded": f"SELECT page_id, {decode('raw')} AS text FROM joined, entities",
+    }
+
+
 def parsed_ctes() -> dict[str, str]:
     columns = "page_id, url, host, title, summary"
     return article_ctes() | chunks_of("articles", "chr(10) || chr(10)", columns) | {
@@ -486,13 +509,17 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 'chunks', count(*), 0 FROM chunk_rows UNION ALL SELECT 'vectors', count(*), {DIMS} FROM chunk_rows""")
     out["reset_check"] = with_ctes(store_ctes(), """SELECT ((SELECT count(*) FROM stored) + 2 * (SELECT count(*) FROM chunk_rows))::BIGINT AS n_before,
         0::BIGINT AS n_left, true AS is_empty""")
-    out["stream_ingest"] = with_ctes(store_ctes(), "SELECT hash FROM stored")
+    out["stream_ingest_marked"] = out["stream_ingest"] = with_ctes(store_ctes(), "SELECT hash FROM stored")
     out["stream_frontier"] = out["frontier_all"].replace("SELECT url, depth FROM targets", "SELECT url FROM targets")
     out["upsert_vectors"] = """SELECT vec_id::VARCHAR AS id, dim, round(CASE WHEN label < 5 THEN 2 * x ELSE x END::DOUBLE, 6) AS value
         FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)"""
     out["delete_vectors"] = "SELECT vec_id::VARCHAR AS id FROM embeddings WHERE label >= 5"
+    out["upsert_partitions"], out["delete_partitions"] = out["upsert_vectors"], out["delete_vectors"]
     out["orphan_chunks"] = with_ctes(store_ctes(), """SELECT id, url FROM chunk_rows
         WHERE url NOT IN (SELECT url FROM stored WHERE starts_with(url, 'https://'))""")
+    out["sitemap_index"] = "SELECT 'map=' || page_id // 1000 AS sitemap, url FROM pages"
+    out["model_embedding"] = out["hashed_embedding"]
+    out["dense_text"] = with_ctes(dense_ctes(), """SELECT page_id, coalesce(text, '') AS text FROM numbered LEFT JOIN decoded USING (page_id)""")
     out["seed_urls"] = "SELECT 'text' AS source, url FROM pages UNION ALL SELECT 'sitemap', url FROM pages"
     out["crawl_step"] = with_ctes(links_ctes() | {
         "first": "SELECT url FROM pages ORDER BY page_id LIMIT 1",
@@ -506,6 +533,7 @@ def statements() -> dict[str, str]:
     out["ingest_rejects"] = with_ctes(pages_parsed, """SELECT 'no address' AS reason, count(*) + count(*) FILTER (page_id % 2 = 0) AS n FROM pages
         UNION ALL SELECT 'no html', count(*) FROM pages
         UNION ALL SELECT 'no text', count(*) FILTER (page_id % 3 = 0) + count(*) - (SELECT count(*) FROM parsed) FROM pages""")
+    out["ingest_observed"] = out["ingest_rejects"]
     out["served_page_contains"] = with_ctes(rank_ctes() | {
         "members": "SELECT qid, url, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM sited WHERE in_first",
         "further": "SELECT qid, string_agg(url, ' ' ORDER BY n) AS urls FROM members WHERE n BETWEEN 2 AND 4 GROUP BY qid",

@@ -24,6 +24,7 @@ class IngestConfig:
     block_breaks: bool = True    # block-level end tags separate paragraphs
     normalize: str = "first"     # "first": one tab and one double space per paragraph; "all"
     drop_empty: bool = False     # keep the empty chunk a long first paragraph produces
+    article: str = "tags"        # by article, main and body elements; "dense": the run of blocks with most text beside links
     sitename: str = "host"       # or "article": the page's own og:site_name
 
 

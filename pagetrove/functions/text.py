@@ -34,6 +34,13 @@ SIDE_BLOCKS = rf"(?is)<(?:{_blocks('nav', 'footer', 'aside', 'form', 'header')})
 FIRST_PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?:</?p\b|\z)"
 BLOCK_ENDS = r"(?is)<(?:/(?:p|h[1-6]|li|div)\s*>|p\b[^>]*>|br\s*/?>\s*<br\s*/?>)"
 ANY_TAG = r"(?s)<[^>]+>"
+BLOCK_TAG = (
+    r"(?is)</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr"
+    r"|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|tr|ul)\b[^>]*>"
+)
+ANCHOR = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+# What a block costs in characters, and what each character of a link's text costs beside itself.
+BLOCK_COST, LINK_COST = 40, 2
 
 
 def _meta(key: str, value: str) -> tuple[str, str]:
@@ -116,6 +123,42 @@ def article_text(article: Column, block_breaks: bool = True) -> Column:
     return decode_entities(strip_tags(broken))
 
 
+def dense_text(clean_html: Column) -> Column:
+    """Text of the run of neighbouring blocks with the most text beside links.
+
+    For pages that mark no article. Each block between two block-level tags is worth its
+    characters, less those of links and a fixed cost; one pass over the blocks keeps the best sum of a run
+    that ends at the block and the best run so far. Of equal runs the one that ends first counts, and
+    of those the longest. Blocks are joined by an empty line; a page without a run of worth has ''.
+    """
+    def measured(block: Column) -> Column:
+        links = F.array_join(F.transform(F.regexp_extract_all(block, F.lit(ANCHOR), 1), strip_tags), "")
+        return bind(trim_blank(strip_tags(block)), lambda t: F.struct(
+            t.alias("text"), (F.length(t) - LINK_COST * F.length(links) - BLOCK_COST).alias("worth")))
+
+    def best_run(blocks: Column) -> Column:
+        zero = F.lit(0)
+        start = F.struct(zero.alias("at"), zero.alias("sum"), zero.alias("begin"), zero.alias("best"), F.lit(1).alias("first"), zero.alias("last"))
+
+        def step(s: Column, block: Column) -> Column:
+            at = s["at"] + 1
+            begin = F.when(s["sum"] < 0, at).otherwise(F.greatest(s["begin"], F.lit(1)))
+            total = F.greatest(s["sum"], zero) + block["worth"]
+            return bind(F.struct(total.alias("sum"), begin.alias("begin")), lambda now: F.struct(
+                at.alias("at"), now["sum"].alias("sum"), now["begin"].alias("begin"), F.greatest(s["best"], now["sum"]).alias("best"),
+                F.when(now["sum"] > s["best"], now["begin"]).otherwise(s["first"]).alias("first"),
+                F.when(now["sum"] > s["best"], at).otherwise(s["last"]).alias("last")))
+
+        def texts(run: Column) -> Column:
+            return F.array_join(F.transform(F.slice(blocks, run["first"], run["last"] - run["first"] + 1), lambda b: b["text"]), "\n\n")
+
+        return bind(F.aggregate(blocks, start, step), lambda run: F.when(run["last"] == 0, "").otherwise(texts(run)))
+
+    body = F.regexp_replace(F.regexp_replace(clean_html, HEAD_AND_DRAWINGS, ""), BLOCK_TAG, "\x01")
+    blocks = F.filter(F.transform(F.split(body, "\x01"), measured), lambda b: b["text"] != "")
+    return decode_entities(bind(blocks, best_run))
+
+
 def article_summary(clean_html: Column, article: Column) -> Column:
     """Meta description, else the text of the first paragraph; NULL when there is neither."""
     picks = [*meta_contents(clean_html, META_DESCRIPTION), strip_tags(F.regexp_extract(article, FIRST_PARAGRAPH, 1))]

@@ -1,12 +1,14 @@
 """Text embedding. An embedder is a function from a text column to an array<float> column.
 
 The default hashes words into signed buckets. Words are split and hashed in the JVM; the
-Arrow UDF only adds up one batch of hash codes with numpy. A caller with a real model passes
-its own pandas or Arrow iterator UDF instead.
+Arrow UDF only adds up one batch of hash codes with numpy. A caller with a real model wraps it in
+``model_embedder``, or passes a pandas or Arrow iterator UDF.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -50,3 +52,30 @@ def hashed_embedder(dims: int = 384) -> Embedder:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
     return lambda text: embed(word_codes(text))
+
+
+def model_embedder(make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 30) -> Embedder:
+    """An embedder around any model that turns an array of texts into a matrix.
+
+    ``make_model`` runs once in each Python worker, so a model is loaded there and not sent from the
+    driver; the function it returns gets at most ``batch_size`` texts at a time. Null texts are empty.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    ship_to_active()
+    predict = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return lambda text: predict(F.coalesce(text, F.lit("")))
+
+
+def word_model(dims: int = 384) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """The hashed embedder's vectors, made as a model: texts in, a matrix out."""
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        word = re.compile(r"[^\W_]+")
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            codes = [[int(hashlib.md5(w.encode()).hexdigest()[:5], 16) for w in word.findall(t.lower())] for t in texts]
+            return bucket_sums(pa.array(codes, pa.list_(pa.int32())), dims).astype(np.float32)
+
+        return predict
+
+    return make

@@ -90,6 +90,12 @@ class Store:
         own = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
         return self.read(table, with_batch=True).filter(~own).drop("writer", "batch_id")
 
+    def stream(self, table: str) -> DataFrame:
+        """A stream of what is and will be appended to the current version of a table."""
+        stored = T.StructType(STORE_TABLES[table].fields + BATCH_FIELDS)
+        rows = self.spark.readStream.schema(stored).parquet(self._folder(table, self._current(table)))
+        return rows.drop("writer", "batch_id")
+
     def append(self, table: str, rows: DataFrame, batch_id: int, writer: str = "batch") -> None:
         """Write one batch; the same writer and ``batch_id`` again replace what they wrote before."""
         if not WRITER.fullmatch(writer):

@@ -26,6 +26,28 @@ def read_seeds(spark: SparkSession, source: str) -> DataFrame:
     return non_empty(spark.createDataFrame([(source,)], "url string"))
 
 
+def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """``url`` rows of a sitemap of any size, or of a folder of them, by Spark's XML source: large
+    files are split among tasks."""
+    rows = spark.read.format("xml").schema("loc string").option("rowTag", "url").load(path)
+    return non_empty(rows.select(F.col("loc").alias("url")))
+
+
+def read_sitemap_index(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """``sitemap, url``: the addresses of all sitemaps that an index names.
+
+    The sitemaps are looked up in ``folder`` by the last part of their address. An index has at most
+    50,000 entries by the format's own rule; their names are all that the driver gets.
+    """
+    named = spark.read.format("xml").schema("loc string").option("rowTag", "sitemap").load(path)
+    names = sorted({r.name for r in named.select(F.regexp_extract(trim_blank(F.col("loc")), "([^/]+)/?$", 1).alias("name")).collect()} - {""})
+    if not names:
+        return spark.createDataFrame([], "sitemap string, url string")
+    rows = spark.read.format("xml").schema("loc string").option("rowTag", "url").load([f"{folder}/{n}" for n in names])
+    found = rows.select(F.regexp_extract(F.input_file_name(), "([^/]+)(?:/part-[^/]*)?$", 1).alias("sitemap"), F.col("loc").alias("url"))
+    return non_empty(found)
+
+
 def non_empty(seeds: DataFrame) -> DataFrame:
     return seeds.withColumn("url", trim_blank(F.col("url"))).filter(F.col("url") != "")
 

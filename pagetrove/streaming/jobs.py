@@ -21,7 +21,7 @@ from pagetrove.plans.frontier import new_links
 from pagetrove.plans.ingest import ingest
 
 
-def _start(pages: DataFrame, step, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+def start_batches(pages: DataFrame, step, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     """Run ``step(batch, batch_id, writer)`` for each micro-batch."""
     known, writer = Event(), []
 
@@ -41,7 +41,7 @@ def stream_ingest(
     embed: Embedder | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Ingest each micro-batch of ``pages``; pages already stored change nothing."""
-    return _start(pages, lambda batch, i, writer: ingest(store, batch, i, config, embed, writer), checkpoint, trigger)
+    return start_batches(pages, lambda batch, i, writer: ingest(store, batch, i, config, embed, writer), checkpoint, trigger)
 
 
 def stream_frontier(
@@ -55,4 +55,4 @@ def stream_frontier(
         links = new_links(batch, known, case_sensitive=case_sensitive)
         store.append("links", links.withColumn("depth", F.col("depth").cast("int")), batch_id, writer)
 
-    return _start(pages, step, checkpoint, trigger)
+    return start_batches(pages, step, checkpoint, trigger)

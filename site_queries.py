@@ -11,11 +11,12 @@ from pagetrove.config import IngestConfig, SearchConfig
 from pagetrove.functions.urls import breadcrumb, has_query_or_fragment, hostname, normalize_url, site_key, url_path
 from pagetrove.operators.chunking import content_hash, merge_single_sentences, number_chunks, pack_chunks, paragraphs
 from pagetrove.operators.dedup import exists_in, first_per_key, first_wins_pairs
-from pagetrove.operators.embed import hashed_embedder
+from pagetrove.operators.embed import hashed_embedder, model_embedder, word_model
 from pagetrove.operators.links import is_denied, page_links
 from pagetrove.operators.rank import dedup_results, group_first_site, score_results
 from pagetrove.operators.store import Store, table_stats
 from pagetrove.operators.vector_lists import VectorLists
+from pagetrove.operators.vector_table import VectorTable
 from pagetrove.operators.vectors import LshIndex, vector_topk
 from pagetrove.plans.frontier import crawl_counts, frontier, link_table, reach
 from pagetrove.plans.ingest import (
@@ -26,8 +27,8 @@ from pagetrove.plans.search import search
 from pagetrove.plans.serve import filter_domain, number_pages, serve_page, with_site_links
 from pagetrove.session import scratch_path, write_scratch
 from pagetrove.sources.pages import read_pages, spread, stream_pages
-from pagetrove.sources.seeds import crawl_mode, next_addresses, read_seeds
-from pagetrove.streaming import stream_frontier, stream_ingest
+from pagetrove.sources.seeds import crawl_mode, next_addresses, read_seeds, read_sitemap_index
+from pagetrove.streaming import known_pages, stream_frontier, stream_ingest, stream_ingest_marked
 
 CONFIG = IngestConfig()
 SEARCH = SearchConfig()
@@ -58,6 +59,15 @@ def article_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.fillna("", ["summary", "sitename"])
 
 
+def dense_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The article as the densest run of blocks, also of pages whose article and main elements are gone."""
+    pages = pages_of(spark, sf)
+    bare = pages.withColumn("html", F.regexp_replace("html", "(?i)</?(article|main)[^>]*>", "")).withColumn("kind", F.lit("bare"))
+    both = pages.withColumn("kind", F.lit("whole")).unionByName(bare)
+    rows = extract_articles(both.withColumn("page_id", F.col("page_id") * 2 + (F.col("kind") == "bare").cast("int")), IngestConfig(article="dense"))
+    return rows.select("page_id", "text")
+
+
 def _document_paragraphs(spark: SparkSession, sf: str):
     """Documents mark paragraphs with single line breaks."""
     return documents_of(spark, sf).select("doc_id", "source", "lang", paragraphs(F.col("text"), "\n").alias("paras"))
@@ -92,6 +102,13 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
     return number_chunks(docs, keep=("hash",))
 
 
+def model_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    """The same vectors from a model that is made once a worker."""
+    docs = documents_of(spark, sf).select("doc_id", model_embedder(word_model(CONFIG.dims))(F.col("text")).alias("v"))
+    cells = docs.select("doc_id", F.posexplode("v").alias("dim", "w")).filter("w <> 0")
+    return cells.select("doc_id", "dim", F.round(F.col("w").cast("double"), 6).alias("weight"))
+
+
 def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents_of(spark, sf).select("doc_id", hashed_embedder(CONFIG.dims)(F.col("text")).alias("v"))
     cells = docs.select("doc_id", F.posexplode("v").alias("dim", "w")).filter("w <> 0")
@@ -175,6 +192,20 @@ def seed_urls(spark: SparkSession, sf: str) -> DataFrame:
     return both[0].unionByName(both[1]).select("source", "url")
 
 
+def sitemap_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The addresses in sitemaps of up to 1,000 entries, named by an index, and read back by the XML source."""
+    folder = scratch_path(spark, "sitemaps")
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc><priority>0.5</priority></url>"))
+    maps = pages_of(spark, sf).groupBy(F.floor(F.col("page_id") / 1000).alias("map")).agg(F.array_join(F.collect_list(entry), "\n").alias("entries"))
+    maps = write_scratch(maps, "maps")
+    maps.select("map", F.concat(F.lit("<?xml version='1.0'?><urlset>"), "entries", F.lit("</urlset>")).alias("value")).write.partitionBy("map").text(folder)
+    names = maps.select(F.concat(F.lit("<sitemap><loc>https://example.com/map="), "map", F.lit("</loc></sitemap>")).alias("name"))
+    index = names.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list("name"), ""), F.lit("</sitemapindex>")))
+    index.write.text(f"{folder}-index.xml")
+    return read_sitemap_index(spark, f"{folder}-index.xml", folder)
+
+
 def crawl_step(spark: SparkSession, sf: str) -> DataFrame:
     """Pages under http:// were visited; the others are seeds, which are visited alone, and the
     first page is a single seed whose links are followed."""
@@ -204,7 +235,7 @@ def _reach(max_pages: int):
     return run
 
 
-def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
+def _broken_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every page, and copies of it that lack an address, the html, or any text."""
     pages = pages_of(spark, sf)
     none = F.lit(None).cast("string")
@@ -212,7 +243,18 @@ def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
               pages.withColumn("html", none), pages.withColumn("html", F.lit("<title>t</title><p> </p>")).filter("page_id % 3 = 0")]
     for more in broken:
         pages = pages.unionByName(more)
-    return reject_counts(pages, CONFIG)
+    return pages
+
+
+def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return reject_counts(_broken_pages(spark, sf), CONFIG)
+
+
+def ingest_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """What an ingest of the same pages counts on its way."""
+    store = Store(spark, scratch_path(spark, "store")).create()
+    counted = ingest(store, _broken_pages(spark, sf), batch_id=0, config=CONFIG)
+    return spark.createDataFrame(list(counted.items()), "reason string, n long")
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,6 +350,27 @@ def delete_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("vectors").select("id")
 
 
+def _vector_table(spark: SparkSession, sf: str) -> tuple[VectorTable, DataFrame]:
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), "label")
+    vectors = VectorTable(spark, scratch_path(spark, "vector-table"), slots=32).create()
+    vectors.upsert(rows)
+    return vectors, rows
+
+
+def upsert_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same into a table that rewrites only the partitions it must."""
+    vectors, rows = _vector_table(spark, sf)
+    vectors.upsert(rows.filter("label < 5").select("id", F.transform("values", lambda x: x * F.lit(2).cast("float")).alias("values")))
+    cells = vectors.read().select("id", F.posexplode("values").alias("dim", "x"))
+    return cells.select("id", F.col("dim") + 1, F.round(F.col("x").cast("double"), 6).alias("value")).toDF("id", "dim", "value")
+
+
+def delete_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, rows = _vector_table(spark, sf)
+    vectors.delete(rows.filter("label < 5"))
+    return vectors.read().select("id")
+
+
 # -- store ---------------------------------------------------------------------------------
 
 def _ingested(spark: SparkSession, sf: str) -> Store:
@@ -362,6 +425,27 @@ def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("webpages").select("hash")
 
 
+def streamed_ingest_marked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by keyed state: two files from a first start, the others from a restart, and all
+    pages again from a second checkpoint."""
+    store = Store(spark, scratch_path(spark, "store")).create()
+    ingest(store, pages_of(spark, sf).filter(F.col("url").startswith("http://")), batch_id=0, config=CONFIG)
+    first, later = scratch_path(spark, "arriving"), pages_of(spark, sf).repartition(4, "page_id")
+    before = spark.conf.get(known_pages.STATE_STORE)
+    spark.conf.set(known_pages.STATE_STORE, known_pages.ROCKSDB)
+    try:
+        checkpoints = [scratch_path(spark, "stream") for _ in range(2)]
+        for half, checkpoint in ((0, checkpoints[0]), (1, checkpoints[0]), (None, checkpoints[1])):
+            if half is not None:
+                later.filter(F.col("page_id") % 2 == half).write.mode("append").parquet(first)
+            query = stream_ingest_marked(store, stream_pages(spark, first, max_files=4), checkpoint)
+            query.processAllAvailable()
+            query.stop()
+    finally:
+        spark.conf.set(known_pages.STATE_STORE, before)
+    return store.read("webpages").select("hash")
+
+
 def streamed_frontier(spark: SparkSession, sf: str) -> DataFrame:
     store = Store(spark, scratch_path(spark, "store")).create()
     ingest(store, pages_of(spark, sf), batch_id=0, config=CONFIG)
@@ -449,11 +533,13 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "page_titles_hosts": page_titles_hosts,
         "article_text": article_text,
+        "dense_text": dense_text,
         "clean_paragraphs": clean_paragraphs,
         "merge_paragraphs": merge_paragraphs,
         "pack_chunks": pack,
         "chunk_rows": chunk_rows,
         "hashed_embedding": hashed_embedding,
+        "model_embedding": model_embedding,
         "dedup_url": dedup_url,
         "dedup_hash": dedup_hash,
         "dedup_sequential": dedup_sequential,
@@ -466,10 +552,12 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "frontier_all": _frontier(-1),
         "crawl_counts": counts,
         "seed_urls": seed_urls,
+        "sitemap_index": sitemap_index,
         "crawl_step": crawl_step,
         "crawl_reach": _reach(-1),
         "crawl_reach_capped": _reach(100),
         "ingest_rejects": ingest_rejects,
+        "ingest_observed": ingest_observed,
         "site_key": site_keys,
         "breadcrumb": breadcrumbs,
         "vector_topk": _topk("cosine"),
@@ -482,12 +570,15 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_ivf_recall": vector_ivf_recall,
         "upsert_vectors": upsert_vectors,
         "delete_vectors": delete_vectors,
+        "upsert_partitions": upsert_partitions,
+        "delete_partitions": delete_partitions,
         "ingest_webpages": ingest_webpages,
         "ingest_chunks": ingest_chunks,
         "store_stats": store_stats,
         "reset_check": reset_check,
         "orphan_chunks": orphan_chunks,
         "stream_ingest": streamed_ingest,
+        "stream_ingest_marked": streamed_ingest_marked,
         "stream_frontier": streamed_frontier,
         "search_join": _results,
         "result_dedup": result_dedup,

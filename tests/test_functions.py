@@ -176,3 +176,25 @@ def test_meta_description(spark, tag, found):
 ])
 def test_meta_site_name(spark, tag):
     assert values(spark, [tag, "<meta property='og:site' content='no'>"], text.article_sitename(F.col("x"))) == ["A & B", None]
+
+
+def test_dense_text(spark):
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Section number {i} of the site menu</a></li>" for i in range(20)) + "</ul>"
+    first = "A paragraph of the story that is long enough to count, with &amp; and <b>bold</b> words in it."
+    second = "Another paragraph, with <a href='/x'>one link</a> among many words that are not part of any link at all."
+    page = (f"<html><head><title>T</title></head><body><!-- <p>{first}</p> --><div>{menu}</div><div class=story><h2>Head</h2><p>{first}<p>{second}</div>"
+            f"<div>Short</div>{menu}<p>Copyright</p></body></html>")
+    dense = text.dense_text(text.drop_scripts(F.col("x")))
+    got = values(spark, [page, "", "<p>few words</p>", menu, first], dense)
+    plain = "A paragraph of the story that is long enough to count, with & and bold words in it."
+    assert got[0] == plain + "\n\nAnother paragraph, with one link among many words that are not part of any link at all."
+    assert got[1:] == ["", "", "", plain]
+
+
+def test_dense_text_takes_the_best_run(spark):
+    block = lambda n: "<p>" + "x" * n + "</p>"
+    cases = [block(60) + block(20) + block(90), block(60) + block(1) + block(1) + block(62), block(60) + block(30) + block(50), block(50) * 2]
+    dense = text.dense_text(F.col("x"))
+    # worth 20, -20, 50; 20, -39, -39, 22; 20, -10, 10 (the first run to be the best counts); 10, 10
+    want = ["\n\n".join("x" * n for n in run) for run in ([60, 20, 90], [62], [60], [50, 50])]
+    assert values(spark, cases, dense) == want

@@ -13,7 +13,7 @@ from pagetrove.operators import dedup, vectors
 from pagetrove.operators.chunking import (
     clean_paragraph, content_hash, merge_single_sentences, number_chunks, pack_chunks, paragraphs,
 )
-from pagetrove.operators.embed import hashed_embedder
+from pagetrove.operators.embed import hashed_embedder, model_embedder, word_model
 from pagetrove.operators.links import cap_frontier, page_links
 from pagetrove.operators.vector_lists import ListConfig, Settings, VectorLists
 from pagetrove.operators.vectors import LshIndex, vector_topk
@@ -308,6 +308,26 @@ def test_embedding_is_unit_length(spark):
     assert not rows[1].any() and not rows[2].any() and len(rows[1]) == 32
 
 
+def test_model_embedder(spark):
+    made = []
+
+    def make():
+        made.append(1)
+
+        def predict(texts):
+            assert len(texts) <= 3
+            return np.array([[len(t), len(made)] for t in texts], np.float32)
+
+        return predict
+
+    df = spark.createDataFrame([("a" * i,) for i in range(10)] + [(None,)], "t string").coalesce(1)
+    rows = [r.v for r in df.select(model_embedder(make, batch_size=3)(F.col("t")).alias("v")).collect()]
+    assert sorted(rows) == sorted([[float(i), 1.0] for i in range(10)] + [[0.0, 1.0]])
+    text = F.lit("Grüße, Spark SQL spark_2 été")
+    both = spark.range(1).select(model_embedder(word_model(16))(text).alias("a"), hashed_embedder(16)(text).alias("b")).first()
+    assert both.a == both.b
+
+
 def test_links_and_frontier(spark):
     html = '<!-- <a href="/no"> --><a class=x href="/b">b</a><a href=\'c.pdf\'>c</a><a data-href="/no" href="/b#x">b</a><a href="https://o.com/">o</a>'
     pages = spark.createDataFrame([(1, "https://h.com/a", html), (2, "https://h.com/b", '<a href="/d">d</a>')], "page_id long, url string, html string")

@@ -7,6 +7,7 @@ from pagetrove.config import IngestConfig, SearchConfig
 from pagetrove.operators.embed import hashed_embedder
 from pagetrove.operators.rank import dedup_results, score_results
 from pagetrove.operators.store import Store
+from pagetrove.operators.vector_lists import VectorLists
 from pagetrove.operators.vectors import LshIndex
 from pagetrove.plans.ingest import reject_counts
 from pagetrove.plans.ingest import ingest
@@ -95,13 +96,14 @@ def test_same_url_keeps_best_chunk(spark):
     assert [r.pid for r in dedup_results(spark.createDataFrame(rows, RESULT)).collect()] == ["b"]
 
 
-@pytest.mark.parametrize("use_index", [False, True])
+@pytest.mark.parametrize("use_index", ["scan", "planes", "lists"])
 def test_search_end_to_end(spark, store, use_index):
     embed = hashed_embedder(384)
     titles = store.read("webpages").select(F.xxhash64("url").alias("qid"), F.col("title").alias("q"), "url")
     queries = titles.select("qid", "q").unionByName(spark.createDataFrame([(0, "  ")], "qid long, q string"))
-    index = LshIndex(dims=384) if use_index else None
-    vectors = index.index(store.read("vectors")) if use_index else store.read("vectors")
+    vectors = store.read("vectors")
+    index = {"scan": lambda: None, "planes": lambda: LshIndex(dims=384), "lists": lambda: VectorLists.build(vectors)}[use_index]()
+    vectors = index.index(vectors) if use_index == "planes" else vectors
     found = search(queries, store.read("webpages"), store.read("chunks"), vectors, embed, SearchConfig(max_results=10), index)
     grouped = rank(found).cache()
     assert grouped.filter("qid = 0").count() == 0
@@ -141,6 +143,72 @@ def test_streams_keep_what_others_stored(spark, tmp_path):
     assert store.read("webpages").count() == 14 and store.orphans().count() == 0
 
 
+def test_marked_stream_is_sequential(spark, tmp_path):
+    """A page skipped for its content does not reserve its address, over micro-batches and restarts."""
+    from pagetrove.streaming import known_pages, stream_ingest_marked
+
+    def page(i, url, content):
+        return i, f"https://h.com/{url}", f"<article><p>One {content}. Two {content}. Three {content}.</p></article>"
+
+    schema, folder = "page_id long, url string, html string", str(tmp_path / "in")
+    store = Store(spark, str(tmp_path / "store")).create()
+    ingest(store, spark.createDataFrame([page(0, "a", "x")], schema), 0)
+    batches = [[(1, "b", "x"), (2, "b", "y"), (3, "c", "y")], [(4, "c", "z"), (5, "a", "w"), (6, "b", "v")],
+               [(7, "d", "z"), (8, "d", "u"), (9, "d", "t"), (10, "e", "t")]]
+    before = spark.conf.get(known_pages.STATE_STORE)
+    spark.conf.set(known_pages.STATE_STORE, known_pages.ROCKSDB)
+    try:
+        for k, rows in enumerate(batches):
+            spark.createDataFrame([page(*r) for r in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+            if k != 1:  # the first start, then a restart that finds two files
+                query = stream_ingest_marked(store, stream_pages(spark, folder, max_files=1), str(tmp_path / "cp"))
+                query.processAllAvailable()
+                plan = query._jsq.explainInternal(False) if hasattr(query._jsq, "explainInternal") else ""
+                query.stop()
+    finally:
+        spark.conf.set(known_pages.STATE_STORE, before)
+    with pytest.raises(ValueError, match="RocksDB"):
+        stream_ingest_marked(store, stream_pages(spark, folder), str(tmp_path / "cp2"))
+    assert "TransformWithState" in plan or not plan
+    assert sorted(r.url[-1] for r in store.all_urls().collect()) == ["a", "b", "c", "d", "e"]
+    bodies = {r.url[-1]: r.chunk.split("One ")[1][0] for r in store.read("chunks").collect()}
+    assert bodies == {"a": "x", "b": "y", "c": "z", "d": "u", "e": "t"} and store.orphans().count() == 0
+
+
+def test_vector_table_rewrites_what_it_must(spark, tmp_path):
+    from pagetrove.operators.vector_table import VectorTable
+
+    def rows(*pairs):
+        return spark.createDataFrame([(i, [float(x)]) for i, x in pairs], "id string, values array<float>")
+
+    def files():
+        return {str(f.relative_to(tmp_path)) for f in tmp_path.glob("t/slot=*/*.parquet")}
+
+    def held(t):
+        return {r.id: r["values"][0] for r in t.read().collect()}
+
+    t = VectorTable(spark, str(tmp_path / "t"), slots=8).create()
+    t.upsert(rows(*[(f"v{i}", i) for i in range(100)]))
+    before = files()
+    t.upsert(rows(("v7", -1)))
+    assert held(t) == {f"v{i}": i for i in range(100)} | {"v7": -1}
+    gone, fresh = before - files(), files() - before
+    assert len({f.split("/")[1] for f in gone | fresh}) == 1  # one partition
+    t.delete(rows(*[(f"v{i}", 0) for i in range(99)], ("none", 0)))
+    assert held(t) == {"v99": 99.0}
+    t.delete(rows(("v99", 0)))
+    assert held(t) == {} and len({f.split("/")[1] for f in files()}) == 8
+    t.upsert(rows(("a", 1), ("a", 2)).withColumn("n", F.col("values")[0]), order="n")
+    t.upsert(rows().union(rows(("x", 1)).filter("false")))
+    assert held(t) == {"a": 2.0}
+    # a job cut off after it wrote aside is finished by the next
+    aside = t._placed(rows(("b", 5))).unionByName(t._placed(rows(("a", 2)))).select("id", "values", "slot")
+    aside.write.parquet(str(tmp_path / "aside"))
+    t._note(f"file:{tmp_path}/aside")
+    t.delete(rows(("nothing", 0)))
+    assert held(t) == {"a": 2.0, "b": 5.0}
+
+
 def test_append_during_a_rewrite_is_kept(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s")).create()
     vectors = lambda *ids: spark.createDataFrame([(i, [1.0]) for i in ids], "id string, values array<float>")
@@ -163,7 +231,7 @@ def test_pages_without_address_or_text_are_rejected(spark, tmp_path):
             (3, "https://h.com/3", None), (4, "nowhere", "<p>x</p>"), (5, "https://h.com/5", "<p> </p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     store = Store(spark, str(tmp_path / "s")).create()
-    ingest(store, pages, 0)
+    assert ingest(store, pages, 0) == {"no address": 2, "no html": 1, "no text": 1}
     assert [r.url for r in store.all_urls().collect()] == ["https://h.com/2"]
     assert {r.reason: r.n for r in reject_counts(pages).collect()} == {"no address": 2, "no html": 1, "no text": 1}
 
