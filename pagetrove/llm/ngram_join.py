@@ -125,11 +125,15 @@ def verify(groups: DataFrame, classes: DataFrame, texts: DataFrame, threshold: f
     """
     of_member = groups.groupBy("member").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
     sized = groups.groupBy("leader").agg(F.count("*").alias("members"))
-    speakers = classes.join(of_member, F.col("class") == F.col("member"), "left_semi").select("class", "id", "class_hash")
-    # An id may have several texts, and a text several rows.
-    sets = shingle_sets(texts.join(speakers, "id", "left_semi")).join(speakers, ["id", "class_hash"])
-    sets = sets.groupBy(F.col("class").alias("member")).agg(F.first("shingles").alias("shingles"))
-    rows = groups.join(sized, "leader").join(of_member, "member").join(sets, "member")
+    speakers = write_scratch(
+        classes.join(of_member, F.col("class") == F.col("member"), "left_semi").select(F.col("class").alias("member"), "id", "class_hash"),
+        "speakers")
+    # The ids alone meet the texts, as their file is small. An id may have several texts, and a
+    # text several rows, so sets are named by their words from here on.
+    wanted = write_scratch(speakers.select("id").distinct(), "wanted")
+    sets = shingle_sets(texts.join(wanted, "id", "left_semi")).groupBy("class_hash").agg(F.first("shingles").alias("shingles"))
+    named = groups.join(sized, "leader").join(of_member, "member").join(speakers.select("member", "class_hash"), "member")
+    rows = named.join(sets, "class_hash")
     blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("member"), F.greatest(blocks, F.lit(1))).cast("int")
     rows = rows.select("leader", "member", "leaders", "shingles", blocks.alias("blocks"), own.alias("own"))
@@ -148,9 +152,9 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         sets = [np.unique(s) for s, _ in found]
         ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return {"id": batch.column("id"), "class_hash": [w for _, w in found], "shingles": pa.ListArray.from_arrays(ends, pa.array(flat))}
+        return {"class_hash": [w for _, w in found], "shingles": pa.ListArray.from_arrays(ends, pa.array(flat))}
 
-    return map_batches(texts, "id long, class_hash binary, shingles array<long>", each)
+    return map_batches(texts.select("text"), "class_hash binary, shingles array<long>", each)
 
 
 def _verify_sorted(batches, threshold):
