@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrove.session import ship_package
+from pagetrove.session import ship_package, write_scratch
 
 from .common import bounded_sample, fold, map_batches, slices, worker_cache
 
@@ -48,7 +48,6 @@ SLICE = 2 << 20  # bytes of text that a task works on at a time; sums take about
 class FitConfig:
     toxic_docs: int = 1000     # bound of the sample, taken by a hash of the id
     clean_docs: int = 2000
-    max_chars: int = 6_000     # longer documents are not in the sample
     min_ratio: float = 30.0    # likelihood ratio for an n-gram to mark a word
     weak_ratio: float = 6.0    # the same for the surest words of a document without such
     window: int = 8            # tokens on either side of a marked word
@@ -166,7 +165,7 @@ def totals(p: np.ndarray, sizes: list[int]) -> np.ndarray:
 # Fitting on the bounded sample ------------------------------------------------------------
 
 def sample(docs: DataFrame, labels: DataFrame, config: FitConfig) -> DataFrame:
-    """(text, toxic) of the sampled documents outside the held-out fold.
+    """(doc_id, text, toxic) of the sampled documents outside the held-out fold, whole texts, one of an id.
 
     The sample is chosen among the labels; only its ids, a bounded number, meet the documents.
     """
@@ -174,48 +173,58 @@ def sample(docs: DataFrame, labels: DataFrame, config: FitConfig) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = bounded_sample(known.filter("toxic = 1"), config.toxic_docs, "toxicity").unionByName(
         bounded_sample(known.filter("toxic = 0"), config.clean_docs, "toxicity"))
-    texts = docs.select("doc_id", "text").filter(F.char_length("text") <= config.max_chars)
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(picked.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    return found.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: FitConfig = FitConfig()) -> Field:
-    rows = sample(docs, labels, config).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    texts = [list(map(sys.intern, tokens_of(t))) for t in rows.text]
-    return fit_rows(texts, rows.toxic.to_numpy(), config)
-
-
-def fit_rows(texts: list[list[str]], toxic: np.ndarray, config: FitConfig) -> Field:
+    """The model of a bounded sample. Texts stay in the tasks: the driver gets the n-grams that tell toxic
+    documents apart, windows of tokens, and two numbers a document."""
+    rows = write_scratch(sample(docs, labels, config), "toxicity-sample")
+    turn = {r.doc_id: i for i, r in enumerate(rows.select("doc_id").orderBy("doc_id").collect())}
     model = Field()
-    n1 = int(toxic.sum())
-    n0 = len(toxic) - n1
+    n1 = rows.filter("toxic = 1").count()
+    n0 = len(turn) - n1
     model.score[0] = math.log((n1 + 0.5) / (n0 + 0.5))
     if not n1 or not n0:
         return model
-    ratios = gram_ratios(texts, toxic, n1, n0)
-    words, gold, starts = windows(texts, toxic, ratios, config)
+    words, gold, starts = windows(rows, gram_ratios(rows, n1, n0, config), turn, config)
     if gold.any():
         train(model, words, gold, starts, config)
-    calibrate(model, texts, toxic)
+    calibrate(model, rows)
     return model
 
 
-def gram_ratios(texts, toxic, n1, n0) -> dict[str, float]:
-    """Likelihood ratios of the n-grams that are far more common in toxic documents."""
-    seen = (Counter(), Counter())
-    for words, t in zip(texts, toxic):
-        if t:
-            seen[1].update(set().union(*map(grams_of, set(words))))
-    for words, t in zip(texts, toxic):
-        if not t:  # n-grams of clean documents alone don't matter
-            seen[0].update(set().union(*map(grams_of, set(words))) & seen[1].keys())
-    out = {}
-    for g, a in seen[1].items():
-        b = seen[0][g]
-        if a > 1 and a / n1 > 5 * b / n0:
-            rate = (a + b) / (n1 + n0)
-            out[g] = 2 * (a * math.log(a / n1 / rate) + (b * math.log(b / n0 / rate) if b else 0)
-                          + sum((n - k) * math.log((n - k) / n / (1 - rate)) if n > k else 0 for k, n in ((a, n1), (b, n0))))
-    return out
+def documents_with(rows: DataFrame, kind: int, among: set[str] | None = None) -> DataFrame:
+    """(gram, n): in how many of the sample's toxic or clean documents an n-gram occurs."""
+    shared = rows.sparkSession.sparkContext.broadcast(among)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        seen: Counter = Counter()
+        for text in batch.column("text").to_pylist():
+            grams = set().union(*map(grams_of, set(tokens_of(text))))
+            seen.update(grams if shared.value is None else grams & shared.value)
+        return {"gram": list(seen), "n": list(seen.values())}
+
+    counted = map_batches(rows.filter(F.col("toxic") == kind).select("text"), "gram string, n long", each, SLICE)
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def likelihood_ratio(a: int, b: int, n1: int, n0: int) -> float:
+    """Of an n-gram in a of n1 toxic and b of n0 clean documents, against one rate for both."""
+    rate = (a + b) / (n1 + n0)
+    both = [(k / n, k, n) for k, n in ((a, n1), (b, n0))]
+    return 2 * sum((k * math.log(r / rate) if k else 0) + ((n - k) * math.log((1 - r) / (1 - rate)) if n > k else 0) for r, k, n in both)
+
+
+def gram_ratios(rows: DataFrame, n1: int, n0: int, config: FitConfig) -> dict[str, float]:
+    """Likelihood ratios of the n-grams that are far more common in toxic documents, as far as they can mark a word."""
+    least = next((a for a in range(2, n1 + 1) if likelihood_ratio(a, 0, n1, n0) >= config.weak_ratio), n1 + 1)
+    toxic = dict(documents_with(rows, 1).filter(F.col("n") >= least).collect())
+    clean = dict(documents_with(rows, 0, set(toxic)).collect())
+    ratios = {g: likelihood_ratio(a, clean.get(g, 0), n1, n0) for g, a in toxic.items() if a / n1 > 5 * clean.get(g, 0) / n0}
+    return {g: r for g, r in ratios.items() if r >= config.weak_ratio}
 
 
 def marked_words(words: list[str], ratios: dict[str, float], config: FitConfig) -> set[str]:
@@ -226,30 +235,45 @@ def marked_words(words: list[str], ratios: dict[str, float], config: FitConfig)
     return {w for w, r in best.items() if r >= limit}
 
 
-def windows(texts, toxic, ratios, config):
-    """Token windows with labels: around marked words of toxic texts, and one of each clean text."""
-    words, gold, starts = [], [], []
-    for i, (ws, t) in enumerate(zip(texts, toxic)):
-        if not ws:
-            continue
-        if t:
-            marks = marked_words(ws, ratios, config)
-            hits = [k for k, w in enumerate(ws) if w in marks]
-            spans: list[list[int]] = []
-            for k in hits:
-                lo, hi = max(0, k - config.window), min(len(ws), k + config.window + 1)
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = hi
-                else:
-                    spans.append([lo, hi])
-        else:
-            at = (i * 7919) % len(ws)
-            spans, marks = [[at, min(len(ws), at + 4 * config.window)]], set()
-        for lo, hi in spans:
-            words += ws[lo:hi]
-            gold += [w in marks for w in ws[lo:hi]]
-            starts += [True] + [False] * (hi - lo - 1)
-    return words, np.array(gold, bool), np.array(starts, bool)
+def window_spans(words: list[str], marks: set[str] | None, turn: int, config: FitConfig) -> list[tuple[int, int]]:
+    """Around the marked words of a toxic text; somewhere in a clean one (``marks`` is None)."""
+    if marks is None:
+        at = (turn * 7919) % len(words)
+        return [(at, min(len(words), at + 4 * config.window))]
+    spans: list[list[int]] = []
+    for k, word in enumerate(words):
+        if word in marks:
+            lo, hi = max(0, k - config.window), min(len(words), k + config.window + 1)
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+    return [(lo, hi) for lo, hi in spans]
+
+
+def windows(rows: DataFrame, ratios: dict[str, float], turn: dict[int, int], config: FitConfig):
+    """Token windows with labels, in the order of the documents' ids."""
+    shared = rows.sparkSession.sparkContext.broadcast((ratios, turn))
+
+    def each(batch: pa.RecordBatch) -> dict:
+        ratios, turn = shared.value
+        out: dict[str, list] = {"turn": [], "at": [], "words": [], "gold": []}
+        for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))):
+            words = tokens_of(text)
+            marks = marked_words(words, ratios, config) if toxic and words else None
+            for lo, hi in window_spans(words, marks, turn[doc_id], config) if words else ():
+                out["turn"].append(turn[doc_id])
+                out["at"].append(lo)
+                out["words"].append(words[lo:hi])
+                out["gold"].append([bool(toxic) and w in marks for w in words[lo:hi]])
+        return out
+
+    found = map_batches(rows, "turn int, at int, words array<string>, gold array<boolean>", each, SLICE).orderBy("turn", "at").collect()
+    words = [sys.intern(w) for r in found for w in r.words]
+    gold = np.array([g for r in found for g in r.gold], bool)
+    starts = np.zeros(len(words), bool)
+    starts[np.cumsum([0, *[len(r.words) for r in found]])[:-1]] = True
+    return words, gold, starts
 
 
 def train(model: Field, words, gold, starts, config) -> None:
@@ -286,20 +310,17 @@ def train(model: Field, words, gold, starts, config) -> None:
     model.grams = {g: float(theta[c]) for g, c in column.items() if abs(theta[c]) > 1e-3}
 
 
-def calibrate(model: Field, texts, toxic) -> None:
-    emission, sizes = array("d"), []
-    cache: dict[str, float] = {}
-    for ws in texts:
-        sizes.append(len(ws))
-        for w in ws:
-            e = cache.get(w)
-            if e is None:
-                e = cache[w] = model.emission(w)
-            emission.append(e)
-    starts = np.zeros(len(emission), bool)
-    starts[[s for s, n in zip(np.r_[0, np.cumsum(sizes)[:-1]], sizes) if n]] = True
-    x = totals(marginals(np.array(emission), starts, model)[0], sizes)
-    x = np.c_[np.ones(len(x)), x]
+def calibrate(model: Field, rows: DataFrame) -> None:
+    """Score by the two sums of each whole document, which the tasks work out."""
+    tagger = Tagger(model, False)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        x, _, _ = tagger.sums(batch.column("text").to_pylist())
+        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "top": x[:, 0], "total": x[:, 1]}
+
+    found = map_batches(rows, "doc_id long, toxic int, top double, total double", each, SLICE).orderBy("doc_id").collect()
+    toxic = np.array([r.toxic for r in found], float)
+    x = np.array([[1.0, r.top, r.total] for r in found])
     w = model.score.copy()
     for _ in range(50):  # Newton steps of a logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -319,9 +340,9 @@ class Tagger:
         self.model, self.spans = model, spans
         self.key = f"toxicity {model.bias!r} {model.score!r} {len(model.grams)}"
 
-    def __call__(self, batch: pa.RecordBatch) -> dict[str, list]:
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two sums of each text, the marginals of all tokens, and where each text's tokens begin."""
         cache = worker_cache(self.key)
-        texts = [t or "" for t in batch.column("text").to_pylist()]
         parts, sizes = [], []
         for text in texts:
             ws = tokens_of(text)
@@ -339,9 +360,13 @@ class Tagger:
         at = np.r_[0, np.cumsum(sizes)].astype(int)
         starts[[a for a, n in zip(at, sizes) if n]] = True
         p = marginals(emission, starts, self.model, pairs=False)[0]
-        x = totals(p, sizes)
+        return totals(p, sizes), p, at
+
+    def __call__(self, batch: pa.RecordBatch) -> dict[str, list]:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        x, p, at = self.sums(texts)
         score = 1 / (1 + np.exp(-np.clip(self.model.score[0] + x @ self.model.score[1:], -30, 30)))
-        none = np.asarray(sizes) == 0
+        none = np.diff(at) == 0
         score[none] = min(0.49, 1 / (1 + math.exp(-min(30, max(-30, self.model.score[0])))))
         out = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"score": score}
         if self.spans:
