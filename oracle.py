@@ -520,7 +520,8 @@ def statements() -> dict[str, str]:
     out["sitemap_index"] = "SELECT 'map=' || page_id // 1000 AS sitemap, url FROM pages"
     out["model_embedding"] = out["hashed_embedding"]
     out["dense_text"] = with_ctes(dense_ctes(), """SELECT page_id, coalesce(text, '') AS text FROM numbered LEFT JOIN decoded USING (page_id)""")
-    out["seed_urls"] = "SELECT 'text' AS source, url FROM pages UNION ALL SELECT 'sitemap', url FROM pages"
+    out["seed_urls"] = """SELECT 'text' AS source, url FROM pages UNION ALL SELECT 'sitemap', url FROM pages
+        UNION ALL (SELECT 'single', url FROM pages ORDER BY page_id LIMIT 1)"""
     out["crawl_step"] = with_ctes(links_ctes() | {
         "first": "SELECT url FROM pages ORDER BY page_id LIMIT 1",
         "visited": f"SELECT {normalized('url')} AS url FROM (SELECT url FROM pages WHERE starts_with(url, 'http://') UNION ALL SELECT url FROM first)",

@@ -8,14 +8,16 @@ from pagetrove.schemas import PAGES
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Share out a scan that has fewer partitions than there are task slots.
+    """Share out a small scan over all task slots, for heavy per-row work on few files.
 
-    For heavy per-row work on a small or badly split input; a large table has far more
-    partitions than slots and is passed through without a shuffle. ``scan`` must be a plain
-    scan, whose partitions are known without running anything.
+    A table that fills every slot with a file partition by its size is passed through without a
+    shuffle; the size is what the optimizer has from the files' list, so nothing is run or planned anew.
     """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+    spark = scan.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return scan.repartition(slots) if size < slots * full else scan
 
 
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

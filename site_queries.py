@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -182,14 +183,18 @@ def _frontier(max_pages: int):
 
 
 def seed_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """The addresses written as a text list and as a sitemap with all entries of a file on one line, and read back."""
-    urls = pages_of(spark, sf).select("url")
+    """The addresses written as a text list with blank lines and as a sitemap with all entries of a
+    file on one line, and read back; the first as a single seed, beside a blank one."""
+    pages = pages_of(spark, sf)
+    urls = pages.select("url")
     text, sitemap = scratch_path(spark, "seeds") + ".txt", scratch_path(spark, "sitemap") + ".xml"
-    urls.write.text(text)
+    urls.select(F.explode(F.array(F.concat(F.lit(" "), "url"), F.lit(""), F.lit("\t "))).alias("value")).write.text(text)
     escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     urls.select(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>")).alias("value")).write.option("lineSep", " ").text(sitemap)
     both = [read_seeds(spark, p).withColumn("source", F.lit(s)) for p, s in ((text, "text"), (sitemap, "sitemap"))]
-    return both[0].unionByName(both[1]).select("source", "url")
+    first = [r.url for r in pages.orderBy("page_id").limit(1).collect()]
+    both += [read_seeds(spark, s).withColumn("source", F.lit("single")) for s in (*first, "  ")]
+    return functools.reduce(DataFrame.unionByName, both).select("source", "url")
 
 
 def sitemap_index(spark: SparkSession, sf: str) -> DataFrame:
