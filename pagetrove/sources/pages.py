@@ -15,7 +15,7 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     spark = scan.sparkSession
     slots = spark.sparkContext.defaultParallelism
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return scan.repartition(slots) if size < slots * full else scan
 
