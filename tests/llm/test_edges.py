@@ -105,3 +105,39 @@ def test_spans_where_letters_change_in_number():
     assert "xx" in "".join(text[s["start"]:s["end"]] for s in found)
     assert all(0 <= s["start"] < s["end"] <= len(text) for s in found)
     assert toxicity.Tagger(model, True).found("İ xx", np.array([0.0, 1.0] if len(toxicity.tokens_of("İ xx")) == 2 else [0.0, 0.0, 1.0])) == [{"start": 2, "end": 4}]
+
+
+NAMES = [
+    ("Mrs Kim; Mr Kim.", 2, ["Kim"]), ("Mr McDonald came.", 1, ["Mc", "Donald"]), ("Mr Jean-Luc Picard left", 1, ["Jean", "Luc", "Picard"]),
+    ("Mrs O'Brien and Mr. J. R. Smith", 2, ["O'", "Brien", "Smith"]), ("Mr Tom Reed. Later Reed left; Mr Reed, Tom Reed's.", 1, ["Tom", "Reed"]),
+    ("Mr Tom Reed met Mrs Ann Reed. Reed slept, Mrs Reed ate.", 2, ["Tom", "Ann", "Reed"]),
+    ("Call 555-123-4567, or 555 123 4567.", 1, ["123", "4567"]),
+]
+
+
+def test_names_are_replaced_whole(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(NAMES)] + [(90, None), (91, ""), (92, "Mr")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in surrogates.replace(docs).collect()}
+    assert rows[90].text is None and rows[91].text == "" and rows[92].text == "Mr" and not rows[92].surrogates
+    for i, (text, n, gone) in enumerate(NAMES):
+        r = rows[i]
+        assert not any(part in r.text for part in gone), r.text
+        assert all(r.text[s.start:s.end] == s.surrogate for s in r.surrogates)
+        if i != 6:
+            strip = lambda s: s.removeprefix("Mrs ").removeprefix("Mr. ").removeprefix("Mr ")
+            names = {strip(s.surrogate) for s in r.surrogates}
+            whole = {x for x in names if not any(y != x and y.endswith(" " + x) for y in names)}
+            assert len(whole) == n, r.text
+    first, later, titled, again = (s.surrogate for s in rows[4].surrogates)
+    assert first == "Mr " + again and titled == "Mr " + later and again.endswith(" " + later)
+    assert rows[4].text == f"{first}. Later {later} left; {titled}, {again}'s."
+    tom, ann, plain, mrs = (s.surrogate for s in rows[5].surrogates)
+    assert tom.endswith(" " + plain) and ann.endswith(" " + mrs.removeprefix("Mrs ")) and ann.endswith("a")
+    a, b = (s.surrogate for s in rows[6].surrogates)
+    assert a.replace("-", " ") == b and len(a) == 12
+
+
+def test_small_shapes_grow(spark):
+    few = spark.range(9).select(F.lit("phone").alias("kind"), F.col("id").cast("string").alias("entity"), F.lit(None).cast("string").alias("sex"))
+    found = [r.surrogate for r in surrogates.assign(few, "k").collect()]
+    assert len(set(found)) == 9 and not set(found) & {str(i) for i in range(9)}
