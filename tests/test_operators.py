@@ -393,3 +393,53 @@ def test_large_cap_by_range(spark, n):
     df = spark.createDataFrame(rows, "url string, depth int").repartition(4)
     got = sorted((r.depth, r.url) for r in module.cap_frontier(df, n).collect())
     assert got == sorted((d, u) for u, d in rows)[:n]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+@pytest.mark.parametrize("sparse", [False, True])
+def test_shortlist_scores_in_full_only_what_can_matter(monkeypatch, metric, sparse):
+    rng = np.random.default_rng(5)
+    rows, queries = rng.standard_normal((900, 64)).astype(np.float32).astype(float), rng.standard_normal((30, 64))
+    rows[rng.integers(0, 900, 300)] = rows[0]                       # one vector with very many copies
+    queries[0] = rows[0] + (metric == "euclidean")
+    if sparse:
+        queries *= rng.random(queries.shape) < 0.04
+        queries[:, 0] = 1
+    if metric == "cosine":
+        rows, queries = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rows, queries))
+    cells = [0]
+    whole = vectors.closeness
+    monkeypatch.setattr(vectors, "closeness", lambda q, v, m: (cells.__setitem__(0, cells[0] + len(q) * len(v)), whole(q, v, m))[1])
+    found = vectors.Shortlist(queries, 5, metric, pa.int64())
+    ids = rng.permutation(900)
+    for start in range(0, 900, 300):
+        part = slice(start, start + 300)
+        found.add(pa.table({"id": pa.array(ids[part]), "values": pa.array(rows[part].tolist(), pa.list_(pa.float64()))}))
+    table = found.table(pa.array(np.arange(30)))
+    scores = np.round(whole(queries, rows, metric), 9)
+    for q in range(30):
+        order = np.lexsort((ids, -scores[q]))[:5]
+        mine = table.filter(pa.array(table["qid"].to_numpy() == q))
+        assert mine["id"].to_pylist() == ids[order].tolist()
+        np.testing.assert_allclose(mine["score"].to_numpy(), scores[q][order], atol=1e-7)
+    assert cells[0] < 30 * 900 / 2
+
+
+def test_topk_of_computed_vectors_computes_them_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES_PER_GROUP", 7)
+    seen = spark.sparkContext.accumulator(0)
+
+    def compute(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((200, 8)))]
+    table = spark.createDataFrame(rows, "id long, values array<double>")
+    queries = table.toDF("qid", "qvec")
+    found = vector_topk(table.mapInArrow(compute, table.schema), queries, 3, "dot", max_broadcast_bytes=4096)
+    whole = np.array([v for _, v in rows])
+    scores = whole @ whole.T
+    assert {(r.qid, r.id) for r in found.collect()} == {(q, int(i)) for q in range(200) for i in np.argsort(-scores[q])[:3]}
+    assert seen.value == 200
