@@ -443,3 +443,12 @@ def test_topk_of_computed_vectors_computes_them_once(spark, monkeypatch):
     scores = whole @ whole.T
     assert {(r.qid, r.id) for r in found.collect()} == {(q, int(i)) for q in range(200) for i in np.argsort(-scores[q])[:3]}
     assert seen.value == 200
+
+
+def test_groups_of_queries_are_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES_PER_GROUP", 3)
+    rows = [(i, [float(i), 1.0]) for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, values array<double>")
+    asked = table.toDF("qid", "qvec").toArrow()
+    schema = vectors.result_schema(table.schema["id"].dataType, table.schema["id"].dataType)
+    assert vectors._scan_topk(table, asked, 2, "dot", schema).rdd.getNumPartitions() >= 20
