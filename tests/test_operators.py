@@ -452,3 +452,15 @@ def test_groups_of_queries_are_tasks_of_their_own(spark, monkeypatch):
     asked = table.toDF("qid", "qvec").toArrow()
     schema = vectors.result_schema(table.schema["id"].dataType, table.schema["id"].dataType)
     assert vectors._scan_topk(table, asked, 2, "dot", schema).rdd.getNumPartitions() >= 20
+
+
+def test_copies_at_no_distance_tie_by_id():
+    rng = np.random.default_rng(7)
+    rows = rng.standard_normal((9000, 64))
+    rows[::50] = rows[3]
+    found = vectors.Shortlist(rows[[3, 3]], 5, "euclidean", pa.int64())
+    ids = rng.permutation(9000)
+    found.add(pa.table({"id": pa.array(ids), "values": pa.array(rows.tolist(), pa.list_(pa.float64()))}))
+    least = sorted([*ids[::50].tolist(), int(ids[3])])[:5]
+    table = found.table(pa.array([0, 1]))
+    assert table["id"].to_pylist() == [*least, *least] and set(table["score"].to_pylist()) == {0.0}
