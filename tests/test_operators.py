@@ -464,3 +464,21 @@ def test_copies_at_no_distance_tie_by_id():
     least = sorted([*ids[::50].tolist(), int(ids[3])])[:5]
     table = found.table(pa.array([0, 1]))
     assert table["id"].to_pylist() == [*least, *least] and set(table["score"].to_pylist()) == {0.0}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("planes", [1, 3])
+def test_large_buckets_are_scanned(spark, monkeypatch, metric, planes):
+    """The scan finds what the slots find, ids and queries that repeat included, and sends no vector to slots."""
+    monkeypatch.setattr(vectors, "_SCAN_ROWS", 250)
+    rng = np.random.default_rng(11)
+    rows = rng.standard_normal((900, 8)).round(3)
+    rows[100:300] = rows[:200]
+    vdf = spark.createDataFrame([(f"v{i % 850:03d}", r.tolist()) for i, r in enumerate(rows)], "id string, values array<double>").repartition(2)
+    qdf = spark.createDataFrame([(i % 55, r.tolist()) for i, r in enumerate(rows[80:140])], "qid long, qvec array<double>")
+    index = LshIndex(dims=8, tables=4, planes=planes, probes=1)
+    few = [index.topk(index.index(vdf), qdf, 7, metric, queries_per_slot=10, scan_share=s) for s in (0, 1e9)]
+    assert sorted(few[0].collect()) == sorted(few[1].collect()) and few[0].count() == 55 * 7
+    monkeypatch.setattr(vectors, "_slot_topk", None)
+    again = index.topk(index.index(vdf), qdf, 7, metric, queries_per_slot=10)
+    assert sorted(again.collect()) == sorted(few[0].collect())
