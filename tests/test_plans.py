@@ -279,3 +279,14 @@ def test_parity_switches(spark, tmp_path):
     ingest(store, pages, 0, IngestConfig(block_breaks=False, sitename="article", dims=16))
     assert store.read("chunks").first().chunk.endswith("\nOne. Two. Three.Four. Five.\n")
     assert store.read("webpages").first().sitename is None
+
+
+def test_rejects_are_counted_in_one_parse(spark):
+    """No filter works the parse out once more, before the rows are shared out; pages without an address aren't parsed."""
+    plan = reject_counts(read_pages(spark, "/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1
+    assert not [line for line in plan.splitlines() if "Filter" in line and "html" in line]
+    rows = [(1, None, "<p>One. Two.</p>"), (2, "https://h.com/2", None), (3, "nowhere", None), (4, "https://h.com/4", "<p>One. Two.</p>")]
+    found = reject_counts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("no address", 2), ("no html", 1)]
+    assert found.schema.simpleString() == "struct<reason:string,n:bigint>"
