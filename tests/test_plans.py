@@ -290,3 +290,24 @@ def test_rejects_are_counted_in_one_parse(spark):
     found = reject_counts(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert sorted(tuple(r) for r in found.collect()) == [("no address", 2), ("no html", 1)]
     assert found.schema.simpleString() == "struct<reason:string,n:bigint>"
+
+
+def test_a_stream_of_one_file_is_shared_out(spark, tmp_path):
+    from pagetrove.streaming.jobs import start_batches
+
+    folder, seen = str(tmp_path / "in"), []
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").coalesce(1).write.parquet(folder)
+    pages = stream_pages(spark, folder, max_files=1)
+    start_batches(pages, lambda batch, i, w: seen.append(batch.rdd.getNumPartitions()), str(tmp_path / "cp"), None).awaitTermination()
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_events_of_pages_are_parsed_after_sharing_out(spark):
+    from pagetrove.plans.ingest import parsed_rows
+    from pagetrove.streaming import known_pages
+
+    rows = [(1, "https://h.com/1", "<article><p>One. Two.</p></article>"), (2, "https://h.com/2", "<p> </p>"), (3, "https://h.com/3", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    events = known_pages._events(parsed_rows(pages), False)
+    assert sorted((r.kind, r.value[:13]) for r in events.select("kind", "value").collect())[1:] == [("url", "https://h.com")]
+    assert {r.page.page_id for r in events.filter("page is not null").collect()} == {1} and events.count() == 2
