@@ -23,12 +23,14 @@ Rows repeated in full give one row each. Only doc_id and text are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetrove.session import write_scratch
 
@@ -39,6 +41,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
 BLOCK = 256  # members that are verified against as many others at a time
+MAX_BITS = 28  # of a bitmap's places
 _MOST_CACHED = 250_000  # words, about 32 MB
 
 
@@ -111,6 +114,28 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return map_batches(narrow, "doc_id long, mark long, class_hash binary, n int, bands array<long>", each)
 
 
+def may_hold(keys: DataFrame) -> Callable[..., Column]:
+    """A test of columns like those of ``keys``: false only for what is not among them.
+
+    The keys become a bitmap of about 16 places each, up to 32 MB of them; then more others pass. So the
+    texts that a join by these keys can't concern needn't be shuffled for it, however many keys there are.
+    """
+    bits = min(MAX_BITS, max(10, (16 * keys.count()).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64(*keys.columns), 64 - bits)
+    marked = keys.select(place.alias("place")).selectExpr(
+        "shiftright(place, 6) as slot", "shiftleft(1L, cast(place & 63 as int)) as mark").groupBy("slot").agg(F.bit_or("mark").alias("mark")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[marked["slot"].to_numpy()] = marked["mark"].to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(marks)
+
+    @F.arrow_udf(T.BooleanType())
+    def held(hashes: pa.Array) -> pa.Array:
+        at = hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+        return pa.array((sent.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1)
+
+    return lambda *columns: held(F.xxhash64(*columns))
+
+
 def leader_groups(reps: DataFrame) -> DataFrame:
     """(leader, member): each class with the least class of each of its buckets, buckets of one left out."""
     keyed = reps.filter("n > 0").select("class", F.posexplode("bands").alias("band", "key"))
@@ -128,10 +153,11 @@ def verify(groups: DataFrame, classes: DataFrame, texts: DataFrame, threshold: f
     speakers = write_scratch(
         classes.join(of_member, F.col("class") == F.col("member"), "left_semi").select(F.col("class").alias("member"), "id", "class_hash"),
         "speakers")
-    # The ids alone meet the texts, as their file is small. An id may have several texts, and a
+    # The ids alone meet the texts, and only texts that they may concern. An id may have several texts, and a
     # text several rows, so sets are named by their words from here on.
     wanted = write_scratch(speakers.select("id").distinct(), "wanted")
-    sets = shingle_sets(texts.join(wanted, "id", "left_semi")).groupBy("class_hash").agg(F.first("shingles").alias("shingles"))
+    concerned = texts.filter(may_hold(wanted)(F.col("id")))
+    sets = shingle_sets(concerned.join(wanted, "id", "left_semi")).groupBy("class_hash").agg(F.first("shingles").alias("shingles"))
     named = groups.join(sized, "leader").join(of_member, "member").join(speakers.select("member", "class_hash"), "member")
     rows = named.join(sets, "class_hash")
     blocks = F.ceil(F.col("members") / block).cast("int")
@@ -307,5 +333,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     gone = classified(docs, threshold, recall).filter(~F.col("speaks")).select(
         F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
     gone = write_scratch(gone, "gone")
-    own_id, own_mark = F.coalesce(docs["doc_id"].cast("long"), F.lit(LOW)), F.xxhash64(docs["text"].cast("string"))
-    return docs.join(gone, (own_id == gone.gone_id) & (own_mark == gone.gone_mark), "left_anti")
+    own_id, own_mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)), F.xxhash64(F.col("text").cast("string"))
+    told = docs.withColumn("may_be_gone", may_hold(gone)(own_id, own_mark))
+    maybe = told.filter("may_be_gone").join(gone, (own_id == gone.gone_id) & (own_mark == gone.gone_mark), "left_anti")
+    return told.filter("not may_be_gone").unionByName(maybe).drop("may_be_gone")

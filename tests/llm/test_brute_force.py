@@ -9,6 +9,7 @@ from zlib import crc32
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagetrove.llm import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, queries, repeats, sentencepiece_fst, sql, toxicity
 from pagetrove.llm.common import documents, labels
@@ -159,6 +160,25 @@ def test_keep_one_by_brute_force(spark, texts):
     assert left == len(kept)
 
 
+def test_texts_that_no_copy_concerns_are_not_joined(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("a"), "id")
+    held = ngram_join.may_hold(keys)
+    rows = spark.range(3000).select("id", held(F.col("id").cast("string"), F.col("id")).alias("held"))
+    found = {r.id for r in rows.filter("held").collect()}
+    assert found >= set(range(0, 3000, 3)) and len(found) < 1300
+    assert not spark.range(9).filter(ngram_join.may_hold(keys.limit(0).select("id"))(F.col("id"))).count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = frame(spark, [(i, f"one two three four five six {i if i < 40 else 7}", "en", "a") for i in range(50)])
+        kept = ngram_join.keep_one(docs)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Union" in plan and plan.index("Union") < plan.index("LeftAnti")
+
+
 def test_lm_base_and_normalisation(spark, sf_small, texts):
     counts = collections.Counter()
     for i, t in texts.items():
