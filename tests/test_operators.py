@@ -482,3 +482,34 @@ def test_large_buckets_are_scanned(spark, monkeypatch, metric, planes):
     monkeypatch.setattr(vectors, "_slot_topk", None)
     again = index.topk(index.index(vdf), qdf, 7, metric, queries_per_slot=10)
     assert sorted(again.collect()) == sorted(few[0].collect())
+
+
+def test_few_cells_are_scored_in_full(monkeypatch):
+    """Of a block, about k cells of a query, and of a sparse query only the components that it has."""
+    rng = np.random.default_rng(13)
+    rows, queries = rng.random((6000, 384)), np.zeros((40, 384))
+    for q in queries:
+        q[rng.integers(0, 384, 9)] = rng.random(9) + 0.1
+    queries[7, :60] = 1                                             # a wide one among them
+    widths, whole = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda spec, a, b: (widths.append(a.shape), whole(spec, a, b))[1])
+    found = vectors.Shortlist(queries, 10, "dot", pa.string())
+    ids = [f"v{i:05d}" for i in rng.permutation(6000)]
+    found.add(pa.table({"id": ids, "values": pa.array(rows.tolist(), pa.list_(pa.float32()))}))
+    table, scores = found.table(pa.array(np.arange(40))), np.round(queries @ rows.astype(np.float32).astype(float).T, 9)
+    for q in range(40):
+        order = np.lexsort((ids, -scores[q]))[:10]
+        assert table.filter(pa.array(table["qid"].to_numpy() == q))["id"].to_pylist() == [ids[i] for i in order]
+    assert sum(n for n, _ in widths) <= 40 * 10 * 5 and sum(n * w for n, w in widths) < 40 * 10 * 5 * 60
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_packed_vectors_come_back(spark, kind):
+    rng = np.random.default_rng(14)
+    rows = [(f"v{i}", r.tolist()) for i, r in enumerate(rng.standard_normal((20, 3)))]
+    table = spark.createDataFrame(rows, f"id string, values array<{kind}>")
+    batch = vectors.packed(table).toArrow().combine_chunks().to_batches()[0].slice(4, 9)
+    got = vectors._unpacked(batch, vectors._kind(table)).to_pydict()
+    want = {r.id: list(r["values"]) for r in table.collect()}
+    assert got["values"] == [want[i] for i in got["id"]] and len(got["id"]) == 9
+    assert vectors.packed(table.limit(0)).count() == 0
