@@ -38,6 +38,7 @@ META = "▁"
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 UNKNOWN_PENALTY = 10.0
 CACHE_BYTES = 128 << 20  # of a worker's caches; an entry takes about 150 bytes beside its text
+BATCH_BYTES = 1 << 20    # of texts whose ids a worker holds at a time, beside its caches
 
 
 @dataclass(frozen=True)
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, machine: Machine) -> DataFrame:
         tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
         return {"doc_id": batch.column("doc_id"), "tokens": tokens}
 
-    return map_batches(_narrow(docs), "doc_id long, tokens array<int>", each)
+    return map_batches(_narrow(docs), "doc_id long, tokens array<int>", each, BATCH_BYTES)
 
 
 def decode(coded: DataFrame, machine: Machine) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetrove.llm import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, queries, repeats, sentencepiece_fst, sql, toxicity
-from pagetrove.llm.common import documents, labels
+from pagetrove.llm.common import documents, labels, slices
 
 from .conftest import ROWS, frame
 
@@ -212,6 +212,22 @@ def test_automaton_sums_to_one(spark, edge_docs):
         assert math.isclose(total + unknown, 1, abs_tol=1e-6)
 
 
+def test_sentencepiece_holds_few_texts_at_a_time(spark, monkeypatch):
+    machine = sentencepiece_fst.compile_model(sentencepiece_fst.default_model())
+    held, whole = [], sentencepiece_fst.map_batches
+
+    def small(df, schema, each, *bound):
+        bound = bound or (16 << 20,)
+        held.append(max(part.nbytes for part in slices(df.toArrow().combine_chunks().to_batches()[0], *bound)))
+        return whole(df, schema, each, *bound)
+
+    monkeypatch.setattr(sentencepiece_fst, "map_batches", small)
+    docs = spark.createDataFrame([(i, f"{i} " + "some words of a text " * 1000) for i in range(200)], "doc_id long, text string").coalesce(1)
+    coded = sentencepiece_fst.encode(docs, machine)
+    back = {r.doc_id: r.text for r in sentencepiece_fst.decode(coded, machine).collect()}
+    assert back == {r.doc_id: r.text for r in docs.collect()} and held[0] <= 1.1 * (1 << 20)
+
+
 def test_sentencepiece_equals_library(spark, edge_docs, texts):
     import sentencepiece
 
