@@ -38,6 +38,9 @@ META = "▁"
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 UNKNOWN_PENALTY = 10.0
 CACHE_BYTES = 128 << 20  # of a worker's caches; an entry takes about 150 bytes beside its text
+PAIR_BYTES = 32 << 20    # of these, for pairs; one takes about 110 bytes, and 300 the first of a piece
+HEAD, SHORTER = 3, (2, 1)  # first characters that tell how long a piece may be, and the lengths below
+DECODED = 1 << 16        # ids whose bytes are looked up at a time
 BATCH_BYTES = 1 << 20    # of texts whose ids a worker holds at a time, beside its caches
 
 
@@ -102,12 +105,21 @@ class Transducer:
     def __init__(self, machine: Machine):
         self.m = machine
         self.cut = re.compile(machine.parts).findall
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # whether a piece can follow another
+        self.pairs_held = 0
         self.parts: dict[str, bytes] = {}
         self.held = 0
         self.is_byte = np.zeros(len(machine.bytes_of), bool)
         self.is_byte[list(machine.byte_ids)] = True
+        self.coded = {p: np.array([i], np.int32).tobytes() for p, i in machine.pieces.items()}
         self.whole = {p for p in machine.pieces if len(p) == 1 or self.merged(p) == [p]} if machine.bpe else set()
+        sizes: dict[str, set[int]] = {}
+        for p in self.whole:
+            if len(p) >= HEAD:
+                sizes.setdefault(p[:HEAD], set(SHORTER)).add(len(p))
+        self.sizes = {head: tuple(sorted(of, reverse=True)) for head, of in sizes.items()}
+        self.starts = np.cumsum([0, *map(len, machine.bytes_of)])
+        self.table = np.frombuffer(b"".join(machine.bytes_of), np.uint8)
         self.worst = min(machine.scores.values(), default=0.0) - UNKNOWN_PENALTY
 
     def normalise(self, text: str) -> str:
@@ -124,12 +136,19 @@ class Transducer:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if self.held + 110 * len(self.pairs) > CACHE_BYTES:
+            if self.held > CACHE_BYTES - PAIR_BYTES:
                 known.clear()
-                self.pairs.clear()
                 self.held = 0
+            if self.pairs_held > PAIR_BYTES:
+                self.pairs.clear()
+                self.pairs_held = 0
             for part in set(parts).difference(known):
-                coded = known[part] = np.array(self.ids(self.path(part)), np.int32).tobytes()
+                path = self.path(part)
+                try:
+                    coded = b"".join([self.coded[p] for p in path])
+                except KeyError:  # a character in no piece
+                    coded = np.array(self.ids(path), np.int32).tobytes()
+                known[part] = coded
                 self.held += 150 + len(part) + len(coded)
             return b"".join(map(known.__getitem__, parts))
 
@@ -152,38 +171,48 @@ class Transducer:
     def merge_path(self, s: str) -> list[str]:
         """Search the finite arcs, longest first; an arc that leads nowhere is not tried again.
 
-        Where an arc leads depends on its piece alone, not on what came before it.
+        Where an arc leads depends on its piece alone, not on what came before it. Only lengths
+        that pieces with the same first characters have are tried.
         """
-        whole, longest, n = self.whole, self.m.longest, len(s)
+        whole, sizes, pairs, n = self.whole, self.sizes.get, self.pairs, len(s)
         if s in whole:
             return [s]
-        pairs, dead = self.pairs, set()
+        dead: set[tuple[int, str]] = set()
         path: list[str] = []
-        i, j, before = 0, min(n, longest), ""
+        i, below, before = 0, n + 1, ""
         while i < n:
-            while j > i:
-                p = s[i:j]
-                if p in whole or j == i + 1:
-                    ok = pairs.get((before, p)) if before else True
-                    if ok is None:
-                        ok = self.follows(before, p)
-                    if ok and (not dead or (i, p) not in dead):
-                        break
-                j -= 1
-            if j > i:
-                path.append(p)
-                before, i, j = p, j, min(n, j + longest)
+            after = pairs.get(before) or self.following(before)
+            for k in sizes(s[i:i + HEAD], SHORTER):
+                if k < below:
+                    p = s[i:i + k]
+                    if p in whole or k == 1:
+                        ok = after.get(p)
+                        if ok is None:
+                            ok = self.follows(before, p)
+                        if ok and (not dead or (i, p) not in dead):
+                            path.append(p)
+                            before, i, below = p, i + len(p), n + 1
+                            break
             else:
                 p = path.pop()
-                i, j = i - len(p), i - 1
+                i, below = i - len(p), len(p)
                 dead.add((i, p))
                 before = path[-1] if path else ""
         return path
 
+    def following(self, a: str) -> dict[str, bool]:
+        """What is known of the pieces after this one."""
+        if a not in self.pairs:
+            self.pairs[a] = {}
+            self.pairs_held += 300
+        return self.pairs[a]
+
     def follows(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
+        after = self.following(a)
+        ok = after.get(b)
         if ok is None:
-            ok = self.pairs[a, b] = self.merged(a + b) == [x for x in (a, b) if x]
+            ok = after[b] = not a or self.merged(a + b) == [a, b]
+            self.pairs_held += 110
         return ok
 
     def merged(self, s: str) -> list[str]:
@@ -217,8 +246,15 @@ class Transducer:
             j -= len(arc[j])
         return out[::-1]
 
+    def bytes_at(self, ids: np.ndarray) -> bytes:
+        """The bytes of these ids, one after another."""
+        first = self.starts[ids]
+        size = self.starts[ids + 1] - first
+        end = np.cumsum(size)
+        return self.table[np.repeat(first - end + size, size) + np.arange(end[-1])].tobytes()
+
     def decode(self, ids) -> str:
-        text = b"".join(map(self.m.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(self.bytes_at(np.asarray(ids[at:at + DECODED], np.int64)) for at in range(0, len(ids), DECODED)).decode("utf-8", "replace")
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
@@ -262,7 +298,7 @@ def digest(docs: DataFrame, machine: Machine) -> DataFrame:
             out["n_tokens"].append(len(ids))
             out["n_byte_tokens"].append(int(t.is_byte[ids].sum()))
             out["ids_sha256"].append(hashlib.sha256(coded).hexdigest())
-            out["round_trip"].append(t.decode(ids.tolist()) == (text or ""))
+            out["round_trip"].append(t.decode(ids) == (text or ""))
         return out
 
     return map_batches(

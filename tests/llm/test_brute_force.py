@@ -243,6 +243,27 @@ def test_sentencepiece_equals_library(spark, edge_docs, texts):
     assert all(back[i] == (t or "").replace("▁", " ") for i, t, *_ in ROWS)
 
 
+def test_sentencepiece_keeps_pairs_when_parts_are_dropped(monkeypatch):
+    import sentencepiece
+
+    path = sentencepiece_fst.default_model()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for name, value in (("CACHE_BYTES", 2000), ("PAIR_BYTES", 1 << 20), ("DECODED", 7)):
+        monkeypatch.setattr(sentencepiece_fst, name, value, raising=False)
+    own = sentencepiece_fst.Transducer(sentencepiece_fst.compile_model(path))
+    rng = np.random.default_rng(5)
+    bits = ["the", "ing", "é", "ß", "😀", "schl", "eux", "  ", "tion", "▁q", "\n", "aire"]
+    texts = [" ".join("".join(rng.choice(bits, 4)) for _ in range(30)) for _ in range(40)]
+    for t in texts:
+        assert own.encode(t).tolist() == library.encode(t)
+        assert own.decode(own.encode(t)) == t.replace("▁", " ")
+    merged, again = own.merged, []
+    own.merged = lambda s: again.append(s) or merged(s)
+    for t in texts:
+        own.encode(t)
+    assert not again and own.held < 20000
+
+
 def test_unigram_shortest_path():
     m = sentencepiece_fst.Machine({" ": 0, "a": 1, "b": 2, "ab": 3, " ab": 4}, {" ": -2, "a": -1, "b": -1, "ab": -3, " ab": -5.5},
                                   (b" ", b"a", b"b", b"ab", b" ab"), (), 0, True, False, 3, r"(?s).+", "toy")
