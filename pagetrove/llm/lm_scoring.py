@@ -10,10 +10,15 @@ state's weights sum to one. One traversal from left to right carries the state a
 What is held where: n-grams, their arcs and backoff factors are counted and weighed in tables. By
 counting alone, at most 1/share n-grams of one length reach a share of the tokens: these common ones
 (and common words, which have root arcs of their own) make up the automaton that is sent to all tasks,
-with the factors of the whole model. For all others the traversal emits (document, n-gram, times),
-and one join adds what the table says the n-gram's arc weighs more than the path by the failure arc
-(``gain``). An n-gram is rare there by definition, so no key of that join is hot. Bitmaps of fixed
-size tell tasks of most n-grams without an arc; a false hit meets no row of the table and adds nothing.
+with the factors of the whole model. For all others the traversal asks the table: one join adds what
+it says the n-gram's arc weighs more than the path by the failure arc (``gain``). An n-gram is rare
+there by definition, so no key of that join is hot. Bitmaps of fixed size tell tasks of most n-grams
+without an arc; a false hit meets no row of the table and adds nothing.
+
+What is shuffled: an n-gram of common words is one number, made of its words' numbers; others are
+texts. A task sorts the n-grams of a block of texts and deals them out by a hash into parts, each a
+row: the sorted numbers' differences as planes of bytes, and how often each is seen or where. Parts are
+counted, and meet their slice of the table, in arrays; a task holds a slice and reads request by request.
 
 Defined results: null and empty texts are one end token. The words of texts are lowered in A-Z
 only. A null id is in the fold of the empty id. Repeated rows count and are scored one by one.
@@ -25,17 +30,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrove.session import write_scratch
+from pagetrove.session import ship_package, write_scratch
 
-from .common import fold, map_batches
+from .common import fold, give_back, map_batches, slices, small_batches
 
 END = b""  # no word is empty
 
@@ -83,11 +92,18 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 MAX_BITS = 28  # of a bitmap's places
-BATCH_BYTES = 2 << 20  # of texts whose n-grams a worker holds at a time
+BATCH_BYTES = 2 << 20  # of texts whose words a worker holds at a time
+BLOCK = 1 << 21  # tokens, or n-grams of a table, that a worker sorts at a time
+CODED = 1 << 20  # words whose n-grams are numbers; three of their numbers fit into 60 bits
+
+
+@lru_cache(1 << 16)
+def digest(word: bytes) -> bytes:
+    return blake2b(word, digest_size=8).digest()
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), np.uint64)
+    return np.frombuffer(b"".join(map(digest, words)), np.uint64)
 
 
 def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -130,19 +146,120 @@ def bitmap(grams: DataFrame, column: str) -> Bitmap:
     return Bitmap(bits, marks)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 on as planes of bytes, as many as the largest number needs; high planes compress to little."""
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.view("<i8").ravel().astype(np.int64, copy=False)
+
+
+def lines(grams: list[bytes]) -> bytes:
+    """No word holds a line break."""
+    return b"".join(g + b"\n" for g in grams)
+
+
+def unlines(data: bytes) -> list[bytes]:
+    return data.split(b"\n")[:-1]
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted numbers are among the keys, which are in order, and where."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)), at
+
+
+def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def part_of_texts(grams: list[bytes], parts: int) -> np.ndarray:
+    return np.fromiter((crc32(g) % parts for g in grams), np.int64, len(grams))
+
+
+@dataclass
+class Coder:
+    """Words with root arcs, the most frequent first. The first ``base`` of them make up n-grams that are numbers."""
+
+    words: list[bytes]
+    number: dict[bytes, int]
+    hash: np.ndarray
+    base: int
+
+    def code(self, gram: bytes) -> int:
+        """The number of an n-gram of two or three words, or -1. Triples come after all pairs."""
+        code, words = 0, gram.split(b" ")
+        for w in words:
+            at = self.number.get(w, CODED)
+            if at >= self.base:
+                return -1
+            code = code * self.base + at
+        return -1 if len(words) < 2 else code + self.base ** 2 * (len(words) - 2)
+
+    def gram(self, code: int, n: int) -> bytes:
+        words = []
+        for _ in range(n):
+            code, at = divmod(code, self.base)
+            words.append(self.words[at])
+        return b" ".join(reversed(words))
+
+
+def common_words(counts: DataFrame, n: int, config: LmConfig) -> DataFrame:
+    return counts.filter(F.col("c") >= max(config.least_count, config.root_share * n))
+
+
+def by_frequency(words: list[tuple]) -> list[tuple]:
+    return sorted(words, key=lambda r: (-r[1], r[0]))
+
+
+def coder(counts: DataFrame, n: int, config: LmConfig) -> Coder:
+    rows = common_words(counts, n, config).select(F.col("word").cast("string").alias("word"), "c").collect()
+    words = [w for w, _ in by_frequency([(r.word.encode(), r.c) for r in rows])]
+    return Coder(words, {w: i for i, w in enumerate(words)}, hashes(words), min(len(words), CODED))
+
+
 class Texts:
-    """The tokens of a batch between end tokens: ``a`` are places in ``words``, -1 parts the texts."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        number: dict[bytes, int] = {END: 0}
-        a: list[int] = []
-        for ws in texts:
-            a.append(0)
-            a += [number.setdefault(w, len(number)) for w in ws]
-            a += [0, -1]
-        self.a, self.words = np.array(a, np.int64), list(number)
-        self.first = np.cumsum([0] + [len(ws) + 3 for ws in texts])
-        self.hash = hashes(self.words)
+    """The tokens of a block between end tokens: ``a`` are numbers of words, those of the coder first and
+    then the block's ``own``; -1 parts the texts."""
+
+    def __init__(self, coder: Coder):
+        self.coder, self.size, self.own = coder, len(coder.words), {}
+        self.blocks: list[np.ndarray] = []
+        self.lengths: list[int] = []
+        self.tokens = 0
+
+    def add(self, texts: list[str | None]) -> None:
+        flat: list[bytes | None] = []
+        for text in texts:
+            ws = split(text)
+            flat.append(END)
+            flat += ws
+            flat += (END, None)
+            self.lengths.append(len(ws) + 3)
+        a = np.fromiter(map(self.coder.number.get, flat, repeat(-1)), np.int64, len(flat))
+        ends = np.cumsum(self.lengths[len(self.lengths) - len(texts):]) - 1
+        rare = a < 0
+        rare[ends] = False
+        own, size = self.own, self.size
+        at = np.flatnonzero(rare)
+        a[at] = [size + own.setdefault(flat[i], len(own)) for i in at.tolist()]
+        self.blocks.append(a)
+        self.tokens += len(a)
+
+    def close(self) -> "Texts":
+        self.a = np.concatenate(self.blocks)
+        self.blocks = []
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.words = list(self.own)
+        self.hash = np.concatenate([self.coder.hash, hashes(self.words)])
+        return self
 
     def pairs(self, held: Bitmap) -> tuple[np.ndarray, np.ndarray]:
         """Whether a pair that may be held starts at a place, and its hash."""
@@ -150,37 +267,117 @@ class Texts:
         value = longer(h[:-1], h[1:])
         return (a[:-1] >= 0) & (a[1:] >= 0) & held.may_hold(value), value
 
-    def gram(self, at: np.ndarray, n: int) -> list[bytes]:
-        w = self.words
-        return [b" ".join([w[i] for i in x]) for x in np.stack([self.a[at + k] for k in range(n)], 1).tolist()]
+    def word(self, at: int) -> bytes:
+        return self.coder.words[at] if at < self.size else self.words[at - self.size]
 
+    def gram(self, at: np.ndarray, n: int) -> list[bytes]:
+        word = self.word
+        return [b" ".join([word(i) for i in x]) for x in np.stack([self.a[at + k] for k in range(n)], 1).tolist()]
 
-def count_ngrams(train: DataFrame, words: Bitmap, pairs: Bitmap | None, least: int) -> DataFrame:
+    def codes(self, ok: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams that start where ``ok`` says: places and numbers of those of coded words; places of the
+        others, and numbers that tell these apart within the block."""
+        a, base = self.a, self.coder.base
+        at = np.flatnonzero(ok)
+        words = [a[at + k] for k in range(n)]
+        coded = np.logical_and.reduce([w < base for w in words])
+        code = np.zeros(int(coded.sum()), np.int64)
+        for w in words:
+            code = code * base + w[coded]
+        rest = at[~coded]
+        size = self.size + len(self.words)
+        other = a[rest] * size + a[rest + 1]
+        if n == 3:
+            _, other = np.unique(other, return_inverse=True)
+            other = other * size + a[rest + 2]
+        return at[coded], code, rest, other
+
+
+def map_blocks(df: DataFrame, schema: str, coder: Callable[[], Coder], each: Callable[[Texts, pa.Table], Iterator[dict]]) -> DataFrame:
+    """``mapInArrow`` over blocks of about BLOCK tokens: from the tokens and the other columns of a block to rows."""
+    ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
+    kind = arrow_kind(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, others = Texts(coder()), []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for row in each(texts.close(), pa.Table.from_batches(others)):
+                yield pa.RecordBatch.from_pylist([row], schema=kind)
+
+        for batch in batches:
+            for part in slices(batch, BATCH_BYTES):
+                texts.add(part.column("text").to_pylist())
+                others.append(part.drop_columns(["text"]))
+                if texts.tokens >= BLOCK:
+                    yield from close()
+                    texts, others = Texts(coder()), []
+        if others:
+            yield from close()
+        del texts, others
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def count_ngrams(train: DataFrame, coder: Coder, words: Bitmap, pairs: Bitmap | None, least: int, parts: int) -> DataFrame:
     """(gram, c) of the pairs, or with ``pairs`` of the triples, seen at least so often; words are blank-joined.
 
     An n-gram can't be more frequent than its parts, so those of rarer parts needn't be counted.
     """
-    spark = train.sparkSession
-    sent = spark.sparkContext.broadcast((words, pairs))
+    sent = train.sparkSession.sparkContext.broadcast((coder, words, pairs))
+    n = 2 if pairs is None else 3
 
-    def each(batch: pa.RecordBatch) -> dict:
-        words, pairs = sent.value
-        t = Texts([split(text) for text in batch.column("text").to_pylist()])
+    def each(t: Texts, _: pa.Table) -> Iterator[dict]:
+        _, words, pairs = sent.value
         if pairs is None:
             held = words.may_hold(t.hash)
             ok = (t.a[:-1] >= 0) & (t.a[1:] >= 0) & held[t.a[:-1]] & held[t.a[1:]]
-            n, code = 2, t.a[:-1] * len(t.words) + t.a[1:]
         else:
             ok, _ = t.pairs(pairs)
-            _, pair = np.unique(t.a[:-1] * len(t.words) + t.a[1:], return_inverse=True)
             ok = ok[:-1] & ok[1:]
-            n, code = 3, pair[:-1] * len(t.words) + t.a[2:]
-        at = np.flatnonzero(ok)
-        _, first, seen = np.unique(code[at], return_index=True, return_counts=True)
-        return {"gram": [g.decode() for g in t.gram(at[first], n)], "c": seen}
-
-    counts = map_batches(train, "gram string, c long", each, BATCH_BYTES).groupBy("gram").agg(F.sum("c").alias("c"))
-    return counts.filter(F.col("c") >= least)
+        _, code, rest, other = t.codes(ok, n)
+        codes, seen = np.unique(code, return_counts=True)
+        _, first, times = np.unique(other, return_index=True, return_counts=True)
+        grams = t.gram(rest[first], n)
+        for part, own, texts in shares(part_of(codes, parts), part_of_texts(grams, parts), parts):
+            yield {"part": part, "codes": pack(np.diff(codes[own], prepend=0)), "seen": pack(seen[own]),
+                   "grams": lines([grams[i] for i in texts.tolist()]), "times": pack(times[texts])}
+
+    def add(group: pa.Table) -> pa.Table:
+        coder = sent.value[0]
+        read = {k: group.column(k).to_pylist() for k in ("codes", "seen", "grams", "times")}
+        codes = np.concatenate([np.cumsum(unpack(x)) for x in read["codes"]])
+        order = np.argsort(codes)
+        codes, seen = codes[order], np.concatenate([unpack(x) for x in read["seen"]])[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        c = np.add.reduceat(seen, first) if len(first) else seen
+        held = c >= least
+        names = [coder.gram(x, n) for x in codes[first][held].tolist()]
+        other: Counter = Counter()
+        for grams, times in zip(read["grams"], read["times"]):
+            for g, x in zip(unlines(grams), unpack(times).tolist()):
+                other[g] += x
+        other = {g: x for g, x in other.items() if x >= least}
+        return pa.table({"gram": pa.array([g.decode() for g in names + list(other)], pa.string()),
+                         "c": pa.array(c[held].tolist() + list(other.values()), pa.int64())})
+
+    rows = map_blocks(train, "part int, codes binary, seen binary, grams binary, times binary", lambda: sent.value[0], each)
+    return rows.groupBy("part").applyInArrow(add, "gram string, c long")
+
+
+def shares(part: np.ndarray, text_part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, places of its numbers in order, places of its texts)."""
+    cuts = []
+    for p in (part, text_part):
+        order = np.argsort(p.astype(np.uint16) if parts < 1 << 16 else p, kind="stable")
+        cuts.append((order, np.searchsorted(p[order], np.arange(parts + 1))))
+    (order, cut), (text_order, text_cut) = cuts
+    for p in range(parts):
+        own, texts = order[cut[p]:cut[p + 1]], text_order[text_cut[p]:text_cut[p + 1]]
+        if len(own) or len(texts):
+            yield p, own, texts
 
 
 @dataclass
@@ -193,17 +390,20 @@ class Tables:
     pairs: DataFrame
     triples: DataFrame
     maps: tuple[Bitmap, Bitmap]
+    coder: Coder
 
 
 def weigh(train: DataFrame, counts: DataFrame, n: int, rest: float, config: LmConfig) -> Tables:
     """Arcs and backoff factors of all n-grams; nothing of it is gathered."""
     least, d = config.least_count, config.discount
     c, total = F.col("c"), float(max(n, 1))
+    code = coder(counts, n, config)
+    parts = max(4 * train.sparkSession.sparkContext.defaultParallelism, n // (4 * BLOCK))
     words = counts.select(F.col("word").cast("string").alias("word"), "c", F.log10((c - rest) / total).alias("arc"))
     known = bitmap(words.filter(c >= least), "word")
-    pairs = write_scratch(count_ngrams(train, known, None, least), "lm-pairs")
+    pairs = write_scratch(count_ngrams(train, code, known, None, least, parts), "lm-pairs")
     seen = bitmap(pairs, "gram")
-    triples = write_scratch(count_ngrams(train, known, seen, least), "lm-triples")
+    triples = write_scratch(count_ngrams(train, code, known, seen, least, parts), "lm-triples")
     first, last = (F.substring_index("gram", " ", k) for k in (1, -1))
 
     def backs(arcs: DataFrame) -> DataFrame:
@@ -234,14 +434,13 @@ def weigh(train: DataFrame, counts: DataFrame, n: int, rest: float, config: LmCo
     return Tables(
         write_scratch(words.join(back1.withColumnRenamed("history", "word"), "word", "left"), "lm-words"),
         write_scratch(gained(two, back1, back2), "lm-pair-weights"),
-        write_scratch(gained(three, back2, None), "lm-triple-weights"), (seen, bitmap(triples, "gram")))
+        write_scratch(gained(three, back2, None), "lm-triple-weights"), (seen, bitmap(triples, "gram")), code)
 
 
 def build(train: DataFrame, counts: DataFrame, n: int, v: int, rest: float, config: LmConfig, tables: Tables | None = None) -> Automaton:
     """The automaton of the common words, pairs and triples, with the weights of the whole model."""
     tables = tables or weigh(train, counts, n, rest, config)
-    roots = tables.words.filter(F.col("c") >= max(config.least_count, config.root_share * n)).collect()
-    roots = sorted(((r.word.encode(), r.c, r.arc, r.back) for r in roots), key=lambda r: (-r[1], r[0]))
+    roots = by_frequency([(r.word.encode(), r.c, r.arc, r.back) for r in common_words(tables.words, n, config).collect()])
     words = {w: i for i, (w, *_) in enumerate(roots)}
     size = len(words)
     fail, backoff, state_of = [0], [0.0], {}
@@ -277,26 +476,235 @@ def weight_at(arcs, fail, backoff, size, state, w) -> float:
     return total + arc[0]
 
 
-def traverse(model: Automaton, ids: list[int]) -> float:
-    """The sum of weights along the text but for root arcs of words that the automaton lacks (-1)."""
-    arcs, fail, backoff, size = model.arcs.get, model.fail, model.backoff, len(model.words)
-    total, state = 0.0, model.start
-    for w in ids:
-        if w < 0:
-            while state:
-                total += backoff[state]
-                state = fail[state]
-            continue
-        arc = arcs(state * size + w)
-        while arc is None:
-            total += backoff[state]
-            state = fail[state]
-            arc = arcs(state * size + w)
-        total += arc[0]
-        state = arc[1]
+@dataclass
+class Walk:
+    """An automaton as arrays: the arcs of words from the root, and all others in the order of their keys."""
+
+    root_weight: np.ndarray
+    root_next: np.ndarray
+    keys: np.ndarray
+    weight: np.ndarray
+    next: np.ndarray
+    fail: np.ndarray
+    backoff: np.ndarray
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether states, none of them the root, have arcs for words, and the places of these arcs."""
+        return places(self.keys, state * len(self.root_weight) + word)
+
+
+def walk(model: Automaton) -> Walk:
+    size = len(model.words)
+    root = [model.arcs[w] for w in range(size)]
+    rest = sorted((k, *arc) for k, arc in model.arcs.items() if k >= size)
+    return Walk(np.array([w for w, _ in root], float), np.array([s for _, s in root], np.int64),
+                np.array([k for k, *_ in rest], np.int64), np.array([w for _, w, _ in rest], float),
+                np.array([s for *_, s in rest], np.int64), np.array(model.fail, np.int64), np.array(model.backoff, float))
+
+
+def traverse(m: Walk, words: np.ndarray) -> np.ndarray:
+    """The weight of each place of texts between end tokens, but for root arcs of words that the automaton lacks.
+
+    ``words`` are -1 where the automaton lacks a word, -2 between texts. The state after a word is that of
+    the longest n-gram with a state that ends there, whatever the way: that of the arc for the word from
+    the state of the word before alone, else that of the root's arc. So the states of all places are
+    known at once, and all places follow their failure arcs together, to the root at most.
+    """
+    total = np.zeros(len(words))
+    if not len(m.root_weight):
+        return total
+    known = words >= 0
+    state = np.where(known, m.root_next[np.maximum(words, 0)], 0)
+    at = np.flatnonzero(known[1:] & (state[:-1] > 0)) + 1
+    found, arc = m.arc(state[at - 1], words[at])
+    state[at[found]] = m.next[arc[found]]
+    weighed = np.zeros(len(words), bool)
+    weighed[1:] = (words[1:] > -2) & (words[:-1] > -2)
+    now = np.concatenate([[0], state[:-1]])
+    done = ~known
+    at = np.flatnonzero(weighed & (now > 0))
+    while len(at):
+        found, arc = m.arc(now[at], words[at])
+        found &= known[at]
+        total[at[found]] += m.weight[arc[found]]
+        done[at[found]] = True
+        at = at[~found]
+        total[at] += m.backoff[now[at]]
+        now[at] = m.fail[now[at]]
+        at = at[now[at] > 0]
+    at = np.flatnonzero(weighed & ~done)
+    total[at] += m.root_weight[words[at]]
     return total
 
 
+@dataclass
+class Request:
+    """N-grams of a block, each once, and the texts of the block that hold them, an n-gram's after another's."""
+
+    part: np.ndarray
+    times: np.ndarray
+    docs: np.ndarray
+
+    def deal(self, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each part: places of its n-grams in order, times, texts."""
+        order = np.argsort(self.part.astype(np.uint16) if parts < 1 << 16 else self.part, kind="stable")
+        times = self.times[order]
+        ends = np.cumsum(times)
+        start = (np.cumsum(self.times) - self.times)[order]
+        docs = self.docs[np.arange(len(self.docs)) + np.repeat(start - ends + times, times)]
+        cut = np.searchsorted(self.part[order], np.arange(parts + 1))
+        ends = np.concatenate([[0], ends])
+        for p in range(parts):
+            own = slice(cut[p], cut[p + 1])
+            yield order[own], times[own], docs[ends[cut[p]]:ends[cut[p + 1]]]
+
+
+def gathered(code: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes once, in order; a place of each; times; the texts in this order."""
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], order[first], np.diff(np.append(first, len(code))), docs[order]
+
+
+REQUEST = "part int, side int, codes binary, grams binary, words int, times binary, docs binary, rows binary, own binary, gains binary"
+SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+SUMS_KIND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                       ("base", pa.float64()), ("score", pa.float64())])
+ROWS = 1 << 18  # of a table that a worker holds at a time
+
+
+def ask(t: Texts, rows: pa.Table, m: Walk, base: np.ndarray, common: tuple[np.ndarray, set[bytes]],
+        maps: tuple[Bitmap, Bitmap], parts: int) -> Iterator[dict]:
+    """Traverse a block; for each part what its slice of the table is asked, with one of them the sums so far."""
+    size, n_docs = t.size, len(t.lengths)
+    doc = np.repeat(np.arange(n_docs), t.lengths)
+    words = np.where(t.a < size, t.a, -1)
+    words[t.a < 0] = -2
+    weighed = t.a >= 0
+    weighed[t.first[:-1]] = False
+    at = np.flatnonzero(weighed & (words >= 0))
+    sums = pa.table([rows.column("row"), rows.column("doc_id"), np.diff(t.first) - 2, np.bincount(doc[at], minlength=n_docs),
+                     np.bincount(doc[at], base[words[at]], n_docs), np.bincount(doc, traverse(m, words), n_docs)], schema=SUMS_KIND)
+    at = np.flatnonzero(weighed & (words < 0))
+    number, _, times, docs = gathered(t.a[at], doc[at])
+    grams = [t.words[i - size] for i in number.tolist()]
+    n_words, texts, codes = len(grams), [(times, docs)], []
+    two, value = t.pairs(maps[0])
+    three = two[:-1] & two[1:] & maps[1].may_hold(longer(value[:-1], t.hash[t.a[2:]]))
+    for n, held in ((2, two), (3, three)):
+        at, code, rest, other = t.codes(held, n)
+        code, _, times, docs = gathered(code + t.coder.base ** 2 * (n - 2), doc[at])
+        rare = ~places(common[0], code)[0]
+        codes.append((code[rare], times[rare], docs[np.repeat(rare, times)]))
+        _, place, times, docs = gathered(other, doc[rest])
+        names = t.gram(rest[place], n)
+        rare = np.array([g not in common[1] for g in names], bool)
+        texts.append((times[rare], docs[np.repeat(rare, times)]))
+        grams += [g for g in names if g not in common[1]]
+    codes, times, docs = (np.concatenate(x) for x in zip(*codes))
+    coded = Request(part_of(codes, parts), times, docs).deal(parts)
+    others = Request(part_of_texts(grams, parts), *(np.concatenate(x) for x in zip(*texts))).deal(parts)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SUMS_KIND) as out:
+        out.write_table(sums)
+    row = rows.column("row").to_numpy()
+    for part, (own, times, docs), (texts, text_times, text_docs) in zip(range(parts), coded, others):
+        yield {
+            "part": part, "side": 1, "codes": pack(np.diff(codes[own], prepend=0)), "grams": lines([grams[i] for i in texts.tolist()]),
+            "words": int((texts < n_words).sum()), "times": pack(np.concatenate([times, text_times])),
+            "docs": pack(np.concatenate([docs, text_docs])), "rows": pack(np.diff(row, prepend=0)),
+            "own": sink.getvalue().to_pybytes() if part == row[0] % parts else None,
+        }
+
+
+def deal_table(table: DataFrame, coder, parts: int) -> DataFrame:
+    """(gram, c, gain) as rows for the parts; ``coder`` is a broadcast one. A gram's count follows its gain."""
+    kind = arrow_kind(REQUEST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                yield from each(pa.Table.from_batches(held))
+                held, n = [], 0
+        if held:
+            yield from each(pa.Table.from_batches(held))
+        give_back()
+
+    def each(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        grams = [g.encode() for g in rows.column("gram").to_pylist()]
+        gains = np.stack([rows.column("gain").to_numpy(), rows.column("c").to_numpy().astype(float)], 1)
+        code = np.fromiter(map(coder.value[0].code, grams), np.int64, len(grams))
+        at, text = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
+        at = at[np.argsort(code[at])]
+        text_part = part_of_texts([grams[i] for i in text.tolist()], parts)
+        for part, own, texts in shares(part_of(code[at], parts), text_part, parts):
+            own, texts = at[own], text[texts]
+            yield pa.RecordBatch.from_pylist([{
+                "part": part, "side": 0, "codes": pack(np.diff(code[own], prepend=0)), "grams": lines([grams[i] for i in texts.tolist()]),
+                "gains": gains[own, 0].tobytes() + gains[texts].tobytes()}], schema=kind)
+
+    return table.mapInArrow(run, REQUEST)
+
+
+class Slice:
+    """What a part of the table says: gains of numbers; gains and counts of texts."""
+
+    def __init__(self, rows: list[dict]):
+        codes, gains, texts, weights = [np.zeros(0, np.int64)], [np.zeros(0)], [], [np.zeros((0, 2))]
+        for r in rows:
+            code, values = np.cumsum(unpack(r["codes"])), np.frombuffer(r["gains"])
+            codes.append(code)
+            gains.append(values[:len(code)])
+            texts += unlines(r["grams"])
+            weights.append(values[len(code):].reshape(-1, 2))
+        self.codes = np.concatenate(codes)
+        order = np.argsort(self.codes)
+        self.codes, self.gains = self.codes[order], np.concatenate(gains)[order]
+        self.texts = {g: i for i, g in enumerate(texts)}
+        self.weights = np.concatenate(weights)
+
+    def answer(self, r: dict, unknown: float, below: float) -> pa.RecordBatch:
+        """The sums that a request's n-grams add to its texts, and what it brings itself."""
+        rows = np.cumsum(unpack(r["rows"]))
+        codes, times, docs = np.cumsum(unpack(r["codes"])), unpack(r["times"]), unpack(r["docs"])
+        found, at = places(self.codes, codes)
+        gain = np.zeros(len(times))
+        gain[:len(codes)][found] = self.gains[at[found]]
+        grams = unlines(r["grams"])
+        at = np.fromiter(map(self.texts.get, grams, repeat(-1)), np.int64, len(grams))
+        weights = np.zeros((len(grams), 2))
+        weights[:r["words"], 0] = unknown
+        weights[at >= 0] = self.weights[at[at >= 0]]
+        gain[len(codes):] = weights[:, 0]
+        known, base = np.zeros(len(times)), np.zeros(len(times))
+        word = slice(len(codes), len(codes) + r["words"])
+        c = weights[:r["words"], 1]
+        known[word] = c > 0
+        base[word] = np.log10((c + 0.5) / below)
+        n_known, base, score = (np.bincount(docs, np.repeat(x, times), len(rows)) for x in (known, base, gain))
+        if r["own"] is not None:
+            own = pa.ipc.open_stream(r["own"]).read_all()
+            doc_id, n_tokens = own.column("doc_id").combine_chunks(), own.column("n_tokens").to_numpy()
+            n_known, base, score = (x + own.column(k).to_numpy() for k, x in (("n_known", n_known), ("base", base), ("score", score)))
+        else:
+            seen = np.flatnonzero(np.bincount(docs, minlength=len(rows)))
+            rows, n_known, base, score = rows[seen], n_known[seen], base[seen], score[seen]
+            doc_id, n_tokens = pa.nulls(len(rows), pa.int64()), np.zeros(len(rows), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows), doc_id, pa.array(n_tokens), pa.array(n_known.astype(np.int64)),
+                                           pa.array(base), pa.array(score)], schema=SUMS_KIND)
+
+
+def arrow_kind(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def score(docs: DataFrame, held_out_fold: int = 1, config: LmConfig = LmConfig()) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -309,69 +717,38 @@ def score(docs: DataFrame, held_out_fold: int = 1, config: LmConfig = LmConfig()
     rest = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
     tables = weigh(train, counts, n, rest, config)
     model = build(train, counts, n, v, rest, config, tables)
-    sent = spark.sparkContext.broadcast((model, tables.maps))
     below = n + 0.5 * (v + 1)
-    base = np.log10((model.counts + 0.5) / below)
-
-    def each(batch: pa.RecordBatch) -> dict:
-        m, (pairs, triples) = sent.value
-        known = m.words
-        end = known.get(END, -1)
-        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "gram", "words", "times", "n_tokens", "n_known", "base", "weight")}
-        rows, doc_ids = (batch.column(k).to_pylist() for k in ("row", "doc_id"))
-        texts = [split(text) for text in batch.column("text").to_pylist()]
-        t = Texts(texts)
-        two, value = t.pairs(pairs)
-        three = two[:-1] & two[1:] & triples.may_hold(longer(value[:-1], t.hash[t.a[2:]]))
-        places, grams = [], []
-        for n_words, held in ((2, two), (3, three)):
-            at = np.flatnonzero(held)
-            places.append(np.searchsorted(at, t.first).tolist())
-            grams.append(t.gram(at, n_words))
-        for i, (row, doc_id, ws) in enumerate(zip(rows, doc_ids, texts)):
-            ids = [known.get(w, -1) for w in ws]
-            ids.append(end)
-            a = np.array(ids, np.int64)
-            own = a[a >= 0]
-            rare = Counter([w for w, k in zip(ws, ids) if k < 0])
-            if end < 0:
-                rare[END] += 1
-            k = len(rare)
-            more = [Counter(g[at[i]:at[i + 1]]) for at, g in zip(places, grams)]
-            for n_words, seen in zip((2, 3), more):
-                for g in seen.keys() & m.common:
-                    del seen[g]
-                k += len(seen)
-            # The document's own row has a key that holds three blanks, so it meets no n-gram.
-            out["gram"] += [b"   %d" % row, *rare, *more[0], *more[1]]
-            out["words"] += [0] + [1] * len(rare) + [2] * len(more[0]) + [3] * len(more[1])
-            out["times"] += [0, *rare.values(), *more[0].values(), *more[1].values()]
-            out["row"] += [row] * (k + 1)
-            out["doc_id"] += [doc_id] * (k + 1)
-            out["n_tokens"] += [len(ids)] + [0] * k
-            out["n_known"] += [len(own)] + [0] * k
-            out["base"] += [float(base[own].sum())] + [0.0] * k
-            out["weight"] += [traverse(m, ids)] + [0.0] * k
-        out["gram"] = [g.decode() for g in out["gram"]]
-        return out
-
-    schema = ("row long, doc_id long, gram string, words int, times int, n_tokens int, n_known int, base double, weight double")
-    parts = map_batches(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), schema, each, BATCH_BYTES)
+    unknown = math.log10(rest * v / n) if n else 0.0
     rare = tables.words.filter(F.col("c") < max(config.least_count, config.root_share * n)).select(
         F.col("word").alias("gram"), "c", (F.col("arc") + F.coalesce("back", F.lit(0.0))).alias("gain"))
     for t in (tables.pairs, tables.triples):
-        rare = rare.unionByName(t.filter(F.col("c") < max(config.least_count, config.arc_share * n)).select(
-            "gram", F.lit(0).cast("long").alias("c"), "gain"))
-    found = parts.join(rare, "gram", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    unknown = math.log10(rest * v / n) if n else 0.0
-    times, word = F.col("times"), F.col("words") == 1
-    weight = F.coalesce(F.col("gain"), F.when(word, F.lit(unknown)).otherwise(0.0))
-    sums = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, times).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(word, times * F.log10((c + 0.5) / float(below))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("weight") + times * weight).alias("score"))
+        rare = rare.unionByName(t.filter(F.col("c") < max(config.least_count, config.arc_share * n)).select("gram", "c", "gain"))
+    parts = max(4 * spark.sparkContext.defaultParallelism, n >> 25, rare.count() >> 21)
+    codes = sorted(x for x in map(tables.coder.code, model.common) if x >= 0)
+    sent = spark.sparkContext.broadcast((
+        tables.coder, walk(model), np.log10((model.counts + 0.5) / below), (np.array(codes, np.int64), model.common), tables.maps))
+    requests = map_blocks(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), REQUEST,
+                          lambda: sent.value[0], lambda t, rows: ask(t, rows, *sent.value[1:], parts))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, table, held = None, [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["part"] != part:
+                    part, table, held = r["part"], [], None
+                if r["side"] == 0:
+                    table.append(r)
+                    continue
+                held = held or Slice(table)
+                table = []
+                yield held.answer(r, unknown, below)
+        give_back()
+
+    both = requests.unionByName(deal_table(rare, sent, parts)).repartition(parts, "part").sortWithinPartitions("part", "side")
+    sums = both.mapInArrow(meet, SUMS).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return sums.select(
         "doc_id", (fold(F.col("doc_id")) == held_out_fold).alias("held_out"), "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
