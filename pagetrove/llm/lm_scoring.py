@@ -29,20 +29,18 @@ text are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
-from hashlib import blake2b
 from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrove.session import ship_package, write_scratch
+from pagetrove.session import Scratch, ship_package, write_scratch
 
 from .common import fold, give_back, map_batches, slices, small_batches
 
@@ -78,37 +76,22 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(word, c) over whole texts, the end token among them; counted within batches before the shuffle."""
-
-    def each(batch: pa.RecordBatch) -> dict:
-        seen: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            seen.update(split(text))
-        seen[END] += batch.num_rows
-        return {"word": list(seen), "c": list(seen.values())}
-
-    return map_batches(train, "word binary, c long", each).groupBy("word").agg(F.sum("c").alias("c"))
-
-
 MAX_BITS = 28  # of a bitmap's places
 BATCH_BYTES = 2 << 20  # of texts whose words a worker holds at a time
-BLOCK = 1 << 21  # tokens, or n-grams of a table, that a worker sorts at a time
+BLOCK_BYTES = 14 << 20  # of texts whose n-grams a worker sorts at a time
+PART = 1 << 23  # n-grams that a part counts, about, if no block repeats one
 CODED = 1 << 20  # words whose n-grams are numbers; three of their numbers fit into 60 bits
 
 
-@lru_cache(1 << 16)
-def digest(word: bytes) -> bytes:
-    return blake2b(word, digest_size=8).digest()
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(digest, words)), np.uint64)
+    """For bitmaps alone, where equal hashes of two words do no harm."""
+    return np.fromiter(map(crc32, words), np.uint64, len(words)) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hashes of n-grams from those of their histories and last words."""
-    return history * np.uint64(0x9E3779B97F4A7C15) + word
+    mixed = (history ^ (history >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return mixed ^ (mixed << np.uint64(31))
 
 
 @dataclass
@@ -128,15 +111,13 @@ def bitmap(grams: DataFrame, column: str) -> Bitmap:
     bits = min(MAX_BITS, max(10, (16 * grams.count()).bit_length()))
 
     def each(batch: pa.RecordBatch) -> dict:
-        parts = [g.split(b" ") for g in batch.column(0).cast(pa.binary()).to_pylist()]
-        h = np.zeros(0, np.uint64)
-        for n in {len(x) for x in parts}:
-            own = [x for x in parts if len(x) == n]
-            all_ = hashes([w for x in own for w in x]).reshape(-1, n)
-            value = all_[:, 0]
-            for k in range(1, n):
-                value = longer(value, all_[:, k])
-            h = np.concatenate([h, value])
+        words = pc.split_pattern(batch.column(0).cast(pa.string()), " ")
+        lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+        all_, first = hashes(words.flatten().cast(pa.binary()).to_pylist()), np.cumsum(lengths) - lengths
+        h = all_[first]
+        for k in range(1, int(lengths.max(initial=1))):
+            more = lengths > k
+            h[more] = longer(h[more], all_[first[more] + k])
         at = np.unique(h >> np.uint64(64 - bits)).astype(np.int64)
         return {"slot": at >> 6, "mark": np.left_shift(np.int64(1), at & 63)}
 
@@ -161,7 +142,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 def lines(grams: list[bytes]) -> bytes:
     """No word holds a line break."""
-    return b"".join(g + b"\n" for g in grams)
+    return b"\n".join(grams) + b"\n" if grams else b""
 
 
 def unlines(data: bytes) -> list[bytes]:
@@ -181,7 +162,7 @@ def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def part_of_texts(grams: list[bytes], parts: int) -> np.ndarray:
-    return np.fromiter((crc32(g) % parts for g in grams), np.int64, len(grams))
+    return np.fromiter(map(crc32, grams), np.int64, len(grams)) % parts
 
 
 @dataclass
@@ -189,6 +170,7 @@ class Coder:
     """Words with root arcs, the most frequent first. The first ``base`` of them make up n-grams that are numbers."""
 
     words: list[bytes]
+    counts: np.ndarray
     number: dict[bytes, int]
     hash: np.ndarray
     base: int
@@ -203,12 +185,27 @@ class Coder:
             code = code * self.base + at
         return -1 if len(words) < 2 else code + self.base ** 2 * (len(words) - 2)
 
-    def gram(self, code: int, n: int) -> bytes:
-        words = []
+    def codes(self, grams: pa.Array) -> np.ndarray:
+        """The same of many."""
+        words = pc.split_pattern(grams, " ")
+        lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+        at = pc.index_in(words.flatten().cast(pa.binary()), value_set=pa.array(self.words[:self.base], pa.binary()))
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        first = np.cumsum(lengths) - lengths
+        code, ok = np.zeros(len(lengths), np.int64), lengths > 1
+        for k in range(int(lengths.max(initial=1))):
+            more = lengths > k
+            word = at[first[more] + k]
+            code[more] = code[more] * self.base + word
+            ok[more] &= word >= 0
+        return np.where(ok, code + self.base ** 2 * (lengths - 2), -1)
+
+    def gram(self, code: np.ndarray, n: int) -> list[bytes]:
+        w, words = self.words, []
         for _ in range(n):
-            code, at = divmod(code, self.base)
-            words.append(self.words[at])
-        return b" ".join(reversed(words))
+            code, at = np.divmod(code, self.base)
+            words.append(at.tolist())
+        return [b" ".join([w[i] for i in x]) for x in zip(*reversed(words))]
 
 
 def common_words(counts: DataFrame, n: int, config: LmConfig) -> DataFrame:
@@ -221,44 +218,117 @@ def by_frequency(words: list[tuple]) -> list[tuple]:
 
 def coder(counts: DataFrame, n: int, config: LmConfig) -> Coder:
     rows = common_words(counts, n, config).select(F.col("word").cast("string").alias("word"), "c").collect()
-    words = [w for w, _ in by_frequency([(r.word.encode(), r.c) for r in rows])]
-    return Coder(words, {w: i for i, w in enumerate(words)}, hashes(words), min(len(words), CODED))
+    rows = by_frequency([(r.word.encode(), r.c) for r in rows])
+    words = [w for w, _ in rows]
+    return Coder(words, np.array([c for _, c in rows], np.int64), {w: i for i, w in enumerate(words)}, hashes(words), min(len(words), CODED))
+
+
+BLOCKS = "words binary, tokens binary, texts binary"
+
+
+def tokenized(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The words of the texts, the end token first, and the tokens as numbers of these from 1 on, between end
+    tokens and with a 0 after each text. Words as in ``split``."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    ends = np.cumsum(pc.list_value_length(found).to_numpy().astype(np.int64))
+    flat = found.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    n = np.diff(np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends])])
+    coded = flat.filter(full).dictionary_encode()
+    last = np.cumsum(n + 3) - 1
+    tokens = np.ones(int((n + 3).sum()), np.int32)
+    word = np.ones(len(tokens), bool)
+    word[last - n - 2] = word[last - 1] = word[last] = False
+    tokens[word] = coded.indices.to_numpy() + 2
+    tokens[last] = 0
+    return [END, *coded.dictionary.cast(pa.binary()).to_pylist()], tokens
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Texts (row, doc_id, train, text) as rows for blocks of them: words, tokens, and the other columns."""
+    ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    kind = arrow_kind(BLOCKS)
+
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        words, tokens = tokenized(table.column("text").combine_chunks())
+        row = {"words": lines(words), "tokens": pack(tokens), "texts": to_bytes(table.drop_columns(["text"]))}
+        return pa.RecordBatch.from_pylist([row], schema=kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, BATCH_BYTES):
+                held.append(part)
+                size += part.nbytes
+                if size >= BLOCK_BYTES:
+                    yield close(held)
+                    held, size = [], 0
+        if held:
+            yield close(held)
+        del held
+        give_back()
+
+    return docs.mapInArrow(run, BLOCKS)
+
+
+def coded(train: DataFrame) -> DataFrame:
+    """Texts that are not in blocks yet, all of them for training."""
+    if "tokens" in train.columns:
+        return train
+    return blocks(train.select(F.lit(0).cast("long").alias("row"), "doc_id", F.lit(True).alias("train"), "text"))
+
+
+def to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def count_words(train: DataFrame) -> DataFrame:
+    """(word, c) over whole texts, the end token among them once a text; counted within blocks before the shuffle."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"word": [], "c": []}
+        for r in batch.to_pylist():
+            tokens, words = unpack(r["tokens"]), unlines(r["words"])
+            lengths = np.diff(np.flatnonzero(tokens == 0), prepend=-1)
+            held = np.repeat(from_bytes(r["texts"]).column("train").to_numpy(), lengths)
+            c = np.bincount(tokens[held], minlength=len(words) + 1)
+            c[1] //= 2  # the end token, in front of texts, too
+            out["word"].append(pa.array(words, pa.binary()).filter(pa.array(c[1:] > 0)))
+            out["c"].append(pa.array(c[1:][c[1:] > 0]))
+        return {k: pa.concat_arrays(x) for k, x in out.items()}
+
+    return map_batches(coded(train), "word binary, c long", each).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Texts:
     """The tokens of a block between end tokens: ``a`` are numbers of words, those of the coder first and
-    then the block's ``own``; -1 parts the texts."""
-
-    def __init__(self, coder: Coder):
-        self.coder, self.size, self.own = coder, len(coder.words), {}
-        self.blocks: list[np.ndarray] = []
-        self.lengths: list[int] = []
-        self.tokens = 0
-
-    def add(self, texts: list[str | None]) -> None:
-        flat: list[bytes | None] = []
-        for text in texts:
-            ws = split(text)
-            flat.append(END)
-            flat += ws
-            flat += (END, None)
-            self.lengths.append(len(ws) + 3)
-        a = np.fromiter(map(self.coder.number.get, flat, repeat(-1)), np.int64, len(flat))
-        ends = np.cumsum(self.lengths[len(self.lengths) - len(texts):]) - 1
-        rare = a < 0
-        rare[ends] = False
-        own, size = self.own, self.size
-        at = np.flatnonzero(rare)
-        a[at] = [size + own.setdefault(flat[i], len(own)) for i in at.tolist()]
-        self.blocks.append(a)
-        self.tokens += len(a)
-
-    def close(self) -> "Texts":
-        self.a = np.concatenate(self.blocks)
-        self.blocks = []
-        self.first = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.words = list(self.own)
-        self.hash = np.concatenate([self.coder.hash, hashes(self.words)])
+    then the block's own ``words``; -1 parts the texts."""
+
+    def __init__(self, coder: Coder, block: dict):
+        self.coder, self.size = coder, len(coder.words)
+        words = unlines(block["words"])
+        number = np.fromiter(map(coder.number.get, words, repeat(-1)), np.int64, len(words))
+        own = np.flatnonzero(number < 0)
+        self.words = [words[i] for i in own.tolist()]
+        number[own] = self.size + np.arange(len(own))
+        self.a = np.concatenate([[-1], number])[unpack(block["tokens"])]
+        self.first = np.concatenate([[0], np.flatnonzero(self.a < 0) + 1])
+        self.lengths = np.diff(self.first)
+        self.hash = np.concatenate([coder.hash, hashes(self.words)])
+        self.texts = from_bytes(block["texts"])
+
+    def trained(self) -> "Texts":
+        """Without the texts that are held out."""
+        self.a[~np.repeat(self.texts.column("train").to_numpy(), self.lengths)] = -1
         return self
 
     def pairs(self, held: Bitmap) -> tuple[np.ndarray, np.ndarray]:
@@ -267,12 +337,9 @@ class Texts:
         value = longer(h[:-1], h[1:])
         return (a[:-1] >= 0) & (a[1:] >= 0) & held.may_hold(value), value
 
-    def word(self, at: int) -> bytes:
-        return self.coder.words[at] if at < self.size else self.words[at - self.size]
-
     def gram(self, at: np.ndarray, n: int) -> list[bytes]:
-        word = self.word
-        return [b" ".join([word(i) for i in x]) for x in np.stack([self.a[at + k] for k in range(n)], 1).tolist()]
+        word = (self.coder.words + self.words).__getitem__
+        return list(map(b" ".join, zip(*[map(word, self.a[at + k].tolist()) for k in range(n)])))
 
     def codes(self, ok: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the n-grams that start where ``ok`` says: places and numbers of those of coded words; places of the
@@ -293,44 +360,32 @@ class Texts:
         return at[coded], code, rest, other
 
 
-def map_blocks(df: DataFrame, schema: str, coder: Callable[[], Coder], each: Callable[[Texts, pa.Table], Iterator[dict]]) -> DataFrame:
-    """``mapInArrow`` over blocks of about BLOCK tokens: from the tokens and the other columns of a block to rows."""
-    ship_package(df.sparkSession)
-    small_batches(df.sparkSession)
+def map_blocks(df: DataFrame, schema: str, coder: Callable[[], Coder], each: Callable[[Texts], Iterator[dict]]) -> DataFrame:
+    """``mapInArrow`` from blocks to rows."""
     kind = arrow_kind(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, others = Texts(coder()), []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            for row in each(texts.close(), pa.Table.from_batches(others)):
-                yield pa.RecordBatch.from_pylist([row], schema=kind)
-
         for batch in batches:
-            for part in slices(batch, BATCH_BYTES):
-                texts.add(part.column("text").to_pylist())
-                others.append(part.drop_columns(["text"]))
-                if texts.tokens >= BLOCK:
-                    yield from close()
-                    texts, others = Texts(coder()), []
-        if others:
-            yield from close()
-        del texts, others
+            for i in range(batch.num_rows):
+                for row in each(Texts(coder(), batch.slice(i, 1).to_pylist()[0])):
+                    yield pa.RecordBatch.from_pylist([row], schema=kind)
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
 def count_ngrams(train: DataFrame, coder: Coder, words: Bitmap, pairs: Bitmap | None, least: int, parts: int) -> DataFrame:
-    """(gram, c) of the pairs, or with ``pairs`` of the triples, seen at least so often; words are blank-joined.
+    """(gram, c, first, last) of the pairs, or with ``pairs`` of the triples, seen at least so often; words are
+    blank-joined. Counts of the first and last word are given where all words are coded.
 
     An n-gram can't be more frequent than its parts, so those of rarer parts needn't be counted.
     """
     sent = train.sparkSession.sparkContext.broadcast((coder, words, pairs))
     n = 2 if pairs is None else 3
 
-    def each(t: Texts, _: pa.Table) -> Iterator[dict]:
+    def each(t: Texts) -> Iterator[dict]:
         _, words, pairs = sent.value
+        t.trained()
         if pairs is None:
             held = words.may_hold(t.hash)
             ok = (t.a[:-1] >= 0) & (t.a[1:] >= 0) & held[t.a[:-1]] & held[t.a[1:]]
@@ -354,17 +409,22 @@ def count_ngrams(train: DataFrame, coder: Coder, words: Bitmap, pairs: Bitmap |
         first = np.flatnonzero(np.diff(codes, prepend=-1))
         c = np.add.reduceat(seen, first) if len(first) else seen
         held = c >= least
-        names = [coder.gram(x, n) for x in codes[first][held].tolist()]
-        other: Counter = Counter()
-        for grams, times in zip(read["grams"], read["times"]):
-            for g, x in zip(unlines(grams), unpack(times).tolist()):
-                other[g] += x
-        other = {g: x for g, x in other.items() if x >= least}
-        return pa.table({"gram": pa.array([g.decode() for g in names + list(other)], pa.string()),
-                         "c": pa.array(c[held].tolist() + list(other.values()), pa.int64())})
+        codes, base = codes[first][held], max(coder.base, 1)
+        names = coder.gram(codes, n)
+        texts = pc.split_pattern(pa.array([b"".join(read["grams"])[:-1]], pa.large_binary()).cast(pa.large_string()), "\n").flatten()
+        if any(read["grams"]):
+            other = pa.table({"gram": texts, "c": np.concatenate([unpack(x) for x in read["times"]])}).group_by("gram").aggregate([("c", "sum")])
+            other = other.filter(pc.greater_equal(other.column("c_sum"), least))
+        else:
+            other = pa.table({"gram": texts[:0], "c_sum": pa.array([], pa.int64())})
+        ends = [np.concatenate([coder.counts[at], np.zeros(len(other), np.int64)]) for at in (codes // base ** (n - 1), codes % base)]
+        missing = np.arange(len(names) + len(other)) >= len(names)
+        grams = [pa.array(names, pa.binary()).cast(pa.string()), *other.column("gram").cast(pa.string()).chunks]
+        return pa.table({"gram": pa.chunked_array(grams), "c": np.concatenate([c[held], other.column("c_sum").to_numpy()]),
+                         **{k: pa.array(x, pa.int64(), mask=missing) for k, x in zip(("first", "last"), ends)}})
 
     rows = map_blocks(train, "part int, codes binary, seen binary, grams binary, times binary", lambda: sent.value[0], each)
-    return rows.groupBy("part").applyInArrow(add, "gram string, c long")
+    return rows.groupBy("part").applyInArrow(add, "gram string, c long, first long, last long")
 
 
 def shares(part: np.ndarray, text_part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -395,15 +455,20 @@ class Tables:
 
 def weigh(train: DataFrame, counts: DataFrame, n: int, rest: float, config: LmConfig) -> Tables:
     """Arcs and backoff factors of all n-grams; nothing of it is gathered."""
+    with Scratch(train.sparkSession) as scratch:
+        return weigh_in(scratch, coded(train), counts, n, rest, config)
+
+
+def weigh_in(scratch: Scratch, train: DataFrame, counts: DataFrame, n: int, rest: float, config: LmConfig) -> Tables:
     least, d = config.least_count, config.discount
     c, total = F.col("c"), float(max(n, 1))
     code = coder(counts, n, config)
-    parts = max(4 * train.sparkSession.sparkContext.defaultParallelism, n // (4 * BLOCK))
+    parts = max(4 * train.sparkSession.sparkContext.defaultParallelism, n // PART)
     words = counts.select(F.col("word").cast("string").alias("word"), "c", F.log10((c - rest) / total).alias("arc"))
     known = bitmap(words.filter(c >= least), "word")
-    pairs = write_scratch(count_ngrams(train, code, known, None, least, parts), "lm-pairs")
+    pairs = scratch.write(count_ngrams(train, code, known, None, least, parts), "pairs")
     seen = bitmap(pairs, "gram")
-    triples = write_scratch(count_ngrams(train, code, known, seen, least, parts), "lm-triples")
+    triples = scratch.write(count_ngrams(train, code, known, seen, least, parts), "triples")
     first, last = (F.substring_index("gram", " ", k) for k in (1, -1))
 
     def backs(arcs: DataFrame) -> DataFrame:
@@ -413,16 +478,19 @@ def weigh(train: DataFrame, counts: DataFrame, n: int, rest: float, config: LmCo
         return arcs.groupBy("history").agg(F.log10(left / lower).alias("back"))
 
     common = words.filter(c >= least)
-    two = pairs.select("gram", "c", first.alias("history"), last.alias("word"))
+    coded_ = pairs.filter(F.col("last").isNotNull()).select(
+        "gram", "c", first.alias("history"), F.log10((F.col("last") - rest) / total).alias("lower"), F.col("first").alias("of"))
+    two = pairs.filter(F.col("last").isNull()).select("gram", "c", first.alias("history"), last.alias("word"))
     two = two.join(common.select("word", F.col("arc").alias("lower")), "word")
     two = two.join(common.select(F.col("word").alias("history"), F.col("c").alias("of")), "history")
-    two = write_scratch(two.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "lm-pair-arcs")
-    back1 = write_scratch(backs(two), "lm-backoffs")
+    two = two.select(coded_.columns).unionByName(coded_)
+    two = scratch.write(two.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "pair-arcs")
+    back1 = scratch.write(backs(two), "backoffs")
     three = triples.select("gram", "c", F.substring_index("gram", " ", 2).alias("history"), F.substring_index("gram", " ", -2).alias("suffix"))
     three = three.join(two.select(F.col("gram").alias("suffix"), F.col("arc").alias("lower")), "suffix")
     three = three.join(pairs.select(F.col("gram").alias("history"), F.col("c").alias("of")), "history")
-    three = write_scratch(three.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "lm-triple-arcs")
-    back2 = write_scratch(backs(three), "lm-backoffs")
+    three = scratch.write(three.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "triple-arcs")
+    back2 = scratch.write(backs(three), "backoffs")
 
     # What an arc weighs more than the failure arc and the shorter history's, and with it what its own state adds.
     def gained(arcs: DataFrame, back: DataFrame, own: DataFrame | None) -> DataFrame:
@@ -432,7 +500,8 @@ def weigh(train: DataFrame, counts: DataFrame, n: int, rest: float, config: LmCo
         return out.select("gram", "c", "arc", "back", gain.alias("gain"))
 
     return Tables(
-        write_scratch(words.join(back1.withColumnRenamed("history", "word"), "word", "left"), "lm-words"),
+        write_scratch(common.join(back1.withColumnRenamed("history", "word"), "word", "left").unionByName(
+            words.filter(c < least).withColumn("back", F.lit(None).cast("double"))), "lm-words"),
         write_scratch(gained(two, back1, back2), "lm-pair-weights"),
         write_scratch(gained(three, back2, None), "lm-triple-weights"), (seen, bitmap(triples, "gram")), code)
 
@@ -574,10 +643,10 @@ SUMS_KIND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens",
 ROWS = 1 << 18  # of a table that a worker holds at a time
 
 
-def ask(t: Texts, rows: pa.Table, m: Walk, base: np.ndarray, common: tuple[np.ndarray, set[bytes]],
+def ask(t: Texts, m: Walk, base: np.ndarray, common: tuple[np.ndarray, set[bytes]],
         maps: tuple[Bitmap, Bitmap], parts: int) -> Iterator[dict]:
     """Traverse a block; for each part what its slice of the table is asked, with one of them the sums so far."""
-    size, n_docs = t.size, len(t.lengths)
+    size, n_docs, rows = t.size, len(t.lengths), t.texts
     doc = np.repeat(np.arange(n_docs), t.lengths)
     words = np.where(t.a < size, t.a, -1)
     words[t.a < 0] = -2
@@ -599,22 +668,22 @@ def ask(t: Texts, rows: pa.Table, m: Walk, base: np.ndarray, common: tuple[np.nd
         codes.append((code[rare], times[rare], docs[np.repeat(rare, times)]))
         _, place, times, docs = gathered(other, doc[rest])
         names = t.gram(rest[place], n)
-        rare = np.array([g not in common[1] for g in names], bool)
-        texts.append((times[rare], docs[np.repeat(rare, times)]))
-        grams += [g for g in names if g not in common[1]]
+        if t.coder.base < size:  # else a text has a word that is in no common n-gram
+            rare = np.array([g not in common[1] for g in names], bool)
+            times, docs = times[rare], docs[np.repeat(rare, times)]
+            names = [g for g in names if g not in common[1]]
+        texts.append((times, docs))
+        grams += names
     codes, times, docs = (np.concatenate(x) for x in zip(*codes))
     coded = Request(part_of(codes, parts), times, docs).deal(parts)
     others = Request(part_of_texts(grams, parts), *(np.concatenate(x) for x in zip(*texts))).deal(parts)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, SUMS_KIND) as out:
-        out.write_table(sums)
     row = rows.column("row").to_numpy()
     for part, (own, times, docs), (texts, text_times, text_docs) in zip(range(parts), coded, others):
         yield {
             "part": part, "side": 1, "codes": pack(np.diff(codes[own], prepend=0)), "grams": lines([grams[i] for i in texts.tolist()]),
             "words": int((texts < n_words).sum()), "times": pack(np.concatenate([times, text_times])),
             "docs": pack(np.concatenate([docs, text_docs])), "rows": pack(np.diff(row, prepend=0)),
-            "own": sink.getvalue().to_pybytes() if part == row[0] % parts else None,
+            "own": to_bytes(sums) if part == row[0] % parts else None,
         }
 
 
@@ -635,9 +704,10 @@ def deal_table(table: DataFrame, coder, parts: int) -> DataFrame:
         give_back()
 
     def each(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        grams = [g.encode() for g in rows.column("gram").to_pylist()]
+        names = rows.column("gram").combine_chunks()
+        grams = names.cast(pa.binary()).to_pylist()
         gains = np.stack([rows.column("gain").to_numpy(), rows.column("c").to_numpy().astype(float)], 1)
-        code = np.fromiter(map(coder.value[0].code, grams), np.int64, len(grams))
+        code = coder.value[0].codes(names)
         at, text = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
         at = at[np.argsort(code[at])]
         text_part = part_of_texts([grams[i] for i in text.tolist()], parts)
@@ -687,7 +757,7 @@ class Slice:
         base[word] = np.log10((c + 0.5) / below)
         n_known, base, score = (np.bincount(docs, np.repeat(x, times), len(rows)) for x in (known, base, gain))
         if r["own"] is not None:
-            own = pa.ipc.open_stream(r["own"]).read_all()
+            own = from_bytes(r["own"])
             doc_id, n_tokens = own.column("doc_id").combine_chunks(), own.column("n_tokens").to_numpy()
             n_known, base, score = (x + own.column(k).to_numpy() for k, x in (("n_known", n_known), ("base", base), ("score", score)))
         else:
@@ -708,8 +778,9 @@ def arrow_kind(schema: str) -> pa.Schema:
 def score(docs: DataFrame, held_out_fold: int = 1, config: LmConfig = LmConfig()) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    texts = narrow(docs)
-    train = texts.filter(fold(F.col("doc_id")) != held_out_fold)
+    texts = narrow(docs).withColumn("row", F.monotonically_increasing_id())
+    trained = fold(F.col("doc_id")) != held_out_fold
+    train = write_scratch(blocks(texts.select("row", "doc_id", trained.alias("train"), "text")), "lm-tokens", compression="zstd", maxRecordsPerFile=4)
     counts = write_scratch(count_words(train), "lm-counts")
     n, v, n1, n2 = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)),
@@ -727,8 +798,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, config: LmConfig = LmConfig()
     codes = sorted(x for x in map(tables.coder.code, model.common) if x >= 0)
     sent = spark.sparkContext.broadcast((
         tables.coder, walk(model), np.log10((model.counts + 0.5) / below), (np.array(codes, np.int64), model.common), tables.maps))
-    requests = map_blocks(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), REQUEST,
-                          lambda: sent.value[0], lambda t, rows: ask(t, rows, *sent.value[1:], parts))
+    requests = map_blocks(train, REQUEST, lambda: sent.value[0], lambda t: ask(t, *sent.value[1:], parts))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, table, held = None, [], None
