@@ -95,11 +95,11 @@ def map_batches(
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send at most 2,000 rows to a Python worker at a time, unless the session names its own number:
+    """Send at most 2,000 rows or 16 MB to a Python worker at a time, unless the session names its own numbers:
     texts are long, and a batch is held by the executor and by the worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # Spark's default
-        spark.conf.set(key, 2000)
+    for key, default, value in (("maxRecordsPerBatch", "10000", 2000), ("maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
 def slices(batch: pa.RecordBatch, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

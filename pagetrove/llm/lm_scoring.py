@@ -37,7 +37,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrove.session import Scratch, ship_package, write_scratch
@@ -78,7 +78,7 @@ def narrow(docs: DataFrame) -> DataFrame:
 
 MAX_BITS = 28  # of a bitmap's places
 BATCH_BYTES = 2 << 20  # of texts whose words a worker holds at a time
-BLOCK_BYTES = 14 << 20  # of texts whose n-grams a worker sorts at a time
+BLOCK_BYTES = 12 << 20  # of texts whose n-grams a worker sorts at a time
 PART = 1 << 23  # n-grams that a part counts, about, if no block repeats one
 CODED = 1 << 20  # words whose n-grams are numbers; three of their numbers fit into 60 bits
 
@@ -98,6 +98,7 @@ def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Bitmap:
     """Where n-grams of a table are, by the first bits of their hash."""
 
+    grams: int
     bits: int
     marks: np.ndarray
 
@@ -108,7 +109,8 @@ class Bitmap:
 
 def bitmap(grams: DataFrame, column: str) -> Bitmap:
     """About 16 places an n-gram, up to 32 MB of them; then false hits become more frequent."""
-    bits = min(MAX_BITS, max(10, (16 * grams.count()).bit_length()))
+    n = grams.count()
+    bits = min(MAX_BITS, max(10, (16 * n).bit_length()))
 
     def each(batch: pa.RecordBatch) -> dict:
         words = pc.split_pattern(batch.column(0).cast(pa.string()), " ")
@@ -124,7 +126,7 @@ def bitmap(grams: DataFrame, column: str) -> Bitmap:
     set_ = map_batches(grams.select(column), "slot long, mark long", each, BATCH_BYTES).groupBy("slot").agg(F.bit_or("mark").alias("mark")).toArrow()
     marks = np.zeros(1 << (bits - 6), np.uint64)
     marks[set_["slot"].to_numpy()] = set_["mark"].to_numpy().view(np.uint64)
-    return Bitmap(bits, marks)
+    return Bitmap(n, bits, marks)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -205,7 +207,7 @@ class Coder:
         for _ in range(n):
             code, at = np.divmod(code, self.base)
             words.append(at.tolist())
-        return [b" ".join([w[i] for i in x]) for x in zip(*reversed(words))]
+        return list(map(b" ".join, zip(*[map(w.__getitem__, x) for x in reversed(words)])))
 
 
 def common_words(counts: DataFrame, n: int, config: LmConfig) -> DataFrame:
@@ -471,12 +473,17 @@ def weigh_in(scratch: Scratch, train: DataFrame, counts: DataFrame, n: int, rest
     triples = scratch.write(count_ngrams(train, code, known, seen, least, parts), "triples")
     first, last = (F.substring_index("gram", " ", k) for k in (1, -1))
 
-    def backs(arcs: DataFrame) -> DataFrame:
-        """(history, back): what the arcs leave over that part of the shorter history's mass they don't go on with."""
-        left = F.greatest(1 - F.sum(F.pow(F.lit(10.0), "arc")), F.lit(1e-9))
-        lower = F.greatest(1 - F.sum(F.pow(F.lit(10.0), "lower")), F.lit(1e-9))
-        return arcs.groupBy("history").agg(F.log10(left / lower).alias("back"))
+    def failed(arcs: DataFrame) -> DataFrame:
+        """With the history's backoff factor: what its arcs leave over that part of the shorter history's mass they don't go on with."""
+        of = Window.partitionBy("history")
+        left, lower = (F.greatest(1 - F.sum(F.pow(F.lit(10.0), k)).over(of), F.lit(1e-9)) for k in ("arc", "lower"))
+        return arcs.withColumn("failed", F.log10(left / lower))
 
+    def backs(arcs: DataFrame, name: str) -> DataFrame:
+        return arcs.groupBy(F.col("history").alias(name)).agg(F.max("failed").alias("back"))
+
+    # What an arc weighs more than the failure arc and the shorter history's, and with it what its own state adds.
+    gain = F.col("arc") - F.col("lower") - F.col("failed") + F.coalesce("back", F.lit(0.0))
     common = words.filter(c >= least)
     coded_ = pairs.filter(F.col("last").isNotNull()).select(
         "gram", "c", first.alias("history"), F.log10((F.col("last") - rest) / total).alias("lower"), F.col("first").alias("of"))
@@ -484,26 +491,20 @@ def weigh_in(scratch: Scratch, train: DataFrame, counts: DataFrame, n: int, rest
     two = two.join(common.select("word", F.col("arc").alias("lower")), "word")
     two = two.join(common.select(F.col("word").alias("history"), F.col("c").alias("of")), "history")
     two = two.select(coded_.columns).unionByName(coded_)
-    two = scratch.write(two.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "pair-arcs")
-    back1 = scratch.write(backs(two), "backoffs")
+    two = two.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc"))
+    arcs = two = scratch.write(failed(two), "pair-arcs")
     three = triples.select("gram", "c", F.substring_index("gram", " ", 2).alias("history"), F.substring_index("gram", " ", -2).alias("suffix"))
     three = three.join(two.select(F.col("gram").alias("suffix"), F.col("arc").alias("lower")), "suffix")
     three = three.join(pairs.select(F.col("gram").alias("history"), F.col("c").alias("of")), "history")
-    three = scratch.write(three.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc")), "triple-arcs")
-    back2 = scratch.write(backs(three), "backoffs")
-
-    # What an arc weighs more than the failure arc and the shorter history's, and with it what its own state adds.
-    def gained(arcs: DataFrame, back: DataFrame, own: DataFrame | None) -> DataFrame:
-        out = arcs.join(back.withColumnRenamed("back", "failed"), "history")
-        out = out.withColumn("back", F.lit(None).cast("double")) if own is None else out.join(own.withColumnRenamed("history", "gram"), "gram", "left")
-        gain = F.col("arc") - F.col("lower") - F.col("failed") + F.coalesce("back", F.lit(0.0))
-        return out.select("gram", "c", "arc", "back", gain.alias("gain"))
-
+    three = three.select("gram", "c", "history", "lower", F.log10((c - d) / F.col("of")).alias("arc"))
+    three = scratch.write(failed(three), "triple-arcs")
+    two = two.join(backs(three, "gram"), "gram", "left")
     return Tables(
-        write_scratch(common.join(back1.withColumnRenamed("history", "word"), "word", "left").unionByName(
-            words.filter(c < least).withColumn("back", F.lit(None).cast("double"))), "lm-words"),
-        write_scratch(gained(two, back1, back2), "lm-pair-weights"),
-        write_scratch(gained(three, back2, None), "lm-triple-weights"), (seen, bitmap(triples, "gram")), code)
+        write_scratch(common.join(backs(arcs, "word"), "word", "left"), "lm-words").unionByName(
+            words.filter(c < least).withColumn("back", F.lit(None).cast("double"))),
+        write_scratch(two.select("gram", "c", "arc", "back", gain.alias("gain")), "lm-pair-weights"),
+        write_scratch(three.withColumn("back", F.lit(None).cast("double")).select("gram", "c", "arc", "back", gain.alias("gain")), "lm-triple-weights"),
+        (seen, bitmap(triples, "gram")), code)
 
 
 def build(train: DataFrame, counts: DataFrame, n: int, v: int, rest: float, config: LmConfig, tables: Tables | None = None) -> Automaton:
@@ -647,7 +648,7 @@ def ask(t: Texts, m: Walk, base: np.ndarray, common: tuple[np.ndarray, set[bytes
         maps: tuple[Bitmap, Bitmap], parts: int) -> Iterator[dict]:
     """Traverse a block; for each part what its slice of the table is asked, with one of them the sums so far."""
     size, n_docs, rows = t.size, len(t.lengths), t.texts
-    doc = np.repeat(np.arange(n_docs), t.lengths)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), t.lengths)
     words = np.where(t.a < size, t.a, -1)
     words[t.a < 0] = -2
     weighed = t.a >= 0
@@ -674,6 +675,7 @@ def ask(t: Texts, m: Walk, base: np.ndarray, common: tuple[np.ndarray, set[bytes
             names = [g for g in names if g not in common[1]]
         texts.append((times, docs))
         grams += names
+    del two, three, value, held, doc, words
     codes, times, docs = (np.concatenate(x) for x in zip(*codes))
     coded = Request(part_of(codes, parts), times, docs).deal(parts)
     others = Request(part_of_texts(grams, parts), *(np.concatenate(x) for x in zip(*texts))).deal(parts)
@@ -794,7 +796,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, config: LmConfig = LmConfig()
         F.col("word").alias("gram"), "c", (F.col("arc") + F.coalesce("back", F.lit(0.0))).alias("gain"))
     for t in (tables.pairs, tables.triples):
         rare = rare.unionByName(t.filter(F.col("c") < max(config.least_count, config.arc_share * n)).select("gram", "c", "gain"))
-    parts = max(4 * spark.sparkContext.defaultParallelism, n >> 25, rare.count() >> 21)
+    parts = max(4 * spark.sparkContext.defaultParallelism, n >> 25, (v + sum(m.grams for m in tables.maps)) >> 21)
     codes = sorted(x for x in map(tables.coder.code, model.common) if x >= 0)
     sent = spark.sparkContext.broadcast((
         tables.coder, walk(model), np.log10((model.counts + 0.5) / below), (np.array(codes, np.int64), model.common), tables.maps))
