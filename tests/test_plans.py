@@ -311,3 +311,16 @@ def test_events_of_pages_are_parsed_after_sharing_out(spark):
     events = known_pages._events(parsed_rows(pages), False)
     assert sorted((r.kind, r.value[:13]) for r in events.select("kind", "value").collect())[1:] == [("url", "https://h.com")]
     assert {r.page.page_id for r in events.filter("page is not null").collect()} == {1} and events.count() == 2
+
+
+def test_snippets_are_matched_without_a_shuffle(spark):
+    """Each line was a row, dealt out and joined back, and the results' chunks with it."""
+    lines = ["head", "all about <b>spark sql</b> and how its planner works in depth, with examples", "tiny", "",
+             "another long line about spark alone, which has only one of the two words", "spark sql"]
+    rows = [(1, "Spark SQL", "p", "https://ex.com/a", "t", "\n".join(lines), None, 0.5), (1, "Spark SQL", "q", "https://ex.com/b", "t", None, None, 0.4),
+            (2, "word", "p", "https://ex.com/a", "t", "head", "short", 0.5)]
+    found = score_results(dedup_results(spark.createDataFrame(rows, RESULT)), snippets="intended")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {(r.qid, r.url[-1]): r.summary for r in found.collect()}
+    assert got == {(1, "a"): "all about spark sql and how its planner works in depth, with examples", (1, "b"): "", (2, "a"): ""}
