@@ -79,6 +79,7 @@ def narrow(docs: DataFrame) -> DataFrame:
 MAX_BITS = 28  # of a bitmap's places
 BATCH_BYTES = 2 << 20  # of texts whose words a worker holds at a time
 BLOCK_BYTES = 12 << 20  # of texts whose n-grams a worker sorts at a time
+RUN = 1 << 18  # tokens that arrays of all places are made for at a time
 PART = 1 << 23  # n-grams that a part counts, about, if no block repeats one
 CODED = 1 << 20  # words whose n-grams are numbers; three of their numbers fit into 60 bits
 
@@ -333,11 +334,25 @@ class Texts:
         self.a[~np.repeat(self.texts.column("train").to_numpy(), self.lengths)] = -1
         return self
 
-    def pairs(self, held: Bitmap) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a pair that may be held starts at a place, and its hash."""
-        a, h = self.a, self.hash[self.a]
-        value = longer(h[:-1], h[1:])
-        return (a[:-1] >= 0) & (a[1:] >= 0) & held.may_hold(value), value
+    def runs(self) -> Iterator[slice]:
+        """The places of about RUN tokens, whole texts, which arrays are made for at a time."""
+        ends = self.first[np.searchsorted(self.first, np.arange(RUN, len(self.a) + RUN, RUN).clip(max=len(self.a)))]
+        ends = np.unique(ends).tolist()
+        yield from map(slice, [0, *ends], ends)
+
+    def held(self, pairs: Bitmap, triples: Bitmap | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a pair that may be held starts at a place, and a triple of such pairs that may be held itself."""
+        two, three = np.zeros(len(self.a), bool), np.zeros(len(self.a), bool)
+        for run in self.runs():
+            a = self.a[run]
+            h = self.hash[a]
+            value = longer(h[:-1], h[1:])
+            ok = (a[:-1] >= 0) & (a[1:] >= 0) & pairs.may_hold(value)
+            two[run][:-1] = ok
+            three[run][:-2] = ok[:-1] & ok[1:]
+            if triples:
+                three[run][:-2] &= triples.may_hold(longer(value[:-1], h[2:]))
+        return two, three
 
     def gram(self, at: np.ndarray, n: int) -> list[bytes]:
         word = (self.coder.words + self.words).__getitem__
@@ -346,20 +361,22 @@ class Texts:
     def codes(self, ok: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the n-grams that start where ``ok`` says: places and numbers of those of coded words; places of the
         others, and numbers that tell these apart within the block."""
-        a, base = self.a, self.coder.base
-        at = np.flatnonzero(ok)
-        words = [a[at + k] for k in range(n)]
-        coded = np.logical_and.reduce([w < base for w in words])
-        code = np.zeros(int(coded.sum()), np.int64)
-        for w in words:
-            code = code * base + w[coded]
-        rest = at[~coded]
-        size = self.size + len(self.words)
-        other = a[rest] * size + a[rest + 1]
+        base, size = self.coder.base, self.size + len(self.words)
+        found = []
+        for run in self.runs():
+            a, at = self.a[run], np.flatnonzero(ok[run])
+            words = [a[at + k] for k in range(n)]
+            coded = np.logical_and.reduce([w < base for w in words])
+            code = np.zeros(int(coded.sum()), np.int64)
+            for w in words:
+                code = code * base + w[coded]
+            rest = at[~coded]
+            found.append((at[coded] + run.start, code, rest + run.start, a[rest] * size + a[rest + 1]))
+        at, code, rest, other = (np.concatenate(x) for x in zip(*found))
         if n == 3:
             _, other = np.unique(other, return_inverse=True)
-            other = other * size + a[rest + 2]
-        return at[coded], code, rest, other
+            other = other * size + self.a[rest + 2]
+        return at, code, rest, other
 
 
 def map_blocks(df: DataFrame, schema: str, coder: Callable[[], Coder], each: Callable[[Texts], Iterator[dict]]) -> DataFrame:
@@ -390,10 +407,10 @@ def count_ngrams(train: DataFrame, coder: Coder, words: Bitmap, pairs: Bitmap |
         t.trained()
         if pairs is None:
             held = words.may_hold(t.hash)
-            ok = (t.a[:-1] >= 0) & (t.a[1:] >= 0) & held[t.a[:-1]] & held[t.a[1:]]
+            ok = (t.a >= 0) & held[t.a]
+            ok[:-1] &= ok[1:]
         else:
-            ok, _ = t.pairs(pairs)
-            ok = ok[:-1] & ok[1:]
+            _, ok = t.held(pairs)
         _, code, rest, other = t.codes(ok, n)
         codes, seen = np.unique(code, return_counts=True)
         _, first, times = np.unique(other, return_index=True, return_counts=True)
@@ -655,13 +672,12 @@ def ask(t: Texts, m: Walk, base: np.ndarray, common: tuple[np.ndarray, set[bytes
     weighed[t.first[:-1]] = False
     at = np.flatnonzero(weighed & (words >= 0))
     sums = pa.table([rows.column("row"), rows.column("doc_id"), np.diff(t.first) - 2, np.bincount(doc[at], minlength=n_docs),
-                     np.bincount(doc[at], base[words[at]], n_docs), np.bincount(doc, traverse(m, words), n_docs)], schema=SUMS_KIND)
+                     np.bincount(doc[at], base[words[at]], n_docs), np.bincount(doc, np.concatenate([traverse(m, words[run]) for run in t.runs()]), n_docs)], schema=SUMS_KIND)
     at = np.flatnonzero(weighed & (words < 0))
     number, _, times, docs = gathered(t.a[at], doc[at])
     grams = [t.words[i - size] for i in number.tolist()]
     n_words, texts, codes = len(grams), [(times, docs)], []
-    two, value = t.pairs(maps[0])
-    three = two[:-1] & two[1:] & maps[1].may_hold(longer(value[:-1], t.hash[t.a[2:]]))
+    two, three = t.held(*maps)
     for n, held in ((2, two), (3, three)):
         at, code, rest, other = t.codes(held, n)
         code, _, times, docs = gathered(code + t.coder.base ** 2 * (n - 2), doc[at])
@@ -675,7 +691,7 @@ def ask(t: Texts, m: Walk, base: np.ndarray, common: tuple[np.ndarray, set[bytes
             names = [g for g in names if g not in common[1]]
         texts.append((times, docs))
         grams += names
-    del two, three, value, held, doc, words
+    del two, three, held, doc, words
     codes, times, docs = (np.concatenate(x) for x in zip(*codes))
     coded = Request(part_of(codes, parts), times, docs).deal(parts)
     others = Request(part_of_texts(grams, parts), *(np.concatenate(x) for x in zip(*texts))).deal(parts)

@@ -91,3 +91,24 @@ def test_shuffles_of_a_scratch_table_leave_the_disk(spark):
     last = spark.sparkContext._jsc.sc().newShuffleId()
     assert last > first + 1 and not any(shuffles.containsShuffle(i) for i in range(first, last))
     assert written.count() == 7 and spark.conf.get(key) == before
+
+
+def test_runs_do_not_change_what_is_found(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, size)) for size in (0, 1, 2, 300, 7, 40, 0)]
+    words, tokens = lm.tokenized(pa.array(texts))
+    common = words[:20]
+    coder = lm.Coder(common, np.ones(20, int), {w: i for i, w in enumerate(common)}, lm.hashes(common), 15)
+    block = {"words": lm.lines(words), "tokens": lm.pack(tokens), "texts": lm.to_bytes(pa.table({"train": [True] * len(texts)}))}
+    marks = [lm.Bitmap(0, 12, rng.integers(0, 1 << 63, 64, dtype=np.uint64)) for _ in range(2)]
+
+    def found():
+        t = lm.Texts(coder, block)
+        two, three = t.held(*marks)
+        return [two, three, *t.codes(two, 2), *t.codes(three, 3)]
+
+    whole = found()
+    assert whole[0].any() and whole[1].any() and len(whole[2]) and len(whole[4])
+    for run in (1, 50):
+        monkeypatch.setattr(lm, "RUN", run)
+        assert all((a == b).all() for a, b in zip(whole, found()))
